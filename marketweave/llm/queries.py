@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketweave.llm import urls
+from marketweave.llm.attribution import token_counts
 from marketweave.llm.decontaminate import decontaminate
 from marketweave.llm.exact import exact_dedup
 from marketweave.llm.minhash import near_duplicates
+from marketweave.llm.packing import pack
 from marketweave.llm.secrets import find_secrets
 
 
@@ -21,6 +23,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,7 @@ def _term_sql(terms: tuple[str, ...]) -> str:
     return "(^|[^\\p{L}\\p{N}])(" + "|".join(terms) + ")([^\\p{L}\\p{N}]|$)"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op4_exact_dedup, op5_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""

@@ -12,9 +12,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
+#: Prefixes of weak identifiers.
+ID_PREFIXES = ("ASIA", "AIDA", "AROA", "ANPA")
+
 #: Weak parts by role; alone they are too common to report.
 WEAK = {
-    "weak_id": r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|ANPA)[A-Z0-9]{12,}(?![A-Za-z0-9])",
+    "weak_id": r"(?<![A-Za-z0-9])(?:" + "|".join(ID_PREFIXES) + r")[A-Z0-9]{12,}(?![A-Za-z0-9])",
     "weak_secret": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
     "endpoint": r"https?://[A-Za-z0-9][A-Za-z0-9.:-]*",
 }
@@ -26,11 +29,11 @@ SCOPE = 256
 _SPAN = "array<struct<start:long,kind_no:int,end:long,kind:string>>"
 
 
-def _spans(text: Column, kind: str, number: int, pattern: str, least: int, group: int = 0) -> Column:
+def _spans(text: Column, kind: str, number: int, pattern: str, least: int, when: Column, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, kind_no, end, kind); those with a shorter group are dropped.
 
     split() gives the text between the matches, so running lengths give the places; only texts with a match
-    get that far.
+    get that far. when is a cheap test that every text with a match passes, made before the pattern runs.
     """
     hits = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
@@ -45,7 +48,7 @@ def _spans(text: Column, kind: str, number: int, pattern: str, least: int, group
         span = F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(acc["got"], F.array(span))).otherwise(acc["got"]).alias("got"))
 
-    return F.when(text.rlike(pattern), F.aggregate(hits, start, step)["got"]).otherwise(F.array().cast(_SPAN))
+    return F.when(when & text.rlike(pattern), F.aggregate(hits, start, step)["got"]).otherwise(F.array().cast(_SPAN))
 
 
 def _written(spans: Column) -> Column:
@@ -67,13 +70,17 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(
         F.concat(
-            _spans(text, "assign", 0, ASSIGN, 6, 2),
+            _spans(text, "assign", 0, ASSIGN, 6, text.contains("=") | text.contains(":"), 2),
             # A run begins at its first character, so a shorter run never hides a longer one.
-            _spans(text, "access", 1, ACCESS[:-1] + "{16,}", 20),
-            _spans(text, "hex", 2, HEX[:-1] + "{24,}", 24),
+            _spans(text, "access", 1, ACCESS[:-1] + "{16,}", 20, text.contains("AKIA")),
+            _spans(text, "hex", 2, HEX[:-1] + "{24,}", 24, F.lit(True)),
         )
     )
-    weak = F.concat(*(_spans(text, kind, 3 + i, pattern, 1) for i, (kind, pattern) in enumerate(WEAK.items())))
+    # A weak secret or an endpoint counts only beside an identifier, so texts without one are not searched for them.
+    named = F.lit(False)
+    for prefix in ("AKIA", *ID_PREFIXES):
+        named = named | text.contains(prefix)
+    weak = F.concat(*(_spans(text, kind, 3 + i, pattern, 1, named) for i, (kind, pattern) in enumerate(WEAK.items())))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), weak.alias("weak"), F.xxhash64(F.col(id_col), text).alias("h"))
     found = materialise(found.withColumn("h", F.when(F.size("weak") > 0, F.col("h"))), "secrets")
 
