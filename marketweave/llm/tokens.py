@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import gc
 import unicodedata
 
 import numpy as np
@@ -78,7 +79,11 @@ class ChunkEncoder:
 
     def ids_of(self, raws: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text in UTF-8."""
-        return [b"".join(x) for x in self._known([raw.split() for raw in raws], self.chunks, _ids, self.words)]
+        gc.disable()  # it would visit every remembered chunk again and again
+        try:
+            return [b"".join(x) for x in self._known([raw.split() for raw in raws], self.chunks, _ids, self.words)]
+        finally:
+            gc.enable()
 
     def spans_of(self, raws: list[bytes]) -> list[np.ndarray]:
         """First and end code points of each token, shape (tokens, 2), of each text in UTF-8."""
