@@ -26,65 +26,97 @@ SAMPLE_PER_LANGUAGE, ROUNDS = 400, 2
 STRETCH, REMEMBERED = 24, 250_000
 #: Probability of a letter that no piece covers, and pieces added to every count.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
+#: Words segmented at once.
+AT_ONCE = 2000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of the whole text, cut into stretches, each behind the vocabulary's mark of a word's begin."""
+    """Lower-cased runs of letters of the whole text, cut into stretches."""
     found = _LETTERS.findall((text or "").lower())
     if found and max(map(len, found)) > STRETCH:
         found = [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
     return found
 
 
+class Pieces:
+    """The vocabulary as sorted hashes of its pieces, to find all pieces in many words at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, int]):
+        self.n, self.longest = len(pieces), max(map(len, pieces))
+        prints = np.array([self._print(p) for p in pieces], np.uint64)
+        order = np.argsort(prints)
+        self.prints, self.number = prints[order], np.fromiter(pieces.values(), np.int64, self.n)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[prints >> np.uint64(44)] = True
+
+    def _print(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c)) % 2**64
+        return h
+
+    def find(self, prints: np.ndarray, none: int) -> np.ndarray:
+        out = np.full(prints.shape, none, np.int32)
+        maybe = np.nonzero(self.seen[prints >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.prints, prints[maybe]), self.n - 1)
+        out[maybe] = np.where(self.prints[at] == prints[maybe], self.number[at], none)
+        return out
+
+
 class Lattice:
-    """All segmentations of a list of words into pieces of the vocabulary, as edges (word, begin, end, piece)."""
+    """All segmentations of a list of words into pieces of the vocabulary.
+
+    ids[l][end] has, for every word, the piece of l + 1 characters that ends there. Row n of the
+    probabilities stands for a letter that no piece covers, row n + 1 for no piece.
+    """
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
+    def __init__(self, words: list[str], pieces: Pieces):
+        marked = np.array(["▁" + w for w in words])
         self.words = len(words)
-        edges: list[tuple[int, int, int, int]] = []
-        unknown = len(pieces)
-        for k, word in enumerate(words):
-            marked = "▁" + word
-            n = len(marked)
-            for i in range(n):
-                one = pieces.get(marked[i], unknown)
-                edges.append((k, i, i + 1, one))
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    piece = pieces.get(marked[i:j])
-                    if piece is not None:
-                        edges.append((k, i, j, piece))
-        e = np.array(edges, np.int64).reshape(-1, 4)
-        self.edges = e[np.argsort(e[:, 2], kind="stable")]
-        self.length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        self.bounds = np.searchsorted(self.edges[:, 2], np.arange(self.edges[-1, 2] + 2 if len(e) else 1))
+        codes = np.ascontiguousarray(marked.view(np.uint32).reshape(self.words, -1).T).astype(np.uint64)
+        self.length = np.fromiter((len(w) + 1 for w in words), np.int64, self.words)
+        self.most = len(codes)
+        h = np.zeros_like(codes)
+        self.ids = []
+        for size in range(1, min(pieces.longest, self.most) + 1):
+            h = h[: self.most - size + 1] * pieces.BASE + codes[size - 1 :]
+            self.ids.append(pieces.find(h, pieces.n if size == 1 else pieces.n + 1))
+
+    def _edges(self, end: int):
+        for size in range(1, min(end, len(self.ids)) + 1):
+            yield end - size, self.ids[size - 1][end - size]
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Sum over the segmentations of each prefix; probability has a row a piece and a column a language."""
-        alpha = np.zeros((int(self.length.max(initial=0)) + 1, self.words, probability.shape[1]))
+        alpha = np.zeros((self.most + 1, self.words, probability.shape[1]))
         alpha[0] = 1
-        for end in range(1, len(self.bounds) - 1):
-            e = self.edges[self.bounds[end] : self.bounds[end + 1]]
-            np.add.at(alpha[end], e[:, 0], alpha[e[:, 1], e[:, 0]] * probability[e[:, 3]])
+        for end in range(1, self.most + 1):
+            for begin, piece in self._edges(end):
+                alpha[end] += alpha[begin] * probability[piece]
         return alpha
 
     def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
         return np.log(self.forward(probability)[self.length, np.arange(self.words)])
 
     def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations, each word with a weight a language."""
-        alpha = self.forward(probability)
+        """Expected counts of the pieces over all segmentations, in one language; each word has a weight."""
+        one = probability[:, None]
+        alpha = self.forward(one)[:, :, 0]
         beta = np.zeros_like(alpha)
-        beta[self.length, np.arange(self.words)] = 1
-        counts = np.zeros_like(probability)
-        whole = alpha[self.length, np.arange(self.words)]
-        for end in range(len(self.bounds) - 2, 0, -1):
-            e = self.edges[self.bounds[end] : self.bounds[end + 1]]
-            through = probability[e[:, 3]] * beta[end, e[:, 0]]
-            np.add.at(counts, e[:, 3], alpha[e[:, 1], e[:, 0]] * through * (weight / whole)[e[:, 0]])
-            np.add.at(beta, (e[:, 1], e[:, 0]), through)
+        each = np.arange(self.words)
+        beta[self.length, each] = 1
+        scale = weight / alpha[self.length, each]
+        counts = np.zeros(len(probability))
+        for end in range(self.most, 0, -1):
+            for begin, piece in self._edges(end):
+                through = probability[piece] * beta[end]
+                counts += np.bincount(piece, alpha[begin] * through * scale, len(probability))
+                beta[begin] += through
         return counts
 
 
@@ -98,19 +130,19 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 def _expected(languages: list[str], shared, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, probability = vocabulary(path), np.asarray(shared.value)
-        longest, number = max(map(len, pieces)), {x: i for i, x in enumerate(languages)}
+        pieces, probability = Pieces(vocabulary(path)), np.asarray(shared.value)
+        number = {x: i for i, x in enumerate(languages)}
         total = np.zeros_like(probability)
         for batch in batches:
             counts: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[lang].update(words_of(text))
             for lang, seen in counts.items():
-                col, words = number[lang], list(seen)
-                for at in range(0, len(words), 5000):
-                    part = words[at : at + 5000]
-                    weight = np.array([[seen[w]] for w in part], np.float64)
-                    total[:, [col]] += Lattice(part, pieces, longest).expected(probability[:, [col]], weight)
+                col, words = number[lang], sorted(seen, key=len)
+                for at in range(0, len(words), AT_ONCE):
+                    part = words[at : at + AT_ONCE]
+                    weight = np.fromiter((seen[w] for w in part), np.float64, len(part))
+                    total[:, col] += Lattice(part, pieces).expected(np.ascontiguousarray(probability[:, col]), weight)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -136,8 +168,8 @@ def train(labelled: DataFrame, path: str | None = None, per_language: int = SAMP
     rows = materialise(labelled.where("text is not null and lang is not null").join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"], "left_semi").repartition(12), "lang_sample")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     n = len(vocabulary(path))
-    probability = np.full((n + 1, len(languages)), 1 / n)
-    probability[n] = UNKNOWN
+    probability = np.full((n + 2, len(languages)), 1 / n)
+    probability[n], probability[n + 1] = UNKNOWN, 0
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(probability)
         counts = rows.select("lang", "text").mapInArrow(_expected(languages, shared, path), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
@@ -145,7 +177,7 @@ def train(labelled: DataFrame, path: str | None = None, per_language: int = SAMP
         total = np.full((n, len(languages)), SMOOTHING)
         at = got.piece.to_numpy() < n
         np.add.at(total, (got.piece[at].to_numpy(), got.lang[at].to_numpy()), got.n[at].to_numpy())
-        probability = np.vstack([total / total.sum(axis=0), np.full(len(languages), UNKNOWN)])
+        probability = np.vstack([total / total.sum(axis=0), np.full(len(languages), UNKNOWN), np.zeros(len(languages))])
     return Model(languages, probability, path)
 
 
@@ -153,8 +185,7 @@ class Scorer:
     """Log likelihoods of words in every language, remembered up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, vocabulary(model.path)
-        self.longest = max(map(len, self.pieces))
+        self.model, self.pieces = model, Pieces(vocabulary(model.path))
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
@@ -163,11 +194,10 @@ class Scorer:
         split = [words_of(t) for t in texts]
         if len(self.places) > REMEMBERED:
             self.places, self.table = {}, self.table[:0]
-        new = list({w for words in split for w in words if w not in self.places})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            self.places.update(zip(part, range(len(self.table), len(self.table) + len(part)), strict=True))
-            self.table = np.vstack([self.table, Lattice(part, self.pieces, self.longest).log_likelihood(self.model.probability)])
+        new = sorted({w for words in split for w in words if w not in self.places}, key=len)
+        self.places.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        parts = (new[at : at + AT_ONCE] for at in range(0, len(new), AT_ONCE))
+        self.table = np.vstack([self.table, *(Lattice(p, self.pieces).log_likelihood(self.model.probability) for p in parts)])
         place = self.places.__getitem__
         return [self.table[np.fromiter(map(place, words), np.int64, len(words))].sum(axis=0) if words else None for words in split]
 
@@ -184,8 +214,8 @@ def _predict(shared, token: str):
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             named, scores = [], []
-            for at in range(0, len(texts), 500):
-                for x in scorer.batch(texts[at : at + 500]):
+            for at in range(0, len(texts), 2000):
+                for x in scorer.batch(texts[at : at + 2000]):
                     if x is None or not len(x):
                         named.append(UNDETERMINED), scores.append(0.0)
                     else:
