@@ -10,6 +10,7 @@ from marketweave.llm import langid, urls
 from marketweave.llm.attribution import token_counts
 from marketweave.llm.decontaminate import decontaminate
 from marketweave.llm.exact import exact_dedup
+from marketweave.llm.html import extract_text
 from marketweave.llm.minhash import near_duplicates
 from marketweave.llm.packing import pack
 from marketweave.llm.secrets import find_secrets
@@ -40,6 +41,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(langid.learnable(docs)))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def _term_sql(terms: tuple[str, ...]) -> str:
     return "(^|[^\\p{L}\\p{N}])(" + "|".join(terms) + ")([^\\p{L}\\p{N}]|$)"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op7_html_extraction, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
