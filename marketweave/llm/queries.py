@@ -14,6 +14,7 @@ from marketweave.llm.html import extract_text
 from marketweave.llm.minhash import near_duplicates
 from marketweave.llm.packing import pack
 from marketweave.llm.secrets import find_secrets
+from marketweave.llm.substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
@@ -62,7 +67,7 @@ def _term_sql(terms: tuple[str, ...]) -> str:
     return "(^|[^\\p{L}\\p{N}])(" + "|".join(terms) + ")([^\\p{L}\\p{N}]|$)"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op7_html_extraction, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op7_html_extraction, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
@@ -78,6 +83,15 @@ r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, t.b F
 c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op2_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+m AS (SELECT s, min(doc_id) AS o FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN m USING (s) WHERE o < doc_id),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM t) x
+  LEFT JOIN hit ON hit.doc_id = x.doc_id AND hit.k = x.k WHERE hit.k IS NULL GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1) USING (doc_id)""",
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
