@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from marketweave.llm.common import materialise, sized_broadcast
 
 #: Words of an anchor. Equal windows have equal anchors: the least hash of so many consecutive words in the window.
-ANCHOR = 7
+ANCHOR = 6
 #: Recurring windows in one automaton, and routed segments that one task streams through it, about.
-SHARD_WINDOWS, STREAM_ROWS = 20_000, 4_000
+SHARD_WINDOWS, STREAM_ROWS = 50_000, 8_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPANS = "array<struct<start:long,end:long>>"
 
@@ -120,36 +120,87 @@ def _passages(window: int):
     return run
 
 
+#: The code of a word that no passage has.
+UNSEEN = "\x20\x20\x20\x20"
+
+
+class PassageAutomaton:
+    """Finds every occurrence of windows of recurring passages by phrases that lie at regular places in them.
+
+    A window of so many words holds a whole phrase at a multiple of the phrase's length whatever its
+    place in the passage, so each common window is met through a phrase and grown word by word to the whole
+    common stretch. That needs a small part of the nodes that all windows would. Words become four of
+    64 characters, so nodes have few children.
+    """
+
+    def __init__(self, window: int):
+        self.window, self.phrase = window, (window + 1) // 2
+        self.code: dict[bytes, str] = {}
+        self.passages: list[tuple[list[str], int]] = []
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def add(self, words: list[bytes], owner: int) -> None:
+        for w in words:
+            if w not in self.code:
+                n = len(self.code)
+                self.code[w] = "".join(chr(48 + (n >> shift & 63)) for shift in (18, 12, 6, 0))
+        coded = [self.code[w] for w in words]
+        for at in range(0, len(coded) - self.phrase + 1, self.phrase):
+            self.places.setdefault("".join(coded[at : at + self.phrase]), []).append((len(self.passages), at))
+        self.passages.append((coded, owner))
+
+    def find(self, words: list[bytes], doc: int) -> list[tuple[int, int]]:
+        """Stretches of the words, at least a window long, that passages of documents with smaller ids have too."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for phrase, places in self.places.items():
+                self.automaton.add_word(phrase, places)
+            if self.places:
+                self.automaton.make_automaton()
+        if not self.places:
+            return []
+        text = [self.code.get(w, UNSEEN) for w in words]
+        seen: dict[tuple[int, int], int] = {}
+        out = []
+        for end, places in self.automaton.iter("".join(text)):
+            if end & 3 != 3:
+                continue  # it begins inside a word's code
+            first = (end >> 2) - self.phrase + 1
+            for passage, at in places:
+                line = (passage, first - at)
+                if seen.get(line, 0) > first:
+                    continue
+                coded, owner = self.passages[passage]
+                if owner >= doc:
+                    continue
+                low, high, shift = first, first + self.phrase, at - first
+                while low > 0 and low + shift > 0 and text[low - 1] == coded[low - 1 + shift]:
+                    low -= 1
+                top = min(len(text), len(coded) - shift)
+                while high < top and text[high] == coded[high + shift]:
+                    high += 1
+                seen[line] = high
+                if high - low >= self.window:
+                    out.append((low, high))
+        return out
+
+
 def _locate(window: int):
     """Streams (shard, salt, tag, doc_id, start, text) in that order: passages (tag 0), then segments (tag 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, number, automaton, ready = None, {}, None, False
+        at, automaton = None, PassageAutomaton(window)
         for batch in batches:
             ids, spans = [], []
-            for shard, salt, tag, doc, start, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for shard, salt, tag, doc, start, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
                 if at != (shard, salt):
-                    at, number, ready = (shard, salt), {}, False
-                    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                words = text.encode().split()
+                    at, automaton = (shard, salt), PassageAutomaton(window)
                 if tag == 0:
-                    coded = tuple([number.setdefault(w, len(number) + 1) for w in words])
-                    for i in range(len(coded) - window + 1):
-                        automaton.add_word(coded[i : i + window], doc)
-                    continue
-                if not ready:
-                    if len(automaton):
-                        automaton.make_automaton()
-                    ready = True
-                if not len(automaton):
-                    continue
-                hit = np.zeros(len(words) + 1, np.int32)
-                ends = [end for end, owner in automaton.iter(tuple([number.get(w, 0) for w in words])) if owner < doc]
-                if ends:
-                    ends = np.array(ends)
-                    np.add.at(hit, ends - window + 1, 1), np.add.at(hit, ends + 1, -1)
+                    automaton.add(raw.split(), doc)
+                elif found := automaton.find(raw.split(), doc):
                     ids.append(doc)
-                    spans.append([{"start": start + a, "end": start + b} for a, b in _ranges(np.cumsum(hit[:-1]) > 0).tolist()])
+                    spans.append([{"start": start + a, "end": start + b} for a, b in found])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind)], ["doc_id", "spans"])
 
