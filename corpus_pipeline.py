@@ -1,3 +1,62 @@
-"""placeholder"""
-ORACLE_SQL=None
-run=None
+"""A corpus pipeline over documents: language, exact copies, near copies, benchmark passages, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of
+documents; the last returns the packed pieces. doc_id names a document: rows that share one are kept
+or dropped together, and rows without one are never dropped. Empty tables pass through empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketweave.llm import langid
+from marketweave.llm.common import materialise, sized_broadcast
+from marketweave.llm.decontaminate import decontaminate
+from marketweave.llm.exact import exact_dedup
+from marketweave.llm.minhash import near_duplicates
+from marketweave.llm.packing import pack
+
+#: Documents whose predicted language has a lower probability are rejected, as are those without a letter.
+LEAST_SCORE = 0.5
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows of these ids; the ids are written first, so a decision is made once."""
+    dropped = materialise(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
+    return docs.join(sized_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, langid.train(langid.learnable(docs)))
+    return _without(docs, found.where((found.lang_pred == langid.UNDETERMINED) | (found.score < LEAST_SCORE)))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = exact_dedup(docs)
+    return _without(docs, found.where("not kept and doc_id <> keep_id"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs, words=5, percent=80).where("not kept"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return _without(docs, found.where("contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, capacity=4096, end_id=1)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("minhash_near_dedup", near_copies), ("benchmark_decontamination", benchmark_passages), ("best_fit_packing", packing)]
+
+#: Language identification is not SQL, so run() has none; tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -108,9 +108,13 @@ def _passages(window: int):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4), strict=True)
+            at, known = None, np.zeros(0, np.uint64)
             for shard, doc, start, raw, own in rows:
+                if at != doc:  # a document's segments mostly follow each other
+                    at, known = doc, np.sort(own.values.to_numpy().view(np.uint64))
                 words = raw.split()
-                first = np.isin(_runs(_hashes(words), window), own.values.to_numpy().view(np.uint64))
+                runs = _runs(_hashes(words), window)
+                first = known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
                 for a, b in _ranges(first).tolist():
                     for col, v in zip(out, (shard, doc, start + a, b" ".join(words[a : b + window - 1])), strict=True):
                         col.append(v)
