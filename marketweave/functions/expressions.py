@@ -1,0 +1,115 @@
+"""Scalar expressions of the catalogue: Column to Column, built-in functions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def host_of(url: Column) -> Column:
+    """The last two labels of a url's host, lower-cased; without a host the empty string."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    labels = F.split(host, r"\.")
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+
+
+def authority(source: Column, home: Column) -> Column:
+    """2 where a figure comes from the seller's own host, else 0."""
+    return F.when((host_of(source) != "") & (host_of(source) == host_of(home)), 2).otherwise(0)
+
+
+def days_between(earlier: Column, later: Column) -> Column:
+    """Whole days, never below zero."""
+    return F.greatest(F.datediff(later, earlier), F.lit(0))
+
+
+def norm(name: Column) -> Column:
+    """Lower case, a plus spelt out, letters and digits only."""
+    return F.regexp_replace(F.replace(F.lower(name), F.lit("+"), F.lit("plus")), "[^a-z0-9]", "")
+
+
+def slug(name: Column, keep: str = "", joiner: str = "-", plus: str = "plus", ampersand: str = "and") -> Column:
+    """Lower-case words joined by one character; further characters may be kept, plus and ampersand are spelt."""
+    spelt = F.lower(name)
+    if plus:
+        spelt = F.replace(spelt, F.lit("+"), F.lit(plus))
+    if ampersand:
+        spelt = F.replace(spelt, F.lit("&"), F.lit(ampersand))
+    kept = "".join("\\" + c for c in keep)
+    return F.regexp_replace(F.regexp_replace(spelt, f"[^a-z0-9{kept}]+", joiner), f"^{joiner}+|{joiner}+$", "")
+
+
+def fact_date(value: Column) -> Column:
+    """A date from epoch seconds above 1e9 or from the front of an ISO date; else null."""
+    seconds = value.try_cast("double")
+    iso = F.substring(value, 1, 10).try_cast("date")
+    return F.when(seconds > 1e9, F.to_date(F.timestamp_seconds(seconds))).otherwise(iso)
+
+
+def read_size(name: Column) -> Column:
+    """Billions in a name: a mixture's total ("8x7b") first, else the largest "nB"; null without one."""
+    number = r"(\d+(?:\.\d+)?)"
+    mixed = F.regexp_extract(F.lower(name), rf"(?<![a-z0-9]){number}x{number}b(?![a-z0-9])", 1).try_cast("double") * F.regexp_extract(F.lower(name), rf"(?<![a-z0-9]){number}x{number}b(?![a-z0-9])", 2).try_cast("double")
+    plain = F.array_max(F.transform(F.regexp_extract_all(F.lower(name), F.lit(rf"(?<![a-z0-9.]){number}b(?![a-z0-9])"), F.lit(1)), lambda x: x.cast("double")))
+    return F.coalesce(mixed, plain)
+
+
+def memory_gb(billions: Column) -> Column:
+    return F.round(billions * 0.65 + 1, 1)
+
+
+def size_band(billions: Column, edges: tuple[float, ...] = (4, 15, 40, 120)) -> Column:
+    """Index of the first edge that is not below the size, the number of edges beyond the last; null for null."""
+    out = F.lit(len(edges))
+    for i in range(len(edges) - 1, -1, -1):
+        out = F.when(billions <= edges[i], i).otherwise(out)
+    return F.when(billions.isNotNull(), out)
+
+
+#: Licences of each family; names that begin with the non-commercial prefix are research only.
+PERMISSIVE, COPYLEFT = ("apache-2.0", "mit", "bsd-3-clause", "bsd-2-clause", "isc", "unlicense", "cc0-1.0", "cc-by-4.0"), ("gpl-3.0", "agpl-3.0", "lgpl-3.0", "cc-by-sa-4.0")
+
+
+def licence_family(licence: Column) -> Column:
+    low = F.lower(licence)
+    return F.when(licence.isNull(), "unstated").when(low.isin(*PERMISSIVE), "permissive").when(low.isin(*COPYLEFT), "copyleft").when(low.startswith("cc-by-nc"), "research only").otherwise("own terms")
+
+
+#: Words that mark a metric of which less is better.
+LOWER_WORDS = ("error", "latency", "loss", "perplexity", "wer", "cer", "time", "cost", "hallucination")
+
+
+def lower_is_better(metric: Column) -> Column:
+    return F.lower(metric).rlike("|".join(LOWER_WORDS))
+
+
+def lane_family(variant: Column) -> Column:
+    return (
+        F.when(variant.ilike("%batch%"), "batch").when(variant.ilike("%flex%"), "flex").when(variant.ilike("%fast%") | variant.ilike("%turbo%") | variant.ilike("%priority%"), "faster").when(variant.ilike("%us-%") | variant.ilike("%eu-%") | variant.ilike("%region%"), "regional").when(variant == "", "standard").otherwise("separately routed")
+    )
+
+
+def cost_micros(units: Column, micros_per_million: Column) -> Column:
+    """Price of so many units, half up, in whole micros."""
+    return F.floor((units.cast("decimal(38,0)") * micros_per_million.cast("decimal(38,0)") + F.lit(500_000).cast("decimal(38,0)")) / F.lit(1_000_000).cast("decimal(38,0)")).cast("long")
+
+
+def extract_identifiers(text: Column) -> Column:
+    """Distinct sorted tokens that carry a digit or an at sign."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(text, r"[^A-Za-z0-9@._-]+"), lambda x: x.rlike("[0-9@]"))))
+
+
+def parse_price(text: Column) -> Column:
+    """struct(dimension, micros) read from a phrase such as "$3.50 per 1M tokens"; null where a year or nothing is named."""
+    low = F.lower(text)
+    dollars = F.replace(F.regexp_extract(low, r"\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
+    dimension = (
+        F.when(low.rlike(r"(/|per|a)\s*year|annual"), None).when(low.rlike(r"(/|per|a)\s*(mo\b|month)"), "month").when(low.rlike(r"1?\s*(m|million)\s*(input |output )?tokens|mtok"), "m_tokens").when(low.rlike(r"(1k|1,000|thousand)\s*(requests|calls)"), "k_requests").when(low.rlike(r"(/|per|a)\s*(call|request)"), "call")
+    )
+    return F.when(dollars.isNotNull() & dimension.isNotNull(), F.struct(dimension.alias("dimension"), F.round(dollars * 1_000_000).cast("long").alias("micros")))
+
+
+def parse_standing(text: Column) -> Column:
+    """struct(rank, out_of, board) from a phrase such as "ranked #3 of 120 on Some Board"."""
+    rank = F.regexp_extract(text, r"#\s*(\d+)", 1).try_cast("long")
+    return F.struct(rank.alias("rank"), F.regexp_extract(text, r"(?:of|/)\s*(\d+)", 1).try_cast("long").alias("out_of"), F.nullif(F.regexp_extract(text, r"\bon (?:the )?([A-Z][A-Za-z0-9 -]*)", 1), F.lit("")).alias("board"))
