@@ -5,6 +5,7 @@ from __future__ import annotations
 import array
 import gc
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks and words remembered by one worker process at most, and the longest that is; others are encoded again.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of text split at once.
+AT_ONCE = 2_000_000
 
 
 class ChunkEncoder:
@@ -79,14 +82,20 @@ class ChunkEncoder:
 
     def ids_of(self, raws: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text in UTF-8."""
+        out: list[bytes] = []
         gc.disable()  # it would visit every remembered chunk again and again
         try:
-            return [b"".join(x) for x in self._known([raw.split() for raw in raws], self.chunks, _ids, self.words)]
+            for part in _portions(raws):
+                out += [b"".join(x) for x in self._known([raw.split() for raw in part], self.chunks, _ids, self.words)]
         finally:
             gc.enable()
+        return out
 
     def spans_of(self, raws: list[bytes]) -> list[np.ndarray]:
         """First and end code points of each token, shape (tokens, 2), of each text in UTF-8."""
+        return [spans for part in _portions(raws) for spans in self._spans_of(part)]
+
+    def _spans_of(self, raws: list[bytes]) -> list[np.ndarray]:
         out = []
         for raw, parts in zip(raws, self._known([raw.split() for raw in raws], self.spans, _offsets, self.word_spans), strict=True):
             own = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
@@ -101,6 +110,19 @@ class ChunkEncoder:
         return out
 
 
+def _portions(raws: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in turn, about AT_ONCE bytes together, so that few of their chunks are held at a time."""
+    part, size = [], 0
+    for raw in raws:
+        part.append(raw)
+        size += len(raw)
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
     return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
