@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (ids or 64-bit keys) is broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 #: The six characters that `[\x20\x09-\x0D]` matches.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
