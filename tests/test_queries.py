@@ -1,0 +1,113 @@
+"""Every catalogue query against DuckDB, and the rules that shared tables do not show on small rows."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from marketweave.functions import expressions as X
+from marketweave.operators import boards, history, joins, quality, upserts
+from marketweave.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+def plain(df: pd.DataFrame) -> list[str]:
+    def one(v):
+        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+            return None
+        if type(v).__name__ in ("bool", "bool_"):
+            return bool(v)
+        if type(v).__name__.startswith(("int", "uint")):
+            return int(v)
+        return round(float(v), 6) if isinstance(v, float) or type(v).__name__.startswith("float") else str(v)
+
+    return sorted(repr([one(v) for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_duckdb(spark, duck, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert plain(got) == plain(want)
+
+
+def test_current_price_prefers_fresh_own_page(spark):
+    rows = [("o", "2024-01-01", 1, "own", 10), ("o", "2024-02-01", 2, "other", 20), ("p", "2024-01-01", 3, "own", 10), ("p", "2024-03-01", 4, "other", 20)]
+    df = spark.createDataFrame(rows, "k string, d string, seq long, src string, v long").withColumn("d", F.to_date("d"))
+    got = {r.k: (r.v, r.own_page) for r in history.current_price(df, ["k"], F.col("src") == "own", "d", ["seq"]).collect()}
+    assert got == {"o": (10, True), "p": (20, False)}
+
+
+def test_changes_and_first_writer(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, None), ("a", 4, 5), ("b", 1, None)], "k string, s long, v long")
+    assert sorted((r.k, r.s) for r in history.changes(df, ["k"], ["s"], ["v"]).collect()) == [("a", 1), ("a", 3), ("a", 4), ("b", 1)]
+    got = history.first_writer(df.where("k = 'a' and v is not null").unionByName(spark.createDataFrame([("a", 9, 7)], df.schema)), ["k"], ["s"], "v").collect()
+    assert [(r.k, r.v, r.clashes) for r in got] == [("a", 5, 1)]
+
+
+def test_upserts_are_idempotent(spark):
+    cur = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
+    once = upserts.upsert(cur, new, ["id"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, upserts.upsert(once, new, ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    empty = new.limit(0)
+    assert upserts.prune(cur, empty.withColumn("id", F.col("id")), "v", ["id"]).count() == 2
+
+
+def test_lane_suffix_binds_only_to_one_entity(spark):
+    listings = spark.createDataFrame([("f", "m:free"), ("f", "n:free"), ("f", "x")], "source string, alias string")
+    aliases = spark.createDataFrame([("f", "m", "M"), ("f", "n", "N"), ("f", "n:free", "Q")], "source string, alias string, entity_id string")
+    got = {r.alias: (r.entity_id, r.variant) for r in joins.bind_alias(listings, aliases).collect()}
+    assert got == {"m:free": ("M", "free"), "n:free": ("Q", ""), "x": (None, "")}
+
+
+def test_nearest_form_fails_closed(spark):
+    index = spark.createDataFrame([("a", 1, "A"), ("b", 2, "B")], "form string, n_claims long, entity string")
+    names = spark.createDataFrame([("a|b",), ("b|a",), ("z",)], "name string")
+    got = {r.name: r.entity for r in joins.resolve_forms(names, F.split("name", r"\|"), index, "entity").collect()}
+    assert got == {"a|b": "A", "b|a": None, "z": None}
+
+
+def test_same_company(spark):
+    a = spark.createDataFrame([("Acme",), ("Acme Robotics",)], "x string")
+    b = spark.createDataFrame([("ACME Inc",), ("Acme Labs Ltd",), ("Other",)], "y string")
+    assert sorted(map(tuple, joins.same_company(a, b, "x", "y").collect())) == [("Acme", "ACME Inc"), ("Acme", "Acme Labs Ltd")]
+
+
+def test_report_counts_and_samples(spark):
+    df = spark.createDataFrame([(" a",), ("b",)], "name string")
+    rows = quality.report({"padded": (quality.padded(df, "name"), True), "none": (df.where("false"), False)}).collect()
+    assert {r.check: (r.findings, r["sample"]) for r in rows} == {"padded": (1, " a"), "none": (0, "")}
+
+
+def test_expressions(spark):
+    row = spark.range(1).select(
+        X.host_of(F.lit("https://u@A.b.Example.com:8/x")).alias("host"),
+        X.read_size(F.lit("mix-8x7B-it")).alias("mixed"),
+        X.read_size(F.lit("tiny 17B 16B")).alias("plain"),
+        X.parse_price(F.lit("$3.50 per 1M tokens")).alias("price"),
+        X.parse_price(F.lit("$99 per year")).alias("year"),
+        X.parse_standing(F.lit("ranked #3 of 120 on Some Board")).alias("standing"),
+        X.fact_date(F.lit("1700000000")).cast("string").alias("date"),
+        X.norm(F.lit("C++ Model-2")).alias("norm"),
+    ).first()
+    assert row.host == "example.com" and row.mixed == 56 and row.plain == 17 and row.norm == "cplusplusmodel2"
+    assert tuple(row.price) == ("m_tokens", 3_500_000) and row.year is None and tuple(row.standing) == (3, 120, "Some Board") and row.date == "2023-11-14"
+
+
+def test_upper_median(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", None)], "k string, v long")
+    assert [(r.k, r.median) for r in boards.upper_median(df, ["k"], "v").collect()] == [("a", 3)]
