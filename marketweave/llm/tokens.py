@@ -15,7 +15,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks and words remembered by one worker process at most, and the longest that is; others are encoded again.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of text split at once.
 AT_ONCE = 2_000_000
 
