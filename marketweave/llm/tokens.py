@@ -6,6 +6,8 @@ import array
 import gc
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +20,8 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of text split at once.
 AT_ONCE = 2_000_000
+#: Below this every letter is composed and has one lower-case letter.
+PLAIN = "\u0130"
 
 
 class ChunkEncoder:
@@ -26,58 +30,61 @@ class ChunkEncoder:
     The vocabulary's normaliser turns white space into one space and its splitter drops it, and no
     merge crosses it, so a text's ids are those of its chunks in order: encoding chunk by chunk equals
     encoding the whole text, and a chunk that comes again costs a lookup. A chunk of letters that the
-    normaliser only lower-cases, with or without one comma or stop after it, is two words to the splitter, and the
-    first goes to the merges directly.
+    normaliser only lower-cases, with or without ASCII punctuation after it, is at most two words to the splitter: the
+    letters go to the merges directly and the few endings are encoded once a portion.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.spans: dict[bytes, bytes] = {}
         self.word_spans: dict[str, bytes] = {}
-        self.marks = dict(zip(",.", _ids(self.tokenizer, [",", "."]), strict=True))
 
     @staticmethod
     def _word(chunk: str) -> str | None:
-        word = chunk[:-1] if chunk[-1] in ",." else chunk
-        if word.isalpha() and len(word) <= LONGEST:
-            if word.isascii():
+        word = chunk.rstrip(punctuation)
+        if word.isalpha() and len(chunk) <= LONGEST:
+            if word.isascii() or max(word) < PLAIN:
                 return word.lower()
             if word.islower() and unicodedata.is_normalized("NFC", word):
                 return word
         return None
 
-    def _learn(self, new: list[bytes], of, words: dict[str, bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[bytes], of, of_words, words: dict[str, bytes]) -> dict[bytes, bytes]:
         """What of(tokenizer, texts) gives for unseen chunks, by words where it can."""
         texts = [c.decode("utf-8", "surrogatepass") for c in new]
-        parts = [self._word(t) for t in texts]
+        parts = list(map(self._word, texts))
         if len(words) > REMEMBERED:
             words.clear()
-        unseen = list({w for w in parts if w is not None and w not in words})
-        words.update(zip(unseen, of(self.merges, unseen), strict=True))
+        unseen = list(set(parts).difference(words, (None,)))
+        words.update(zip(unseen, of_words(self.merges, unseen), strict=True))
+        marks = list({t[len(w) :] for t, w in zip(texts, parts, strict=True) if w is not None})
+        marks = dict(zip(marks, of(self.tokenizer, marks), strict=True))
         other = iter(of(self.tokenizer, [t for t, w in zip(texts, parts, strict=True) if w is None]))
         got = {}
         for c, t, w in zip(new, texts, parts, strict=True):
             if w is None:
                 got[c] = next(other)
-            elif t[-1] not in ",.":
+            elif len(t) == len(w):
                 got[c] = words[w]
+            elif of is _ids:
+                got[c] = words[w] + marks[t[len(w) :]]
             else:
-                got[c] = words[w] + (self.marks[t[-1]] if of is _ids else array.array("i", (len(w), len(t))).tobytes())
+                got[c] = words[w] + (np.frombuffer(marks[t[len(w) :]], np.int32) + np.int32(len(w))).tobytes()
         return got
 
-    def _known(self, split: list[list[bytes]], known: dict[bytes, bytes], of, words: dict[str, bytes]) -> list[list[bytes]]:
+    def _known(self, split: list[list[bytes]], known: dict[bytes, bytes], of, of_words, words: dict[str, bytes]) -> list[list[bytes]]:
         if len(known) > REMEMBERED:
             known.clear()
-        out = [list(map(known.get, chunks)) for chunks in split]
-        holes = [i for i, found in enumerate(out) if None in found]
-        got = self._learn(list({c for i in holes for c, x in zip(split[i], out[i], strict=True) if x is None}), of, words)
-        for i in holes:
-            out[i] = [got[c] if x is None else x for c, x in zip(split[i], out[i], strict=True)]
-        known.update({c: x for c, x in got.items() if len(c) <= LONGEST})
+        new = list(set(chain.from_iterable(split)).difference(known))
+        known.update(self._learn(new, of, of_words, words))
+        out = [list(map(known.__getitem__, chunks)) for chunks in split]
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
         return out
 
     def ids_of(self, raws: list[bytes]) -> list[bytes]:
@@ -86,7 +93,7 @@ class ChunkEncoder:
         gc.disable()  # it would visit every remembered chunk again and again
         try:
             for part in _portions(raws):
-                out += [b"".join(x) for x in self._known([raw.split() for raw in part], self.chunks, _ids, self.words)]
+                out += [b"".join(x) for x in self._known([raw.split() for raw in part], self.chunks, _ids, _word_ids, self.words)]
         finally:
             gc.enable()
         return out
@@ -97,7 +104,7 @@ class ChunkEncoder:
 
     def _spans_of(self, raws: list[bytes]) -> list[np.ndarray]:
         out = []
-        for raw, parts in zip(raws, self._known([raw.split() for raw in raws], self.spans, _offsets, self.word_spans), strict=True):
+        for raw, parts in zip(raws, self._known([raw.split() for raw in raws], self.spans, _offsets, _offsets, self.word_spans), strict=True):
             own = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
             if parts:
                 data = np.frombuffer(raw, np.uint8)
@@ -127,6 +134,16 @@ def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
     return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _word_ids(merges: Tokenizer, words: list[str]) -> list[bytes]:
+    """_ids of words of letters, many in one encoding with commas between them; no word has a comma's token."""
+    (comma,), out = merges.encode(",").ids, []
+    for e in merges.encode_batch_fast([" , ".join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False):
+        ids = np.array(e.ids, "<u4")
+        ends, data = [*(4 * np.flatnonzero(ids == comma)).tolist(), 4 * len(ids)], ids.tobytes()
+        out += [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+    return out
+
+
 def _offsets(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
     return [array.array("i", [x for o in e.offsets for x in o]).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
