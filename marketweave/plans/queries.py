@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
-from marketweave.operators import boards, facts, history, joins, quality, text, upserts
+from marketweave.operators import boards, facts, history, joins, quality, reports, text, upserts
+from marketweave.sources import rate_cards
+from marketweave.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -410,3 +412,76 @@ def set_operations(spark, sf_dir):
 def coverage_counts(spark, sf_dir):
     rows = read(spark, sf_dir, "region").join(read(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(read(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return rows.groupBy("r_name").agg(F.countDistinct("n_nationkey").alias("nations"), F.countDistinct("s_suppkey").alias("suppliers"), F.countDistinct(F.when(F.col("s_acctbal") < 0, F.col("s_suppkey"))).alias("in_debt"))
+
+
+def by_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current prices with the seller in the part of the entity, which also stands on boards."""
+    return current(spark, sf_dir).select(F.col("entity").alias("brand"), F.col("seller").alias("entity"), "dimension", "micros", "taken_at")
+
+
+@query(
+    _CURRENT
+    + _RANKED
+    + """SELECT p.seller AS entity, lead_rate, out_rate, dearest, sellers, freshest, best_place, coalesce(boards, 0) AS boards FROM
+  (SELECT seller, min(micros) FILTER (dimension = 'O') AS lead_rate, min(micros) FILTER (dimension = 'F') AS out_rate, max(micros) AS dearest, count(DISTINCT entity) AS sellers, max(taken_at)::DATE::VARCHAR AS freshest FROM current WHERE micros > 0 GROUP BY 1) p
+  LEFT JOIN (SELECT entity, min(rank) AS best_place, count(DISTINCT suite) AS boards FROM ranked WHERE out_of > 1 GROUP BY 1) r ON r.entity = p.seller"""
+)
+def find_index(spark, sf_dir):
+    found = reports.find_index(by_seller(spark, sf_dir), ranked(spark, sf_dir), "entity", "brand", "dimension", "micros", "taken_at", "O", "F")
+    return found.withColumn("freshest", F.col("freshest").cast("string"))
+
+
+@query("""SELECT suite, entity, value, lifted, round(greatest(least(coalesce((value - min(value) OVER s) / nullif(max(value) OVER s - min(value) OVER s, 0), 1) * 100, 100), 2), 6) AS bar,
+  row_number() OVER (PARTITION BY suite ORDER BY value DESC NULLS LAST, entity) AS rank, count(*) OVER s AS out_of
+FROM (SELECT suite, entity, CASE WHEN lifted THEN round(value * 100, 3) ELSE value END AS value, lifted FROM
+  (SELECT *, max(value) OVER (PARTITION BY suite) > 1.5 AND min(value) OVER (PARTITION BY suite) <= 1 AND value <= 1 AS lifted FROM
+    (SELECT suite, entity, value FROM metrics QUALIFY row_number() OVER (PARTITION BY suite, entity ORDER BY ts DESC, event_id DESC) = 1)))
+WINDOW s AS (PARTITION BY suite)""")
+def board_report(spark, sf_dir):
+    found = reports.board_report(current_metric(spark, sf_dir).drop("event_id"), "suite", "entity", "value")
+    return found.select("suite", "entity", "value", "lifted", F.round("bar", 6).alias("bar"), "rank", "out_of")
+
+
+@query(
+    _CURRENT
+    + _RANKED
+    + """SELECT o.seller AS entity, out_rate, round(mean_share, 6) AS mean_share, lead_rate FROM (SELECT seller, min(micros) AS out_rate FROM current WHERE dimension = 'F' AND micros > 0 GROUP BY 1 HAVING min(micros) <= 150000) o
+  JOIN (SELECT entity, avg((out_of - rank) / (out_of - 1)) AS mean_share FROM ranked WHERE out_of > 1 GROUP BY 1) r ON r.entity = o.seller
+  LEFT JOIN (SELECT seller, min(micros) AS lead_rate FROM current WHERE dimension = 'O' AND micros > 0 GROUP BY 1) l ON l.seller = o.seller"""
+)
+def dollar_models(spark, sf_dir):
+    found = reports.dollar_models(by_seller(spark, sf_dir), ranked(spark, sf_dir), "entity", "dimension", "micros", "O", "F", 150_000)
+    return found.withColumn("mean_share", F.round("mean_share", 6))
+
+
+@query("SELECT key, max(d)::DATE::VARCHAR AS newest FROM (SELECT seller AS key, max(taken_at) AS d FROM prices GROUP BY 1 UNION ALL SELECT entity, max(taken_at) FROM metrics GROUP BY 1) GROUP BY 1")
+def address_dates(spark, sf_dir):
+    found = reports.newest_dates([(prices(spark, sf_dir), "seller", "taken_at"), (metrics(spark, sf_dir), "entity", "taken_at")])
+    return found.withColumn("newest", F.col("newest").cast("string"))
+
+
+@query("""SELECT alias, '' AS variant, dimension, micros FROM (
+  SELECT l_orderkey || '-' || l_linenumber AS alias, unnest(['mtok_in', 'mtok_out', 'mtok_cache_read']) AS dimension,
+    unnest([CAST(round(l_discount::DOUBLE * 1e6) AS BIGINT), CAST(round(l_tax::DOUBLE * 1e6) AS BIGINT), CAST(round(l_quantity::DOUBLE * 1e6) AS BIGINT)]) AS micros FROM lineitem) WHERE micros > 0""")
+def rate_card(spark, sf_dir):
+    rates = F.struct(F.col("l_discount").cast("double").alias("prompt"), F.col("l_tax").cast("double").alias("completion"), F.col("l_quantity").cast("double").alias("input_cache_read"))
+    model = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), rates.alias("pricing"))
+    bodies = read(spark, sf_dir, "lineitem").select(F.to_json(F.struct(F.array(model).alias("data"))).alias("body"))
+    return rate_cards.unpivot(rate_cards.flatten_rate_card(bodies, rate_cards.CARDS["chutes"])).drop("payload")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, so that the table may be one file
+    return e.select(F.col("event_type").alias("suite"), F.col("user_id").alias("entity"), F.floor(F.col("value") / 50).alias("step"), "ts", "event_id")
+
+
+@query("SELECT suite, entity, step::BIGINT AS step, event_id FROM metrics WINDOW w AS (PARTITION BY suite, entity ORDER BY ts, event_id) QUALIFY lag(step) OVER w IS DISTINCT FROM step OR row_number() OVER w = 1")
+def change_capture_stream(spark, sf_dir):
+    return changes.drain(changes.change_capture(event_stream(spark, sf_dir), ["suite", "entity"], ["ts", "event_id"], ["step"]), "changes").drop("ts")
+
+
+@query("SELECT DISTINCT sha256(suite || ' ' || entity || ' ' || step::BIGINT) AS hash FROM metrics")
+def evidence_stream(spark, sf_dir):
+    quotes = event_stream(spark, sf_dir).select(F.concat_ws(" ", "suite", "entity", "step").alias("quote"), F.to_timestamp("ts").alias("at"))
+    return changes.drain(changes.evidence(quotes, "quote", "at", "400 days"), "evidence").select("hash")
