@@ -18,6 +18,8 @@ from marketweave.llm.packing import pack
 
 #: Documents whose predicted language has a lower probability are rejected, as are those without a letter.
 LEAST_SCORE = 0.5
+#: Chunks that packing remembers in a worker: fewer than by itself, as the workers have run the other stages before.
+REMEMBERED = 150_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, capacity=4096, end_id=1)
+    return pack(docs, capacity=4096, end_id=1, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("minhash_near_dedup", near_copies), ("benchmark_decontamination", benchmark_passages), ("best_fit_packing", packing)]

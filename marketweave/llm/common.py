@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised narrow table if it has at most so many rows; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+_held: dict[object, Any] = {}
+
+
+def worker_state(key: object, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by a worker process until another key is asked for: operators that share workers hold one such thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.llm.common import worker_state
+
 #: Characters of test items in one automaton; a larger benchmark is scanned for in blocks of about this size.
 BLOCK_CHARS = 8_000_000
 
 #: Bytes to normalised bytes, one to one: A-Z lower-cased, ASCII other than 0-9 and a-z to a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
-
 
 def item_windows(rows: list[tuple[str, str | None]], window: int) -> dict[str, tuple[int, list[str]]]:
     """Normalised window, with a space at either end, to (words in it, items that have it)."""
@@ -38,15 +38,17 @@ def item_windows(rows: list[tuple[str, str | None]], window: int) -> dict[str, t
 
 def _automaton(shared, token: str) -> ahocorasick.Automaton | None:
     """One automaton a worker process, kept until another block is asked for."""
-    if token not in _built:
-        _built.clear()
+
+    def build() -> ahocorasick.Automaton | None:
         made = ahocorasick.Automaton()
         for key, value in shared.value.items():
             made.add_word(key, value)
-        if len(made):
-            made.make_automaton()
-        _built[token] = made if len(made) else None
-    return _built[token]
+        if not len(made):
+            return None
+        made.make_automaton()
+        return made
+
+    return worker_state(token, build)
 
 
 def _scan(shared, token: str, last: bool):

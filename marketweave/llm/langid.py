@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from marketweave.llm.common import materialise
+from marketweave.llm.common import materialise, worker_state
 
 #: The vocabulary file that is meant where none is named.
 VOCABULARY = "piece_bpe_32k.model"
@@ -202,15 +202,9 @@ class Scorer:
         return [self.table[np.fromiter(map(place, words), np.int64, len(words))].sum(axis=0) if words else None for words in split]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _predict(shared, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = Scorer(shared.value)
-        scorer = _scorers[token]
+        scorer = worker_state(token, lambda: Scorer(shared.value))
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             named, scores = [], []

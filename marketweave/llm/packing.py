@@ -13,14 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import materialise
-from marketweave.llm.tokens import encoder
+from marketweave.llm.tokens import REMEMBERED, encoder
 
 
-def _pieces(capacity: int, end_id: int, path: str | None):
+def _pieces(capacity: int, end_id: int, path: str | None, remembered: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, remembered)
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             out: list[list] = [[], [], [], [], []]
@@ -161,7 +161,7 @@ class Plan:
         return rows
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its whole text, then end_id; a null or empty text is end_id alone. Only
@@ -169,12 +169,12 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str
     carried along; an empty table gives an empty result; other columns are ignored.
 
     Only the count of pieces of each length, at most capacity rows, reaches the driver, which plans from
-    it; pieces then take the places of their length in the order of (doc_id, piece). Ranks come from
+    it; remembered bounds the chunks in a worker's memory and not the result. Pieces then take the places of their length in the order of (doc_id, piece). Ranks come from
     sorted ranges of all pieces and their counts, so a very common length is spread over many tasks.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialise(texts.mapInArrow(_pieces(capacity, end_id, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = materialise(texts.mapInArrow(_pieces(capacity, end_id, vocabulary, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = Plan(counts, capacity).slots()
 

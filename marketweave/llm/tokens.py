@@ -13,6 +13,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
+from marketweave.llm.common import worker_state
+
 #: The vocabulary file that is meant where none is named.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -34,7 +36,8 @@ class ChunkEncoder:
     letters go to the merges directly and the few endings are encoded once a portion.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -57,7 +60,7 @@ class ChunkEncoder:
         """What of(tokenizer, texts) gives for unseen chunks, by words where it can."""
         texts = [c.decode("utf-8", "surrogatepass") for c in new]
         parts = list(map(self._word, texts))
-        if len(words) > REMEMBERED:
+        if len(words) > self.remembered:
             words.clear()
         unseen = list(set(parts).difference(words, (None,)))
         words.update(zip(unseen, of_words(self.merges, unseen), strict=True))
@@ -77,7 +80,7 @@ class ChunkEncoder:
         return got
 
     def _known(self, split: list[list[bytes]], known: dict[bytes, bytes], of, of_words, words: dict[str, bytes]) -> list[list[bytes]]:
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         new = list(set(chain.from_iterable(split)).difference(known))
         known.update(self._learn(new, of, of_words, words))
@@ -148,12 +151,7 @@ def _offsets(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
     return [array.array("i", [x for o in e.offsets for x in o]).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str | None = None) -> ChunkEncoder:
-    """One encoder a worker process and vocabulary file."""
+def encoder(path: str | None = None, remembered: int = REMEMBERED) -> ChunkEncoder:
+    """One encoder a worker process, kept until another state is asked for."""
     path = path or public_tokenizers.path(VOCABULARY)
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_state((path, remembered), lambda: ChunkEncoder(path, remembered))
