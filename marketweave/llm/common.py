@@ -34,6 +34,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, col: str) -> tuple[DataFrame, str]:
+    """As materialise, but bucketed by a column: joins on it leave these rows where they are. Also the table's name, for forget()."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), col).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table), table
+
+
+def forget(spark: SparkSession, table: str) -> None:
+    """Take a table of materialise_by out of the catalogue; its files stay in the shared folder with the others."""
+    spark.sql(f"DROP TABLE {table}")
+
+
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised narrow table if it has at most so many rows; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df

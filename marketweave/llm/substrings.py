@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import materialise, sized_broadcast
+from marketweave.llm.common import forget, materialise, materialise_by, sized_broadcast
 
 #: Words of an anchor. Equal windows have equal anchors: the least hash of so many consecutive words in the window.
 ANCHOR = 6
@@ -228,12 +228,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "n_removed", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, whole copies, spans): what repeats words of documents with smaller ids.
+def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]:
+    """(documents, whole copies, spans, candidates, table): what repeats words of documents with smaller ids.
 
     documents has doc_id, n_words and the SHA-256 digest of the words joined by spaces; whole copies has
     the digests that repeat, with the first id; spans has, by document that is no whole copy, the ranges
-    of words to remove. Windows are looked up by anchors first, which are a quarter as many; only
+    of words to remove; candidates are the texts that may have spans, bucketed by document so that the join with
+    spans moves no text again, and table is their name in the catalogue, for forget(). Windows are looked up by anchors first, which are a quarter as many; only
     documents that share an anchor are read again, only their windows around shared anchors are counted, and only
     their segments are streamed, through the automata of the documents in which their windows come
     first. A much-visited automaton is streamed by several tasks.
@@ -247,8 +248,12 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     anchors = single.select("doc_id", F.explode("anchors").alias("a"))
     shared = materialise(anchors.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a"), "shared")
     sharing = materialise(anchors.join(sized_broadcast(shared), "a").groupBy("doc_id").agg(F.collect_set("a").alias("shared")), "sharing")
-    segments = texts.join(sized_broadcast(sharing, 20_000), "doc_id").mapInArrow(_segments(window), "doc_id long, start long, text string")
-    segments = materialise(segments, "segments")
+    if sharing.count() <= 20_000:
+        candidates = texts.join(F.broadcast(sharing), "doc_id").repartition("doc_id")
+    else:
+        candidates = texts.join(sharing.hint("merge"), "doc_id")
+    candidates, table = materialise_by(candidates, "candidates", "doc_id")
+    segments, stretches = materialise_by(candidates.select("doc_id", "text", "shared").mapInArrow(_segments(window), "doc_id long, start long, text string"), "segments", "doc_id")
 
     windows = segments.mapInArrow(_windows(window), "w long, doc_id long")
     repeated = materialise(windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner"), "repeated")
@@ -268,7 +273,8 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     stream = patterns.union(streams).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "tag")
     found = stream.mapInArrow(_locate(window), f"doc_id long, spans {_SPANS}")
     spans = materialise(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    return base.select("doc_id", "n_words", "digest"), copies, spans
+    forget(docs.sparkSession, stretches)
+    return base.select("doc_id", "n_words", "digest"), copies, spans, candidates, table
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,10 +286,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     row; a row without id is neither compared nor changed. An empty table gives an empty result; other
     columns are ignored. Anchors and windows are compared by 64-bit hashes, then passages word by word.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base, copies, spans = repeated_spans(docs, window, id_col, text_col)
-    changed = texts.join(sized_broadcast(spans, 20_000), "doc_id").mapInArrow(_kept, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept string")
+    base, copies, spans, candidates, table = repeated_spans(docs, window, id_col, text_col)
+    changed = candidates.select("doc_id", "text").join(sized_broadcast(spans, 20_000), "doc_id").mapInArrow(_kept, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept string")
     changed = materialise(changed.drop("kept").dropDuplicates(["doc_id", "digest"]), "changed")
+    forget(docs.sparkSession, table)
     out = base.join(sized_broadcast(copies), "digest", "left").join(sized_broadcast(changed), ["doc_id", "digest"], "left")
     copy = F.col("first") < F.col("doc_id")
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
