@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +59,18 @@ def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 _held: dict[object, Any] = {}
 
 
+def release_state() -> None:
+    """Let go of what worker_state keeps in this worker and give freed memory back to the system, so that an operator does not run beside the leavings of the one before."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        trim(0)
+
+
 def worker_state(key: object, make: Callable[[], Any]) -> Any:
     """What make() gives, kept by a worker process until another key is asked for: operators that share workers hold one such thing at a time."""
     if key not in _held:
-        _held.clear()
+        release_state()
         _held[key] = make()
     return _held[key]

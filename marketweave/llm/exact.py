@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import WHITE_SPACE, materialise, sized_broadcast
+from marketweave.llm.common import WHITE_SPACE, materialise, release_state, sized_broadcast
 
 #: Expected fingerprints in one block of the merged filter; the number of blocks grows with the rows.
 BLOCK_ROWS = 1 << 16
@@ -60,6 +60,7 @@ def normal_bytes(text: str | None) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_state()
     for b in batches:
         raw = [(x or b"").translate(None, WHITE_SPACE) for x in b.column(1).cast(pa.binary()).to_pylist()]
         prints = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
@@ -69,6 +70,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_state()
     for b in batches:
         raw = [(x or b"").translate(None, WHITE_SPACE) for x in b.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "norm"])

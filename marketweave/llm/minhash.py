@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import materialise, sized_broadcast
+from marketweave.llm.common import materialise, release_state, sized_broadcast
 from marketweave.llm.components import components
 
 #: Bands and rows a band. A pair of similarity 0.8 shares no band with probability (1 - 0.8^6)^48, under 1e-6.
@@ -52,6 +52,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
         a, b = universal_hashes(BANDS * ROWS)
         band = np.arange(1, BANDS + 1, dtype=np.uint64)
         for batch in batches:
@@ -78,6 +79,7 @@ def _sketches(words: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
         for batch in batches:
             sets = [shingle_set(raw, words).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
@@ -98,6 +100,7 @@ def _likely(percent: int):
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
