@@ -111,6 +111,7 @@ def test_remove_repeats(docs, empty):
         kept = " ".join(w for k, w in enumerate(words) if k not in gone)
         assert got[i] == (len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
     assert substrings.remove_repeats(empty).count() == 0
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith(("candidates_", "segments_"))]
 
 
 def test_pack(docs, empty):
