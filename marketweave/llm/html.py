@@ -26,13 +26,17 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+#: Hidden elements whose content is a tree of its own: while they are open nothing in it closes what is outside.
+TIGHT = frozenset("noscript template svg".split())
+#: A form that holds one of these goes round a page.
+ROUND = frozenset("article main nav header footer aside h1".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = frozenset("br td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -40,37 +44,60 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether the element is named as something beside the article: by its tag, its role, or a whole class or id of the list."""
     if name in ASIDE:
         return not (name == "header" and in_article)
     if attributes and name not in ("html", "body", "article", "main"):
         for kind, *values in _NAMES.findall(attributes):
             words = "".join(values).lower()
-            if kind.lower() == "role":
-                if words in ASIDE_ROLES:
-                    return True
-            elif not ASIDE_NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
+            if words in ASIDE_ROLES if kind.lower() == "role" else not ASIDE_NAMES.isdisjoint(words.split()):
                 return True
     return False
 
 
+class _Element:
+    """An open element: whether it is named as no article, hides its text, is never closed, or goes round the page."""
+
+    __slots__ = ("name", "aside", "hides", "endless", "wraps")
+
+    def __init__(self, name: str, aside: bool = False, hides: bool = False, endless: bool = False) -> None:
+        self.name, self.aside, self.hides, self.endless, self.wraps = name, aside, hides, endless, False
+
+
 def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
-    """Blocks of text in page order: (path, text, aside, in an article, share of it inside links)."""
-    out: list[tuple[str, str, bool, bool, float]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are not the article
+    """Blocks of text in page order: (path, text, aside, in an article, share of it inside links).
+
+    A hidden element ends with its end tag or an ancestor's; one that is never closed ends at the next block,
+    and all but TIGHT ones at an article. A form round the page is no aside, and where every
+    article lies in an aside, what it holds is not aside on that account.
+    """
+    page = page or ""
+    found: list[tuple[str, str, list[_Element], float]] = []
+    stack: list[_Element] = []
     text: list[str] = []
-    links = linked = hidden = 0
+    links = linked = hidden = 0  # hidden: open elements that hide their text
+    last: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                names = [n for n, _ in stack]
-                out.append(("/".join(names), joined, any(a for _, a in stack), "article" in names or "main" in names, min(1.0, linked / len(joined))))
+                found.append(("/".join(e.name for e in stack if not e.hides), joined, list(stack), min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    def cut(at: int) -> None:
+        nonlocal hidden
+        hidden -= sum(e.hides for e in stack[at:])
+        del stack[at:]
+
+    def never_closed(name: str, at: int) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(f"</{re.escape(name)}(?![^\\s/>])", page, re.I)), default=-1)
+        return last[name] < at
+
+    for m in _TOKEN.finditer(page):
         token = m.group()
         name = m.group(3)
         if name is None:
@@ -80,8 +107,26 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
                     linked += len(token.strip()) if links else 0
             continue
         name, closing = name.lower(), bool(m.group(2))
+        if hidden and (name in BLOCK or name == "body"):
+            if name == "body":
+                at = next(i for i, e in enumerate(stack) if e.hides)
+            elif name in ("article", "main") and not closing:
+                at = next((i for i, e in enumerate(stack) if e.hides and (e.endless or e.name not in TIGHT)), len(stack))
+                at = at if not any(e.hides and e.name in TIGHT and not e.endless for e in stack[:at]) else len(stack)
+            else:
+                at = next((i for i, e in enumerate(stack) if e.endless), len(stack))
+            cut(at)
         if name in HIDDEN:
-            hidden = max(0, hidden - 1) if closing else hidden + (not m.group(4).endswith("/"))
+            if closing or name in ("option", "select", "button"):  # none of these three holds another of its kind
+                for at in range(len(stack) - 1, -1, -1):
+                    if stack[at].name == name:
+                        cut(at)
+                        break
+                    if not stack[at].hides and not hidden:
+                        break
+            if not closing and not m.group(4).endswith("/"):
+                stack.append(_Element(name, hides=True, endless=name != "option" and never_closed(name, m.end())))
+                hidden += 1
         elif name == "a":
             links = max(0, links - 1) if closing else links + 1
         elif name in SPACE:
@@ -90,17 +135,29 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
             flush()
             if closing:
                 for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == name:
-                        del stack[at:]
+                    if stack[at].name == name:
+                        cut(at)
                         links = 0
                         break
+                    if stack[at].name in TIGHT and not stack[at].endless:
+                        break  # what it holds closes nothing outside
             elif name not in VOID and not m.group(4).endswith("/"):
-                if stack and stack[-1][0] == "p" or stack and name in ("li", "tr", "dt", "dd") and stack[-1][0] == name:
+                if stack and stack[-1].name == "p" or stack and name in ("li", "tr", "dt", "dd") and stack[-1].name == name:
                     stack.pop()  # these end where the next begins
-                stack.append((name, _is_aside(name, m.group(4), any(n in ("article", "main") for n, _ in stack))))
-        if name == "body":
-            hidden = 0
+                if name in ROUND and not hidden:
+                    for e in stack:
+                        e.wraps = e.wraps or e.name == "form"
+                stack.append(_Element(name, _is_aside(name, m.group(4), any(e.name in ("article", "main") for e in stack))))
     flush()
+
+    out, within = [], []
+    for path, joined, above, share in found:
+        article = next((i for i, e in enumerate(above) if e.name in ("article", "main")), None)
+        asides = [i for i, e in enumerate(above) if e.aside and not e.wraps]
+        out.append((path, joined, bool(asides), article is not None, share))
+        within.append(article is not None and all(i < article for i in asides))
+    if not any(b[3] and not b[2] for b in out):
+        out = [(p, t, a and not w, r, s) for (p, t, a, r, s), w in zip(out, within, strict=True)]
     return out
 
 
@@ -150,12 +207,27 @@ def templates(pages: DataFrame) -> DataFrame:
     return valid.select("host", F.explode("texts").alias("token")).groupBy("host").agg(F.collect_set("token").alias("constant"))
 
 
+def _without_menus(blocks: list[tuple[str, str, bool, bool, float]]) -> list[tuple[str, str, bool, bool, float]]:
+    """The blocks without runs of list items that are links and nothing else, outside an article."""
+    out, run = [], []
+    for b in [*blocks, ("", "", False, True, 0.0)]:
+        if not b[3] and b[0].rpartition("/")[2] == "li":
+            if run and run[-1][0] != b[0]:
+                out += run if any(x[4] < 1 for x in run) else []
+                run = []
+            run.append(b)
+        else:
+            out += run if any(x[4] < 1 for x in run) else []
+            out, run = [*out, b], []
+    return out[:-1]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for source, constant in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             found = blocks_of(source)
-            slots = [b for b in found if not b[2] and (b[3] or b[4] < 0.5)]
+            slots = _without_menus([b for b in found if not b[2]])
             if any(b[3] for b in slots):
                 slots = [b for b in slots if b[3]]
             constant = frozenset(constant or ())
