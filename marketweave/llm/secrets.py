@@ -64,8 +64,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     parts lie within scope: an identifier near a secret, a secret near an identifier, an endpoint near
     both. A null text counts as empty; a document without finds has zero counts, the SHA-256 of the
     empty string and empty spans. Repeated rows get equal results, ties in start go by kind. An empty
-    table gives an empty result; other columns are ignored. Weak parts meet in an equi-join on blocks
-    of the scope's length, so no document's parts are all paired.
+    table gives an empty result; other columns are ignored. Weak parts meet in an equi-join on the blocks
+    of the scope's length that each reaches, so no document's parts are all paired.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(
@@ -87,15 +87,14 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     parts = found.where("h is not null").dropDuplicates(["h"]).select("h", F.explode(F.concat("base", "weak")).alias("p")).select("h", "p.*")
     role = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
     parts = parts.withColumn("role", role[F.col("kind")])
-    near = parts.select(
-        "h",
-        F.col("role").alias("by"),
-        F.col("start").alias("s"),
-        F.col("end").alias("e"),
-        F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("block"),
-    )
-    asks = parts.where(F.col("kind").isin(*WEAK)).withColumn("block", F.floor(F.col("start") / scope))
-    met = asks.join(near, ["h", "block"]).where("role <> by and start <= e + %d and s <= end + %d" % (scope, scope))
+    # Both sides lie in all blocks they reach, so any pair within scope shares one; it meets in the first of these only.
+    blocks = lambda low, high: F.sequence(F.floor(low / scope), F.floor(high / scope))
+    near = parts.select("h", F.col("role").alias("by"), F.col("start").alias("s"), F.col("end").alias("e"), blocks(F.col("start") - scope, F.col("end") + scope).alias("n"))
+    near = near.select("*", F.col("n")[0].alias("near_from"), F.explode("n").alias("block")).drop("n")
+    asks = parts.where(F.col("kind").isin(*WEAK)).withColumn("a", blocks(F.col("start"), F.col("end")))
+    asks = asks.select("*", F.col("a")[0].alias("ask_from"), F.explode("a").alias("block")).drop("a")
+    met = asks.join(near, ["h", "block"]).where("block = greatest(ask_from, near_from)")
+    met = met.where("role <> by and start <= e + %d and s <= end + %d" % (scope, scope))
     by = F.collect_set("by")
     linked = met.groupBy("h", "start", "kind_no", "end", "kind", "role").agg(by.alias("by"))
     linked = linked.where(F.when(F.col("role") == "endpoint", F.size("by") == 2).otherwise(F.exists("by", lambda x: x != "endpoint")))
