@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Queries of a vector search that are broadcast at a time.
+QUERY_BLOCK = 2_000
+
 
 def sentences(text: Column) -> Column:
     """Split behind a stop and white space; the stop stays."""
     return F.split(text, r"(?<=\.)\s+")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; unequal lengths and null vectors give 0."""
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine of two vectors, whose norms may be known; unequal lengths and null vectors give 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(F.size(a) == F.size(b), F.coalesce(dot / F.nullif(size(a) * size(b), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    sizes = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when(F.size(a) == F.size(b), F.coalesce(dot / F.nullif(sizes, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, group: str | None, k: int, threshold: float = -1.0) -> DataFrame:
+    """The k nearest of all vectors for every query, ties by key; a group keeps to the vectors of the query's own.
+
+    Queries are broadcast in blocks of about QUERY_BLOCK, each against every vector where it lies; the
+    limit on the place keeps k rows a query in each partition before they are merged.
+    """
+    by = [group] if group else []
+    q = queries.select(F.col(key).alias("query"), *by, F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
+    blocks = -(-q.count() // QUERY_BLOCK) or 1
 
+    def scored(block: int) -> DataFrame:
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block))
+        rows = vectors.select(key, *by, vector, norm(F.col(vector)).alias("_n"))
+        rows = (rows.join(part, group) if group else rows.crossJoin(part)).where(F.col("query") != F.col(key))
+        rows = rows.select("query", key, F.round(cosine(F.col("_q"), F.col(vector), F.col("_qn"), F.col("_n")), 6).alias("score"))
+        return rows.where(F.col("score") >= threshold) if threshold > -1 else rows  # a filter would score each pair twice
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, group: str, k: int, threshold: float = -1.0) -> DataFrame:
-    """The k nearest vectors of the same group for every query, ties by key; the group blocks the search."""
-    q = queries.select(F.col(key).alias("query"), group, F.col(vector).alias("_q"))
-    scored = q.join(vectors.select(key, group, vector), group).where(F.col("query") != F.col(key))
-    scored = scored.select("query", key, F.round(cosine(F.col("_q"), F.col(vector)), 6).alias("score")).where(F.col("score") >= threshold)
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("place") <= k)
+    every = reduce(DataFrame.unionAll, map(scored, range(blocks)))
+    return every.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("place") <= k)

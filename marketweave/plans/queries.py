@@ -380,6 +380,12 @@ def cosine_topk(spark, sf_dir):
     return text.cosine_topk(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", "label", 5)
 
 
+@query(", q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0) SELECT query, vec_id, score, place FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS place FROM q JOIN embeddings e ON q.vec_id <> e.vec_id) WHERE place <= 5")
+def cosine_topk_all(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings")
+    return text.cosine_topk(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", None, 5)
+
+
 @query("SELECT page_id, array_to_string(list_reverse(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'))[1:2]), '.') AS host FROM pages WHERE url IS NOT NULL")
 def host_of(spark, sf_dir):
     return read(spark, sf_dir, "pages").where("url is not null").select("page_id", X.host_of(F.col("url")).alias("host"))
