@@ -1,4 +1,4 @@
-"""Main text of pages: templates deduced from equivalence classes of tokens, and the slots that hold an article."""
+"""Main text of pages: article elements, lists of names, and text that equivalence classes of tokens show to be constant on a host."""
 
 from __future__ import annotations
 
@@ -194,8 +194,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, constant): of each host, the tokens of text in its template, from pages(page_id, url, html).
 
     Tokens with one occurrence vector over all pages of the host form an equivalence class; a class is
-    valid if it is large and on nearly all pages, and valid classes nest by their tokens' paths. A
-    vector is known by the xor of its entries' hashes, so classes come from one aggregation over all pages.
+    valid if it is large and on nearly all pages. Classes are neither ordered nor nested, so they
+    tell constant text but no slots. A vector is known by the xor of its entries' hashes, so classes come from one aggregation over all pages.
     A host with few pages has no template.
     """
     counts = pages.mapInArrow(_occurrences, "host string, token long, is_text boolean, pages long, vector long")
@@ -222,17 +222,32 @@ def _without_menus(blocks: list[tuple[str, str, bool, bool, float]]) -> list[tup
     return out[:-1]
 
 
+def _article(blocks: list[tuple[str, str, bool, bool, float]], constant: frozenset[int]) -> list[str]:
+    """The texts of the article: its elements' blocks whole, or on a page without any what is not constant there.
+
+    Without an article or main, constant blocks that stand between two others of their parent are the article's too.
+    """
+    slots = [b for b in blocks if not b[2]]
+    if any(b[3] for b in slots):
+        return [b[1] for b in slots if b[3]]
+    slots = _without_menus(slots)
+    own = [_print(b[0], b[1]) not in constant for b in slots]
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for i, b in enumerate(slots):
+        if own[i]:
+            first.setdefault(b[0].rpartition("/")[0], i)
+            last[b[0].rpartition("/")[0]] = i
+    kept = [b[1] for i, b in enumerate(slots) if own[i] or first.get(up := b[0].rpartition("/")[0], i) < i < last.get(up, i)]
+    return kept or [b[1] for b in slots]
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for source, constant in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             found = blocks_of(source)
-            slots = _without_menus([b for b in found if not b[2]])
-            if any(b[3] for b in slots):
-                slots = [b for b in slots if b[3]]
-            constant = frozenset(constant or ())
-            own = [b[1] for b in slots if _print(b[0], b[1]) not in constant]
-            texts.append("\n\n".join(own or [b[1] for b in slots]))
+            texts.append("\n\n".join(_article(found, frozenset(constant or ()))))
         texts = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, pc.utf8_length(texts).cast(pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -240,9 +255,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    The text is the article's blocks in page order between blank lines: what the slots of the host's template hold
-    without menus, headers, footers, sidebars, notices, adverts, forms, hidden elements and reader
-    comments, and without text that is the same on nearly all pages of the host. A page that would be left
+    The text is the article's blocks in page order between blank lines: all that article or main hold, or else
+    the page, without menus, headers, footers, sidebars, notices, adverts, forms, hidden elements and reader
+    comments, which are known by fixed names. On pages without article or main, text that is the same on
+    nearly all pages of the host is left out unless it stands between other text of its parent. A page that would be left
     without any block keeps the constant ones. Null or empty html gives an empty text; a null url is the
     host "". Unclosed and cut-off markup is read as far as it goes. Repeated rows are extracted each; an
     empty table gives an empty result; other columns are ignored.

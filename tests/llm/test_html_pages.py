@@ -36,3 +36,13 @@ def texts(spark):
 @pytest.mark.parametrize("at", range(len(KEPT)))
 def test_whole_text_is_kept(texts, at):
     assert texts[at] == "whole text", KEPT[at]
+
+
+def test_constant_text_of_an_article_is_kept(spark):
+    article = "<body><p>top</p><article><h1>Head</h1><p>Shared line</p><p>own {}</p><p>Shared end</p></article><p>bottom</p>"
+    bare = "<body><div>top</div><div><p>own {0}</p><p>Shared line</p><p>more {0}</p></div><div>bottom</div>"
+    rows = [(i, "http://a.org/", article.format(i)) for i in range(6)] + [(10 + i, "http://b.org/", bare.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Head\n\nShared line\n\nown {i}\n\nShared end"
+        assert got[10 + i] == f"own {i}\n\nShared line\n\nmore {i}"
