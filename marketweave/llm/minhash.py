@@ -18,6 +18,8 @@ from marketweave.llm.components import components
 BANDS, ROWS = 48, 6
 #: Kept low bytes of the minima agree by chance in one place of 256; a pair of similarity 0.8 falls this far below it once in 1e9.
 SLACK = 0.16
+#: Pairs of one leader, shingles of one block of strays, and rows that one task holds against a block, about.
+PAIRS_A_TASK, BLOCK_SHINGLES, ROWS_A_TASK = 10_000, 2_000_000, 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,8 +94,8 @@ def _likely(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low_a, low_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((low_a == low_b).sum(axis=1) >= floor))
+            low_a, low_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+            yield batch.select([0, 1, 2]).filter(pa.array((low_a == low_b).sum(axis=1) >= floor))
 
     return run
 
@@ -103,7 +105,7 @@ def _confirmed(percent: int):
         release_state()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
@@ -114,6 +116,93 @@ def _confirmed(percent: int):
     return run
 
 
+class Strays:
+    """An inverted index of a block of shingle sets that gives the overlap of any set with each of them.
+
+    Shingles that most sets of the block have are its core. A set is held as what it lacks of the core and what
+    it has beyond it, and the index is over these: near copies of one text differ by few shingles, so lists
+    stay short where the sets themselves are nearly equal.
+    """
+
+    def __init__(self, ids: list[int], of: list[int], sets: list[np.ndarray]):
+        self.ids, self.of = np.array(ids, np.int64), np.array(of, np.int64)
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        shingles, counts = np.unique(np.concatenate(sets), return_counts=True)
+        self.core = shingles[2 * counts > len(sets)]
+        lacks, beyond = zip(*map(self._split, sets), strict=True)
+        self.in_core = len(self.core) - np.fromiter(map(len, lacks), np.int64, len(sets))
+        self.lists = [self._index(lacks), self._index(beyond)]
+
+    def _split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.setdiff1d(self.core, s, assume_unique=True), np.setdiff1d(s, self.core, assume_unique=True)
+
+    @staticmethod
+    def _index(parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(parts)
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(parts)), list(map(len, parts)))[order]
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections: the core less what either lacks, plus what both lack and what both have beyond it."""
+        parts = self._split(s)
+        out = self.in_core - len(parts[0])
+        for part, (values, places) in zip(parts, self.lists, strict=True):
+            low, high = np.searchsorted(values, part), np.searchsorted(values, part, "right")
+            n = high - low
+            if total := int(n.sum()):
+                at = np.arange(total) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
+                out = out + np.bincount(places[at], minlength=len(out))
+        return out
+
+
+def _links(percent: int):
+    """Streams (main, block, part, tag, id, component, shingles) in that order: the strays of a block (tag 0), then all rows of its crowd."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_state()
+        at, ids, of, sets, index = None, [], [], [], None
+        for batch in batches:
+            u: list[int] = []
+            v: list[int] = []
+            for main, block, part, tag, own, component, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if at != (main, block, part):
+                    at, ids, of, sets, index = (main, block, part), [], [], [], None
+                if tag == 0:
+                    ids.append(own), of.append(component), sets.append(s)
+                    continue
+                index = index or Strays(ids, of, sets)
+                common = index.overlaps(s)
+                found = (100 * common >= percent * (index.sizes + len(s) - common)) & (index.of != component)
+                if found.any():  # one link to each component tells all
+                    _, first = np.unique(index.of[found], return_index=True)
+                    u += index.ids[found][first].tolist()
+                    v += [own] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _crowds(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of open buckets, from still(key, id, n, component, main).
+
+    Two members of a bucket both belong to the crowd of its main component, as members of it or strays.
+    The strays of a crowd are a query set: blocks of them, bounded by their shingles, become an inverted index
+    through which the crowd streams, itself dealt to several tasks. So a crowd's sets move once a block, and only links leave.
+    """
+    crowd = materialise(still.select("main", "id", "n", "component").distinct(), "crowd")
+    deal = crowd.groupBy("main").agg(F.expr(f"1 + sum(if(component <> main, n, 0)) div {BLOCK_SHINGLES}").alias("blocks"), F.expr(f"1 + count(*) div {ROWS_A_TASK}").alias("parts"))
+    deal = sized_broadcast(materialise(deal, "deal"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    share = lambda c: F.pmod(F.xxhash64("id"), c)
+    held = crowd.join(sets.dropDuplicates(["id"]), "id").join(deal, "main")
+    blocks = held.where("component <> main").withColumn("block", share("blocks")).withColumn("part", upto("parts")).withColumn("tag", F.lit(0))
+    rows = held.withColumn("part", share("parts")).withColumn("block", upto("blocks")).withColumn("tag", F.lit(1))
+    cols = ["main", "block", "part", "tag", "id", "component", "shingles"]
+    stream = blocks.select(cols).union(rows.select(cols)).repartition("main", "block", "part").sortWithinPartitions("main", "block", "part", "tag")
+    return stream.mapInArrow(_links(percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -123,56 +212,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     with one id are one node with all their links. A row without id is linked with nothing, has a null
     component and is kept. An empty table gives an empty result; other columns are ignored.
 
-    Equal sets are folded to their least id first. Then the members of a bucket are compared with its
-    leader; buckets whose members do not all fall in one component are compared further, and at
-    last every pair of their members in different components, so no bucket is capped. Pairs must pass
-    the signatures and then the whole sets. Sets are 64-bit hashes of shingles.
+    Equal sets are folded to their least id first. Then members are compared with one leader of their buckets,
+    and where a bucket's members do not all fall in one component, with the bucket's own. These pairs must pass
+    the signatures and then the whole sets. What is still open after that is searched crowd by crowd with the whole sets (_crowds),
+    so no bucket is capped and no link between its members is lost. Sets are 64-bit hashes of shingles.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialise(texts.mapInArrow(_sketches(words), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary"), "sketches")
     alike = base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     alike = materialise(alike, "alike")
     folded = base.where("digest is not null and doc_id is not null").join(sized_broadcast(alike), "digest", "left")
-    nodes = folded.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), "keys", "low")
+    nodes = folded.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "low")
 
-    rows = nodes.select("id", F.explode("keys").alias("key"))
-    shared = materialise(rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "shared")
+    rows = nodes.select("id", "n", F.explode("keys").alias("key"))
+    of_bucket = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).where("l.id < last")
+    shared = materialise(of_bucket.select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n")), "shared")
     live = materialise(rows.join(sized_broadcast(shared), "key"), "live")
     ids = materialise(live.select("id").distinct(), "candidates")
     low = materialise(nodes.select("id", "low").join(sized_broadcast(ids), "id", "left_semi").dropDuplicates(["id"]), "signatures")
     sets = texts.join(sized_broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
     sets = materialise(sets.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+    #: Sets of such different sizes are not alike whatever they hold.
+    comparable = F.expr(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs(u, v), those that pass signatures and sets."""
+        """Of pairs(u, v), those that pass signatures and sets. A leader met by many rows is dealt to several tasks."""
+        pairs = materialise(pairs, "pairs")
+        hot = pairs.groupBy("u").agg(F.expr(f"1 + count(*) div {PAIRS_A_TASK}").alias("salts")).where("salts > 1")
+        hot = materialise(hot.withColumnRenamed("u", "id"), "hot")
+        salted = pairs.join(sized_broadcast(hot.withColumnRenamed("id", "u")), "u", "left")
+        salted = salted.select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), "salts"), F.lit(0)).cast("long").alias("salt"))
 
         def both(col: str, of: DataFrame, p: DataFrame) -> DataFrame:
-            p = p.join(of.select(F.col("id").alias("u"), F.col(col).alias("x")), "u")
-            return p.join(of.select(F.col("id").alias("v"), F.col(col).alias("y")), "v").select("u", "v", "x", "y")
+            spread = of.join(sized_broadcast(hot), "id", "left").select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col(col).alias("x"))
+            p = p.join(spread, ["u", "salt"])
+            return p.join(of.select(F.col("id").alias("v"), F.col(col).alias("y")), "v").select("u", "v", "salt", "x", "y")
 
-        likely = materialise(both("low", low, pairs).mapInArrow(_likely(percent), "u long, v long"), "likely")
+        likely = materialise(both("low", low, salted).mapInArrow(_likely(percent), "u long, v long, salt long"), "likely")
         return both("shingles", sets, likely).mapInArrow(_confirmed(percent), "u long, v long").distinct()
 
     def labelled(edges: DataFrame) -> DataFrame:
+        """The rows of buckets whose members lie in several components, with the component that has most of them."""
         got = materialise(components(edges), "labels")
         with_label = live.join(sized_broadcast(got), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        crowd = with_label.groupBy("key", "component").agg(F.count("*").alias("n"))
-        crowd = crowd.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        crowd = with_label.groupBy("key", "component").agg(F.count("*").alias("n_in"))
+        crowd = crowd.groupBy("key").agg(F.max_by("component", F.struct("n_in", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         return materialise(with_label.join(crowd.select("key", "main"), "key"), "open")
 
-    first = live.where("id <> lead").groupBy("id").agg(F.min("lead").alias("lead"))
-    edges = materialise(linked(first.select(F.col("lead").alias("u"), F.col("id").alias("v"))), "edges")
+    first = live.where(comparable & (F.col("id") != F.col("lead"))).groupBy("id").agg(F.min("lead").alias("lead"))
+    first = materialise(first.select(F.col("lead").alias("u"), F.col("id").alias("v")), "first")
+    edges = materialise(linked(first), "edges")
     still = labelled(edges)
     if not still.isEmpty():
         names = still.select("id", "component").distinct().select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-        more = still.join(names, "lead").where("component <> lead_component").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-        edges = materialise(edges.union(linked(more.exceptAll(first.select("lead", "id")))), "edges")
+        more = still.where(comparable).select("id", "component", "lead").distinct().join(names, "lead").where("component <> lead_component")
+        more = more.select(F.col("lead").alias("u"), F.col("id").alias("v")).join(first, ["u", "v"], "left_anti")
+        edges = materialise(edges.union(linked(more)), "edges")
         still = labelled(edges)
     if not still.isEmpty():
-        strays = still.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("own"))
-        pairs = strays.join(still.select("key", F.col("id").alias("b"), "component"), "key").where("own <> component")
-        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        edges = materialise(edges.union(linked(pairs)), "edges")
+        edges = materialise(edges.union(_crowds(still, sets, percent)), "edges")
 
     labels = sized_broadcast(materialise(components(edges), "labels"))
     out = base.select("doc_id", "n_shingles", "digest").join(sized_broadcast(alike), "digest", "left")
