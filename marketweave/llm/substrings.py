@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -13,17 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import forget, materialise, materialise_by, sized_broadcast
+from marketweave.llm.wordcodes import SIZE, WordCodes, equal_before, equal_from
 
 #: Words of an anchor. Equal windows have equal anchors: the least hash of so many consecutive words in the window.
 ANCHOR = 6
 #: Recurring windows in one automaton, and routed segments that one task streams through it, about.
 SHARD_WINDOWS, STREAM_ROWS = 50_000, 8_000
+#: Words hashed together, and bytes of lists that are broadcast at most.
+AT_ONCE, BROADCAST_BYTES = 250_000, 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPANS = "array<struct<start:long,end:long>>"
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _portions(raws: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray]]:
+    """The texts in turn, some AT_ONCE words together: (place of the first, words of each, hashes of all, text of each word)."""
+    words: list[list[bytes]] = []
+    first = n = 0
+    for i, raw in enumerate(raws, 1):
+        words.append((raw or b"").split())
+        n += len(words[-1])
+        if n >= AT_ONCE or i == len(raws):
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, n)
+            yield first, words, h, np.repeat(np.arange(len(words)), list(map(len, words)))
+            words, first, n = [], i, 0
+
+
+def _whole(text: np.ndarray, size: int) -> np.ndarray:
+    """Whether the run of so many words from each place lies in one text."""
+    return text[: max(0, len(text) - size + 1)] == text[size - 1 :]
+
+
+def _begins(words: list[list[bytes]]) -> np.ndarray:
+    return np.r_[0, np.cumsum(list(map(len, words)))]
 
 
 def _runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -37,7 +59,7 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _window_anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of each window."""
+    """The anchor of the window at each place."""
     size = min(ANCHOR, window)
     runs, n = _runs(h, size), len(h) - window + 1
     if n <= 0:
@@ -56,14 +78,17 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, anchors = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (raw or b"").split()
-                sizes.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).digest())
-                anchors.append(np.unique(_window_anchors(_hashes(words), window)).view(np.int64) if len(words) >= window else [])
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "digest", "anchors"])
+            for at, words, h, text in _portions(batch.column(1).cast(pa.binary()).to_pylist()):
+                found, kept = _window_anchors(h, window), _whole(text, window)
+                kept[1:] &= (found[1:] != found[:-1]) | (text[1 : len(kept)] != text[: len(kept) - 1])
+                ends = np.r_[0, np.cumsum(np.bincount(text[: len(kept)][kept], minlength=len(words)))]
+                cols = [
+                    batch.column(0).slice(at, len(words)),
+                    pa.array(list(map(len, words)), pa.int64()),
+                    pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[kept].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "digest", "anchors"])
 
     return run
 
@@ -73,30 +98,35 @@ def _segments(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc, raw, shared in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
-                words = (raw or b"").split()
-                if len(words) < window:
-                    continue
-                known = np.isin(_window_anchors(_hashes(words), window), shared.values.to_numpy().view(np.uint64))
-                for a, b in _ranges(known).tolist():
-                    out[0].append(doc), out[1].append(a), out[2].append(b" ".join(words[a : b + window - 1]))
-            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "text"])
+            docs = batch.column(0).to_pylist()
+            for at, words, h, text in _portions(batch.column(1).cast(pa.binary()).to_pylist()):
+                # An anchor that one of these texts shares is a shared one for all of them.
+                shared = np.unique(batch.column(2).slice(at, len(words)).flatten().to_numpy().view(np.uint64))
+                out: list[list] = [[], [], []]
+                if len(shared) and len(h) >= window:
+                    begin = _begins(words)
+                    for a, b in _ranges(_among(_window_anchors(h, window), shared) & _whole(text, window)).tolist():
+                        i = int(text[a])
+                        start = a - int(begin[i])
+                        out[0].append(docs[at + i]), out[1].append(start), out[2].append(b" ".join(words[i][start : start + b - a + window - 1]))
+                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "text"])
 
     return run
 
 
+def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted others."""
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, ids = [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                own = np.unique(_runs(_hashes(raw.split()), window))
-                prints.append(own.view(np.int64))
-                ids.append(np.full(len(own), doc, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints)), pa.array(np.concatenate(ids))], ["w", "doc_id"])
+            docs = batch.column(0).to_numpy()
+            for at, _, h, text in _portions(batch.column(2).cast(pa.binary()).to_pylist()):
+                whole = _whole(text, window)
+                yield pa.RecordBatch.from_arrays([pa.array(_runs(h, window)[whole].view(np.int64)), pa.array(docs[at + text[: len(whole)][whole]])], ["w", "doc_id"])
 
     return run
 
@@ -104,19 +134,25 @@ def _windows(window: int):
 def _passages(window: int):
     """The recurring passages of the documents in which they come first: (shard, start, doc_id, text)."""
 
+    def owned(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        return (windows ^ (docs.view(np.uint64) * _MIX)) * _MIX
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            shards, docs, starts = (batch.column(i).to_numpy() for i in range(3))
+            new = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)  # a document's segments mostly follow each other
+            own = batch.column(4).take(pa.array(new))
+            known = np.sort(owned(own.flatten().to_numpy().view(np.uint64), np.repeat(docs[new], own.value_lengths().to_numpy())))
             out: list[list] = [[], [], [], []]
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4), strict=True)
-            at, known = None, np.zeros(0, np.uint64)
-            for shard, doc, start, raw, own in rows:
-                if at != doc:  # a document's segments mostly follow each other
-                    at, known = doc, np.sort(own.values.to_numpy().view(np.uint64))
-                words = raw.split()
-                runs = _runs(_hashes(words), window)
-                first = known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
+            for at, words, h, text in _portions(batch.column(3).cast(pa.binary()).to_pylist()):
+                if not len(known) or len(h) < window:
+                    continue
+                begin, whole = _begins(words), _whole(text, window)
+                first = _among(owned(_runs(h, window), docs[at + text[: len(whole)]]), known) & whole
                 for a, b in _ranges(first).tolist():
-                    for col, v in zip(out, (shard, doc, start + a, b" ".join(words[a : b + window - 1])), strict=True):
+                    i = int(text[a])
+                    start = a - int(begin[i])
+                    for col, v in zip(out, (int(shards[at + i]), int(docs[at + i]), int(starts[at + i]) + start, b" ".join(words[i][start : start + b - a + window - 1])), strict=True):
                         col.append(v)
             cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "start", "text"])
@@ -124,38 +160,34 @@ def _passages(window: int):
     return run
 
 
-#: The code of a word that no passage has.
-UNSEEN = "\x20\x20\x20\x20"
-
-
 class PassageAutomaton:
     """Finds every occurrence of windows of recurring passages by phrases that lie at regular places in them.
 
     A window of so many words holds a whole phrase at a multiple of the phrase's length whatever its
     place in the passage, so each common window is met through a phrase and grown word by word to the whole
-    common stretch. That needs a small part of the nodes that all windows would. Words become four of
-    64 characters, so nodes have few children.
+    common stretch. That needs a small part of the nodes that all windows would.
     """
 
     def __init__(self, window: int):
         self.window, self.phrase = window, (window + 1) // 2
-        self.code: dict[bytes, str] = {}
-        self.passages: list[tuple[list[str], int]] = []
+        self.codes = WordCodes()
+        self.passages: list[tuple[str, int]] = []
         self.places: dict[str, list[tuple[int, int]]] = {}
         self.automaton: ahocorasick.Automaton | None = None
 
     def add(self, words: list[bytes], owner: int) -> None:
-        for w in words:
-            if w not in self.code:
-                n = len(self.code)
-                self.code[w] = "".join(chr(48 + (n >> shift & 63)) for shift in (18, 12, 6, 0))
-        coded = [self.code[w] for w in words]
-        for at in range(0, len(coded) - self.phrase + 1, self.phrase):
-            self.places.setdefault("".join(coded[at : at + self.phrase]), []).append((len(self.passages), at))
+        coded = self.codes.learned(words)
+        for at in range(0, len(words) - self.phrase + 1, self.phrase):
+            self.places.setdefault(coded[SIZE * at : SIZE * (at + self.phrase)], []).append((len(self.passages), at))
         self.passages.append((coded, owner))
 
     def find(self, words: list[bytes], doc: int) -> list[tuple[int, int]]:
-        """Stretches of the words, at least a window long, that passages of documents with smaller ids have too."""
+        """Stretches of the words that windows cover which passages of documents with smaller ids have too.
+
+        Stretches that touch are joined. Where a stretch is known already, only phrases near its ends are followed,
+        and only to passages that reach beyond it, so a text that repeats itself costs no more than its length for
+        each passage.
+        """
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for phrase, places in self.places.items():
@@ -164,28 +196,39 @@ class PassageAutomaton:
                 self.automaton.make_automaton()
         if not self.places:
             return []
-        text = [self.code.get(w, UNSEEN) for w in words]
+        text = self.codes.of(words)
+        n, phrase, window = len(words), self.phrase, self.window
         seen: dict[tuple[int, int], int] = {}
-        out = []
-        for end, places in self.automaton.iter("".join(text)):
-            if end & 3 != 3:
+        out: list[tuple[int, int]] = []
+        begin = end = 0  # the last stretch found, grown by what touches it
+        for last, places in self.automaton.iter(text):
+            if (last + 1) % SIZE:
                 continue  # it begins inside a word's code
-            first = (end >> 2) - self.phrase + 1
+            first = (last + 1) // SIZE - phrase
+            if begin + window <= first <= end - window:
+                continue  # all that goes beyond the stretch has a phrase nearer to one of its ends
+            covered = begin + window <= first < end  # nothing new to the left
             for passage, at in places:
-                line = (passage, first - at)
+                coded, owner = self.passages[passage]
+                shift = at - first
+                top = min(n, len(coded) // SIZE - shift)
+                if owner >= doc or ((covered or begin <= max(0, -shift)) and top <= end):
+                    continue  # no earlier document's, or within the stretch however far it goes
+                line = (passage, -shift)
                 if seen.get(line, 0) > first:
                     continue
-                coded, owner = self.passages[passage]
-                if owner >= doc:
+                low = first - equal_before(text, first, coded, at, min(first, at, window if covered else n))
+                if begin <= low and top <= end:
                     continue
-                low, high, shift = first, first + self.phrase, at - first
-                while low > 0 and low + shift > 0 and text[low - 1] == coded[low - 1 + shift]:
-                    low -= 1
-                top = min(len(text), len(coded) - shift)
-                while high < top and text[high] == coded[high + shift]:
-                    high += 1
+                high = first + equal_from(text, first, coded, at, top - first)
                 seen[line] = high
-                if high - low >= self.window:
+                if high - low < window:
+                    continue
+                if out and low <= end:
+                    begin, end = min(begin, low), max(end, high)
+                    out[-1] = (begin, end)
+                else:
+                    begin, end = low, high
                     out.append((low, high))
         return out
 
@@ -228,6 +271,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "n_removed", "kept_sha256", "kept"])
 
 
+def _bytes_of_lists(df: DataFrame, col: str, each: int) -> int:
+    """Size of a materialised table of ids and lists, about."""
+    r = df.agg(F.count("*").alias("rows"), F.sum(F.size(col)).alias("entries")).first()
+    return 40 * r.rows + each * (r.entries or 0)
+
+
 def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]:
     """(documents, whole copies, spans, candidates, table): what repeats words of documents with smaller ids.
 
@@ -237,7 +286,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     spans moves no text again, and table is their name in the catalogue, for forget(). Windows are looked up by anchors first, which are a quarter as many; only
     documents that share an anchor are read again, only their windows around shared anchors are counted, and only
     their segments are streamed, through the automata of the documents in which their windows come
-    first. A much-visited automaton is streamed by several tasks.
+    first: other text has no recurring window, and whole copies go by their digests. A much-visited automaton is streamed by several tasks.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialise(texts.mapInArrow(_anchors(window), "doc_id long, n_words long, digest binary, anchors array<long>"), "anchors")
@@ -248,32 +297,37 @@ def repeated_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     anchors = single.select("doc_id", F.explode("anchors").alias("a"))
     shared = materialise(anchors.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a"), "shared")
     sharing = materialise(anchors.join(sized_broadcast(shared), "a").groupBy("doc_id").agg(F.collect_set("a").alias("shared")), "sharing")
-    if sharing.count() <= 20_000:
+    if _bytes_of_lists(sharing, "shared", 8) <= BROADCAST_BYTES:
         candidates = texts.join(F.broadcast(sharing), "doc_id").repartition("doc_id")
     else:
         candidates = texts.join(sharing.hint("merge"), "doc_id")
     candidates, table = materialise_by(candidates, "candidates", "doc_id")
     segments, stretches = materialise_by(candidates.select("doc_id", "text", "shared").mapInArrow(_segments(window), "doc_id long, start long, text string"), "segments", "doc_id")
 
-    windows = segments.mapInArrow(_windows(window), "w long, doc_id long")
-    repeated = materialise(windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner"), "repeated")
-    own = F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("w"))).alias("own")
-    routes = materialise(windows.join(sized_broadcast(repeated), "w").groupBy("doc_id", "owner").agg(own), "routes")
-
-    shards = 1 + repeated.count() // SHARD_WINDOWS
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
-    owners = routes.where("doc_id = owner").select("doc_id", shard.alias("shard"), "own")
-    passages = owners.join(segments, "doc_id").select("shard", "doc_id", "start", "text", "own").mapInArrow(_passages(window), "shard long, doc_id long, start long, text string")
-    visits = routes.where("doc_id > owner").select("doc_id", shard.alias("shard")).distinct()
-    visits = materialise(visits.join(segments, "doc_id"), "visits")
-    salts = materialise(visits.groupBy("shard").agg(F.expr(f"1 + count(*) div {STREAM_ROWS}").alias("salts")), "salts")
-    salts = sized_broadcast(salts)
-    patterns = passages.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), "doc_id", "start", "text")
-    streams = visits.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).alias("salt"), F.lit(1).alias("tag"), "doc_id", "start", "text")
-    stream = patterns.union(streams).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "tag")
-    found = stream.mapInArrow(_locate(window), f"doc_id long, spans {_SPANS}")
-    spans = materialise(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    forget(docs.sparkSession, stretches)
+    try:
+        windows = segments.mapInArrow(_windows(window), "w long, doc_id long")
+        repeated = materialise(windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner"), "repeated")
+        own = F.collect_set(F.when(F.col("doc_id") == F.col("owner"), F.col("w"))).alias("own")
+        routes = materialise(windows.join(sized_broadcast(repeated), "w").groupBy("doc_id", "owner").agg(own), "routes")
+
+        shards = 1 + repeated.count() // SHARD_WINDOWS
+        shard = F.pmod(F.xxhash64("owner"), F.lit(shards))
+        owners = routes.where("doc_id = owner").select("doc_id", shard.alias("shard"), "own")
+        passages = owners.join(segments, "doc_id").select("shard", "doc_id", "start", "text", "own").mapInArrow(_passages(window), "shard long, doc_id long, start long, text string")
+        visits = routes.where("doc_id > owner").select("doc_id", shard.alias("shard")).distinct()
+        visits = materialise(visits.join(segments, "doc_id"), "visits")
+        salts = materialise(visits.groupBy("shard").agg(F.expr(f"1 + count(*) div {STREAM_ROWS}").alias("salts")), "salts")
+        salts = sized_broadcast(salts)
+        patterns = passages.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), "doc_id", "start", "text")
+        streams = visits.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).alias("salt"), F.lit(1).alias("tag"), "doc_id", "start", "text")
+        stream = patterns.union(streams).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "tag")
+        found = stream.mapInArrow(_locate(window), f"doc_id long, spans {_SPANS}")
+        spans = materialise(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    except BaseException:
+        forget(docs.sparkSession, table)
+        raise
+    finally:
+        forget(docs.sparkSession, stretches)
     return base.select("doc_id", "n_words", "digest"), copies, spans, candidates, table
 
 
@@ -287,9 +341,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     columns are ignored. Anchors and windows are compared by 64-bit hashes, then passages word by word.
     """
     base, copies, spans, candidates, table = repeated_spans(docs, window, id_col, text_col)
-    changed = candidates.select("doc_id", "text").join(sized_broadcast(spans, 20_000), "doc_id").mapInArrow(_kept, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept string")
-    changed = materialise(changed.drop("kept").dropDuplicates(["doc_id", "digest"]), "changed")
-    forget(docs.sparkSession, table)
+    try:
+        spans = F.broadcast(spans) if _bytes_of_lists(spans, "spans", 40) <= BROADCAST_BYTES else spans
+        changed = candidates.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_kept, "doc_id long, digest binary, n_removed long, kept_sha256 string, kept string")
+        changed = materialise(changed.drop("kept").dropDuplicates(["doc_id", "digest"]), "changed")
+    finally:
+        forget(docs.sparkSession, table)
     out = base.join(sized_broadcast(copies), "digest", "left").join(sized_broadcast(changed), ["doc_id", "digest"], "left")
     copy = F.col("first") < F.col("doc_id")
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
