@@ -1,4 +1,4 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over word windows of the test items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the words of the test items, grown to their windows."""
 
 from __future__ import annotations
 
@@ -13,49 +13,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import worker_state
+from marketweave.llm.common import materialise, worker_state
+from marketweave.llm.wordcodes import SIZE, WordCodes, equal_before, equal_from
 
-#: Characters of test items in one automaton; a larger benchmark is scanned for in blocks of about this size.
-BLOCK_CHARS = 8_000_000
+#: Characters of test items in one automaton, about 100 MB of a worker; a larger benchmark is scanned for in blocks of about this size.
+BLOCK_CHARS = 2_000_000
 
 #: Bytes to normalised bytes, one to one: A-Z lower-cased, ASCII other than 0-9 and a-z to a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def item_windows(rows: list[tuple[str, str | None]], window: int) -> dict[str, tuple[int, list[str]]]:
-    """Normalised window, with a space at either end, to (words in it, items that have it)."""
-    found: dict[str, tuple[int, list[str]]] = {}
-    for item, text in rows:
-        words = [w for w in (text or "").encode().translate(NORMAL).split(b" ") if w]
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            key = (b" " + b" ".join(words[i : i + n]) + b" ").decode()
-            items = found.setdefault(key, (n, []))[1]
-            if item not in items[-1:]:
-                items.append(item)
-    return found
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split(b" ")
 
 
-def _automaton(shared, token: str) -> ahocorasick.Automaton | None:
-    """One automaton a worker process, kept until another block is asked for."""
+class ItemAutomaton:
+    """Finds the windows of test items in a text's words.
 
-    def build() -> ahocorasick.Automaton | None:
-        made = ahocorasick.Automaton()
-        for key, value in shared.value.items():
-            made.add_word(key, value)
-        if not len(made):
-            return None
-        made.make_automaton()
-        return made
+    A window holds a whole phrase of half its length that lies at a multiple of that length in the item, so the phrases of
+    an item, which have each of its words once, are enough to meet every window; what is met is grown word by word
+    to the whole common stretch. An item shorter than a window is one pattern.
+    """
 
-    return worker_state(token, build)
+    def __init__(self, rows: list[tuple[str, str | None]], window: int):
+        self.window, self.phrase = window, (window + 1) // 2
+        self.codes = WordCodes()
+        self.items: list[tuple[str, str]] = []
+        places: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        for item, text in rows:
+            words = [w for w in words_of(text) if w]
+            coded, size = self.codes.learned(words), self.phrase if len(words) >= window else len(words)
+            for at in range(0, len(words) - size + 1, size) if size else ():
+                places.setdefault(coded[SIZE * at : SIZE * (at + size)], (size, []))[1].append((len(self.items), at))
+            self.items.append((item, coded))
+        self.automaton = ahocorasick.Automaton()
+        for pattern, value in places.items():
+            self.automaton.add_word(pattern, value)
+        if places:
+            self.automaton.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[list[int], set[str]]:
+        """Begins and ends, in turn, of stretches of the words that windows cover, and the items that have those windows."""
+        ranges: list[int] = []
+        found: set[str] = set()
+        if not len(self.automaton) or not words:
+            return ranges, found
+        text = self.codes.of(words)
+        n, window = len(words), self.window
+        seen: dict[tuple[int, int], int] = {}
+        begin = end = 0  # the last stretch found, grown by what touches it
+        for last, (size, places) in self.automaton.iter(text):
+            if (last + 1) % SIZE:
+                continue  # it begins inside a word's code
+            first = (last + 1) // SIZE - size
+            covered = begin + window <= first < end  # nothing new to the left
+            for number, at in places:
+                item, coded = self.items[number]
+                shift, length = at - first, len(coded) // SIZE
+                top, met = min(n, length - shift), item in found
+                if met and (covered or begin <= max(0, -shift)) and top <= end:
+                    continue  # known, and within the stretch however far it goes
+                if seen.get((number, shift), 0) > first:
+                    continue
+                low = first - equal_before(text, first, coded, at, min(first, at, window if covered else n))
+                if met and begin <= low and top <= end:
+                    continue
+                high = first + equal_from(text, first, coded, at, top - first)
+                seen[number, shift] = high
+                if high - low < min(window, length):
+                    continue
+                found.add(item)
+                if ranges and low <= end:
+                    begin, end = min(begin, low), max(end, high)
+                    ranges[-2:] = begin, end
+                else:
+                    begin, end = low, high
+                    ranges += low, high
+        return ranges, found
 
 
-def _scan(shared, token: str, last: bool):
+def _scan(shared, token: str, window: int, last: bool):
     """Adds the hits of one block of windows: word ranges and items; the last block makes the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared, token)
+        automaton = worker_state(token, lambda: ItemAutomaton(shared.value, window))
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             raws = batch.column(1).cast(pa.binary()).to_pylist()
@@ -63,15 +104,9 @@ def _scan(shared, token: str, last: bool):
                 spaced = (raw or b"").translate(NORMAL)
                 words = [w for w in spaced.split(b" ") if w]
                 ranges, items = list(ranges or []), set(items or [])
-                if automaton and words:
-                    text = (b" " + b" ".join(words) + b" ").decode()
-                    spaces = None
-                    for end, (n, of) in automaton.iter(text):
-                        if spaces is None:
-                            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-                        at = int(np.searchsorted(spaces, end))
-                        ranges += [at - n, at]
-                        items.update(of)
+                more, of = automaton.find(words)
+                ranges += more
+                items |= of
                 if not last:
                     out[0].append(ranges), out[1].append(sorted(items))
                     continue
@@ -107,7 +142,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     original text, end exclusive. Null or wordless texts have no words and no hits; null or empty items
     have no windows; an item without an id counts for hits under the id "". Repeated rows are judged each
     on their own, repeated items are one. Empty tables give empty or hitless results. The documents are
-    read once for each block of BLOCK_CHARS characters of items, so one automaton stays bounded.
+    read once for each block of BLOCK_CHARS characters of items and written between blocks, so a worker holds one
+    automaton at a time and that is bounded, but for one item longer than a block.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
@@ -115,7 +151,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<long>").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()
-        shared = spark.sparkContext.broadcast(item_windows([(r.item, r.text) for r in block], window))
-        last = k == blocks - 1
-        out = out.mapInArrow(_scan(shared, uuid.uuid4().hex, last), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>" if last else "doc_id long, text string, ranges array<long>, items array<string>")
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in block])
+        scan = _scan(shared, uuid.uuid4().hex, window, k == blocks - 1)
+        if k == blocks - 1:
+            return out.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>")
+        out = materialise(out.mapInArrow(scan, "doc_id long, text string, ranges array<long>, items array<string>"), "scanned")
     return out
