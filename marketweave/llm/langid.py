@@ -22,23 +22,34 @@ from marketweave.llm.common import materialise, worker_state
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents a language that the piece probabilities are fitted on at most, by hash of the id, and rounds of re-estimation.
 SAMPLE_PER_LANGUAGE, ROUNDS = 400, 2
-#: Longest stretch of letters that is segmented as one; longer words are cut there. Words remembered by one worker.
-STRETCH, REMEMBERED = 24, 250_000
+#: Words remembered by one worker, and the longest that is; others are segmented again.
+REMEMBERED, LONGEST = 250_000, 64
 #: Probability of a letter that no piece covers, and pieces added to every count.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
-#: Words segmented at once.
-AT_ONCE = 2000
+#: Words, and letters of words, segmented at once.
+AT_ONCE, LETTERS_AT_ONCE = 2000, 100_000
+#: Sums that fall below the first are multiplied by the second, and how often is kept beside them; a word may be of any length.
+TINY, HUGE = 1e-200, 1e200
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of the whole text, cut into stretches."""
-    found = _LETTERS.findall((text or "").lower())
-    if found and max(map(len, found)) > STRETCH:
-        found = [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
-    return found
+    """Lower-cased runs of letters of the whole text."""
+    return _LETTERS.findall((text or "").lower())
+
+
+def _portions(words: list[str]) -> Iterator[list[str]]:
+    """The words by length, in lists that are segmented at once."""
+    part: list[str] = []
+    for w in sorted(words, key=len):
+        if part and (len(part) == AT_ONCE or (len(part) + 1) * len(w) > LETTERS_AT_ONCE):
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
 
 
 class Pieces:
@@ -91,33 +102,48 @@ class Lattice:
         for size in range(1, min(end, len(self.ids)) + 1):
             yield end - size, self.ids[size - 1][end - size]
 
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """Sum over the segmentations of each prefix; probability has a row a piece and a column a language."""
+    def forward(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over the segmentations of each prefix, and how often HUGE was multiplied to it; probability has a row a piece and a column a language."""
         alpha = np.zeros((self.most + 1, self.words, probability.shape[1]))
+        level = np.zeros(alpha.shape, np.int32)
         alpha[0] = 1
         for end in range(1, self.most + 1):
             for begin, piece in self._edges(end):
                 alpha[end] += alpha[begin] * probability[piece]
-        return alpha
+            level[end] = level[end - 1]
+            low = alpha[end] < TINY
+            if low.any():
+                since = max(0, end + 1 - len(self.ids))
+                alpha[since : end + 1] = np.where(low, alpha[since : end + 1] * HUGE, alpha[since : end + 1])
+                level[since : end + 1] += low
+        return alpha, level
 
     def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
-        return np.log(self.forward(probability)[self.length, np.arange(self.words)])
-
-    def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over all segmentations, in one language; each word has a weight."""
-        one = probability[:, None]
-        alpha = self.forward(one)[:, :, 0]
-        beta = np.zeros_like(alpha)
+        alpha, level = self.forward(probability)
+        whole = self.length, np.arange(self.words)
+        return np.log(alpha[whole]) - level[whole] * np.log(HUGE)
+
+    def expected(self, probability: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected counts of the pieces over all segmentations in one language, each word having a weight, and the words' log likelihood."""
+        alpha, level = (x[:, :, 0] for x in self.forward(probability[:, None]))
+        beta, now = np.zeros_like(alpha), np.zeros(self.words, np.int32)
         each = np.arange(self.words)
         beta[self.length, each] = 1
-        scale = weight / alpha[self.length, each]
         counts = np.zeros(len(probability))
-        for end in range(self.most, 0, -1):
-            for begin, piece in self._edges(end):
-                through = probability[piece] * beta[end]
-                counts += np.bincount(piece, alpha[begin] * through * scale, len(probability))
-                beta[begin] += through
-        return counts
+        with np.errstate(divide="ignore"):
+            log_alpha, log_p = np.log(alpha) - level * np.log(HUGE), np.log(probability)
+            total = log_alpha[self.length, each]
+            for end in range(self.most, 0, -1):
+                low = (beta[end] < TINY) & (beta[end] > 0)
+                if low.any():
+                    since = max(0, end - len(self.ids))
+                    beta[since : end + 1] = np.where(low, beta[since : end + 1] * HUGE, beta[since : end + 1])
+                    now += low
+                log_beta = np.log(beta[end]) - now * np.log(HUGE) - total
+                for begin, piece in self._edges(end):
+                    counts += np.bincount(piece, np.exp(log_alpha[begin] + log_p[piece] + log_beta) * weight, len(probability))
+                    beta[begin] += probability[piece] * beta[end]
+        return counts, float(total @ weight)
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -132,17 +158,18 @@ def _expected(languages: list[str], shared, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, probability = Pieces(vocabulary(path)), np.asarray(shared.value)
         number = {x: i for i, x in enumerate(languages)}
-        total = np.zeros_like(probability)
+        total = np.zeros((len(probability) + 2, len(languages)))  # the last rows: log likelihood and letters
         for batch in batches:
             counts: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[lang].update(words_of(text))
             for lang, seen in counts.items():
-                col, words = number[lang], sorted(seen, key=len)
-                for at in range(0, len(words), AT_ONCE):
-                    part = words[at : at + AT_ONCE]
+                col = number[lang]
+                for part in _portions(list(seen)):
                     weight = np.fromiter((seen[w] for w in part), np.float64, len(part))
-                    total[:, col] += Lattice(part, pieces).expected(np.ascontiguousarray(probability[:, col]), weight)
+                    got, likelihood = Lattice(part, pieces).expected(np.ascontiguousarray(probability[:, col]), weight)
+                    total[:-2, col] += got
+                    total[-2:, col] += likelihood, weight @ np.fromiter((len(w) + 1 for w in part), np.float64, len(part))
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -150,10 +177,10 @@ def _expected(languages: list[str], shared, path: str | None):
 
 
 class Model:
-    """Languages and the probability of every piece in each; the last row is a letter that no piece covers."""
+    """Languages, the probability of every piece in each, and the mean log likelihood of a letter of its own texts."""
 
-    def __init__(self, languages: list[str], probability: np.ndarray, path: str | None = None):
-        self.languages, self.probability, self.path = languages, probability, path
+    def __init__(self, languages: list[str], probability: np.ndarray, typical: np.ndarray, path: str | None = None):
+        self.languages, self.probability, self.typical, self.path = languages, probability, typical, path
 
 
 def train(labelled: DataFrame, path: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
@@ -170,6 +197,7 @@ def train(labelled: DataFrame, path: str | None = None, per_language: int = SAMP
     n = len(vocabulary(path))
     probability = np.full((n + 2, len(languages)), 1 / n)
     probability[n], probability[n + 1] = UNKNOWN, 0
+    typical = np.zeros(len(languages))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(probability)
         counts = rows.select("lang", "text").mapInArrow(_expected(languages, shared, path), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
@@ -177,8 +205,12 @@ def train(labelled: DataFrame, path: str | None = None, per_language: int = SAMP
         total = np.full((n, len(languages)), SMOOTHING)
         at = got.piece.to_numpy() < n
         np.add.at(total, (got.piece[at].to_numpy(), got.lang[at].to_numpy()), got.n[at].to_numpy())
+        ends = np.zeros((2, len(languages)))
+        last = got.piece.to_numpy() - (n + 2)
+        ends[last[last >= 0], got.lang[last >= 0]] = got.n[last >= 0]
+        typical = ends[0] / np.maximum(ends[1], 1)
         probability = np.vstack([total / total.sum(axis=0), np.full(len(languages), UNKNOWN), np.zeros(len(languages))])
-    return Model(languages, probability, path)
+    return Model(languages, probability, typical, path)
 
 
 class Scorer:
@@ -189,17 +221,21 @@ class Scorer:
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Sum of the log likelihoods of each text's words; None without a letter."""
+    def batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
+        """Sum of the log likelihoods of each text's words, and their letters; None without a letter."""
         split = [words_of(t) for t in texts]
         if len(self.places) > REMEMBERED:
             self.places, self.table = {}, self.table[:0]
         new = sorted({w for words in split for w in words if w not in self.places}, key=len)
+        kept = len(self.table) + sum(len(w) <= LONGEST for w in new)  # the longest come last
         self.places.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-        parts = (new[at : at + AT_ONCE] for at in range(0, len(new), AT_ONCE))
-        self.table = np.vstack([self.table, *(Lattice(p, self.pieces).log_likelihood(self.model.probability) for p in parts)])
+        self.table = np.vstack([self.table, *(Lattice(p, self.pieces).log_likelihood(self.model.probability) for p in _portions(new))])
         place = self.places.__getitem__
-        return [self.table[np.fromiter(map(place, words), np.int64, len(words))].sum(axis=0) if words else None for words in split]
+        out = [(self.table[np.fromiter(map(place, words), np.int64, len(words))].sum(axis=0), sum(map(len, words)) + len(words)) if words else None for words in split]
+        for w in new[::-1][: len(self.table) - kept]:
+            del self.places[w]
+        self.table = self.table[:kept]
+        return out
 
 
 def _predict(shared, token: str):
@@ -207,32 +243,36 @@ def _predict(shared, token: str):
         scorer = worker_state(token, lambda: Scorer(shared.value))
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            named, scores = [], []
+            named, scores, evidence = [], [], []
             for at in range(0, len(texts), 2000):
-                for x in scorer.batch(texts[at : at + 2000]):
-                    if x is None or not len(x):
-                        named.append(UNDETERMINED), scores.append(0.0)
+                for got in scorer.batch(texts[at : at + 2000]):
+                    if got is None or not len(got[0]):
+                        named.append(UNDETERMINED), scores.append(0.0), evidence.append(None)
                     else:
-                        share = np.exp(x - x.max())
-                        named.append(scorer.model.languages[int(x.argmax())]), scores.append(float(1 / share.sum()))
+                        x, letters = got
+                        best, share = int(x.argmax()), np.exp(x - x.max())
+                        named.append(scorer.model.languages[best]), scores.append(float(1 / share.sum()))
+                        evidence.append(float(x[best] / letters - scorer.model.typical[best]))
             held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(named, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            cols = [batch.column(0), pa.array(held, pa.bool_()), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", "evidence"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out (crc32 of the id as text is 2 modulo 4), lang_pred, score.
+    """One row per document: doc_id, held_out (crc32 of the id as text is 2 modulo 4), lang_pred, score, evidence.
 
     score is the probability of the predicted language given the whole text, all languages being equally
-    likely before. A text that is null or has no letter is "und" with score 0, as is every text of a
+    likely before. evidence is the mean log likelihood of a letter less that of the language's own texts: about 0 for a
+    text in it, however long, and far below for letters at random. A text that is null or has no letter is "und" with score 0 and no evidence, as is every text of a
     model without languages; a row without id is not held out. Ties go to the first language by name.
-    Words longer than STRETCH letters are segmented in stretches. Repeated rows are predicted each; an
+    Words of any length are segmented whole, in time that grows with the length. Repeated rows are predicted each; an
     empty table gives an empty result; other columns are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, lang_pred string, score double, evidence double")
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

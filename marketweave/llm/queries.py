@@ -43,7 +43,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.train(langid.learnable(docs)))
+    return langid.identify(docs, langid.train(langid.learnable(docs))).drop("evidence")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
