@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import gc
+import os
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -18,10 +19,12 @@ from marketweave.llm.common import worker_state
 #: The vocabulary file that is meant where none is named.
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks and words remembered by one worker process at most, and the longest that is; others are encoded again.
-REMEMBERED, LONGEST = 600_000, 64
-#: Bytes of text split at once.
-AT_ONCE = 2_000_000
+#: Bytes of chunks and words remembered by one worker process, about, and the longest chunk that is; others are encoded again.
+REMEMBERED, LONGEST = 200_000_000, 64
+#: Bytes of text split at once, and unseen words or chunks encoded at once.
+AT_ONCE, ENCODED_AT_ONCE = 1_000_000, 20_000
+#: What Python keeps for an entry of a dictionary beside the characters, about.
+ENTRY = 170
 #: Below this every letter is composed and has one lower-case letter.
 PLAIN = "\u0130"
 
@@ -45,6 +48,7 @@ class ChunkEncoder:
         self.words: dict[str, bytes] = {}
         self.spans: dict[bytes, bytes] = {}
         self.word_spans: dict[str, bytes] = {}
+        self.held = 0  # bytes of the four, about
 
     @staticmethod
     def _word(chunk: str) -> str | None:
@@ -60,13 +64,12 @@ class ChunkEncoder:
         """What of(tokenizer, texts) gives for unseen chunks, by words where it can."""
         texts = [c.decode("utf-8", "surrogatepass") for c in new]
         parts = list(map(self._word, texts))
-        if len(words) > self.remembered:
-            words.clear()
         unseen = list(set(parts).difference(words, (None,)))
-        words.update(zip(unseen, of_words(self.merges, unseen), strict=True))
+        words.update(zip(unseen, _in_turn(of_words, self.merges, unseen), strict=True))
+        self.held += ENTRY * len(unseen) + 2 * sum(map(len, unseen))
         marks = list({t[len(w) :] for t, w in zip(texts, parts, strict=True) if w is not None})
         marks = dict(zip(marks, of(self.tokenizer, marks), strict=True))
-        other = iter(of(self.tokenizer, [t for t, w in zip(texts, parts, strict=True) if w is None]))
+        other = _in_turn(of, self.tokenizer, [t for t, w in zip(texts, parts, strict=True) if w is None])
         got = {}
         for c, t, w in zip(new, texts, parts, strict=True):
             if w is None:
@@ -80,14 +83,17 @@ class ChunkEncoder:
         return got
 
     def _known(self, split: list[list[bytes]], known: dict[bytes, bytes], of, of_words, words: dict[str, bytes]) -> list[list[bytes]]:
-        if len(known) > self.remembered:
-            known.clear()
+        if self.held > self.remembered:
+            known.clear(), words.clear()
+            self.held = 0
         new = list(set(chain.from_iterable(split)).difference(known))
         known.update(self._learn(new, of, of_words, words))
         out = [list(map(known.__getitem__, chunks)) for chunks in split]
         for c in new:
             if len(c) > LONGEST:
                 del known[c]
+            else:
+                self.held += ENTRY + 2 * len(c)
         return out
 
     def ids_of(self, raws: list[bytes]) -> list[bytes]:
@@ -133,6 +139,12 @@ def _portions(raws: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def _in_turn(of, tokenizer: Tokenizer, texts: list[str]) -> Iterator[bytes]:
+    """What of(tokenizer, texts) gives, some texts at a time: encodings are many times as large as what is kept of them."""
+    for at in range(0, len(texts), ENCODED_AT_ONCE):
+        yield from of(tokenizer, texts[at : at + ENCODED_AT_ONCE])
+
+
 def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
     return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -153,5 +165,6 @@ def _offsets(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
 
 def encoder(path: str | None = None, remembered: int = REMEMBERED) -> ChunkEncoder:
     """One encoder a worker process, kept until another state is asked for."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     path = path or public_tokenizers.path(VOCABULARY)
     return worker_state((path, remembered), lambda: ChunkEncoder(path, remembered))
