@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.tokens import encoder
@@ -38,17 +38,31 @@ def allocate(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str
     return counts
 
 
-def _counts(rule: str, path: str | None):
+def lines_of(raw: bytes) -> np.ndarray:
+    """First and end code points of the lines of a text in UTF-8, without the line ends; an empty text has one empty line."""
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    points = len(data)
+    if not raw.isascii():
+        before = np.cumsum((data & 0xC0) != 0x80)
+        points, ends = int(before[-1]), before[ends] - 1
+    return np.stack([np.r_[0, ends + 1], np.r_[ends, points]], axis=1).astype(np.int64)
+
+
+def _counts(rule: str, path: str | None, lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts, sections = coder.spans_of([r or b"" for r in batch.column(1).cast(pa.binary()).to_pylist()]), batch.column(2)
-            bounds = [None if s is None else [(x["start"], x["end"]) for x in s if x and x["start"] is not None and x["end"] is not None] for s in sections.to_pylist()]
+            raws = [r or b"" for r in batch.column(1).cast(pa.binary()).to_pylist()]
+            if lines:
+                bounds = map(lines_of, raws)
+            else:
+                bounds = [sorted((x["start"], x["end"]) for x in s or () if x and x["start"] is not None and x["end"] is not None) for s in batch.column(2).to_pylist()]
             ids, number, begin, end, n, crossing = ([] for _ in range(6))
-            for doc, tokens, own in zip(batch.column(0).to_pylist(), texts, bounds, strict=True):
-                if not own:
+            for doc, tokens, own in zip(batch.column(0).to_pylist(), coder.spans_of(raws), bounds, strict=True):
+                if not len(own):
                     continue
-                own = np.array(sorted(own), np.int64)
+                own = np.array(own, np.int64)
                 got = allocate(tokens, own[:, 0], own[:, 1], rule)
                 cut = np.searchsorted(tokens[:, 0], own[:, 0]) - np.searchsorted(tokens[:, 1], own[:, 0], "right")
                 ids += [doc] * len(own)
@@ -65,14 +79,6 @@ def _counts(rule: str, path: str | None):
     return run
 
 
-def line_sections(text: Column) -> Column:
-    """Sections of a text column, one a line: array of (start, end) code points without the line ends; null and empty texts have one empty line."""
-    sizes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.length)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("got"))
-    step = lambda acc, n: F.struct((acc["at"] + n + 1).alias("at"), F.concat(acc["got"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end")))).alias("got"))
-    return F.aggregate(sizes, first, step)["got"]
-
-
 def token_counts(docs: DataFrame, sections=None, rule: str = "start", vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and section: doc_id, section (from 0), start, end, n_tokens, starts_inside_token.
 
@@ -86,6 +92,6 @@ def token_counts(docs: DataFrame, sections=None, rule: str = "start", vocabulary
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    own = line_sections(F.col(text_col)) if sections is None else sections
+    own = F.lit(None) if sections is None else sections
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), own.cast("array<struct<start:long,end:long>>").alias("sections"))
-    return rows.mapInArrow(_counts(rule, vocabulary), "doc_id long, section int, start long, end long, n_tokens double, starts_inside_token boolean")
+    return rows.mapInArrow(_counts(rule, vocabulary, sections is None), "doc_id long, section int, start long, end long, n_tokens double, starts_inside_token boolean")
