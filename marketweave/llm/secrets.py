@@ -26,6 +26,9 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "w
 #: Code points between two parts of one credential at most.
 SCOPE = 256
 
+#: Matches that one fold adds up; longer lists are made of several.
+CHUNK = 128
+
 _SPAN = "array<struct<start:long,kind_no:int,end:long,kind:string>>"
 
 
@@ -40,7 +43,7 @@ def _spans(text: Column, kind: str, number: int, pattern: str, least: int, when:
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("size"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("own"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("got"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -48,7 +51,26 @@ def _spans(text: Column, kind: str, number: int, pattern: str, least: int, when:
         span = F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(acc["got"], F.array(span))).otherwise(acc["got"]).alias("got"))
 
-    return F.when(when & text.rlike(pattern), F.aggregate(hits, start, step)["got"]).otherwise(F.array().cast(_SPAN))
+    def begins(chunks: Column) -> Column:
+        """Where each chunk begins."""
+        grow = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["got"], F.array(acc["at"])).alias("got"))
+        return F.aggregate(chunks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("got")), grow)["got"]
+
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), s["kind_no"].alias("kind_no"), (s["end"] + by).alias("end"), s["kind"].alias("kind"))
+
+    def placed(chunks: Column) -> Column:
+        both = F.arrays_zip(chunks.alias("chunk"), begins(chunks).alias("by"))
+        return F.flatten(F.transform(both, lambda b: F.transform(b["chunk"]["got"], lambda s: moved(s, b["by"]))))
+
+    # Matches are added up within chunks and chunks are then moved to their places: a list grows by at most CHUNK appends.
+    local = lambda h: F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(h, i * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).cast("long").alias("at"), none.alias("got")), step))
+    return F.when(when & text.rlike(pattern), _let(_let(hits, local), placed)).otherwise(none)
+
+
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _written(spans: Column) -> Column:
@@ -81,8 +103,10 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     for prefix in ("AKIA", *ID_PREFIXES):
         named = named | text.contains(prefix)
     weak = F.concat(*(_spans(text, kind, 3 + i, pattern, 1, named) for i, (kind, pattern) in enumerate(WEAK.items())))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), weak.alias("weak"), F.xxhash64(F.col(id_col), text).alias("h"))
-    found = materialise(found.withColumn("h", F.when(F.size("weak") > 0, F.col("h"))), "secrets")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), base.alias("base"), weak.alias("weak"), text.alias("text"))
+    # Rows of one id and text are one to the join; the name is 128 bits of both.
+    name = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
+    found = materialise(found.withColumn("h", F.when(F.size("weak") > 0, name)).drop("text"), "secrets")
 
     parts = found.where("h is not null").dropDuplicates(["h"]).select("h", F.explode(F.concat("base", "weak")).alias("p")).select("h", "p.*")
     role = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
