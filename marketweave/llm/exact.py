@@ -31,10 +31,12 @@ class QuotientFilter:
     @classmethod
     def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, bits: int = 16) -> QuotientFilter:
         order = np.argsort(fingerprints, kind="stable")
-        keys = fingerprints[order]
-        ones = np.ones(len(keys), np.int64) if counts is None else counts[order]
+        return cls._of_sorted(fingerprints[order], np.ones(len(order), np.int64) if counts is None else counts[order], bits)
+
+    @classmethod
+    def _of_sorted(cls, keys: np.ndarray, counts: np.ndarray, bits: int) -> QuotientFilter:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-        keys, totals = keys[first], np.add.reduceat(ones, first) if len(first) else ones
+        keys, totals = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         shift = np.uint64(64 - bits)
         quotients, runs = np.unique(keys >> shift, return_counts=True)
         return cls(quotients.astype(np.uint32), runs.astype(np.uint32), keys & ((np.uint64(1) << shift) - np.uint64(1)), totals, bits)
@@ -42,9 +44,18 @@ class QuotientFilter:
     def fingerprints(self) -> np.ndarray:
         return (np.repeat(self.quotients.astype(np.uint64), self.runs) << np.uint64(64 - self.bits)) | self.remainders
 
+    def merge(self, other: QuotientFilter) -> QuotientFilter:
+        """Both filters' runs interleaved: remainders stay sorted under their quotients and equal ones add up."""
+        mine, theirs = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(mine, theirs)
+        return QuotientFilter._of_sorted(np.insert(mine, at, theirs), np.insert(self.counts, at, other.counts), self.bits)
+
     @classmethod
     def merged(cls, filters: list[QuotientFilter]) -> QuotientFilter:
-        return cls.of(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), filters[0].bits)
+        """All of them, two by two."""
+        while len(filters) > 1:
+            filters = [a.merge(b) for a, b in zip(filters[::2], filters[1::2], strict=False)] + filters[len(filters) & ~1 :]
+        return filters[0]
 
     def parts(self) -> tuple[bytes, bytes, bytes, bytes]:
         return self.quotients.tobytes(), self.runs.tobytes(), self.remainders.tobytes(), self.counts.tobytes()
