@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -114,6 +115,27 @@ def test_remove_repeats(docs, empty):
     assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith(("candidates_", "segments_"))]
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Words removed where passages and texts are runs of few words, against windows compared one by one."""
+    texts = ["a " * 40, "b " + "a " * 60 + "c", "a b " * 30, "b a " * 20 + "c " * 20, "a b a " * 15, "x " * 5 + "a b a " * 9 + "a " * 14, "a " * 12]
+    split = [t.split() for t in texts]
+    first: dict = {}
+    for i, words in enumerate(split):
+        for k in range(len(words) - 12):
+            first.setdefault(tuple(words[k : k + 13]), i)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, words in enumerate(split):
+        gone = {k + d for k in range(len(words) - 12) if first[tuple(words[k : k + 13])] < i for d in range(13)}
+        assert got[i] == len(gone), i
+
+
+def test_a_repeated_word_costs_its_length():
+    made = substrings.PassageAutomaton(13)
+    made.add([b"the"] * 16_000, 1)
+    begun = time.process_time()
+    assert made.find([b"x", *[b"the"] * 16_000], 2) == [(1, 16_001)] and time.process_time() - begun < 2
+
+
 def test_pack(docs, empty):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: [*coder.encode(t or "", add_special_tokens=False).ids, 1] for i, t in ROWS}
@@ -163,6 +185,19 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate(empty, bench).count() == 0 and decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_in_blocks(spark, docs, monkeypatch):
+    """Items in many automata, written in between, and an item that repeats itself against a text that does."""
+    items = [(str(i), " ".join(RNG.choice(WORDS, 40))) for i in range(300)] + [("p", PASSAGE), ("t", "the " * 3000), ("s", LONG[2000:2600])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "x " + "the " * 20_000)], "doc_id long, text string"))
+    cols = ["doc_id", "n_hit", "n_items", "items_sha256"]
+    whole = sorted(map(tuple, decontaminate(rows, bench).select(cols).collect()))
+    monkeypatch.setattr("marketweave.llm.decontaminate.BLOCK_CHARS", 20_000)
+    assert sorted(map(tuple, decontaminate(rows, bench).select(cols).collect())) == whole
+    got = {r[0]: r for r in whole}
+    assert got[18][1] == 60 and got[900][1:3] == (20_000, 1) and got[22][1:3] == (90, 1) and got[15][2] == 1
+
+
 def test_urls(spark):
     cases = {
         "https://www.example.com/en/x": ("www.example.com/en/", "allow"), "https://a.Example.COM/en/x?q": ("example.com/en/", "block"), "http://x.com": (None, "allow"), "http://x.com/": ("com/", "allow"), "http://q.net/fr/": ("net/fr/", "block"),
@@ -182,6 +217,7 @@ def test_language(spark):
     assert all(got[i].lang_pred == ("en" if i % 2 else "fr") and 0 <= got[i].score <= 1 for i in range(60))
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(60))
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[102].lang_pred == "en" and got[None].lang_pred == "fr" and got[None].held_out is False
+    assert got[100].evidence is None and abs(got[1].evidence) < 0.5 and got[103].evidence < got[1].evidence
     nobody = df.where("lang is null")
     assert {r.lang_pred for r in langid.identify(nobody, langid.train(langid.learnable(nobody))).collect()} == {"und"}
     assert langid.identify(df.limit(0), langid.train(langid.learnable(df))).count() == 0
@@ -193,8 +229,28 @@ def test_lattice_sums_all_segmentations():
     lattice = langid.Lattice(["ab", "az"], langid.Pieces(names))
     want = [0.1 * 0.3 * 0.05 + 0.1 * 0.15 + 0.2 * 0.05 + 0.25, (0.1 * 0.3 + 0.2) * langid.UNKNOWN]
     assert np.allclose(np.exp(lattice.log_likelihood(p))[:, 0], want)
-    counts = lattice.expected(p[:, 0], np.array([1.0, 0.0]))
-    assert np.isclose(counts[5], 0.25 / want[0])
+    counts, likelihood = lattice.expected(p[:, 0], np.array([1.0, 0.0]))
+    assert np.isclose(counts[5], 0.25 / want[0]) and np.isclose(likelihood, np.log(want[0]))
+
+
+@pytest.mark.parametrize("length", [1, 30, 3000])
+def test_words_of_any_length_are_segmented_whole(length):
+    names = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "aab"])}
+    p = np.array([[0.1, 0.01], [0.2, 0.001], [0.1, 0.3], [0.3, 0.1], [0.05, 0.2], [0.02, 0.01], [langid.UNKNOWN] * 2, [0.0, 0.0]])
+    word = "".join(RNG.choice(list("abz"), length, p=[0.6, 0.3, 0.1]))
+    marked, best = "▁" + word, []
+    for col in range(2):  # logarithms of the sums over all segmentations of each prefix
+        logs = [0.0]
+        for end in range(1, len(marked) + 1):
+            terms = [logs[end - len(x)] + np.log(p[i, col]) for x, i in names.items() if marked.endswith(x, 0, end)]
+            terms += [logs[end - 1] + np.log(langid.UNKNOWN)] * (marked[end - 1] == "z")
+            logs.append(np.logaddexp.reduce(terms))
+        best.append(logs[-1])
+    lattice = langid.Lattice([word, "a"], langid.Pieces(names))
+    assert np.allclose(lattice.log_likelihood(p)[0], best)
+    counts, likelihood = lattice.expected(p[:, 0], np.array([1.0, 0.0]))
+    sizes = np.array([*map(len, names), 1, 0])
+    assert np.isclose(likelihood, best[0]) and np.isclose(counts @ sizes, len(marked))
 
 
 def test_html(spark):
@@ -225,6 +281,15 @@ def test_token_counts(spark, docs, empty):
         parts = token_counts(df.where("doc_id = 4"), halves, rule).orderBy("section").collect()
         assert np.isclose(sum(p.n_tokens for p in parts), n)
     assert token_counts(empty).count() == 0
+    lines = spark.createDataFrame([(1, "é x\n" * 64_000)], "doc_id long, text string")
+    assert token_counts(lines).agg(F.count("*"), F.sum("n_tokens"), F.max("end")).first() == (64_001, 128_000.0, 256_000)
+    own = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 7), (7, 12), (12, 16))))
+    spans = coder.encode("unbelievableness", add_special_tokens=False).offsets
+    held = [[max(0, min(b, d) - max(a, c)) for a, b in spans] for c, d in ((0, 7), (7, 12), (12, 16))]
+    parts = {rule: [p.n_tokens for p in token_counts(df.where("doc_id = 4"), own, rule).orderBy("section").collect()] for rule in ("start", "most", "share")}
+    assert parts["start"] == [sum(c <= a < d for a, _ in spans) for c, d in ((0, 7), (7, 12), (12, 16))]
+    assert parts["most"] == [sum(max(range(3), key=lambda i: held[i][k]) == j for k in range(len(spans))) for j in range(3)]
+    assert np.allclose(parts["share"], [sum(h / (b - a) for h, (a, b) in zip(row, spans, strict=True)) for row in held])
 
 
 def brute_secrets(text):
@@ -238,7 +303,8 @@ def brute_secrets(text):
 
 def test_secrets(spark):
     key, weak = "AKIA" + "ABCD1234" * 2, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
-    texts = [None, "", "é PassWord = 'abcdef12' x", "token=ab token=abcdefg", "token=token:abcdefgh", "x" + key + " y " + key, "ab" * 30 + "g" + "f" * 23, "api_key: " + "0a" * 20 + " 😀 secret:zzzzzz", f"{weak} alone", f"id {key} secret {weak} at https://s3.example.com", f"{weak} " + "x " * 400 + key, "secret=aaaaaa " * 300]
+    many = " ".join("secret=ab%06d" % i for i in range(16_000))
+    texts = [None, "", "é PassWord = 'abcdef12' x", "token=ab token=abcdefg", "token=token:abcdefgh", "x" + key + " y " + key, "ab" * 30 + "g" + "f" * 23, "api_key: " + "0a" * 20 + " 😀 secret:zzzzzz", f"{weak} alone", f"id {key} secret {weak} at https://s3.example.com", f"{weak} " + "x " * 400 + key, "secret=aaaaaa " * 300, many]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, texts[9])], "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("h", F.lit("clash"))
     rows = find_secrets(df).collect()
     assert len(rows) == len(texts) + 1
