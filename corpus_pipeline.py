@@ -18,8 +18,10 @@ from marketweave.llm.packing import pack
 
 #: Documents whose predicted language has a lower probability are rejected, as are those without a letter.
 LEAST_SCORE = 0.5
-#: Chunks that packing remembers in a worker: fewer than by itself, as the workers have run the other stages before.
-REMEMBERED = 150_000
+#: Bytes of chunks that packing remembers in a worker: fewer than by itself, as the executors have run the other stages before.
+REMEMBERED = 50_000_000
+#: Documents of less evidence for their language are rejected too: on average a letter is that many nats less likely than in the language's own texts.
+LEAST_EVIDENCE = -1.0
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.train(langid.learnable(docs)))
-    return _without(docs, found.where((found.lang_pred == langid.UNDETERMINED) | (found.score < LEAST_SCORE)))
+    return _without(docs, found.where((found.lang_pred == langid.UNDETERMINED) | (found.score < LEAST_SCORE) | (found.evidence < LEAST_EVIDENCE)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
