@@ -49,11 +49,11 @@ def percentile_standing(df: DataFrame, entity: str, suite: str, rank: str, out_o
 
 
 def score_bar(df: DataFrame, suite: str, value: str, lower: bool = False) -> DataFrame:
-    """Min-max place of each score on its board, from 2 to 100; a board with one value is 100."""
+    """Min-max place of each score on its board, from 2 to 100; null on a board with one value, where there is nothing to draw."""
     ends = df.groupBy(suite).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
-    share = F.coalesce(1 - share if lower else share, F.lit(1.0))
-    return df.join(ends, suite).withColumn("bar", F.greatest(F.least(share * 100, F.lit(100.0)), F.lit(2.0))).drop("_low", "_high")
+    share = 1 - share if lower else share
+    return df.join(ends, suite).withColumn("bar", F.when(share.isNotNull(), F.greatest(F.least(share * 100, F.lit(100.0)), F.lit(2.0)))).drop("_low", "_high")
 
 
 def mixed_scale_lift(df: DataFrame, suite: str, value: str) -> DataFrame:

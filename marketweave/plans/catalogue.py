@@ -1,0 +1,364 @@
+"""Queries of the market catalogue as the lens shows it, each with its DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketweave.functions import expressions as X
+from marketweave.functions import names
+from marketweave.operators import checks, joins, market
+from marketweave.plans.lens import LENS_SQL, Catalogue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of the catalogue under its name."""
+
+    def add(f: Callable[[Catalogue], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = LENS_SQL + sql
+        return f
+
+    return add
+
+
+def _norm_sql(c: str) -> str:
+    return f"regexp_replace(replace(lower({c}), '+', 'plus'), '[^a-z0-9]', '', 'g')"
+
+
+_GENERIC = "(" + ", ".join(f"'{w}'" for w in names.TOO_GENERIC) + ")"
+_VENDOR = "(?i)^(" + "|".join(names.VENDORS) + ")[-_/ ]"
+
+
+def _forms_sql(c: str) -> str:
+    bare = f"regexp_replace({c}, '{_VENDOR}', '')"
+    nought = lambda x: rf"regexp_replace({x}, '(\d)\.0($|\D)', '\1\2', 'g')"
+    return f"list_distinct([{_norm_sql(c)}, {_norm_sql(bare)}, {_norm_sql(nought(c))}, {_norm_sql(nought(bare))}])"
+
+
+#: Keys of entities by name alone, and by name or alias.
+_KEYS = f""", named AS (SELECT f AS form, count(DISTINCT id) AS n_claims, min(id) AS entity_id FROM (SELECT id, unnest({_forms_sql('name')}) AS f FROM entities) WHERE f <> '' AND f NOT IN {_GENERIC} GROUP BY 1),
+keys AS (SELECT f AS form, count(DISTINCT id) AS n_claims, min(id) AS entity_id FROM (SELECT id, unnest({_forms_sql('name')}) AS f FROM entities UNION ALL SELECT entity_id, unnest({_forms_sql('alias')}) FROM aliases) WHERE f <> '' AND f NOT IN {_GENERIC} GROUP BY 1)
+"""
+
+
+@query(_KEYS + "SELECT form, n_claims, entity_id FROM keys")
+def name_keys(t):
+    return joins.build_key_index(t.entities, t.aliases)
+
+
+@query(_KEYS + f"SELECT a.source, a.alias, n.entity_id FROM aliases a LEFT JOIN (SELECT * FROM named WHERE n_claims = 1) n ON n.form = {_norm_sql('a.alias')}")
+def resolve_names(t):
+    return joins.resolve(t.aliases.select("source", "alias"), joins.build_key_index(t.entities), "alias").select("source", "alias", "entity_id")
+
+
+@query()
+def misfiled_aliases(t):
+    """No SQL: the forms of a name come from a search over rules."""
+    return joins.misfiled_aliases(t.entities, t.aliases)
+
+
+@query(_KEYS + f"SELECT a.source, a.alias, a.entity_id AS filed_on, n.entity_id FROM aliases a JOIN named n ON n.form = {_norm_sql('a.alias')} WHERE n.n_claims = 1 AND n.entity_id <> a.entity_id")
+def rehome_aliases(t):
+    return joins.rehome_aliases(t.entities, t.aliases)
+
+
+@query(""", one AS (SELECT source, alias, min(entity_id) AS entity_id FROM aliases GROUP BY 1, 2) SELECT source, alias, CASE WHEN own THEN b ELSE entity_id END AS entity_id, CASE WHEN own THEN lane ELSE '' END AS variant FROM (
+  SELECT x.source, x.alias, x.entity_id, x.lane, e.b, x.lane <> '' AND e.b IS NOT NULL AND (x.entity_id IS NULL OR x.entity_id = e.b) AS own FROM (
+    SELECT *, CASE WHEN ends_with(alias, ':batch') THEN 'batch' WHEN ends_with(alias, '-fast') THEN 'fast' ELSE '' END AS lane, regexp_replace(alias, '(:batch|-fast)$', '') AS base FROM one) x
+  LEFT JOIN (SELECT source AS s, alias AS al, entity_id AS b FROM one) e ON e.s = x.source AND e.al = x.base)""")
+def bind_aliases(t):
+    one = t.aliases.groupBy("source", "alias").agg(F.min("entity_id").alias("entity_id"))
+    return joins.bind_alias(one.select("source", "alias"), one).select("source", "alias", "entity_id", "variant")
+
+
+@query(r"""SELECT a.id AS company, b.id AS other FROM (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM providers) a JOIN (SELECT c_custkey AS id, regexp_extract_all(lower(n), '[a-z0-9]+') AS w FROM
+  (SELECT c_custkey, 'Supplier ' || (c_custkey % 400) || CASE c_custkey % 3 WHEN 0 THEN ' Labs, Inc.' WHEN 1 THEN ' Robotics' ELSE '' END AS n FROM customer)) b
+ON a.w = b.w OR (len(b.w) > len(a.w) AND b.w[1 : len(a.w)] = a.w AND len(list_filter(b.w[len(a.w) + 1 :], lambda x: x NOT IN ('inc', 'labs'))) = 0)""")
+def same_company(t):
+    other = t.spark.read.parquet(f"{t.sf_dir}/customer.parquet").select(F.col("c_custkey").alias("other"), F.concat(F.lit("Supplier "), F.col("c_custkey") % 400, F.when(F.col("c_custkey") % 3 == 0, " Labs, Inc.").when(F.col("c_custkey") % 3 == 1, " Robotics").otherwise("")).alias("called"))
+    return joins.same_company(t.providers.select(F.col("id").alias("company"), "name"), other, "name", "called").select("company", "other")
+
+
+@query("SELECT DISTINCT derived_from AS entity_id, id AS plan FROM entities WHERE register = 'subscription' AND derived_from IN (SELECT id FROM entities)")
+def plans_for(t):
+    return joins.plans_for(t.entities)
+
+
+@query("SELECT m.id, m.name, min(p.id) AS sibling FROM entities m LEFT JOIN entities p ON lower(p.name) = regexp_replace(lower(m.name), '-tee$', '') AND NOT ends_with(lower(p.name), '-tee') WHERE ends_with(lower(m.name), '-tee') GROUP BY 1, 2")
+def suffix_sibling(t):
+    return joins.suffix_sibling(t.entities)
+
+
+@query("""SELECT coalesce(b.id, p.id) AS id, b.backers, p.portfolio FROM (SELECT company_id AS id, string_agg(name, '|' ORDER BY lower(name), name, fund_id) AS backers FROM investments JOIN providers f ON f.id = fund_id GROUP BY 1) b
+FULL JOIN (SELECT fund_id AS id, string_agg(name, '|' ORDER BY lower(name), name, company_id) AS portfolio FROM investments JOIN providers c ON c.id = company_id GROUP BY 1) p ON b.id = p.id""")
+def money_edges(t):
+    got = joins.money_edges(t.investments, t.providers)
+    return got.select("id", F.array_join("backers", "|").alias("backers"), F.array_join("portfolio", "|").alias("portfolio"))
+
+
+@query(r"""SELECT c_custkey AS id, e.id AS model FROM (SELECT c_custkey, 's' || (c_custkey % 12) AS owner, lower(replace(p_name, ' ', '-')) || '-' || (p_partkey % 250) AS leaf FROM customer JOIN part ON p_partkey = c_custkey) r
+JOIN entities e ON regexp_replace(lower(e.name), '[^a-z0-9]', '', 'g') = regexp_replace(leaf, '[^a-z0-9]', '', 'g') WHERE e.maker IS NOT NULL AND (owner = e.maker OR (length(e.maker) >= 4 AND contains(owner, e.maker)))""")
+def licence_match(t):
+    read = lambda n: t.spark.read.parquet(f"{t.sf_dir}/{n}.parquet")
+    leaf = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit("-"), F.col("p_partkey") % 250)
+    repos = read("customer").join(read("part"), F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("s"), F.col("c_custkey") % 12, F.lit("/"), leaf).alias("repo"))
+    return joins.licence_match(repos, t.entities.select(F.col("id").alias("model"), "name", "maker")).select("id", "model")
+
+
+@query(r"""SELECT id, CASE WHEN params < 0 THEN NULL WHEN params < 3 THEN 'nano' WHEN params < 10 THEN 'xs' WHEN params < 30 THEN 's' WHEN params < 100 THEN 'm' WHEN params < 300 THEN 'l' WHEN params < 1000 THEN 'xl' WHEN params IS NOT NULL THEN 'frontier' END AS band,
+  round(greatest(size * 0.7 - 1, 0) / 0.65, 6) AS fits, CASE WHEN license IN ('apache-2.0', 'mit', 'cc-by-4.0', 'bsd-3-clause', 'openmdw-1.1') THEN 'open' WHEN license ILIKE 'cc-by-nc%' THEN 'noncommercial' WHEN license = 'proprietary' THEN license WHEN license IS NOT NULL THEN 'open-with-conditions' END AS licence,
+  regexp_matches(lower(family || ' ' || CASE size % 4 WHEN 0 THEN 'error rate' WHEN 1 THEN 'perplexity' ELSE 'score' END), 'rate|error|latency|cost|price|perplex|wer|loss|hallucinat') AS lower, nullif(regexp_extract(name, '^([A-Za-z]+)', 1), '') AS brand,
+  regexp_matches(name, '^[a-z0-9][a-z0-9._-]*$') AS slug, (CASE WHEN contains(name, ' ') THEN 2 ELSE 0 END) + (CASE WHEN contains(name, '/') THEN 0 ELSE 2 END) + (CASE WHEN regexp_matches(name, '[-_]') THEN 0 ELSE 1 END) + (CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 0 END) AS written FROM entities""")
+def entity_facts(t):
+    metric = F.concat_ws(" ", "family", F.when(F.col("size") % 4 == 0, "error rate").when(F.col("size") % 4 == 1, "perplexity").otherwise("score"))
+    return t.entities.select(
+        "id", X.size_band(F.col("params")).alias("band"), F.round(X.fits_billions(F.col("size")), 6).alias("fits"), X.licence_family(F.col("license")).alias("licence"), X.lower_is_better(metric).alias("lower"),
+        X.brand_of(F.col("name")).alias("brand"), X.is_slug(F.col("name")).alias("slug"), X.looks_written(F.col("name")).alias("written"),
+    )
+
+
+@query(r"""SELECT id, coalesce(head, 'commons') AS head, coalesce(nullif(tail, ''), regexp_replace(lower(id), '^ent_', '')) AS tail FROM (SELECT e.id, trim(regexp_replace(replace(replace(lower(e.name), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') AS tail,
+  trim(regexp_replace(replace(replace(lower(p.name), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') AS head FROM entities e LEFT JOIN providers p ON p.id = e.maker)""")
+def entity_address(t):
+    head, tail = X.entity_address(F.col("name"), F.col("id"), F.col("maker_name"))
+    makers = t.providers.select(F.col("id").alias("maker"), F.col("name").alias("maker_name"))
+    return t.entities.join(makers, "maker", "left").select("id", head.alias("head"), tail.alias("tail"))
+
+
+@query("SELECT id, CASE way WHEN 'api' THEN 'per Mtok in' WHEN 'cloud' THEN 'per call' ELSE '' END AS label, CASE way WHEN 'api' THEN 'per million tokens' WHEN 'cloud' THEN 'a call' ELSE '' END AS phrase, CASE variant WHEN 'batch' THEN 'batch' WHEN 'free' THEN 'separately routed' END AS lane FROM offerings")
+def lanes_and_units(t):
+    unit = F.when(F.col("way") == "api", "mtok_in").when(F.col("way") == "cloud", "call").otherwise("other")
+    return t.offerings.select("id", X.unit_label(unit).alias("label"), X.unit_phrase(unit).alias("phrase"), X.lane_family(F.col("variant")).alias("lane"))
+
+
+@query("""SELECT id, CASE input_kind WHEN 'a sound' THEN 'audio' ELSE input_kind END AS input_kind, output_kind, input_kind = 'a sound' AS changed FROM entities""")
+def tidy_kinds(t):
+    new = [X.normalise_kind(F.col(c)) for c in ("input_kind", "output_kind")]
+    return t.entities.select("id", new[0].alias("input_kind"), new[1].alias("output_kind"), (~new[0].eqNullSafe(F.col("input_kind")) | ~new[1].eqNullSafe(F.col("output_kind"))).alias("changed"))
+
+
+def _check_sql() -> str:
+    sold = "JOIN offerings o ON o.id = x.offering_id JOIN entities e ON e.id = o.entity_id JOIN providers p ON p.id = o.provider_id"
+    slug = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
+    counts = {
+        "one model string, two entities": "SELECT alias FROM aliases WHERE alias LIKE '%/%' AND alias NOT LIKE '% %' GROUP BY 1 HAVING count(DISTINCT entity_id) > 1",
+        "one name, two entities under one maker": "SELECT 1 FROM entities GROUP BY maker, lower(name) HAVING count(*) > 1",
+        "a row that contradicts itself about the weights": "SELECT 1 FROM entities WHERE license = 'proprietary' AND open_weights",
+        "a thing whose maker is gone": "SELECT 1 FROM entities WHERE maker IS NOT NULL AND maker NOT IN (SELECT id FROM providers)",
+        "two descriptions for one thing": "SELECT subject FROM docs WHERE kind = 'description' GROUP BY 1 HAVING count(*) > 1",
+        "a description that says nothing": "SELECT 1 FROM docs WHERE kind = 'description' AND length(trim(text)) < 40",
+        "published before its own training data": "SELECT 1 FROM entities WHERE released < knowledge",
+        "a seller credited as the maker": "SELECT 1 FROM entities e JOIN providers p ON p.id = e.maker WHERE p.kind IN ('aggregator', 'cloud') AND NOT EXISTS (SELECT 1 FROM offerings o JOIN entities x ON x.id = o.entity_id WHERE o.provider_id = p.id AND x.maker = p.id AND o.way = 'api')",
+        "one lane written twice at one price": "SELECT 1 FROM sets a WHERE variant = '' AND EXISTS (SELECT 1 FROM sets b WHERE b.entity_id = a.entity_id AND b.provider_id = a.provider_id AND b.way = a.way AND b.r = a.r AND b.id > a.id)",
+        "one name, two providers": "SELECT 1 FROM providers GROUP BY lower(name) HAVING count(*) > 1",
+        "one standing under two labels": "SELECT 1 FROM latest_b GROUP BY entity_id, suite, round(value, 1) HAVING count(*) > 1",
+        "a price of nought": f"SELECT 1 FROM prices x {sold} WHERE micros = 0 AND o.variant <> 'free'",
+        "a resale recorded as the maker's own counter": "SELECT 1 FROM offerings o JOIN providers p ON p.id = o.provider_id JOIN entities e ON e.id = o.entity_id WHERE o.way = 'api' AND p.kind = 'aggregator' AND coalesce(e.maker, '') <> p.id",
+        "a name still shaped like a seller's id": "SELECT 1 FROM entities WHERE name LIKE '%/%' OR name LIKE '%: %' OR name LIKE '%@%'",
+        "a live offering nobody has confirmed in a week": "SELECT 1 FROM offerings o JOIN entities e ON e.id = o.entity_id JOIN providers p ON p.id = o.provider_id, (SELECT max(taken_at) AS today FROM prices) WHERE o.status = 'live' AND o.way IN ('api', 'aggregator', 'cloud') AND o.last_seen < today - INTERVAL 7 DAY AND EXISTS (SELECT 1 FROM offerings z WHERE z.provider_id = o.provider_id AND z.way = o.way AND z.last_seen >= today - INTERVAL 2 DAY)",
+        "a rate far outside its dimension's range": f"SELECT 1 FROM (SELECT *, avg(micros) OVER (PARTITION BY dimension) AS m, count(*) OVER (PARTITION BY dimension) AS n FROM latest_p) x {sold} WHERE n > 20 AND micros > 150 * m",
+        "two sources, two prices for the same thing": f"SELECT 1 FROM (SELECT offering_id, dimension FROM (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY offering_id, dimension, source_url ORDER BY seq DESC, taken_at DESC, micros DESC) = 1) GROUP BY 1, 2 HAVING count(DISTINCT micros) > 1) x {sold}",
+        "a plan that grants nothing you can find": "SELECT 1 FROM entities WHERE register = 'subscription' AND derived_from IS NOT NULL AND derived_from NOT IN (SELECT id FROM entities)",
+        "a plan that never says what it allows": "SELECT 1 FROM entities WHERE register = 'subscription' AND limits = ''",
+        "something given away with no allowance beside it": "SELECT 1 FROM offerings o JOIN entities e ON e.id = o.entity_id JOIN providers p ON p.id = o.provider_id WHERE variant = 'free' AND allowance = ''",
+        "a free price outside the free lane": "SELECT 1 FROM prices x JOIN offerings o ON o.id = x.offering_id JOIN entities e ON e.id = o.entity_id WHERE micros = 0 AND o.variant <> 'free'",
+        "a thing no list will ever show": "SELECT 1 FROM entities WHERE register NOT IN ('model', 'tool', 'agent', 'subscription')",
+        "a card that says nothing": "SELECT 1 FROM entities e WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.subject = e.id AND d.kind = 'description') AND NOT EXISTS (SELECT 1 FROM benchmarks b WHERE b.entity_id = e.id) AND NOT EXISTS (SELECT 1 FROM offerings o JOIN prices x ON x.offering_id = o.id WHERE o.entity_id = e.id) AND NOT EXISTS (SELECT 1 FROM entities s JOIN offerings o ON o.entity_id = s.id JOIN prices x ON x.offering_id = o.id WHERE s.register = 'subscription' AND s.derived_from = e.id)",
+        "an offering with no price": "SELECT 1 FROM offerings o JOIN entities e ON e.id = o.entity_id JOIN providers p ON p.id = o.provider_id WHERE way <> 'local' AND NOT EXISTS (SELECT 1 FROM prices x WHERE x.offering_id = o.id)",
+        "a standing with no place in a field": "SELECT 1 FROM latest_b WHERE rank IS NULL OR out_of IS NULL",
+        "a board that does not say who runs it": "SELECT 1 FROM suites WHERE measurer = '' OR url = ''",
+        "a figure nobody has re-read in a while": f"SELECT DISTINCT o.id FROM latest_p x {sold}, (SELECT max(taken_at) AS today FROM prices) WHERE x.taken_at < today - INTERVAL 45 DAY",
+        "a fact filed under a name nothing reads": "SELECT 1 FROM entities WHERE attribute <> 'license'",
+        "held in the pen and in the catalogue at once": "SELECT 1 FROM (SELECT id FROM providers UNION ALL SELECT id FROM entities) WHERE id IN (SELECT id FROM candidates)",
+        "one maker spelling its own brand two ways": "SELECT 1 FROM (SELECT regexp_extract(trim(name), '^([A-Za-z]+)', 1) AS b, coalesce(maker, '') AS m FROM entities WHERE NOT regexp_matches(trim(name), '^[a-z0-9][a-z0-9._-]*$')) WHERE b <> '' GROUP BY lower(b), m HAVING count(DISTINCT b) > 1",
+        "one address, two things": f"SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY coalesce({slug('p.name')}, 'commons'), {slug('e.name')} ORDER BY e.id) AS k FROM entities e LEFT JOIN providers p ON p.id = e.maker) WHERE k > 1 UNION ALL SELECT 1 FROM providers GROUP BY {slug('name')} HAVING count(*) > 1",
+        "a company that would shadow a reserved address": f"SELECT 1 FROM providers WHERE {slug('name')} IN ('board', 'task', 'top', 'free', 'search')",
+        "a name that cannot be addressed": "SELECT 1 FROM (SELECT name FROM entities UNION ALL SELECT name FROM providers) WHERE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = ''",
+        "two rows one name would reach": "SELECT 1 FROM keys WHERE n_claims > 1",
+        "a word outside the vocabulary": "SELECT DISTINCT 'k', kind FROM providers WHERE kind = 'shop' UNION ALL SELECT DISTINCT 'w', way FROM offerings WHERE way = 'barter' UNION ALL SELECT DISTINCT 'r', register FROM entities WHERE register = 'bundle' UNION ALL SELECT DISTINCT 'i', input_kind FROM entities WHERE register <> 'subscription' AND input_kind = 'a sound'",
+        "a row pointing at nothing": "SELECT 1 FROM offerings WHERE entity_id NOT IN (SELECT id FROM entities) UNION ALL SELECT 1 FROM prices WHERE offering_id NOT IN (SELECT id FROM offerings) UNION ALL SELECT 1 FROM benchmarks WHERE entity_id NOT IN (SELECT id FROM entities) UNION ALL SELECT 1 FROM aliases WHERE entity_id NOT IN (SELECT id FROM entities) UNION ALL SELECT 1 FROM offerings WHERE provider_id NOT IN (SELECT id FROM providers)",
+        "a product with no maker": "SELECT 1 FROM entities WHERE maker IS NULL",
+        "a tag that contradicts the modality": "SELECT 1 FROM (SELECT output_kind, unnest(string_split(tasks, ',')) AS tag FROM entities) WHERE (tag = 'image' AND NOT contains(output_kind, 'image')) OR (tag = 'video' AND NOT contains(output_kind, 'video')) OR (tag IN ('speak', 'music') AND NOT contains(output_kind, 'audio'))",
+        "a name with whitespace stuck to it": "SELECT 1 FROM entities WHERE name <> trim(name) UNION ALL SELECT 1 FROM providers WHERE name <> trim(name) UNION ALL SELECT 1 FROM aliases WHERE alias <> trim(alias)",
+    }
+    assert counts.keys() == checks.RULES.keys()
+    quoted = lambda s: s.replace("'", "''")
+    rows = (f"SELECT '{quoted(name)}' AS \"check\", {str(checks.RULES[name][1]).lower()} AS blocking, (SELECT count(*) FROM ({sql})) AS findings" for name, sql in counts.items())
+    return _KEYS + """, latest_p AS (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY offering_id, dimension ORDER BY seq DESC, micros DESC, taken_at DESC) = 1),
+latest_b AS (SELECT * FROM benchmarks QUALIFY row_number() OVER (PARTITION BY entity_id, suite, metric ORDER BY seq DESC) = 1),
+sets AS (SELECT o.id, any_value(entity_id) AS entity_id, any_value(provider_id) AS provider_id, any_value(way) AS way, any_value(variant) AS variant, list_sort(list(DISTINCT (dimension, micros))) AS r FROM offerings o JOIN prices ON offering_id = o.id GROUP BY 1)
+""" + "\nUNION ALL ".join(rows)
+
+
+@query(_check_sql())
+def run_checks(t):
+    return checks.run_checks(t).drop("sample")
+
+
+# Reports on the market.
+
+_MARKET = """, mx AS (SELECT x.*, source_url LIKE 'https://docs.%' AS own, max(taken_at) OVER (PARTITION BY offering_id, dimension) AS newest FROM prices x),
+cur AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY offering_id, dimension ORDER BY (own AND taken_at >= newest - INTERVAL 45 DAY) DESC, taken_at DESC, seq DESC, micros DESC) = 1),
+sold AS (SELECT o.entity_id, o.provider_id, c.offering_id, c.dimension, c.micros FROM cur c JOIN offerings o ON o.id = c.offering_id WHERE o.status = 'live' AND o.variant = '' AND c.micros > 0),
+rates AS (SELECT entity_id, min(micros) FILTER (dimension = 'mtok_in') AS in_rate, min(micros) FILTER (dimension = 'mtok_out') AS out_rate FROM sold GROUP BY 1),
+fam AS (SELECT *, CASE WHEN license IN ('apache-2.0', 'mit') THEN 'open' WHEN license ILIKE 'cc-by-nc%' THEN 'noncommercial' WHEN license = 'proprietary' THEN license WHEN license IS NOT NULL THEN 'open-with-conditions' END AS lf FROM entities)
+"""
+NICHES = [market.Niche("all", ("click", "view", "purchase", "signup", "error")), market.Niche("chat", ("click", "view"), task="chat"), market.Niche("one", ("purchase",), unit="mtok_in"), market.Niche("open", ("click", "signup", "error"), half="open"), market.Niche("closed", ("view", "signup", "error"), half="proprietary")]
+_NICHES = "(VALUES " + ", ".join(f"('{n.key}', '{b}', {len(n.boards)})" for n in NICHES for b in n.boards) + ") AS listed(niche, suite, n)"
+_STANDS = f""", headline AS (SELECT suite, metric FROM (SELECT suite, metric, count(DISTINCT entity_id) AS c FROM benchmarks GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY suite ORDER BY c DESC, metric) = 1),
+last AS (SELECT b.* FROM benchmarks b JOIN headline USING (suite, metric) QUALIFY row_number() OVER (PARTITION BY suite, entity_id ORDER BY seq DESC) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY value) AS k, count(*) OVER (PARTITION BY suite) AS n FROM last),
+spread AS (SELECT suite, any_value(n) AS n, coalesce((max(value) - max(value) FILTER (k = n - greatest(n // 10, 1))) / nullif(max(value) - min(value), 0) < 0.05, true) AS crowded FROM placed GROUP BY 1 HAVING any_value(n) >= 8),
+shares AS (SELECT l.suite, l.entity_id, crowded, n, CASE WHEN out_of > 1 AND rank >= 1 THEN rank ELSE row_number() OVER (PARTITION BY l.suite ORDER BY CASE WHEN lower_is_better THEN value ELSE -value END, l.entity_id) END AS place, CASE WHEN out_of > 1 AND rank >= 1 THEN out_of ELSE n END AS field
+  FROM last l JOIN spread USING (suite) JOIN suites s ON s.id = l.suite),
+stands AS (SELECT niche, entity_id, avg(1 - (place - 1) / (field - 1)) AS cap, count(*) AS boards FROM shares JOIN {_NICHES} USING (suite) WHERE field >= 2 AND (NOT crowded OR listed.n = 1) GROUP BY 1, 2),
+used AS (SELECT niche, count(DISTINCT suite) AS used FROM shares JOIN {_NICHES} USING (suite) WHERE field >= 2 AND (NOT crowded OR listed.n = 1) GROUP BY 1)
+"""
+_POOL = """, pool AS (SELECT s.*, used, CASE WHEN niche = 'one' THEN in_rate / 1e6 ELSE (in_rate + 3 * out_rate) / 4 / 1e6 END AS cost, f.license, coalesce(f.lf = 'open', false) OR coalesce(f.open_weights, false) AS open
+  FROM stands s JOIN used USING (niche) JOIN rates USING (entity_id) JOIN fam f ON f.id = entity_id WHERE (niche = 'one' AND in_rate IS NOT NULL OR out_rate IS NOT NULL AND in_rate IS NOT NULL) AND (used < 4 OR boards >= 2)
+    AND (niche <> 'chat' OR list_contains(string_split(tasks, ','), 'chat')) AND (niche <> 'open' OR coalesce(f.lf = 'open', false) OR coalesce(f.open_weights, false)) AND (niche <> 'closed' OR f.license = 'proprietary')),
+med AS (SELECT niche, count(*) AS eligible, list_sort(list(cost))[count(*) // 2 + 1] AS mc, list_sort(list(cap))[count(*) // 2 + 1] AS mp FROM pool GROUP BY 1 HAVING count(*) >= 4),
+cells AS (SELECT p.*, eligible, cell FROM pool p JOIN med USING (niche), (VALUES ('value'), ('frontier'), ('open'), ('cheapest')) AS c(cell)
+  WHERE CASE cell WHEN 'value' THEN cost <= mc WHEN 'frontier' THEN true WHEN 'open' THEN p.open AND niche NOT IN ('open', 'closed') AND cap >= mp ELSE cap >= mp END)
+"""
+
+
+@query(_MARKET + _STANDS + _POOL + "SELECT niche, cell, entity_id, round(cost, 6) AS cost, round(cap, 6) AS cap, eligible FROM cells QUALIFY row_number() OVER (PARTITION BY niche, cell ORDER BY CASE WHEN cell = 'cheapest' THEN cost ELSE -cap END, entity_id) = 1")
+def top_picks(t):
+    return market.top_picks(t, NICHES).select("niche", "cell", "entity_id", F.round("cost", 6).alias("cost"), F.round("cap", 6).alias("cap"), "eligible")
+
+
+@query(
+    _MARKET
+    + _STANDS
+    + """, r AS (SELECT niche, entity_id, cap, out_rate, params FROM stands JOIN rates USING (entity_id) JOIN entities e ON e.id = entity_id WHERE in_rate IS NOT NULL AND out_rate < 400000 AND (niche <> 'chat' OR list_contains(string_split(tasks, ','), 'chat')))
+SELECT niche, row_number() OVER (PARTITION BY niche ORDER BY cap DESC, entity_id) AS place, entity_id, round(cap, 6) AS cap, out_rate, params, max(params) OVER (PARTITION BY niche) AS most_params, count(*) OVER (PARTITION BY niche) AS eligible FROM r QUALIFY place <= 3"""
+)
+def bang_report(t):
+    return market.bang_report(t, NICHES, under=0.4).withColumn("cap", F.round("cap", 6))
+
+
+FAMILIES = {"clicks": ("click", "view"), "buys": ("purchase", "signup"), "errors": ("error",)}
+_FAMILY = """, cheap AS (SELECT entity_id, min(micros) AS out_rate FROM sold WHERE dimension = 'mtok_out' AND micros < 600000 GROUP BY 1),
+fp AS (SELECT family, p.entity_id, share, out_rate, params FROM (SELECT family, entity_id, min(rank::DOUBLE / out_of) AS share FROM benchmarks JOIN (VALUES ('clicks', 'click'), ('clicks', 'view'), ('buys', 'purchase'), ('buys', 'signup'), ('errors', 'error')) AS l(family, suite) USING (suite) WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1, 2) p
+  JOIN cheap USING (entity_id) JOIN entities e ON e.id = p.entity_id WHERE register = 'model'),
+top AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY share, out_rate, entity_id) AS place FROM fp QUALIFY place <= 3),
+near AS (SELECT t.family, t.entity_id, k.params AS v, row_number() OVER (PARTITION BY t.family, t.entity_id ORDER BY abs(k.share - t.share), k.params) AS i FROM top t JOIN fp k ON k.family = t.family AND k.params IS NOT NULL WHERE t.params IS NULL),
+est AS (SELECT family, entity_id, list_sort(list(v))[count(*) // 2 + 1] AS estimate FROM near WHERE i <= 3 GROUP BY 1, 2),
+alls AS (SELECT list_sort(list(params))[count(*) // 2 + 1] AS fallback FROM (SELECT DISTINCT entity_id, params FROM fp WHERE params IS NOT NULL)),
+picks AS (SELECT family, place, t.entity_id, share, out_rate, coalesce(params, estimate, fallback) AS params, params IS NULL AND coalesce(estimate, fallback) IS NOT NULL AS estimated FROM top t LEFT JOIN est USING (family, entity_id), alls)
+"""
+
+
+@query(_MARKET + _FAMILY + "SELECT family, place, entity_id, round(share, 6) AS share, out_rate, params, estimated FROM picks")
+def dollar_by_family(t):
+    return market.dollar_by_family(t, FAMILIES, 600_000).withColumn("share", F.round("share", 6))
+
+
+@query(_MARKET + _FAMILY + """SELECT family, count(*) AS models, round(avg(params), 4) AS params, round(avg(out_rate), 4) AS out_rate FROM picks WHERE params IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'Overall', count(*), round(avg(params), 4), round(avg(out_rate), 4) FROM (SELECT * FROM picks WHERE params IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY family) = 1) HAVING count(*) > 0""")
+def family_averages(t):
+    got = market.family_averages(market.dollar_by_family(t, FAMILIES, 600_000))
+    return got.select("family", "models", F.round("params", 4).alias("params"), F.round("out_rate", 4).alias("out_rate"))
+
+
+@query(_MARKET + """SELECT c.entity_id, c.out_rate, in_rate, sellers, boards, round(share, 6) AS share FROM (SELECT entity_id, min(micros) AS out_rate, count(DISTINCT provider_id) AS sellers FROM sold WHERE dimension = 'mtok_out' AND micros < 400000 GROUP BY 1) c
+JOIN (SELECT entity_id, count(DISTINCT suite) AS boards, min(rank::DOUBLE / out_of) AS share FROM benchmarks WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1) b USING (entity_id) JOIN entities e ON e.id = c.entity_id LEFT JOIN (SELECT entity_id, min(micros) AS in_rate FROM sold WHERE dimension = 'mtok_in' GROUP BY 1) i USING (entity_id) WHERE register = 'model'""")
+def dollar_models(t):
+    return market.dollar_models(t, 400_000).withColumn("share", F.round("share", 6))
+
+
+@query(_MARKET + """SELECT id AS entity_id, name, params, license, CASE WHEN params < 3 THEN 'nano' WHEN params < 10 THEN 'xs' WHEN params < 30 THEN 's' WHEN params < 100 THEN 'm' WHEN params < 300 THEN 'l' WHEN params < 1000 THEN 'xl' ELSE 'frontier' END AS band, round(params * 0.65 + 1, 1) AS gb,
+  coalesce(sellers, 0) AS sellers, coalesce(boards, 0) AS boards, in_rate, out_rate FROM entities LEFT JOIN (SELECT entity_id AS id, count(DISTINCT provider_id) AS sellers FROM offerings GROUP BY 1) USING (id) LEFT JOIN (SELECT entity_id AS id, count(DISTINCT suite) AS boards FROM benchmarks GROUP BY 1) USING (id)
+  LEFT JOIN rates ON rates.entity_id = id WHERE register = 'model' AND params IS NOT NULL""")
+def sized_models(t):
+    return market.sized_models(t)
+
+
+@query(_MARKET + """SELECT s.*, a.in_rate, b.in_rate AS sibling_rate FROM (SELECT m.id, m.name, min(p.id) AS sibling FROM entities m LEFT JOIN entities p ON lower(p.name) = regexp_replace(lower(m.name), '-tee$', '') AND NOT ends_with(lower(p.name), '-tee') WHERE ends_with(lower(m.name), '-tee') GROUP BY 1, 2) s LEFT JOIN rates a ON a.entity_id = s.id LEFT JOIN rates b ON b.entity_id = s.sibling""")
+def tee_models(t):
+    return market.tee_models(t)
+
+
+@query(_MARKET + """SELECT 'called' AS part, entity_id, count(DISTINCT provider_id) AS sellers, CAST(sum(rpd) FILTER (allowance <> '') AS BIGINT) AS a_day, count(*) FILTER (allowance <> '') AS stated, any_value(params) AS params, any_value(license) AS license FROM offerings JOIN entities e ON e.id = entity_id WHERE variant = 'free' GROUP BY entity_id
+UNION ALL SELECT 'run', id, NULL, NULL, NULL, params, license FROM fam WHERE register = 'model' AND lf = 'open' UNION ALL SELECT 'research', id, NULL, NULL, NULL, params, license FROM fam WHERE lf = 'noncommercial'""")
+def free_report(t):
+    return market.free_report(t)
+
+
+@query("""SELECT 'company' AS part, p.id, (SELECT count(*) FROM entities e WHERE e.maker = p.id) AS makes, (SELECT count(DISTINCT source_url) FROM docs d WHERE d.subject = p.id) AS said FROM providers p WHERE p.id NOT IN (SELECT provider_id FROM offerings)
+UNION ALL SELECT 'bare', id, 0, 0 FROM entities WHERE id NOT IN (SELECT entity_id FROM offerings JOIN prices ON offering_id = id) AND id NOT IN (SELECT entity_id FROM benchmarks)""")
+def waiting_report(t):
+    return market.waiting_report(t)
+
+
+_TOTALS = "UNION ALL ".join(f"SELECT 'total' AS kind, '{n}' AS value, count(*) AS n FROM {n} " for n in ("providers", "entities", "aliases", "offerings", "prices", "benchmarks", "suites", "docs"))
+
+
+@query(_MARKET + _TOTALS + """UNION ALL SELECT 'register', register, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'way', way, count(*) FROM offerings GROUP BY 2 UNION ALL SELECT 'provider kind', kind, count(*) FROM providers GROUP BY 2
+UNION ALL SELECT 'licence', lf, count(*) FROM fam WHERE lf IS NOT NULL GROUP BY 2 UNION ALL SELECT 'dimension', dimension, count(*) FROM prices GROUP BY 2 UNION ALL SELECT 'task', task, count(*) FROM (SELECT unnest(string_split(tasks, ',')) AS task FROM entities) GROUP BY 2
+UNION ALL SELECT 'gap', 'offering without price', count(*) FROM offerings WHERE id NOT IN (SELECT offering_id FROM prices) UNION ALL SELECT 'gap', 'entity without offering', count(*) FROM entities WHERE id NOT IN (SELECT entity_id FROM offerings)
+UNION ALL SELECT 'gap', 'entity without standing', count(*) FROM entities WHERE id NOT IN (SELECT entity_id FROM benchmarks) UNION ALL SELECT 'gap', 'entity without description', count(*) FROM entities WHERE id NOT IN (SELECT subject FROM docs WHERE kind = 'description')
+UNION ALL SELECT 'gap', 'provider without offering', count(*) FROM providers WHERE id NOT IN (SELECT provider_id FROM offerings)""")
+def coverage_report(t):
+    return market.coverage_report(t)
+
+
+@query("""SELECT id, name, raised, (SELECT count(DISTINCT entity_id) FROM offerings WHERE provider_id = p.id) AS sells, (SELECT count(*) FROM entities e WHERE e.maker = p.id) AS makes,
+  (SELECT arg_min(text, seq) FROM docs d WHERE d.subject = p.id AND kind = 'description' AND text IS NOT NULL AND seq = (SELECT min(seq) FROM docs x WHERE x.subject = p.id AND kind = 'description')) AS what FROM providers p WHERE raised > 0""")
+def startups_report(t):
+    return market.startups_report(t)
+
+
+@query("SELECT person, count(*) AS places, count(DISTINCT company) AS companies FROM (SELECT DISTINCT conv_id % 50 AS company, role, trim(unnest(string_split(text, ', '))) AS person FROM sessions) WHERE person <> '' GROUP BY 1")
+def people_report(t):
+    return market.people_report(t.sessions.withColumn("company", F.col("conv_id") % 50), "company", "role", "text")
+
+
+@query("""SELECT p.id, coalesce(makes, 0) AS makes, coalesce(resells, 0) AS resells, coalesce(sells, 0) AS sells, coalesce(backers, 0) AS backers, coalesce(holds, 0) AS holds, coalesce(makes, 0) + coalesce(sells, 0) + coalesce(backers, 0) + coalesce(holds, 0) > 0 OR raised > 0 AS page FROM providers p
+LEFT JOIN (SELECT maker AS id, count(*) AS makes FROM entities GROUP BY 1) USING (id)
+LEFT JOIN (SELECT provider_id AS id, count(*) AS sells, count(*) FILTER (coalesce(maker, '') <> provider_id) AS resells FROM (SELECT DISTINCT provider_id, entity_id FROM offerings) JOIN entities e ON e.id = entity_id GROUP BY 1) USING (id)
+LEFT JOIN (SELECT company_id AS id, count(*) AS backers FROM investments WHERE fund_id IN (SELECT id FROM providers) GROUP BY 1) USING (id) LEFT JOIN (SELECT fund_id AS id, count(*) AS holds FROM investments WHERE company_id IN (SELECT id FROM providers) GROUP BY 1) USING (id)""")
+def provider_report(t):
+    return market.provider_report(t)
+
+
+@query(_MARKET + """, r AS (SELECT DISTINCT id, unnest(string_split(coalesce(tasks, 'none'), ',')) AS task, coalesce(lf, 'unread') AS licence, register, CASE WHEN coalesce(open_weights AND params <= (64 * 0.7 - 1) / 0.65, false) THEN 'true' ELSE 'false' END AS local, id IN (SELECT entity_id FROM offerings) AS is_sold FROM fam)
+SELECT coalesce(task, '') AS task, coalesce(licence, '') AS licence, coalesce(register, '') AS register, coalesce(local, '') AS local, count(DISTINCT id) AS n, count(DISTINCT id) FILTER (is_sold) AS sold FROM r GROUP BY CUBE (task, licence, register, local)""")
+def list_report(t):
+    return market.list_report(t)
+
+
+@query(_MARKET + """, each AS (SELECT entity_id, dimension, count(DISTINCT provider_id) AS sellers, min((micros, provider_id)) AS low, min((-micros, provider_id)) AS high FROM sold GROUP BY 1, 2),
+best AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sellers DESC, CASE dimension WHEN 'mtok_in' THEN 1 ELSE 2 END) = 1)
+SELECT entity_id, dimension AS unit, sellers, low[1] AS low, low[2] AS cheapest, -high[1] AS high, high[2] AS dearest, lanes FROM best LEFT JOIN (SELECT entity_id, string_agg(DISTINCT CASE variant WHEN 'batch' THEN 'batch' ELSE 'separately routed' END, ',' ORDER BY CASE variant WHEN 'batch' THEN 'batch' ELSE 'separately routed' END) AS lanes FROM offerings WHERE status = 'live' AND variant <> '' GROUP BY 1) USING (entity_id)""")
+def spread_report(t):
+    return market.spread_report(t)
+
+
+@query("SELECT why, kind, count(*) AS n, CAST(sum(sellers) AS BIGINT) AS sellers FROM candidates GROUP BY 1, 2")
+def pen_report(t):
+    return market.pen_report(t)
+
+
+@query(_MARKET + """SELECT entity_id, CASE WHEN p.kind = 'aggregator' THEN provider_id ELSE provider_id || CASE WHEN variant <> '' THEN '/' || variant ELSE '' END END AS place, coalesce(min(micros) FILTER (variant = ''), min(micros)) AS low, max(micros) AS high, count(*) AS ways
+FROM cur c JOIN offerings o ON o.id = c.offering_id JOIN providers p ON p.id = o.provider_id WHERE o.status = 'live' AND micros > 0 AND dimension = 'mtok_in' GROUP BY 1, 2""")
+def seller_lines(t):
+    return market.seller_queue(t)
+
+
+@query("SELECT input_kind, output_kind, count(DISTINCT e.id) AS n, count(DISTINCT suite) AS boards FROM entities e LEFT JOIN benchmarks ON entity_id = e.id GROUP BY 1, 2")
+def modality_pairs(t):
+    return market.modality_pairs(t)
+
+
+@query("SELECT CAST(coalesce(sum(rpd) FILTER (allowance <> ''), 0) AS BIGINT) AS a_day, count(*) FILTER (allowance <> '') AS stated, count(*) FILTER (allowance = '') AS unstated FROM offerings WHERE variant = 'free'")
+def free_total(t):
+    return market.free_total(t)

@@ -175,7 +175,7 @@ def best_standing(spark, sf_dir):
     return facts.best_standing(ranked(spark, sf_dir), "entity", "suite", "rank", "out_of").withColumn("share", F.round("share", 6))
 
 
-@query("SELECT event_id, round(greatest(least(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 1) * 100, 100), 2), 6) AS bar FROM metrics WINDOW w AS (PARTITION BY suite)")
+@query("SELECT event_id, round(greatest(least((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) * 100, 100), 2), 6) AS bar FROM metrics WINDOW w AS (PARTITION BY suite)")
 def score_bar(spark, sf_dir):
     return boards.score_bar(metrics(spark, sf_dir), "suite", "value").select("event_id", F.round("bar", 6).alias("bar"))
 
@@ -302,14 +302,6 @@ def retire_offerings(spark, sf_dir):
     return upserts.retire(o, ["seller"], "last", F.col("today"), 60, 40).select("entity", "seller", "status")
 
 
-@query(", l AS (SELECT DISTINCT l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN ':free' ELSE '' END AS alias FROM lineitem) SELECT alias, left(alias, 1) AS entity_id, CASE WHEN ends_with(alias, ':free') THEN 'free' ELSE '' END AS variant FROM l")
-def bind_alias(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    rows = li.select(F.lit("feed").alias("source"), F.concat("l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, ":free").otherwise("")).alias("alias")).distinct()
-    aliases = li.select(F.lit("feed").alias("source"), F.col("l_returnflag").alias("alias"), F.col("l_returnflag").alias("entity_id")).distinct()
-    return joins.bind_alias(rows, aliases).select("alias", "entity_id", "variant")
-
-
 @query("SELECT regexp_replace(replace(lower(p_name), '+', 'plus'), '[^a-z0-9]', '', 'g') AS form, count(DISTINCT p_partkey) AS n_claims, min(p_partkey) AS p_partkey FROM part GROUP BY 1 HAVING form <> ''")
 def key_index(spark, sf_dir):
     return joins.key_index(read(spark, sf_dir, "part"), "p_partkey", "p_name")
@@ -386,12 +378,12 @@ def cosine_topk_all(spark, sf_dir):
     return text.cosine_topk(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", None, 5)
 
 
-@query("SELECT page_id, array_to_string(list_reverse(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'))[1:2]), '.') AS host FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, array_to_string(list_reverse(list_reverse(string_split(lower(string_split(regexp_replace(url, '^(https?://)*(www\\.)*', ''), '/')[1]), '.'))[1:2]), '.') AS host FROM pages WHERE url IS NOT NULL")
 def host_of(spark, sf_dir):
     return read(spark, sf_dir, "pages").where("url is not null").select("page_id", X.host_of(F.col("url")).alias("host"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(replace(replace(lower(p_brand || ' & ' || p_name), '+', 'plus'), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN p_size <= 4 THEN 0 WHEN p_size <= 15 THEN 1 WHEN p_size <= 40 THEN 2 WHEN p_size <= 120 THEN 3 ELSE 4 END AS band, round(p_size * 0.65 + 1, 1) AS gb FROM part")
+@query("SELECT p_partkey, regexp_replace(regexp_replace(replace(replace(lower(p_brand || ' & ' || p_name), '+', 'plus'), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN p_size < 3 THEN 'nano' WHEN p_size < 10 THEN 'xs' WHEN p_size < 30 THEN 's' WHEN p_size < 100 THEN 'm' ELSE 'l' END AS band, round(p_size * 0.65 + 1, 1) AS gb FROM part")
 def slugs_and_bands(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat_ws(" & ", "p_brand", "p_name")).alias("slug"), X.size_band(F.col("p_size")).alias("band"), X.memory_gb(F.col("p_size").cast("double")).alias("gb"))
 
@@ -402,7 +394,7 @@ def cost_micros(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", X.cost_micros(F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cost"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9@._-]+'), lambda x: regexp_matches(x, '[0-9@]')))), ' ') AS identifiers FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: lower(regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))), lambda x: regexp_matches(x, '[0-9@]')))), ' ') AS identifiers FROM documents WHERE text IS NOT NULL")
 def identifiers(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(X.extract_identifiers(F.col("text")), " ").alias("identifiers"))
 
