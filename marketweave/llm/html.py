@@ -1,9 +1,10 @@
-"""Main text of pages: article elements, lists of names, and text that equivalence classes of tokens show to be constant on a host."""
+"""Main text of pages: equivalence classes of tokens give every host a template, and what is left in its slots is the text; fixed names tell which elements are no article."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,11 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import materialise, sized_broadcast
+from marketweave.llm.common import materialise, slices
 
 #: A class is part of its host's template if its tokens are on this share of the host's pages, all equally often,
 #: there are this many of them and of the pages.
 SHARE, LEAST_TOKENS, LEAST_PAGES = 0.9, 2, 4
+#: Size of all templates up to which they are broadcast; beyond it pages are joined by host, where Spark splits a hot one.
+BROADCAST_BYTES = 8_000_000
 
 # Elements whose content is never text, and elements and names that are not the article.
 HIDDEN = frozenset("head title script style noscript template svg iframe object canvas select option textarea button".split())
@@ -36,7 +39,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = frozenset("br td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -171,40 +174,61 @@ def _print(path: str, text: str) -> int:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, is_text, pages, vector): the vector xors a hash of page and count over the batch's pages."""
-    for batch in batches:
+    """(host, token, is_text, pages, high, low, places) over the batch's pages: high and low sum the halves of a hash of page and count, places the first place on each page."""
+    for batch in slices(batches):
         seen: dict[tuple[str, int, bool], list[int]] = {}
         for page, url, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            host, found = host_of(url), Counter()
-            for path, text, *_ in blocks_of(source):
-                found[(_print(path, text), True)] += 1
-                found[(_print(path, ""), False)] += 1
+            host, found, first = host_of(url), Counter(), {}
+            for place, (path, text, *_) in enumerate(blocks_of(source)):
+                for token in ((_print(path, text), True), (_print(path, ""), False)):
+                    found[token] += 1
+                    first.setdefault(token, place)
             found[(0, False)] = 1  # the page itself
             for (token, is_text), n in found.items():
-                entry = seen.setdefault((host, token, is_text), [0, 0])
-                entry[0] += 1
-                entry[1] ^= xxhash.xxh3_64_intdigest(f"{page}\x00{n}")
+                entry = seen.setdefault((host, token, is_text), [0, 0, 0, 0])
+                h = xxhash.xxh3_64_intdigest(f"{page}\x00{n}")
+                for i, v in enumerate((1, h >> 32, h & 0xFFFFFFFF, first.get((token, is_text), 0))):
+                    entry[i] += v
         keys = list(seen)
         cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))]
-        cols += [pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] - 2**63 for v in seen.values()], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["host", "token", "is_text", "pages", "vector"])
+        cols += [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays(cols, ["host", "token", "is_text", "pages", "high", "low", "places"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, constant): of each host, the tokens of text in its template, from pages(page_id, url, html).
+    """(host, template): of each host, the tokens of text that its pages share, in the order in which they stand, from pages(page_id, url, html).
 
     Tokens with one occurrence vector over all pages of the host form an equivalence class; a class is
-    valid if it is large and on nearly all pages. Classes are neither ordered nor nested, so they
-    tell constant text but no slots. A vector is known by the xor of its entries' hashes, so classes come from one aggregation over all pages.
-    A host with few pages has no template.
+    valid if it is large and on nearly all pages. Valid classes nest into one another by the places of their tokens: the template is their one order, and
+    what stands between two of its tokens is a slot. A vector is known by sums of its entries' hashes, so classes come from one aggregation over all pages,
+    and a page that is there twice counts twice for all its tokens alike. A host with few pages has no template.
     """
-    counts = pages.mapInArrow(_occurrences, "host string, token long, is_text boolean, pages long, vector long")
-    counts = counts.groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    counts = pages.mapInArrow(_occurrences, "host string, token long, is_text boolean, pages long, high long, low long, places long")
+    counts = counts.groupBy("host", "token", "is_text").agg(*(F.sum(c).alias(c) for c in ("pages", "high", "low", "places")))
     counts = materialise(counts.where("pages > 1"), "tokens")
     size = counts.where("token = 0").select("host", F.col("pages").alias("of"))
     often = counts.where("token <> 0").join(size, "host").where((F.col("of") >= LEAST_PAGES) & (F.col("pages") >= SHARE * F.col("of")))
-    valid = often.groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts")).where(F.col("tokens") >= LEAST_TOKENS)
-    return valid.select("host", F.explode("texts").alias("token")).groupBy("host").agg(F.collect_set("token").alias("constant"))
+    placed = F.struct((F.col("places") / F.col("pages")).alias("place"), "token")
+    valid = often.groupBy("host", "high", "low").agg(F.count("*").alias("tokens"), F.collect_list(F.when(F.col("is_text"), placed)).alias("texts")).where(F.col("tokens") >= LEAST_TOKENS)
+    ordered = valid.select("host", F.explode("texts").alias("t")).groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return ordered.select("host", F.transform("t", lambda t: t["token"]).alias("template"))
+
+
+def in_order(ranks: list[int | None]) -> set[int]:
+    """Places of the longest run of growing ranks: the template's tokens that a page has where the template has them."""
+    best: list[int] = []  # best[k]: place that ends the run of k + 1 ranks with the least last rank
+    before: dict[int, int | None] = {}
+    for i, r in enumerate(ranks):
+        if r is None:
+            continue
+        k = bisect_left(best, r, key=lambda j: ranks[j])
+        before[i] = best[k - 1] if k else None
+        best[k : k + 1] = [i]
+    run, at = set(), best[-1] if best else None
+    while at is not None:
+        run.add(at)
+        at = before[at]
+    return run
 
 
 def _without_menus(blocks: list[tuple[str, str, bool, bool, float]]) -> list[tuple[str, str, bool, bool, float]]:
@@ -222,32 +246,32 @@ def _without_menus(blocks: list[tuple[str, str, bool, bool, float]]) -> list[tup
     return out[:-1]
 
 
-def _article(blocks: list[tuple[str, str, bool, bool, float]], constant: frozenset[int]) -> list[str]:
-    """The texts of the article: its elements' blocks whole, or on a page without any what is not constant there.
+def _article(blocks: list[tuple[str, str, bool, bool, float]], template: dict[int, int]) -> list[str]:
+    """The texts of the slots: blocks that are neither the template's nor aside, and all of an article element.
 
-    Without an article or main, constant blocks that stand between two others of their parent are the article's too.
+    Tokens of the template count only in its order. Without an article or main, those that stand between two
+    slots of one parent are part of the text round them.
     """
     slots = [b for b in blocks if not b[2]]
     if any(b[3] for b in slots):
         return [b[1] for b in slots if b[3]]
     slots = _without_menus(slots)
-    own = [_print(b[0], b[1]) not in constant for b in slots]
+    fixed = in_order([template.get(_print(b[0], b[1])) for b in slots])
     first: dict[str, int] = {}
     last: dict[str, int] = {}
     for i, b in enumerate(slots):
-        if own[i]:
+        if i not in fixed:
             first.setdefault(b[0].rpartition("/")[0], i)
             last[b[0].rpartition("/")[0]] = i
-    kept = [b[1] for i, b in enumerate(slots) if own[i] or first.get(up := b[0].rpartition("/")[0], i) < i < last.get(up, i)]
+    kept = [b[1] for i, b in enumerate(slots) if i not in fixed or first.get(up := b[0].rpartition("/")[0], i) < i < last.get(up, i)]
     return kept or [b[1] for b in slots]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
-        for source, constant in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            found = blocks_of(source)
-            texts.append("\n\n".join(_article(found, frozenset(constant or ()))))
+        for source, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            texts.append("\n\n".join(_article(blocks_of(source), {token: i for i, token in enumerate(template or ())})))
         texts = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, pc.utf8_length(texts).cast(pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -257,8 +281,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The text is the article's blocks in page order between blank lines: all that article or main hold, or else
     the page, without menus, headers, footers, sidebars, notices, adverts, forms, hidden elements and reader
-    comments, which are known by fixed names. On pages without article or main, text that is the same on
-    nearly all pages of the host is left out unless it stands between other text of its parent. A page that would be left
+    comments, which are known by fixed names. On pages without article or main, text of the host's template, the same and in the same order on
+    nearly all its pages, is left out unless it stands between other text of its parent. A page that would be left
     without any block keeps the constant ones. Null or empty html gives an empty text; a null url is the
     host "". Unclosed and cut-off markup is read as far as it goes. Repeated rows are extracted each; an
     empty table gives an empty result; other columns are ignored.
@@ -266,5 +290,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     known = materialise(templates(rows), "templates")
-    rows = rows.withColumn("host", host).join(sized_broadcast(known, 10_000), "host", "left")
-    return rows.select("page_id", "url", "html", "constant").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    size = known.agg(F.sum(F.size("template") * 8 + 64)).first()[0] or 0
+    rows = rows.withColumn("host", host).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
+    return rows.select("page_id", "url", "html", "template").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -46,3 +46,12 @@ def test_constant_text_of_an_article_is_kept(spark):
     for i in range(6):
         assert got[i] == f"Head\n\nShared line\n\nown {i}\n\nShared end"
         assert got[10 + i] == f"own {i}\n\nShared line\n\nmore {i}"
+
+
+def test_varying_pages_of_one_host_and_pages_twice(spark):
+    """Template text out of its order is text; a page that is there twice changes no class."""
+    bare = "<body><div>top</div><div><p>own {0}</p></div><div>bottom</div><div>end</div>"
+    moved = "<body><div>end</div><div><p>own m</p></div><div>top</div><div>bottom</div>"
+    rows = [(i, "http://b.org/", bare.format(i)) for i in range(12)] * 2 + [(99, "http://b.org/", moved)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}" for i in range(12)) and got[99] == "end\n\nown m"
