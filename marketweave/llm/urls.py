@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
@@ -10,42 +11,65 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One strict term rejects a url; SOFT_HITS distinct soft terms do.
-STRICT = ("casino", "porn", "xxx", "viagra", "cheap-pills", "spam-farm", "warez", "escort", "jackpot", "sexcam")
-SOFT = ("adult", "bet", "bonus", "cheap", "click", "crack", "deal", "free", "pills", "poker", "promo", "sex", "spam", "win")
-SOFT_HITS = 2
+#: The weight at which terms reject a url. A strict term has it alone; soft terms need several different ones.
+REJECT = 4
+
+#: Terms that reject a url by themselves, by subject.
+STRICT = (
+    "casino casinos roulette blackjack baccarat jackpot jackpots slots sportsbook bookmaker betting free-bets freebets poker-online online-casino "
+    "porn porno pornhub xxx sexcam sexcams camgirl camgirls hentai milf nude nudes escort escorts striptease webcam-sex adult-chat "
+    "viagra cialis levitra tramadol xanax valium modafinil steroids cheap-pills online-pharmacy no-prescription "
+    "warez keygen keygens crackz torrents nulled serialz cracked-software free-movies-online "
+    "spam-farm link-farm linkfarm seo-links buy-backlinks buy-followers essay-mill payday-loan payday-loans get-rich-quick"
+).split()
+#: Terms that reject a url only together, and their weights.
+SOFT = {
+    3: "adult sex sexy gambling lottery pills pharmacy replica counterfeit loan loans forex torrent crack serial".split(),
+    2: (
+        "bet bets bingo poker bonus bonuses jackpotcity win winner winners prize prizes cash earn money rich crypto bitcoin investment trading "
+        "cheap cheapest discount discounts deal deals coupon coupons promo sale buy order pill drug drugs weight diet slim detox hot girls dating singles chat cam cams "
+        "spam clickbait click clicks traffic backlinks followers likes seo ads adserver popunder affiliate referral download downloads mp3 iptv apk mod hack hacks cheat cheats proxy vpn-free"
+    ).split(),
+    1: "free best top now online live 24h vip club offer offers gift gifts instant easy fast secret trick tricks hd stream streaming watch viral shop store".split(),
+}
 
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
-def vocabulary(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> ahocorasick.Automaton:
+def weights(strict: list[str] = STRICT, soft: dict[int, list[str]] = SOFT) -> dict[str, int]:
+    """Every term's weight; a strict one has that of a rejection."""
+    return {t: w for w, terms in soft.items() for t in terms} | dict.fromkeys(strict, REJECT)
+
+
+def vocabulary(terms: dict[str, int]) -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for term in soft:
-        made.add_word(term, (term, False))
-    for term in strict:
-        made.add_word(term, (term, True))
+    for term, weight in terms.items():
+        made.add_word(term, (term, weight))
     made.make_automaton()
     return made
 
 
-def judged(url: str, automaton: ahocorasick.Automaton, soft_hits: int = SOFT_HITS) -> bool:
-    """True to reject: a term counts where neither neighbour is a letter or digit."""
-    low, soft = url.lower(), set()
-    for end, (term, strict) in automaton.iter(low):
+def judged(url: str, automaton: ahocorasick.Automaton) -> bool:
+    """True to reject: the weights of the different terms between boundaries, where no letter or digit touches them, reach REJECT.
+
+    Percent-encoded bytes are read as what they stand for.
+    """
+    low, met = unquote(url).lower(), {}
+    for end, (term, weight) in automaton.iter(low):
         begin = end - len(term)
         if (begin < 0 or not low[begin].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
-            if strict:
+            if weight >= REJECT:
                 return True
-            soft.add(term)
-    return len(soft) >= soft_hits
+            met[term] = weight
+    return sum(met.values()) >= REJECT
 
 
-def _verdicts(strict, soft, soft_hits):
+def _verdicts(terms: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = vocabulary(strict, soft)
+        automaton = vocabulary(terms)
         for b in batches:
-            bad = [bool(u) and judged(u, automaton, soft_hits) for u in b.column(1).to_pylist()]
+            bad = [bool(u) and judged(u, automaton) for u in b.column(1).to_pylist()]
             cols = [b.column(0), b.column(2), b.column(3), b.column(4), pc.if_else(pa.array(bad, pa.bool_()), "block", "allow")]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "said"])
 
@@ -56,12 +80,12 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_hits: int = SOFT_HITS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, terms: dict[str, int] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule (host
-    and path together, then the longer host) wins. Without a rule, one strict term or soft_hits distinct
-    soft ones between boundaries block. A null url, or one without "://", has empty host and path; a
+    and path together, then the longer host) wins. Without a rule, one strict term or distinct soft ones whose
+    weights sum to REJECT block, all between boundaries; terms gives each its weight. A null url, or one without "://", has empty host and path; a
     null url is allowed. Repeated rows are judged alike; an empty table gives an empty result; other
     columns are ignored. Rules are a small constant list, compiled into the plan.
     """
@@ -77,5 +101,5 @@ def filter_urls(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT,
         by_rule = F.when(F.col("rule") == of + start, F.lit(what)).otherwise(by_rule)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"))
-    rows = rows.mapInArrow(_verdicts(strict, soft, soft_hits), "page_id long, host string, path string, rule string, said string")
+    rows = rows.mapInArrow(_verdicts(weights() if terms is None else terms), "page_id long, host string, path string, rule string, said string")
     return rows.select("page_id", "host", "path", "rule", F.coalesce(by_rule, "said").alias("verdict"))
