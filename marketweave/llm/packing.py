@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import materialise
+from marketweave.llm.common import materialise, trim
 from marketweave.llm.tokens import REMEMBERED, encoder
 
 
@@ -32,6 +32,7 @@ def _pieces(capacity: int, end_id: int, path: str | None, remembered: int):
                         col.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return run
 
@@ -48,11 +49,13 @@ class Plan:
         for length, n in counts.items():
             self.left[length] = n
         self.patterns: list[tuple[tuple[int, ...], int]] = []
-        #: Index of the sums of two available lengths. Counts only fall, so it never misses one; entries that have gone stale are struck out when met.
-        self.sums = np.zeros(capacity + 1, bool)
+        #: Index of the sums of two and of three available lengths. Counts only fall, so it never misses one; entries that have gone stale are struck out when met.
+        self.pairs, self.triples = np.zeros(capacity + 1, bool), np.zeros(capacity + 1, bool)
         have = np.flatnonzero(self.left)
         for a in have:
-            self.sums[a + have[have <= capacity - a]] = True
+            self.pairs[a + have[have <= capacity - a]] = True
+        for a in have:
+            self.triples[a:] |= self.pairs[: capacity + 1 - a]
         self._exact()
         self._best_fit()
 
@@ -79,14 +82,18 @@ class Plan:
                 return (gap,)
             if pair := self._pair(gap):
                 return pair
-            have = np.flatnonzero(self.left[1:gap] > 0) + 1
-            if not len(have):
+            if not self.triples[gap]:
                 return None
-            for c in map(int, have[self.sums[gap - have]][::-1]):
+            have, stale = np.flatnonzero(self.left[1:gap] > 0) + 1, True
+            for c in map(int, have[self.pairs[gap - have]][::-1]):
                 if pair := self._pair(gap - c, c):
                     return (c, *pair)
-                if not self._pair(gap - c):
-                    self.sums[gap - c] = False
+                if self._pair(gap - c):
+                    stale = False  # c is there too few times beside the pair, or the one length already taken
+                else:
+                    self.pairs[gap - c] = False
+            if stale and self.left[length] >= 3:
+                self.triples[gap] = False
             return None
         finally:
             self.left[length] += 1
