@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.llm.common import slices
 from marketweave.llm.tokens import encoder
 
 RULES = ("start", "most", "share")
@@ -52,7 +53,7 @@ def lines_of(raw: bytes) -> np.ndarray:
 def _counts(rule: str, path: str | None, lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             raws = [r or b"" for r in batch.column(1).cast(pa.binary()).to_pylist()]
             if lines:
                 bounds = map(lines_of, raws)

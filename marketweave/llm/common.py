@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (ids or 64-bit keys) is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 100_000
 
+#: Rows that Spark sends to Python at a time, at most, while an operator's tables are written: texts may be long.
+BATCH_ROWS = 1_000
+
 #: The six characters that `[\x20\x09-\x0D]` matches.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -29,11 +33,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows within, so that neither side holds thousands of texts at once; the session's own setting after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +66,8 @@ def materialise_by(df: DataFrame, name: str, col: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{table}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), col).option("path", path).saveAsTable(table, format="parquet")
+    with small_batches(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), col).option("path", path).saveAsTable(table, format="parquet")
     return spark.table(table), table
 
 
@@ -60,12 +85,17 @@ _held: dict[object, Any] = {}
 
 
 def release_state() -> None:
-    """Let go of what worker_state keeps in this worker and give freed memory back to the system, so that an operator does not run beside the leavings of the one before."""
+    """Let go of what worker_state keeps in this worker, so that an operator does not run beside the leavings of the one before."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
-        trim(0)
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        give(0)
 
 
 def worker_state(key: object, make: Callable[[], Any]) -> Any:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import materialise, worker_state
+from marketweave.llm.common import materialise, slices, worker_state
 from marketweave.llm.wordcodes import SIZE, WordCodes, equal_before, equal_from
 
 #: Characters of test items in one automaton, about 100 MB of a worker; a larger benchmark is scanned for in blocks of about this size.
@@ -97,7 +97,7 @@ def _scan(shared, token: str, window: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = worker_state(token, lambda: ItemAutomaton(shared.value, window))
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             raws = batch.column(1).cast(pa.binary()).to_pylist()
             for raw, ranges, items in zip(raws, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

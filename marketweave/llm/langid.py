@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from marketweave.llm.common import materialise, worker_state
+from marketweave.llm.common import materialise, slices, worker_state
 
 #: The vocabulary file that is meant where none is named.
 VOCABULARY = "piece_bpe_32k.model"
@@ -241,7 +241,7 @@ class Scorer:
 def _predict(shared, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_state(token, lambda: Scorer(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             named, scores, evidence = [], [], []
             for at in range(0, len(texts), 2000):
