@@ -201,12 +201,15 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
 def test_urls(spark):
     cases = {
         "https://www.example.com/en/x": ("www.example.com/en/", "allow"), "https://a.Example.COM/en/x?q": ("example.com/en/", "block"), "http://x.com": (None, "allow"), "http://x.com/": ("com/", "allow"), "http://q.net/fr/": ("net/fr/", "block"),
-        "http://x.org/casino/": (None, "block"), "http://x.org/casinos/": (None, "allow"), "http://x.org/free-bonus": (None, "block"), "http://x.org/free/free": (None, "allow"), "nothing": (None, "allow"), None: (None, "allow"), "": (None, "allow"),
+        "http://x.org/casino/": (None, "block"), "http://x.org/casinoist/": (None, "allow"), "http://x.org/free-bonus": (None, "allow"), "http://x.org/free-bonus/win": (None, "block"), "http://x.org/bonus/win": (None, "block"), "http://x.org/free/free/bonus/bonus": (None, "allow"), "http://x.org/a%20casino%2Fb": (None, "block"), "http://x.org/20casino": (None, "allow"),
+        "http://free-bets.example.org/": (None, "block"), "http://casino.x.org": (None, "block"), "http://mycasino.org": (None, "allow"), "http://x.org/CASINO": (None, "block"), "http://x.org/" + "a" * 100_000 + "/casino": (None, "block"), "http://x.org/best%": (None, "allow"), "nothing": (None, "allow"), None: (None, "allow"), "": (None, "allow"),
     }
     df = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
     assert got == dict(enumerate(cases.values()))
     assert urls.filter_urls(df.limit(0)).count() == 0
+    only = {r.page_id: r.verdict for r in urls.filter_urls(df, rules=(), terms={"nothing": urls.REJECT}).collect()}
+    assert [k for k, v in only.items() if v == "block"] == [list(cases).index("nothing")]
 
 
 def test_language(spark):
@@ -259,10 +262,26 @@ def test_html(spark):
     pages += [(10, None, None), (11, "http://h.org/e", ""), (12, "x", "plain <b>text"), (13, "y", "<p>a</p><ul><li><a href=x>link</a></li></ul><p>b &lt; c"), (13, "y", "<p>a</p><ul><li><a href=x>link</a></li></ul><p>b &lt; c")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = {r.page_id: r.text for r in html.extract_text(df).collect()}
-    assert all(got[i] == f"own {i}" or got[i] == f"Head & more\n\nOne bold text next\n\nTwo\n\nShared line\n\nown {i}" for i in range(6))
+    assert all(got[i] == f"Head & more\n\nOne bold text next\n\nTwo\n\nShared line\n\nown {i}" for i in range(6))
     assert got[10] == got[11] == "" and got[12] == "plain text" and got[13] == "a\n\nb < c"
     assert html.extract_text(df).count() == len(pages) and html.extract_text(df.limit(0)).count() == 0
-    assert html_lib.unescape("&amp;") == "&"
+
+
+def test_html_of_the_shared_pages(spark):
+    """Against a reading of their one shape: the article cut at its block tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract_text(pages).collect()}
+    for r in pages.collect():
+        article = re.search("(?s)<article[^>]*>(.*?)</article>", r.html or "")
+        parts = re.split(r"</?(?:h[1-6]|p|div|ul|ol|li|table|tr|blockquote|pre|section)(?:\s[^>]*)?>", re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>", "", article[1] if article else ""))
+        blocks = [" ".join(html_lib.unescape(re.sub("<[^>]*>", lambda m: " " if m[0][:3] in ("<br", "<td", "<th") else "", p)).split()) for p in parts]
+        want = "\n\n".join(b for b in blocks if b)
+        assert got[r.page_id] == (want, len(want)), r.page_id
+
+
+def test_template_keeps_its_order():
+    assert html.in_order([2, None, 0, 1, None, 5, 3]) in ({2, 3, 5}, {2, 3, 6}) and html.in_order([]) == html.in_order([None]) == set()
+    assert [b[1] for b in html.blocks_of("<p title='1 > 0'>a</p><p title=\"x>y\" id=z>b<p title='broken>c")] == ["a", "b", "c"]
 
 
 def test_token_counts(spark, docs, empty):
