@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ def report(findings: dict[str, tuple[DataFrame, bool]], sample: int = 5) -> Data
 
 # Lengths of a good title and description, and the heaviest page, in characters and bytes.
 TITLE_MOST, DESCRIPTION_LEAST, DESCRIPTION_MOST, PAGE_MOST = 70, 60, 320, 60_000
+# Fixed value: a tag that reached the reader as text.
+ESCAPED = r"&lt;(span|div|a|b|p)\b"
 
 
 def audit_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -48,7 +50,7 @@ def audit_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
         "no description": description == "",
         "no canonical address": ~c.rlike(r"""(?i)<link\s[^>]*rel="canonical\""""),
         "not exactly one h1": F.size(F.regexp_extract_all(c, F.lit(r"(?i)<h1[\s>]"), F.lit(0))) != 1,
-        "escaped markup": c.rlike(r"&lt;/?(p|div|span|a|b)\b"),
+        "escaped markup": c.rlike(ESCAPED),
         "empty heading": c.rlike(r"(?i)<h[1-6][^>]*>\s*</h[1-6]>"),
         "long title": F.char_length(title) > TITLE_MOST,
         "short or long description": (description != "") & ((F.char_length(description) < DESCRIPTION_LEAST) | (F.char_length(description) > DESCRIPTION_MOST)),
@@ -71,3 +73,31 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 def top_findings(df: DataFrame, rule: str, order: list[str], k: int = 5) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(rule).orderBy(*order))).where(F.col("place") <= k)
+
+
+# Fixed value: how a page carries structured data.
+STRUCTURED = r"""(?s)<script type="application/ld\+json">(.*?)</script>"""
+
+
+def broken_data(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(url, data) of structured data that is not JSON."""
+    found = pages.select(F.col(url).alias("url"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(STRUCTURED), F.lit(1))).alias("data"))
+    return found.where(F.try_parse_json("data").isNull())
+
+
+def path_of(url: Column) -> Column:
+    """The path of a url; a url without a host is its own path."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:.*?://[^/?#]*)?([^?#]*)", 1)
+
+
+def dead_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(target, pages) of links to addresses that no page has, with the number of pages that have them."""
+    have = pages.select(path_of(F.col(url)).alias("target")).distinct()
+    return links(pages, url, html).distinct().join(have, "target", "left_anti").groupBy("target").agg(F.count("*").alias("pages"))
+
+
+def unlisted_pages(pages: DataFrame, listed: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(rule, target): linked addresses that are not listed(path), and listed ones without a page."""
+    linked = links(pages, url, html).select("target").distinct().join(listed.select(F.col("path").alias("target")), "target", "left_anti")
+    missing = listed.select(F.col("path").alias("target")).distinct().join(pages.select(path_of(F.col(url)).alias("target")), "target", "left_anti")
+    return linked.select(F.lit("linked, not listed").alias("rule"), "target").union(missing.select(F.lit("listed, no page"), "target"))

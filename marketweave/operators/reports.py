@@ -24,14 +24,6 @@ def board_report(readings: DataFrame, suite: str, entity: str, value: str) -> Da
     return boards.rank_board(boards.score_bar(lifted, suite, value), suite, value, [entity])
 
 
-def dollar_models(current: DataFrame, standings: DataFrame, entity: str, dimension: str, value: str, lead: str, out: str, most: int, rank: str = "rank", out_of: str = "out_of") -> DataFrame:
-    """Placed entities whose lowest rate in the unit out is at most so much, with their lead rate if any and mean share beaten."""
-    low = lambda d: current.where((F.col(dimension) == d) & (F.col(value) > 0)).groupBy(entity)
-    cheap = low(out).agg(F.min(value).alias("out_rate")).where(F.col("out_rate") <= most)
-    placed = standings.where(F.col(rank).isNotNull() & (F.col(out_of) > 1)).groupBy(entity).agg(F.avg((F.col(out_of) - F.col(rank)) / (F.col(out_of) - 1)).alias("mean_share"))
-    return cheap.join(placed, entity).join(low(lead).agg(F.min(value).alias("lead_rate")), entity, "left")
-
-
 def newest_dates(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """The newest date of every key over several (table, key, date); each is reduced before they meet."""
     parts = [df.groupBy(F.col(key).alias("key")).agg(F.max(date).alias("newest")) for df, key, date in tables]

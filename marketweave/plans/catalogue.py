@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
 from marketweave.functions import names
-from marketweave.operators import checks, joins, market
+from marketweave.operators import checks, joins, maintenance, market, quality
 from marketweave.plans.lens import LENS_SQL, Catalogue
+from marketweave.sources import price_files, rate_cards, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -247,7 +250,7 @@ def bang_report(t):
 
 FAMILIES = {"clicks": ("click", "view"), "buys": ("purchase", "signup"), "errors": ("error",)}
 _FAMILY = """, cheap AS (SELECT entity_id, min(micros) AS out_rate FROM sold WHERE dimension = 'mtok_out' AND micros < 600000 GROUP BY 1),
-fp AS (SELECT family, p.entity_id, share, out_rate, params FROM (SELECT family, entity_id, min(rank::DOUBLE / out_of) AS share FROM benchmarks JOIN (VALUES ('clicks', 'click'), ('clicks', 'view'), ('buys', 'purchase'), ('buys', 'signup'), ('errors', 'error')) AS l(family, suite) USING (suite) WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1, 2) p
+fp AS (SELECT p.family, p.entity_id, share, out_rate, params FROM (SELECT family, entity_id, min(rank::DOUBLE / out_of) AS share FROM benchmarks JOIN (VALUES ('clicks', 'click'), ('clicks', 'view'), ('buys', 'purchase'), ('buys', 'signup'), ('errors', 'error')) AS l(family, suite) USING (suite) WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1, 2) p
   JOIN cheap USING (entity_id) JOIN entities e ON e.id = p.entity_id WHERE register = 'model'),
 top AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY share, out_rate, entity_id) AS place FROM fp QUALIFY place <= 3),
 near AS (SELECT t.family, t.entity_id, k.params AS v, row_number() OVER (PARTITION BY t.family, t.entity_id ORDER BY abs(k.share - t.share), k.params) AS i FROM top t JOIN fp k ON k.family = t.family AND k.params IS NOT NULL WHERE t.params IS NULL),
@@ -362,3 +365,190 @@ def modality_pairs(t):
 @query("SELECT CAST(coalesce(sum(rpd) FILTER (allowance <> ''), 0) AS BIGINT) AS a_day, count(*) FILTER (allowance <> '') AS stated, count(*) FILTER (allowance = '') AS unstated FROM offerings WHERE variant = 'free'")
 def free_total(t):
     return market.free_total(t)
+
+
+# Upkeep.
+
+
+@query(f""", k AS (SELECT id, register, coalesce(maker, '') AS m, {_norm_sql('name')} AS form, name FROM entities), w AS (SELECT id, sum(n) AS n FROM (SELECT entity_id AS id, count(*) AS n FROM offerings o JOIN prices ON offering_id = o.id GROUP BY 1 UNION ALL SELECT entity_id, count(*) FROM benchmarks GROUP BY 1) GROUP BY 1),
+r AS (SELECT k.*, row_number() OVER v AS place, first_value(k.id) OVER v AS keep, count(*) OVER (PARTITION BY register, m, form) AS size FROM k LEFT JOIN w USING (id) WHERE form <> '' AND form NOT IN {_GENERIC}
+  WINDOW v AS (PARTITION BY register, m, form ORDER BY coalesce(n, 0) DESC, (CASE WHEN contains(name, ' ') THEN 2 ELSE 0 END) + (CASE WHEN contains(name, '/') THEN 0 ELSE 2 END) + (CASE WHEN regexp_matches(name, '[-_]') THEN 0 ELSE 1 END) + (CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 0 END) DESC, k.id))
+SELECT id, keep FROM r WHERE place > 1""")
+def fold_groups(t):
+    attached = t.offerings.select(F.col("id").alias("offering_id"), F.col("entity_id").alias("id")).join(t.prices.select("offering_id"), "offering_id").select("id").union(t.benchmarks.select("entity_id"))
+    return maintenance.fold_groups(t.entities, attached.groupBy("id").agg(F.count("*").alias("n")))
+
+
+@query(""", m AS (SELECT m.id AS loser, min(p.id) AS survivor FROM entities m JOIN entities p ON lower(p.name) = regexp_replace(lower(m.name), '-tee$', '') AND NOT ends_with(lower(p.name), '-tee') WHERE ends_with(lower(m.name), '-tee') GROUP BY 1),
+o AS (SELECT o.id, coalesce(survivor, entity_id) AS entity_id, provider_id, way, variant, survivor IS NOT NULL AS moved FROM offerings o LEFT JOIN m ON loser = entity_id)
+SELECT o.id, o.entity_id, CASE WHEN moved AND EXISTS (SELECT 1 FROM offerings x WHERE x.entity_id = o.entity_id AND x.provider_id = o.provider_id AND x.way = o.way AND x.variant = o.variant) THEN trim(variant || ' tee') ELSE variant END AS variant FROM o""")
+def merge_entities(t):
+    pairs = joins.suffix_sibling(t.entities).where("sibling is not null").select(F.col("id").alias("loser"), F.col("sibling").alias("survivor"), F.lit("tee").alias("hint"))
+    merged = maintenance.merge_entities({n: getattr(t, n) for n in ("entities", "offerings", "aliases", "benchmarks", "docs")}, pairs)
+    return merged["offerings"].select("id", "entity_id", "variant")
+
+
+@query("SELECT id FROM offerings WHERE way = 'local' OR id IN (SELECT offering_id FROM prices)")
+def drop_empty_offerings(t):
+    return maintenance.drop_empty_offerings(t.offerings, t.prices).select("id")
+
+
+@query("SELECT id, coalesce(params, size) AS params, params IS NULL AS filled FROM entities")
+def fill_sizes(t):
+    rows = maintenance.fill_sizes(t.entities.withColumn("name", F.concat("name", F.lit(" "), "size", F.lit("B"))))
+    return rows.select("id", "params", F.col("read_from").isNotNull().alias("filled"))
+
+
+@query("SELECT subject, seq, source_url FROM docs d LEFT JOIN providers p ON p.id = subject WHERE d.kind = 'description' AND length(trim(text)) >= 40 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY coalesce(regexp_extract(source_url, '(s[0-9]+[.]com|pedia.org)', 1) = regexp_extract(url, '(s[0-9]+[.]com)', 1), false) DESC, taken_at DESC, source_url, seq) = 1")
+def one_description(t):
+    return maintenance.one_description(t.docs, t.providers.select(F.col("id").alias("subject"), F.col("url").alias("home"))).select("subject", "seq", "source_url")
+
+
+@query(""", v AS (SELECT id FROM providers WHERE nation = 3), s AS (SELECT entity_id, provider_id, id FROM offerings WHERE entity_id NOT IN (SELECT entity_id FROM offerings WHERE provider_id IN (SELECT id FROM v)))
+SELECT entity_id AS id, count(DISTINCT provider_id) AS sellers, coalesce(min(micros) FILTER (dimension = 'mtok_in' AND micros > 0), min(micros) FILTER (dimension = 'mtok_out' AND micros > 0)) AS low, CAST(count(DISTINCT (provider_id, dimension, micros)) FILTER (micros IS NOT NULL) AS INT) AS rates FROM s JOIN entities e ON e.id = entity_id LEFT JOIN prices ON offering_id = s.id GROUP BY 1""")
+def hold_unvetted(t):
+    vetted = t.providers.where("nation = 3").select("id")
+    return maintenance.hold_unvetted(t.entities, t.offerings, t.prices, vetted, ["mtok_in", "mtok_out"]).select("id", "sellers", "low", F.size("body").alias("rates"))
+
+
+@query("SELECT 's' || (sellers * 7) AS id, kind, name FROM candidates WHERE kind <> 'company' OR 's' || (sellers * 7) NOT IN (SELECT id FROM providers)")
+def release_arrived(t):
+    held = t.candidates.withColumn("id", F.concat(F.lit("s"), F.col("sellers") * 7))
+    return maintenance.release_arrived(held, t.providers).select("id", "kind", "name")
+
+
+@query()
+def find_new_models(t):
+    """No SQL: markers of serving come off in rounds."""
+    priced = t.aliases.select(F.col("alias").alias("name"), F.col("source").alias("seller"))
+    return maintenance.find_new_models(priced, joins.build_key_index(t.entities), t.providers, t.candidates)
+
+
+@query("SELECT id, CASE WHEN size % 2 = 0 AND size % 3 <> 0 THEN 'video' ELSE input_kind END AS input_kind, CASE WHEN size % 2 = 0 THEN 'code' ELSE output_kind END AS output_kind FROM entities")
+def sync_facts(t):
+    said = t.entities.where("size % 2 = 0").select("id", F.when(F.col("size") % 3 != 0, "video").alias("input_kind"), F.lit("code").alias("output_kind"))
+    return maintenance.sync_facts(t.entities, said, ["input_kind", "output_kind"]).select("id", "input_kind", "output_kind")
+
+
+_HEARD = """, heard AS (SELECT entity_id, CASE suite WHEN 'click' THEN 'released' WHEN 'view' THEN 'context' WHEN 'purchase' THEN 'max_output' WHEN 'signup' THEN 'reasoning' ELSE 'tool_call' END AS fact,
+  CASE suite WHEN 'click' THEN CAST(taken_at AS VARCHAR) WHEN 'view' THEN CAST(seq AS VARCHAR) WHEN 'purchase' THEN CAST(seq AS VARCHAR) WHEN 'signup' THEN CASE WHEN seq % 3 = 0 THEN 'no' ELSE 'yes' END ELSE CAST(seq % 4 AS VARCHAR) END AS value FROM benchmarks)
+"""
+
+
+@query(_HEARD + """SELECT entity_id, fact, min(value) AS value FROM heard WHERE fact = 'released' AND value >= '2024-01-04' GROUP BY 1, 2 UNION ALL SELECT entity_id, fact, CAST(max(CAST(value AS BIGINT)) AS VARCHAR) FROM heard WHERE fact IN ('context', 'max_output') AND CAST(value AS BIGINT) > 0 GROUP BY 1, 2
+UNION ALL SELECT entity_id, fact, value FROM (SELECT entity_id, fact, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY entity_id, fact) AS spoke FROM heard WHERE fact IN ('reasoning', 'tool_call') GROUP BY 1, 2, 3) WHERE 2 * n > spoke""")
+def settle_facts(t):
+    fact = F.when(F.col("suite") == "click", "released").when(F.col("suite") == "view", "context").when(F.col("suite") == "purchase", "max_output").when(F.col("suite") == "signup", "reasoning").otherwise("tool_call")
+    value = F.when(F.col("suite") == "click", F.col("taken_at").cast("string")).when(F.col("suite").isin("view", "purchase"), F.col("seq").cast("string")).when(F.col("suite") == "signup", F.when(F.col("seq") % 3 == 0, "no").otherwise("yes")).otherwise((F.col("seq") % 4).cast("string"))
+    heard = t.benchmarks.select("entity_id", fact.alias("fact"), value.alias("value"))
+    return maintenance.settle_facts(heard, floors=t.benchmarks.select("entity_id").distinct().withColumn("floor", F.lit("2024-01-04")))
+
+
+@query("SELECT id, CASE WHEN nation % 2 = 0 THEN 'known' END AS why FROM providers WHERE id NOT IN (SELECT provider_id FROM offerings) AND id NOT IN (SELECT maker FROM entities WHERE maker IS NOT NULL) AND id NOT IN (SELECT fund_id FROM investments)")
+def justify_companies(t):
+    reasons = t.providers.where("nation % 2 = 0").select("id", F.lit("known").alias("why"))
+    return maintenance.justify_companies(t.providers, reasons, t.offerings, t.entities, t.investments)
+
+
+@query("SELECT id FROM offerings WHERE NOT (provider_id = 's2' AND variant = 'free') UNION ALL SELECT id FROM offerings WHERE provider_id = 's2' AND variant = 'free' AND rpd > 40")
+def free_lane_replace(t):
+    return maintenance.free_lane_replace(t.offerings, t.offerings.where("provider_id = 's2' and variant = 'free' and rpd > 40"), "s2").select("id")
+
+
+@query(_KEYS + """, p AS (SELECT suite, e.name, b.value, b.seq, row_number() OVER (PARTITION BY suite ORDER BY CASE WHEN lower_is_better THEN value ELSE -value END, seq, e.name) AS rank, count(*) OVER (PARTITION BY suite) AS out_of FROM benchmarks b JOIN entities e ON e.id = b.entity_id JOIN suites s ON s.id = suite)
+SELECT n.entity_id, suite, min(rank) AS rank, any_value(out_of) AS out_of FROM p JOIN named n ON n.form = """ + _norm_sql("p.name") + " WHERE n.n_claims = 1 GROUP BY 1, 2")
+def apply_boards(t):
+    placements = t.benchmarks.join(t.entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("suite", "metric", "name", "value", F.col("seq").alias("ord"))
+    lower = t.suites.select(F.col("id").alias("suite"), "lower_is_better")
+    bound, _ = maintenance.apply_boards(placements, joins.build_key_index(t.entities), lower, ["", "low", "medium", "high"])
+    return bound.select("entity_id", "suite", "rank", "out_of")
+
+
+@query("""SELECT e.id, (SELECT count(*) FROM offerings o WHERE o.entity_id = e.id) AS offers, (SELECT count(*) FROM offerings o JOIN prices ON offering_id = o.id WHERE o.entity_id = e.id) AS rates, (SELECT count(*) FROM aliases a WHERE a.entity_id = e.id) AS aliases,
+  (SELECT count(*) FROM benchmarks b WHERE b.entity_id = e.id) AS standings, (SELECT count(*) FROM docs d WHERE d.subject = e.id) AS docs FROM entities e""")
+def export_nested(t):
+    rows = maintenance.export_nested(t)
+    size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(size(c)).alias(c)
+    rates = F.coalesce(F.aggregate("offerings", F.lit(0), lambda s, o: s + F.when(o["rates"].isNull(), 0).otherwise(F.size(o["rates"]))), F.lit(0))
+    return rows.select("id", F.when(F.col("offerings").isNull(), 0).otherwise(size("offerings")).alias("offers"), rates.alias("rates"), n("aliases"), n("standings"), n("docs"))
+
+
+@query()
+def apply_listings(t):
+    """The counters of one source's listings; no SQL, as they come from several results."""
+    one = t.aliases.groupBy("source", "alias").agg(F.min("entity_id").alias("entity_id")).where("source = 'feed1'")
+    listings = t.aliases.where("source in ('feed1', 'feed2')").select("alias", F.lit("").alias("variant"), F.lit("mtok_in").alias("dimension"), F.abs(F.xxhash64("alias", "entity_id") % 1000 + 1000).alias("micros"), F.xxhash64("entity_id").alias("ord"))
+    empty_prices = t.spark.createDataFrame([], "entity_id string, provider_id string, way string, variant string, dimension string, micros long, taken_at date")
+    offerings = t.offerings.select(*maintenance.OFFERING, "first_seen", "last_seen").where("false")
+    queue = t.aliases.where("source = 'feed1'").select("source", "alias").where("false")
+    return maintenance.apply_listings(listings, one, offerings, empty_prices, queue, "feed1", "api", "2024-02-01")["counters"]
+
+
+# Feeds.
+
+_CARDS = {
+    "sambanova": ("struct(k as id, struct(cast(a / 1e6 as string) as prompt, cast(b / 1e6 as string) as completion) as pricing)", ("mtok_in", "mtok_out"), (1e6, 1e6)),
+    "electronhub": ("struct(k as id, struct(cast(a as string) as input, cast(b as string) as output) as pricing)", ("mtok_in", "mtok_out"), (1e6, 1e6)),
+    "ppinfra": ("struct(k as id, struct(struct(cast(a as string) as price_per_m_decimal) as prompt, struct(cast(b as string) as price_per_m_decimal) as completion) as pricing)", ("mtok_in", "mtok_out"), (1e6, 1e6)),
+    "huggingface": ("struct(k as id, array(struct('x' as provider, 'live' as status, struct(a as input, b as output) as pricing), struct('y' as provider, 'down' as status, struct(a as input, b as output) as pricing)) as providers)", ("mtok_in", "mtok_out"), (1e6, 1e6)),
+    "nebius": ("struct(k as name, 'ok' as status, array(struct(k as model_id, 'cheap' as label, a as input_price_per_million_tokens, b as output_price_per_million_tokens)) as flavors)", ("mtok_in", "mtok_out"), (1e6, 1e6)),
+    "deepinfra": ("struct(k as model_name, struct('tokens' as type, a as cents_per_input_token, b as cents_per_output_token) as pricing)", ("mtok_in", "mtok_out"), (1e10, 1e10)),
+}
+
+
+@query("SELECT card, alias, dimension, micros FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS card, l_orderkey || '-' || l_partkey || '-' || l_linenumber || '-' || l_suppkey AS alias, unnest(['{d[0]}', '{d[1]}']) AS dimension, unnest([CAST(round(l_discount * {s[0]}) AS BIGINT), CAST(round(l_tax * {s[1]}) AS BIGINT)]) AS micros FROM lineitem" for c, (_, d, s) in _CARDS.items()) + ") WHERE micros > 0")
+def seller_cards(t):
+    li = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").alias("k"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+
+    def card(name: str, model: str) -> DataFrame:
+        whole = F.array(F.expr(model)) if rate_cards.CARDS[name].root == "" else F.struct(F.array(F.expr(model)).alias("data"))
+        bodies = li.select(F.to_json(whole).alias("body"))
+        return rate_cards.unpivot(rate_cards.flatten_rate_card(bodies, rate_cards.CARDS[name])).select(F.lit(name).alias("card"), "alias", "dimension", "micros")
+
+    parts = [card(name, model) for name, (model, _, _) in _CARDS.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@query("""SELECT k AS key, 'seller' || (l_suppkey % 7) AS seller, lane, dimension, micros FROM (SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber || '-' || l_suppkey AS k, l_suppkey, unnest(['', 'batch', '']) AS lane, unnest(['mtok_in', 'mtok_in', 'second_out']) AS dimension,
+  unnest([CAST(round(l_tax * 1e6) AS BIGINT), CAST(round(l_discount * 1e6) AS BIGINT), CASE WHEN l_linenumber % 2 = 0 THEN CAST(round(l_quantity * 1e6) AS BIGINT) ELSE 0 END]) AS micros FROM lineitem) WHERE micros > 0 AND l_suppkey % 7 < 4""")
+def price_file(t):
+    li = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    mode = F.when(F.col("l_linenumber") % 2 == 0, "audio_speech").otherwise("chat")
+    fields = F.struct(F.concat(F.lit("p"), F.col("l_suppkey") % 7).alias("litellm_provider"), mode.alias("mode"), (F.col("l_tax") / 1e6).alias("input_cost_per_token"), (F.col("l_discount") / 1e6).alias("input_cost_per_token_batches"), F.col("l_quantity").alias("output_cost_per_second"))
+    bodies = li.select(F.to_json(F.create_map(key, fields)).alias("body"))
+    sellers = t.spark.createDataFrame([(f"p{i}", f"seller{i}") for i in range(4)], "key string, seller string")
+    rows = price_files.chosen_sellers(price_files.flatten_price_file(bodies), sellers, "seller_key")
+    return rows.select("key", "seller", "lane", "dimension", "micros")
+
+
+@query("""SELECT 'gpt ' || (l_partkey % 300) AS alias, CASE WHEN l_linenumber % 2 = 0 THEN 'batch' ELSE '' END AS variant, CASE WHEN l_linestatus = 'O' THEN 'mtok_out' ELSE 'mtok_in' END || CASE l_returnflag WHEN 'A' THEN '_audio' ELSE '' END AS dimension, min(CAST(round(l_tax * 1e6) AS BIGINT)) AS micros
+FROM lineitem WHERE l_tax > 0 AND l_returnflag <> 'R' GROUP BY 1, 2, 3 HAVING count(DISTINCT l_tax) = 1""")
+def meters(t):
+    li = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
+    sku = F.concat_ws(" ", F.lit("gpt"), F.col("l_partkey") % 300, F.when(F.col("l_linenumber") % 2 == 0, "Batch"), F.when(F.col("l_returnflag") == "A", "aud"), F.when(F.col("l_linestatus") == "O", "Outp").otherwise("Inp"), F.when(F.col("l_returnflag") == "R", "regnl").otherwise("glbl"))
+    return price_files.classify_meters(li.select(sku.alias("skuName"), F.lit("1M").alias("unitOfMeasure"), F.col("l_tax").alias("retailPrice")))
+
+
+@query("SELECT suite AS key, 'Model ' || entity_id AS name, value, seq AS ord FROM benchmarks JOIN (SELECT suite FROM benchmarks GROUP BY 1 HAVING count(*) >= 8) USING (suite)")
+def html_tables(t):
+    cell = F.concat(F.lit("<tr><td>Model <b>"), "entity_id", F.lit("</b></td><td>"), F.col("value").cast("string"), F.lit(" &plusmn;5</td></tr>"))
+    rows = t.benchmarks.groupBy("suite").agg(F.array_sort(F.collect_list(F.struct("seq", cell.alias("c")))).alias("r"))
+    page = F.concat(F.lit("<table><tr><td>x</td></tr></table><table><tr><th>Model</th><th>Score now</th></tr>"), F.array_join(F.transform("r", lambda x: x["c"]), ""), F.lit("</table>"))
+    got = scores.extract_html_table(rows.select(F.col("suite").alias("url"), page.alias("html"), F.transform("r", lambda x: x["seq"]).alias("s")), "Model", "Score")
+    order = t.benchmarks.select(F.col("suite").alias("key"), F.col("seq"), F.row_number().over(W.partitionBy("suite").orderBy("seq")).cast("long").alias("ord"))
+    return got.join(order, ["key", "ord"]).select("key", "name", "value", F.col("seq").alias("ord"))
+
+
+@query("""SELECT 'b_' || suite || '_' || CAST(taken_at AS VARCHAR) AS suite, entity_id AS name, CASE WHEN value BETWEEN 0 AND 1 THEN value * 100 ELSE value END AS value, count(*) AS n FROM benchmarks JOIN (SELECT suite, taken_at FROM benchmarks GROUP BY 1, 2 HAVING count(*) >= 8) USING (suite, taken_at) GROUP BY 1, 2, 3""")
+def score_csvs(t):
+    line = F.concat_ws(",", "entity_id", "value")
+    files = t.benchmarks.groupBy(F.concat_ws("_", "suite", "taken_at").alias("stem")).agg(F.concat(F.lit("Model,Score\n"), F.array_join(F.collect_list(line), "\n")).alias("body"))
+    got = scores.read_score_csvs(files.select(F.concat("stem", F.lit(".csv")).alias("path"), "body"), prefix="b_")
+    return got.groupBy("suite", "name", "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT target, count(*) AS pages FROM (SELECT DISTINCT url, unnest(regexp_extract_all(coalesce(html, ''), 'href="(/[^"#?]*)', 1)) AS target FROM pages) WHERE target NOT IN (SELECT regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) FROM pages) GROUP BY 1""")
+def dead_links(t):
+    return quality.dead_links(t.spark.read.parquet(f"{t.sf_dir}/pages.parquet"))

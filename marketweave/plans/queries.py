@@ -307,9 +307,9 @@ def key_index(spark, sf_dir):
     return joins.key_index(read(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) GROUP BY 1")
 def unresolved_report(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey"))
     return joins.unresolved(read(spark, sf_dir, "customer"), s, "c_nationkey")
 
 
@@ -342,7 +342,7 @@ SELECT rule, count(*) AS pages FROM (
 SELECT 'no title' AS rule FROM p WHERE title = '' UNION ALL SELECT 'no description' FROM p WHERE d = ''
 UNION ALL SELECT 'no canonical address' FROM p WHERE NOT regexp_matches(h, '(?i)<link\s[^>]*rel="canonical"')
 UNION ALL SELECT 'not exactly one h1' FROM p WHERE len(regexp_extract_all(h, '(?i)<h1[\s>]')) <> 1
-UNION ALL SELECT 'escaped markup' FROM p WHERE regexp_matches(h, '&lt;/?(p|div|span|a|b)\b')
+UNION ALL SELECT 'escaped markup' FROM p WHERE regexp_matches(h, '&lt;(span|div|a|b|p)\b')
 UNION ALL SELECT 'empty heading' FROM p WHERE regexp_matches(h, '(?i)<h[1-6][^>]*>\s*</h[1-6]>')
 UNION ALL SELECT 'long title' FROM p WHERE length(title) > 70
 UNION ALL SELECT 'short or long description' FROM p WHERE d <> '' AND (length(d) < 60 OR length(d) > 320)
@@ -399,11 +399,11 @@ def identifiers(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(X.extract_identifiers(F.col("text")), " ").alias("identifiers"))
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)")
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000)")
 def set_operations(spark, sf_dir):
     keys = read(spark, sf_dir, "nation").select("n_nationkey")
     bought = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
-    return keys.intersect(bought).subtract(read(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("n_nationkey")))
+    return keys.intersect(bought).subtract(read(spark, sf_dir, "supplier").where("s_acctbal > 7000").select(F.col("s_nationkey").alias("n_nationkey")))
 
 
 @query("SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT CASE WHEN s_acctbal < 0 THEN s_suppkey END) AS in_debt FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
@@ -440,18 +440,6 @@ def board_report(spark, sf_dir):
     return found.select("suite", "entity", "value", "lifted", F.round("bar", 6).alias("bar"), "rank", "out_of")
 
 
-@query(
-    _CURRENT
-    + _RANKED
-    + """SELECT o.seller AS entity, out_rate, round(mean_share, 6) AS mean_share, lead_rate FROM (SELECT seller, min(micros) AS out_rate FROM current WHERE dimension = 'F' AND micros > 0 GROUP BY 1 HAVING min(micros) <= 150000) o
-  JOIN (SELECT entity, avg((out_of - rank) / (out_of - 1)) AS mean_share FROM ranked WHERE out_of > 1 GROUP BY 1) r ON r.entity = o.seller
-  LEFT JOIN (SELECT seller, min(micros) AS lead_rate FROM current WHERE dimension = 'O' AND micros > 0 GROUP BY 1) l ON l.seller = o.seller"""
-)
-def dollar_models(spark, sf_dir):
-    found = reports.dollar_models(by_seller(spark, sf_dir), ranked(spark, sf_dir), "entity", "dimension", "micros", "O", "F", 150_000)
-    return found.withColumn("mean_share", F.round("mean_share", 6))
-
-
 @query("SELECT key, max(d)::DATE::VARCHAR AS newest FROM (SELECT seller AS key, max(taken_at) AS d FROM prices GROUP BY 1 UNION ALL SELECT entity, max(taken_at) FROM metrics GROUP BY 1) GROUP BY 1")
 def address_dates(spark, sf_dir):
     found = reports.newest_dates([(prices(spark, sf_dir), "seller", "taken_at"), (metrics(spark, sf_dir), "entity", "taken_at")])
