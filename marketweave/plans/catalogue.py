@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
 from marketweave.functions import names
-from marketweave.operators import checks, joins, maintenance, market, quality
+from marketweave.operators import checks, joins, maintenance, market, prose, quality
 from marketweave.plans.lens import LENS_SQL, Catalogue
 from marketweave.sources import price_files, rate_cards, scores
+from marketweave.streaming import changes, findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -552,3 +553,87 @@ def score_csvs(t):
 @query("""SELECT target, count(*) AS pages FROM (SELECT DISTINCT url, unnest(regexp_extract_all(coalesce(html, ''), 'href="(/[^"#?]*)', 1)) AS target FROM pages) WHERE target NOT IN (SELECT regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) FROM pages) GROUP BY 1""")
 def dead_links(t):
     return quality.dead_links(t.spark.read.parquet(f"{t.sf_dir}/pages.parquet"))
+
+
+# Text.
+
+
+@query(r"""SELECT url, left(title, 160) AS title, CASE WHEN length(d) < 25 THEN '' ELSE left(d, 600) END AS description FROM (SELECT url, trim(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
+  regexp_extract(coalesce(html, ''), '(?is)<meta[^>]+name=[\x22\x27]description[\x22\x27][^>]+content=[\x22\x27](.*?)[\x22\x27]', 1) AS d FROM pages) WHERE title <> '' OR length(d) >= 25""")
+def page_meta(t):
+    return prose.page_meta(t.spark.read.parquet(f"{t.sf_dir}/pages.parquet"))
+
+
+@query("SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS amount FROM orders WHERE round(o_totalprice) >= 100000")
+def funding_rounds(t):
+    o = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    said = F.concat(F.lit("It plans to raise $900 million in a round. The firm secured $"), F.format_number(F.round("o_totalprice"), 0), F.lit(" in seed funding at a $5 billion valuation. Revenue came to $7 million."))
+    return prose.funding_rounds(o.select(F.col("o_orderkey").alias("id"), said.alias("text"))).select("id", "amount")
+
+
+@query("SELECT id, fund FROM (SELECT o_orderkey AS id, unnest(['Fund' || (o_custkey % 40) || ' Capital', 'Index Ventures']) AS fund FROM orders)")
+def investor_names(t):
+    o = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    said = F.concat(F.lit("The round was led by Fund"), F.col("o_custkey") % 40, F.lit(" Capital and others, with participation from Index Ventures and Somebody."))
+    return prose.investors(o.select(F.col("o_orderkey").alias("id"), said.alias("text")))
+
+
+@query("SELECT seq, length(trim(text)) >= 30 AND contains(regexp_replace(lower(text || source_url), '[^a-z0-9]', '', 'g'), 'the') AS keep FROM docs WHERE text IS NOT NULL")
+def keep_description(t):
+    return t.docs.where("text is not null").select("seq", prose.keep_description(F.lit("The"), F.col("text"), F.col("source_url")).alias("keep"))
+
+
+@query("SELECT conv_id % 50 AS company, role, array_to_string(list_sort(list(DISTINCT (turn, left(text, 12))))[1:6].list_transform(lambda x: x[2]), '|') AS people FROM sessions WHERE turn % 3 <> 0 AND text IS NOT NULL GROUP BY 1, 2")
+def current_people(t):
+    claims = t.sessions.where("text is not null").select((F.col("conv_id") % 50).alias("company"), "role", F.substring("text", 1, 12).alias("person"), (F.col("turn") % 3 == 0).alias("deprecated"), F.lit(None).cast("string").alias("ended"), F.col("turn").alias("ord"))
+    return prose.current_people(claims).select("company", "role", F.array_join("people", "|").alias("people"))
+
+
+@query("SELECT p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'Old ' || p_size END AS was, CASE WHEN p_size % 2 = 0 THEN p_brand END AS acquired_by FROM part")
+def parse_portfolio(t):
+    p = t.spark.read.parquet(f"{t.sf_dir}/part.parquet")
+    printed = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" (ex-Old "), "p_size", F.lit(")"))).otherwise(" (an aside)"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" (acquired by "), "p_brand", F.lit(")"))).otherwise(""))
+    return prose.parse_portfolio(p.select(printed.alias("printed")))
+
+
+@query()
+def hashed_embeddings(t):
+    """(doc_id, length): how long each text's hashed vector is, 1 where there is a word. No SQL: 64-bit hashes wrap round."""
+    d = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", "text")
+    return prose.embed(d, "text").select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
+
+
+@query("SELECT min(n) AS name FROM (SELECT c_name || CASE WHEN c_custkey % 2 = 0 THEN ' (company)' ELSE '' END AS p, c_name AS n FROM customer) WHERE regexp_replace(lower(n), '[^a-z0-9]', '', 'g') NOT IN (SELECT regexp_replace(lower(replace(s_name, 'Supplier', 'Customer')), '[^a-z0-9]', '', 'g') FROM supplier) GROUP BY regexp_replace(lower(n), '[^a-z0-9]', '', 'g')")
+def unheard_companies(t):
+    read = lambda n: t.spark.read.parquet(f"{t.sf_dir}/{n}.parquet")
+    listed = read("customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, " (company)").otherwise("")).alias("name"))
+    return prose.unheard(listed, read("supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name")))
+
+
+# Findings and streams.
+
+
+@query("""SELECT goes_to, count(*) AS n FROM (SELECT CASE WHEN size % 4 = 0 THEN CASE WHEN one AND p.id IS NOT NULL THEN 'prices' WHEN one THEN 'evidence' ELSE 'dropped' END WHEN size % 4 = 1 THEN CASE WHEN one THEN 'standings' ELSE 'dropped' END
+  WHEN size % 4 = 2 THEN CASE WHEN p.id IS NULL THEN 'dropped' WHEN one THEN 'already_held' ELSE 'candidates' END ELSE CASE WHEN one THEN 'evidence' ELSE 'dropped' END END AS goes_to
+  FROM (SELECT e.*, count(*) OVER (PARTITION BY regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) = 1 AS one FROM entities e WHERE regexp_matches(name, '^[a-z]+ [a-z]+ [0-9]+$')) LEFT JOIN (SELECT min(id) AS id, name FROM providers GROUP BY 2) p ON p.name = 'Supplier ' || (size * 3)) GROUP BY 1""")
+def route_findings(t):
+    e = t.entities.where(F.col("name").rlike("^[a-z]+ [a-z]+ [0-9]+$"))
+    kind = F.when(F.col("size") % 4 == 0, "price").when(F.col("size") % 4 == 1, "standing").when(F.col("size") % 4 == 2, "mention").otherwise("event")
+    says = F.when(F.col("size") % 4 == 0, "$2.50 per 1M tokens").otherwise("3 of 50 on Some Board — Score 81.5 %")
+    who = F.concat(F.lit("Supplier "), F.col("size") * 3)
+    line = F.to_json(F.struct(kind.alias("what"), "name", says.alias("says"), F.lit("https://x.org").alias("source"), F.lit("2024-05-06T01:00:00").alias("read_at"), who.alias("seller"), who.alias("maker")))
+    files = e.groupBy((F.col("size") % 5).cast("string").alias("file")).agg(F.array_join(F.collect_list(line), "\n").cast("binary").alias("content"))
+    new = findings.unseen_files(files, t.spark.createDataFrame([], "file string, hash string"))
+    routed = findings.route_findings(findings.read_findings(new), joins.build_key_index(e), t.providers)
+    return findings.deliver(lambda name, rows: None, routed, new, dry=True)
+
+
+@query(""", m AS (SELECT *, max(d) OVER (PARTITION BY suite, entity) AS newest FROM (SELECT event_type AS suite, user_id AS entity, CAST(ts AS DATE) AS d, event_id, value, event_id % 3 = 0 AS own FROM events))
+SELECT suite, entity, CAST(d AS VARCHAR) AS taken_at, value, own AND d >= newest - INTERVAL 5 DAY AS own_page FROM m QUALIFY row_number() OVER (PARTITION BY suite, entity ORDER BY (own AND d >= newest - INTERVAL 5 DAY) DESC, d DESC, event_id DESC) = 1""")
+def price_refresh_stream(t):
+    shape = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    e = t.spark.readStream.schema(shape).parquet(f"{t.sf_dir}/events.parque[t]")
+    rows = e.select(F.col("event_type").alias("suite"), F.col("user_id").alias("entity"), F.to_date("ts").alias("taken_at"), "event_id", "value", (F.col("event_id") % 3 == 0).alias("own_source"))
+    newest = findings.newest_prices(rows, ["suite", "entity"], "own_source", "taken_at", ["event_id"], ["value"])
+    got = findings.fresh_price(changes.drain_latest(newest, "refresh", ["suite", "entity"]), ["suite", "entity"], "taken_at", ["value"], 5)
+    return got.withColumn("taken_at", F.col("taken_at").cast("string"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketweave.functions.scratch import scratch_root
+
 
 def change_capture(stream: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Rows whose values, taken together, differ from the previous row of their key; the first always counts.
@@ -39,7 +40,21 @@ def evidence(stream: DataFrame, quote: str, at: str, delay: str) -> DataFrame:
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """All that is there now, through the stream and into Parquet in the shared folder; the table that came out."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def drain_latest(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """An aggregation over a stream as it stands when all that is there now has been read: every batch writes the keys it changed, the last batch of a key counts."""
+    spark: SparkSession = stream.sparkSession
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/n={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.withColumn("_batch", F.lit(0)).schema).parquet(f"{path}/rows/n=*")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_l"))
+    return last.select(*keys, *(F.col("_l")[c].alias(c) for c in rest))
