@@ -31,31 +31,36 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach. Null, empty and letterless texts go, as do letters that fit no language; without labelled documents nothing can be told and all go."""
     found = langid.identify(docs, langid.train(langid.learnable(docs)))
     return _without(docs, found.where((found.lang_pred == langid.UNDETERMINED) | (found.score < LEAST_SCORE) | (found.evidence < LEAST_EVIDENCE)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts: the longest with its white space, the least id among equals. Rows that repeat the id that stays all stay."""
     found = exact_dedup(docs)
     return _without(docs, found.where("not kept and doc_id <> keep_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the least id; texts without words are no copies of anything."""
     return _without(docs, near_duplicates(docs, words=5, percent=80).where("not kept"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item; null items and an empty benchmark have none."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     return _without(docs, found.where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences; a null or empty text is one end token, repeated rows are packed each."""
     return pack(docs, capacity=4096, end_id=1, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("minhash_near_dedup", near_copies), ("benchmark_decontamination", benchmark_passages), ("best_fit_packing", packing)]
 
-#: Language identification is not SQL, so run() has none; tests hold each stage against a brute-force version.
+#: Language identification is not SQL, so run() has none; tests/llm/test_pipeline.py holds each stage against a plain version of its rule.
 ORACLE_SQL = None
 
 
