@@ -21,7 +21,8 @@ LEAST_SCORE = 0.5
 #: Bytes of chunks that packing remembers in a worker: fewer than by itself, as the executors have run the other stages before.
 REMEMBERED = 50_000_000
 #: Documents of less evidence for their language are rejected too: on average a letter is that many nats less likely than in the language's own texts.
-LEAST_EVIDENCE = -1.0
+#: Sentences of a few words beside a key or an address come to -2; letters at random in no language come below this.
+LEAST_EVIDENCE = -2.5
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
