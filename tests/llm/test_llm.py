@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketweave.llm import html, langid, substrings, urls
+from marketweave.llm import html, langid, minhash, substrings, urls
 from marketweave.llm.attribution import token_counts
 from marketweave.llm.components import components
 from marketweave.llm.decontaminate import decontaminate
@@ -100,6 +100,33 @@ def test_near_duplicates(docs, empty, words):
     assert near_duplicates(empty).count() == 0
 
 
+def test_strays_overlap():
+    """Overlaps by what sets lack of the common shingles and have beyond them, against intersections."""
+    base = RNG.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([RNG.choice(base, 150 + i, replace=False), RNG.integers(0, 500, 20 * (i % 3), dtype=np.uint64)])) for i in range(30)] + [np.arange(5, dtype=np.uint64), np.zeros(0, np.uint64)]
+    index = minhash.Strays(list(range(len(sets))), [0] * len(sets), sets)
+    for s in [*sets, base, np.sort(base), np.array([3], np.uint64)]:
+        assert index.overlaps(np.unique(s)).tolist() == [len(np.intersect1d(s, x)) for x in sets]
+
+
+def test_near_copies_of_one_text(spark):
+    """A crowd whose members are copies of one text with edits of many sizes: links are found whoever leads the buckets."""
+    rows = []
+    for i in range(150):
+        words = list(BASE)
+        for at in RNG.choice(len(BASE), int(RNG.integers(1, 16)), replace=False):
+            words[at] = f"e{RNG.integers(0, 30)}"
+        rows.append((1000 - i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == label and 1 < len(set(label.values())) < 150
+
+
 def test_remove_repeats(docs, empty):
     split = {i: [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x] for i, t in ROWS}
     first: dict = {}
