@@ -23,15 +23,20 @@ def padded(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col(name) != F.expr(f"trim(BOTH ' \t\n\r' FROM `{name}`)"))
 
 
+#: Parts that findings are dealt to for a sample.
+PARTS = 64
+
+
 def report(findings: dict[str, tuple[DataFrame, bool]], sample: int = 5) -> DataFrame:
-    """One row per check: findings, whether it blocks, and the first few by text. findings maps a name to (rows of one string column a, blocking)."""
-    parts = []
-    for name, (rows, blocking) in findings.items():
-        rows = rows.select(F.col(rows.columns[0]).cast("string").alias("a"))
-        n = rows.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check"), F.lit(blocking).alias("blocking"), "findings")
-        few = rows.orderBy("a").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("a")), "|").alias("sample"))
-        parts.append(n.join(F.broadcast(few)))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per check: findings, whether it blocks, and a few of them. findings maps a name to (rows of one string column, blocking).
+
+    All are counted in one pass: each part of a check's findings keeps a count and its least one, and a sample is the first few of these.
+    """
+    rows = reduce(DataFrame.union, (df.select(F.lit(name).alias("check"), F.col(df.columns[0]).cast("string").alias("a")) for name, (df, _) in findings.items()))
+    parts = rows.groupBy("check", F.pmod(F.xxhash64("a"), F.lit(PARTS))).agg(F.count("*").alias("n"), F.min("a").alias("one"))
+    counted = parts.groupBy("check").agg(F.sum("n").alias("findings"), F.array_join(F.slice(F.array_sort(F.collect_list("one")), 1, sample), "|").alias("sample"))
+    every = rows.sparkSession.createDataFrame([(name, blocking) for name, (_, blocking) in findings.items()], "check string, blocking boolean")
+    return every.join(counted, "check", "left").select("check", "blocking", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 # Lengths of a good title and description, and the heaviest page, in characters and bytes.
@@ -45,7 +50,9 @@ def audit_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     c = F.coalesce(F.col(html), F.lit(""))
     title = F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
     description = F.regexp_extract(c, r"""(?is)<meta\s[^>]*name="description"[^>]*content="([^"]*)\"""", 1)
+    canonical = F.regexp_extract(c, r"""(?is)<link\s[^>]*rel="canonical"[^>]*href="([^"]*)\"""", 1)
     rules = {
+        "canonical address of another page": (canonical != "") & ~F.endswith(canonical, path_of(F.col(url))),
         "no title": title == "",
         "no description": description == "",
         "no canonical address": ~c.rlike(r"""(?i)<link\s[^>]*rel="canonical\""""),

@@ -341,6 +341,7 @@ _TITLE = "trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title
 SELECT rule, count(*) AS pages FROM (
 SELECT 'no title' AS rule FROM p WHERE title = '' UNION ALL SELECT 'no description' FROM p WHERE d = ''
 UNION ALL SELECT 'no canonical address' FROM p WHERE NOT regexp_matches(h, '(?i)<link\s[^>]*rel="canonical"')
+UNION ALL SELECT 'canonical address of another page' FROM p WHERE regexp_extract(h, '(?is)<link\s[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) <> '' AND NOT ends_with(regexp_extract(h, '(?is)<link\s[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1))
 UNION ALL SELECT 'not exactly one h1' FROM p WHERE len(regexp_extract_all(h, '(?i)<h1[\s>]')) <> 1
 UNION ALL SELECT 'escaped markup' FROM p WHERE regexp_matches(h, '&lt;(span|div|a|b|p)\b')
 UNION ALL SELECT 'empty heading' FROM p WHERE regexp_matches(h, '(?i)<h[1-6][^>]*>\s*</h[1-6]>')

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from marketweave.operators import joins, prose, quality
+from marketweave.sources import catalogue
 from marketweave.streaming import findings
 
 ROUNDS = {
@@ -45,6 +46,10 @@ def test_pages(spark):
     assert [tuple(r) for r in prose.page_meta(pages).collect()] == [("https://a.com/x", "A b", "A long enough description of it.")]
     assert [(r.target, r.pages) for r in quality.dead_links(pages).collect()] == [("/gone", 1)]
     assert [r.url for r in quality.broken_data(pages).collect()] == ["https://a.com/z"]
+    page = '<title>t</title><link rel="canonical" href="https://a.com{}"><h1>h</h1>&lt;span x'
+    shown = spark.createDataFrame([("https://a.com/x?q", page.format("/x")), ("https://a.com/y", page.format("/x"))], "url string, html string")
+    rules = {(r.url[-3:], r.rule) for r in quality.audit_pages(shown).collect()}
+    assert rules == {("x?q", "no description"), ("m/y", "no description"), ("x?q", "escaped markup"), ("m/y", "escaped markup"), ("m/y", "canonical address of another page")}
     listed = spark.createDataFrame([("/x",), ("/y",), ("/w",)], "path string")
     assert sorted(map(tuple, quality.unlisted_pages(pages, listed).collect())) == [("linked, not listed", "/gone"), ("listed, no page", "/w")]
 
@@ -66,3 +71,10 @@ def test_findings(spark):
     assert findings.unseen_files(files.where("file = 'a.jsonl'").withColumn("content", F.lit(b"{}")), seen).count() == 1
     beat = findings.heartbeat(spark.createDataFrame([("s",), ("s",)], "source string"), spark.createDataFrame([("s",), ("t",)], "source string"))
     assert sorted(map(tuple, beat.collect())) == [("s", 2, False), ("t", 0, True)]
+
+
+def test_stored_catalogue(spark, tmp_path):
+    spark.createDataFrame([("b", "tool", "B"), ("a", "tool", "A"), ("c", "model", "C")], "id string, register string, name string").write.parquet(str(tmp_path / "entities"))
+    t = catalogue.read_catalogue(spark, str(tmp_path))
+    assert [r.id for r in t.of_register("tool").collect()] == ["a", "b"] and t.entities.first().attrs is None
+    assert len(catalogue.SCHEMAS) == 16

@@ -30,13 +30,12 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[str]:
     def one(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         if type(v).__name__ in ("bool", "bool_"):
             return bool(v)
-        if type(v).__name__.startswith(("int", "uint")):
-            return int(v)
-        return round(float(v), 6) if isinstance(v, float) or type(v).__name__.startswith("float") else str(v)
+        # Whole numbers come as floats where a column has nulls.
+        return round(float(v), 6) if type(v).__name__.startswith(("int", "uint", "float")) else str(v)
 
     return sorted(repr([one(v) for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
 
