@@ -90,7 +90,8 @@ def classify_meters(meters: DataFrame, name: str = "skuName", unit: str = "unitO
     """
     words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
     seen = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"), looked_up(F.lower(w), _KINDS).alias("kind"), looked_up(F.lower(w), MODALITIES).alias("modality")))
-    rows = meters.select(F.col(price).cast("double").alias("usd"), looked_up(F.col(unit), {k: str(v) for k, v in METER_UNITS.items()}).try_cast("double").alias("per"), seen.alias("seen")).where("usd > 0 and per > 0")
+    printed = meters.select(F.col(name).alias("sku"), F.col(price).cast("double").alias("usd"), looked_up(F.col(unit), {k: str(v) for k, v in METER_UNITS.items()}).try_cast("double").alias("per")).where("usd > 0 and per > 0")
+    rows = meters.select(F.col(name).alias("sku"), seen.alias("seen")).dropDuplicates(["sku"])  # words are read once a name
     direction = F.get(F.filter("seen", lambda s: s["kind"].isin("in", "out")), F.lit(0))
     has = lambda kind: F.exists("seen", lambda s: s["kind"] == kind)
     rows = rows.withColumn("dir", direction).where(F.col("dir").isNotNull() & has("global") & ~has("other"))
@@ -111,8 +112,9 @@ def classify_meters(meters: DataFrame, name: str = "skuName", unit: str = "unitO
     base = F.when((F.col("dir.kind") == "in") & cached, "mtok_cache_read").when(F.col("dir.kind") == "in", "mtok_in").when(~cached, "mtok_out")
     lane = F.try_element_at(F.filter("seen", lambda s: s["kind"].isin("priority", "long-context")), F.lit(-1))["kind"]
     variant = F.concat_ws(" ", lane, F.when(has("batch"), "batch"))
-    rows = rows.where("alias <> ''").select(alias.alias("alias"), variant.alias("variant"), F.concat(base, F.when(modality == "text", "").otherwise(F.concat(F.lit("_"), modality))).alias("dimension"), F.round(F.col("usd") * 1e6 / F.col("per") * 1e6).cast("long").alias("micros"))
-    return unambiguous(rows.where("dimension is not null"), ["alias", "variant", "dimension"], "micros")
+    rows = rows.where("alias <> ''").select("sku", alias.alias("alias"), variant.alias("variant"), F.concat(base, F.when(modality == "text", "").otherwise(F.concat(F.lit("_"), modality))).alias("dimension"))
+    rates = rows.where("dimension is not null").join(printed, "sku").select("alias", "variant", "dimension", F.round(F.col("usd") * 1e6 / F.col("per") * 1e6).cast("long").alias("micros"))
+    return unambiguous(rates, ["alias", "variant", "dimension"], "micros")
 
 
 def facts_feed(bodies: DataFrame, body: str = "body") -> DataFrame:
