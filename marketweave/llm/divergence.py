@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,48 +13,42 @@ from pyspark.sql import functions as F
 
 from marketweave.llm.common import BROADCAST_ROWS, materialise, slices
 
-#: Distinct terms of groups, and their characters, that a task counts before it hands the counts on.
-HELD, HELD_LETTERS = 200_000, 8_000_000
+#: Distinct terms of groups that a task counts before it hands the counts on, and bytes of long texts, whose terms may be long, that it goes through before.
+HELD, LONG, HELD_LONG = 400_000, 1_000_000, 64_000_000
 #: Bytes of accumulators that a task holds before it hands them on, and postings scattered at once.
 ACCUMULATED, AT_ONCE = 64_000_000, 1_000_000
 #: Shares are whole numbers of this fraction.
 SCALE = 1_000_000_000
 
-_TERMS = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-
-
-def lower(term: str) -> str:
-    """The term with A-Z in lower case, other letters as they are."""
-    return term.lower() if term.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in term)
+#: Bytes of UTF-8 to those of terms: A-Z in lower case, a-z and all bytes of characters beyond ASCII as they are, and white space for the rest.
+_TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, occurrences, documents), added up in the task."""
-    seen: dict[tuple, list[int]] = {}
-    letters = 0
+    """(lang, source, term, occurrences, documents), added up in the task by group."""
+    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = long = 0
 
-    def counted() -> pa.RecordBatch:
-        lang, source, term = zip(*seen, strict=True) if seen else ((), (), ())
-        n, df = zip(*seen.values(), strict=True) if seen else ((), ())
-        cols = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.string()), pa.array(n, pa.int64()), pa.array(df, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "df"])
+    def counted() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, df) in seen.items():
+            cols = [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), pa.array(n.keys(), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array(map(df.__getitem__, n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "df"])
+        seen.clear()
 
     for batch in slices(batches):
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            here: Counter = Counter()
-            for found, n in Counter(_TERMS.findall(text.as_py())).items():
-                here[lower(found)] += n
-            for term, n in here.items():
-                if (got := seen.get((lang, source, term))) is None:
-                    seen[lang, source, term] = [n, 1]
-                    letters += len(term)
-                else:
-                    got[0] += n
-                    got[1] += 1
-            if len(seen) >= HELD or letters >= HELD_LETTERS:
-                yield counted()
-                seen, letters = {}, 0
-    yield counted()
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            n, df = seen.setdefault((lang, source), (Counter(), Counter()))
+            data = text.as_py().translate(_TO_TERMS)
+            words = data.split()
+            before = len(n)
+            n.update(words)
+            df.update(set(words))
+            held += len(n) - before
+            long += len(data) if len(data) > LONG else 0
+            if held >= HELD or long >= HELD_LONG:
+                yield from counted()
+                held = long = 0
+    yield from counted()
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
