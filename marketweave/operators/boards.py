@@ -1,4 +1,4 @@
-"""Leaderboards: ranks over the whole field, percentiles, scale repair and headline metrics."""
+"""Leaderboards: ranks over the whole field, percentiles, scale repair and headline metrics. A board of any size is ranked by ranges of its values."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketweave.functions import ordered
+
 
 def rank_board(df: DataFrame, suite: str, value: str, order: list[str], lower: bool = False) -> DataFrame:
     """rank is the place in the suite's whole field, ties by the order columns; out_of is its size."""
     by = F.col(value).asc_nulls_last() if lower else F.col(value).desc_nulls_last()
     field = df.groupBy(suite).agg(F.count("*").alias("out_of"))
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(suite).orderBy(by, *order))).join(field, suite)
+    return ordered.placed(df, [suite], [by, *map(F.col, order)], "rank").join(field, suite)
 
 
 def best_config(df: DataFrame, keys: list[str], rank: str, effort: str, efforts: list[str]) -> DataFrame:
@@ -31,9 +33,8 @@ def headline_metric(df: DataFrame, suite: str, metric: str, entity: str) -> Data
 
 def separates(df: DataFrame, suite: str, value: str, least_rows: int = 8, least: float = 0.05) -> DataFrame:
     """Boards whose top tenth stands apart: (highest - value at the nine-tenths place) / range, and whether it is enough."""
-    w = W.partitionBy(suite).orderBy(F.col(value))
     size = df.groupBy(suite).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-    placed = df.withColumn("_place", F.row_number().over(w)).join(size, suite)
+    placed = ordered.placed(df.select(suite, value), [suite], [F.col(value)], "_place").join(size, suite)
     at = F.max(F.when(F.col("_place") == F.col("n") - F.greatest(F.floor(F.col("n") / 10), F.lit(1)), F.col(value))).alias("edge")
     out = placed.groupBy(suite, "n", "low", "high").agg(at)
     spread = (F.col("high") - F.col("edge")) / F.nullif(F.col("high") - F.col("low"), F.lit(0))
@@ -65,10 +66,7 @@ def mixed_scale_lift(df: DataFrame, suite: str, value: str) -> DataFrame:
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Of an even number of values the upper of the middle two, by place and not from a list in memory."""
-    w = W.partitionBy(*keys).orderBy(value)
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    placed = df.where(F.col(value).isNotNull()).withColumn("_place", F.row_number().over(w)).join(n, keys)
-    return placed.where(F.col("_place") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    return ordered.upper_median(df, keys, [value]).withColumnRenamed(value, "median")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
+from marketweave.functions import ordered
+from marketweave.functions.scratch import written
 from marketweave.operators import boards, history, joins
 
 
@@ -76,13 +78,13 @@ def board_places(t) -> DataFrame:
     share is the part of the field that is beaten, by the printed rank where there is one, else by the place among the rows.
     """
     headline = boards.headline_metric(t.benchmarks, "suite", "metric", "entity_id").select("suite", "metric")
-    rows = history.latest(t.benchmarks.join(headline, ["suite", "metric"]), ["suite", "entity_id"], ["seq"]).select("suite", "entity_id", "value", "rank", "out_of")
+    rows = written(history.latest(t.benchmarks.join(headline, ["suite", "metric"]), ["suite", "entity_id"], ["seq"]).select("suite", "entity_id", "value", "rank", "out_of"), "standings")
     spread = boards.separates(rows, "suite", "value", LEAST_ROWS, LEAST_SPREAD).where(F.col("n") >= LEAST_ROWS).select("suite", "n", (~F.col("separates")).alias("crowded"))
     lower = t.suites.select(F.col("id").alias("suite"), F.coalesce("lower_is_better", F.lit(False)).alias("lower"))
     rows = rows.join(spread, "suite").join(lower, "suite")
-    by_value = F.row_number().over(W.partitionBy("suite").orderBy(F.when(F.col("lower"), F.col("value")).otherwise(-F.col("value")), "entity_id"))
+    by_value = [F.when(F.col("lower"), F.col("value")).otherwise(-F.col("value")), F.col("entity_id")]
     printed = F.coalesce((F.col("out_of") > 1) & (F.col("rank") >= 1), F.lit(False))
-    rows = rows.withColumn("place", by_value).select("suite", "entity_id", "crowded", F.when(printed, F.col("rank")).otherwise(F.col("place")).alias("place"), F.when(printed, F.col("out_of")).otherwise(F.col("n")).alias("field"))
+    rows = ordered.placed(rows, ["suite"], by_value).select("suite", "entity_id", "crowded", F.when(printed, F.col("rank")).otherwise(F.col("place")).alias("place"), F.when(printed, F.col("out_of")).otherwise(F.col("n")).alias("field"))
     return rows.where("field >= 2").withColumn("share", 1 - (F.col("place") - 1) / (F.col("field") - 1))
 
 
@@ -115,9 +117,9 @@ def top_picks(t, niches: list[Niche]) -> DataFrame:
     value is the most capable at or below the median cost, frontier the most capable, open the most capable of open weights if
     it reaches the median, cheapest the least costly that does. Medians are the upper ones. A niche of one half has no open pick.
     """
-    pool = niche_pool(t, niches)
-    medians = boards.upper_median(pool, ["niche"], "cost").withColumnRenamed("median", "cost_median").join(boards.upper_median(pool, ["niche"], "cap").withColumnRenamed("median", "cap_median"), "niche")
-    pool = pool.join(F.broadcast(medians), "niche")
+    pool = written(niche_pool(t, niches).select("niche", "half", "entity_id", "cost", "cap", "open"), "pool")
+    medians = ordered.upper_median(pool, ["niche"], ["cost", "cap"]).select("niche", F.col("cost").alias("cost_median"), F.col("cap").alias("cap_median"))
+    pool = pool.join(F.broadcast(medians), "niche")  # a row a niche
     cheap = F.struct("cost", F.col("entity_id").alias("e"), "cap")
     best = lambda when: F.min(F.when(when, F.struct((-F.col("cap")).alias("neg"), F.col("entity_id").alias("e"), "cost", "cap")))
     picks = pool.groupBy("niche").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
 from marketweave.functions import names
-from marketweave.operators import checks, joins, maintenance, market, prose, quality
+from marketweave.operators import checks, joins, maintenance, market, passages, prose, quality
 from marketweave.plans.lens import LENS_SQL, Catalogue
 from marketweave.sources import price_files, rate_cards, scores
 from marketweave.streaming import changes, findings
@@ -26,7 +27,8 @@ def query(sql: str | None = None):
     def add(f: Callable[[Catalogue], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalogue(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = LENS_SQL + sql
+            recursive = sql.startswith("RECURSIVE")
+            ORACLE_SQL[f.__name__] = (LENS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + _MARKET + sql.removeprefix("RECURSIVE")) if recursive else LENS_SQL + sql
         return f
 
     return add
@@ -475,6 +477,47 @@ def export_nested(t):
     return rows.select("id", F.when(F.col("offerings").isNull(), 0).otherwise(size("offerings")).alias("offers"), rates.alias("rates"), n("aliases"), n("standings"), n("docs"))
 
 
+_SENTENCES = """, each AS (SELECT entity_id AS id, dimension, min((micros, p.name)) AS low, list(DISTINCT p.name) AS sellers FROM cur c JOIN offerings o ON o.id = c.offering_id JOIN providers p ON p.id = o.provider_id WHERE o.status = 'live' AND o.variant = '' GROUP BY 1, 2),
+told AS (SELECT id, dimension, sellers, 'The cheapest is $' || CASE WHEN low[1] / 1e6 >= 100 THEN printf('%.0f', low[1] / 1e6) WHEN low[1] / 1e6 >= 1 THEN printf('%.2f', low[1] / 1e6) ELSE regexp_replace(printf('%.8f', low[1] / 1e6), '[.]?0+$', '') END
+  || CASE dimension WHEN 'mtok_in' THEN ' per million tokens in' ELSE ' per million tokens out' END || ', at ' || low[2] || '.' AS said FROM each),
+rated AS (SELECT id, list_sort(list_distinct(flatten(list(sellers)))) AS sellers, string_agg(said, ' ' ORDER BY dimension) AS rates FROM told GROUP BY 1),
+best_place AS (SELECT entity_id AS id, min((rank / out_of, rank, out_of, s.name)) AS s FROM benchmarks b JOIN suites s ON s.id = suite WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1),
+titles(register, document, title, intro) AS (VALUES TITLES),
+thing AS (SELECT t.document, t.title, t.intro, lower(e.name) AS srt, e.id AS thn, '## ' || e.name || chr(10) || chr(10) || concat_ws(' ', e.name || ' is a ' || e.register || coalesce(' made by ' || p.name || ',', '') || ' which takes ' || coalesce(nullif(input_kind, ''), 'text') || ' and returns ' || coalesce(nullif(output_kind, ''), 'text') || '.',
+  'Its context window is ' || format('{:,}', size * 1000) || ' tokens.', 'It was published on ' || released || '.', CASE WHEN license IS NOT NULL THEN 'Its licence is ' || license || '.' WHEN open_weights THEN 'Its weights are published.' END,
+  CASE WHEN tasks <> '' THEN 'The catalogue files it under ' || replace(tasks, ',', ', ') || '.' END, 'What the plan allows: ' || limits || '.',
+  CASE WHEN sellers IS NULL THEN 'Nobody in the catalogue publishes a price for it.' ELSE len(sellers) || CASE WHEN len(sellers) = 1 THEN ' company sells' ELSE ' companies sell' END || ' it: ' || array_to_string(sellers, ', ') || '.' END, rates, 'Its best placing is ' || s[2] || ' of ' || s[3] || ' on ' || s[4] || '.',
+  'Page: https://example.org/index — search for ' || e.name || '.') || chr(10) AS text FROM entities e JOIN titles t ON t.register = e.register LEFT JOIN providers p ON p.id = e.maker LEFT JOIN rated r ON r.id = e.id LEFT JOIN best_place b ON b.id = e.id),
+firms AS (SELECT p.*, (SELECT count(*) FROM entities WHERE maker = p.id) AS makes, (SELECT count(DISTINCT entity_id) FROM offerings WHERE provider_id = p.id) AS sells, nation % 3 AS rounds FROM providers p),
+what AS (SELECT subject, arg_min(text, seq) AS what FROM docs WHERE kind = 'description' GROUP BY 1),
+backed AS (SELECT company_id AS id, string_agg(f.name, ', ' ORDER BY f.name) AS names FROM investments JOIN providers f ON f.id = fund_id GROUP BY 1),
+holding AS (SELECT fund_id AS id, count(*) AS n, string_agg(c.name, ', ' ORDER BY c.name) AS names FROM investments JOIN providers c ON c.id = company_id GROUP BY 1),
+firm AS (SELECT t.document, t.title, t.intro, lower(p.name) AS srt, p.id AS thn, '## ' || p.name || chr(10) || chr(10) || concat_ws(' ', p.name || ' is filed as a ' || kind || ' and its site is ' || url || '.', what, CASE WHEN makes > 0 THEN 'It makes ' || makes || CASE WHEN makes = 1 THEN ' thing' ELSE ' things' END || ' in the catalogue.' END,
+  CASE WHEN sells > 0 THEN 'It sells ' || sells || CASE WHEN sells = 1 THEN ' thing.' ELSE ' things.' END END, CASE WHEN raised <> 0 THEN 'It has raised at least $' || format('{:,}', raised) || ' across ' || rounds || CASE WHEN rounds = 1 THEN ' round' ELSE ' rounds' END || ' that we could read.' END,
+  'Its investors are ' || b.names || '.', 'As an investor it has backed ' || h.n || ' companies: ' || h.names || '.') || chr(10) AS text FROM firms p JOIN titles t ON t.register = 'companies' LEFT JOIN what ON subject = p.id LEFT JOIN backed b ON b.id = p.id LEFT JOIN holding h ON h.id = p.id),
+places AS (SELECT b.suite, e.name, b.rank, b.out_of, b.value, row_number() OVER (PARTITION BY b.suite ORDER BY b.rank, b.seq) AS n FROM benchmarks b JOIN entities e ON e.id = b.entity_id WHERE b.rank IS NOT NULL QUALIFY n <= 40),
+lines AS (SELECT suite, max(coalesce(out_of, 0)) AS field, count(*) AS n, string_agg(rank || '. ' || name || ' (' || CAST(value AS BIGINT) || ')', '; ' ORDER BY n) AS lines FROM places GROUP BY 1),
+board AS (SELECT t.document, t.title, t.intro, lower(s.name) AS srt, s.id AS thn, '## ' || s.name || chr(10) || chr(10) || s.name || ' is run by ' || CASE measurer WHEN '' THEN 'its own authors' ELSE measurer END || ' and scores models on its own metric. It has ranked ' || field || ' models; the catalogue holds ' || n || ' of them. Source: ' || url || '. The standings, best first: ' || lines || '.' || chr(10) AS text
+  FROM suites s JOIN titles t ON t.register = 'boards' JOIN lines l ON l.suite = s.id),
+sections AS (SELECT * FROM thing UNION ALL SELECT * FROM firm UNION ALL SELECT * FROM board),
+cut AS (SELECT document, '# ' || title AS lead, srt, thn, unnest(string_split(text, chr(10) || '## ')) AS x, unnest(range(len(string_split(text, chr(10) || '## ')))) AS i FROM sections),
+all_blocks AS (SELECT document, lead, srt, thn, i, CASE i WHEN 0 THEN x ELSE '## ' || x END AS text FROM cut UNION ALL SELECT DISTINCT document, '# ' || title, '', '', -1, '# ' || title || chr(10) || chr(10) || intro || chr(10) FROM sections),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY i >= 0, srt, thn, i) - 1 AS k FROM all_blocks),
+packed(document, k, part, size) AS (SELECT document, k, 1, length(text) FROM numbered WHERE k = 0 UNION ALL SELECT n.document, n.k, p.part + CASE WHEN p.size + length(n.text) > 40960 THEN 1 ELSE 0 END, CASE WHEN p.size + length(n.text) > 40960 THEN length(n.lead) ELSE p.size END + 2 + length(n.text) FROM packed p JOIN numbered n ON n.document = p.document AND n.k = p.k + 1),
+files AS (SELECT n.document, p.part, CASE WHEN p.part > 1 THEN any_value(lead) || chr(10) || chr(10) ELSE '' END || string_agg(text, chr(10) || chr(10) ORDER BY n.k) AS text FROM packed p JOIN numbered n ON n.document = p.document AND n.k = p.k GROUP BY 1, 2)
+SELECT document, CAST(part AS BIGINT) AS part, document || CASE WHEN max(part) OVER (PARTITION BY document) > 1 THEN '-' || printf('%02d', part) ELSE '' END || '.md' AS file, text FROM files""".replace("TITLES", ", ".join("('" + "', '".join(x.replace("'", "''") for x in (key, *row)) + "')" for key, row in (*passages.REGISTERS.items(), ("companies", passages.COMPANIES), ("boards", passages.BOARDS))))
+
+
+@query("RECURSIVE" + _SENTENCES)
+def export_passages(t):
+    held = SimpleNamespace(**{n: getattr(t, n) for n in ("offerings", "prices", "benchmarks", "docs", "investments")})
+    held.entities = t.entities.withColumn("context", F.col("size") * 1000)
+    held.providers = t.providers.withColumns({"rounds": F.col("nation") % 3, "backing": F.lit(None).cast("string")})
+    held.suites = t.suites.withColumn("metric", F.lit(None).cast("string"))
+    sections = [passages.things(held, r, "https://example.org") for r in passages.REGISTERS] + [passages.companies(held), passages.boards(held)]
+    return passages.export_passages(reduce(DataFrame.unionByName, sections))
+
+
 @query()
 def apply_listings(t):
     """The counters of one source's listings; no SQL, as they come from several results."""
