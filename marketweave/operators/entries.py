@@ -294,7 +294,7 @@ def apply_company_facts(providers: DataFrame, docs: DataFrame, investments: Data
         providers = merge_columns(providers, own, {"name": "new", "url": "set", "kind": "set"})
         rows = one(facts["portfolio"].select(F.coalesce("held", company_id(F.col("name"))).alias("id"), "name", F.col("held").isNull().alias("added"), "was", "acquired_by"), "id")
         status = F.when(F.col("acquired_by").isNotNull(), "Acquired")
-        rows = written(fresh(rows, F.lit("")).withColumns({"backing": F.lit(fund_name), "bought": status, "status": F.when(F.col("added"), F.coalesce(status, F.lit("Active")))}), "portfolio")
+        rows = written(fresh(rows, F.lit("")).withColumns({"backing": F.lit(fund_name), "bought": status, "status": F.coalesce(status, F.lit("Active"))}), "portfolio")
         providers = merge_columns(providers, rows, {**new_row, "backing": "unset", "status": "new"})
         providers = merge_columns(providers, rows.where("not added and bought is not null").select("id", F.col("bought").alias("status")), {"status": "set"})
         said = F.explode(F.array(F.struct(F.lit("formerly").alias("field"), F.col("was").alias("text")), F.struct(F.lit("acquired_by").alias("field"), F.col("acquired_by").alias("text"))))

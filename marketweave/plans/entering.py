@@ -173,3 +173,150 @@ def site_addresses(t):
     held.providers = t.providers.withColumns({"notes": F.when(F.col("kind") == "fund", "why"), "backing": F.lit(None).cast("string"), "raised": F.when(F.col("raised") > 0, F.col("raised"))})
     terms = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select(F.col("event_type").alias("slug")).distinct()
     return upkeep.addresses(held, terms, ["chat"])
+
+
+# A curated document: the lens as JSON, dealt to several files, on top of a catalogue that holds part of it already.
+
+_FILES = 16
+_OLD_PRICE = "l_linenumber = 1"
+_CURATED_SQL = """, docs_in AS (SELECT * FROM (SELECT seq % 16 AS file, *, CASE WHEN kind = 'article' THEN 'fact' ELSE kind END AS k2, CASE WHEN kind = 'article' THEN CASE seq % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'input_kind' ELSE 'note' END ELSE '' END AS field FROM docs)),
+li AS (SELECT *, 'e' || l_partkey AS entity_id, 's' || l_suppkey AS provider_id, CASE l_linestatus WHEN 'O' THEN 'mtok_in' ELSE 'mtok_out' END AS dimension, CASE l_returnflag WHEN 'A' THEN 'https://a.org' ELSE 'https://b.org' END AS source_url, CAST(round(l_extendedprice * 100) / 1000 AS BIGINT) AS micros FROM lineitem),
+offers AS (SELECT entity_id, provider_id, list((l_orderkey, l_linenumber) ORDER BY l_orderkey, l_linenumber) AS lines, l_partkey % 16 AS file FROM li WHERE l_linenumber > 1 GROUP BY ALL),
+comp AS (SELECT li.*, true AS fresh FROM li WHERE l_linenumber > 1 UNION ALL SELECT li.*, false FROM li WHERE l_linenumber = 1),
+moved AS (SELECT *, lag(micros) OVER (PARTITION BY entity_id, provider_id, dimension, source_url ORDER BY fresh, l_orderkey, l_linenumber) AS was FROM comp),
+scores AS (SELECT b.*, e.event_id % 3 <> 0 AS bound FROM benchmarks b JOIN events e ON e.event_id = b.seq),
+st AS (SELECT *, lag((value, rank, out_of)) OVER (PARTITION BY entity_id, suite, metric ORDER BY seq % 16, seq) AS was FROM scores WHERE bound),
+facts AS (SELECT 'ent_' || subject AS id, arg_max(length(text), (file, seq)) FILTER (field = 'context') AS context, arg_max(seq % 4, (file, seq)) FILTER (field = 'input_kind') AS kind FROM docs_in WHERE k2 = 'fact' AND subject LIKE 'e%' GROUP BY 1),
+told AS (SELECT e.id FROM (SELECT 'ent_' || id AS id, CASE input_kind WHEN 'a sound' THEN 'audio' ELSE input_kind END AS input_kind FROM entities) e JOIN facts f ON f.id = e.id WHERE f.context IS NOT NULL OR (f.kind IS NOT NULL AND CASE f.kind WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'audio' ELSE 'video' END <> e.input_kind)),
+n AS (SELECT (SELECT count(*) FROM entities WHERE size % 2 = 1) AS minted, (SELECT count(*) FROM entities WHERE size % 2 = 0) AS kept, (SELECT count(*) FROM offers) AS offerings, (SELECT count(*) FROM moved WHERE fresh AND micros IS DISTINCT FROM was) AS appended, (SELECT count(*) FROM moved WHERE fresh AND micros IS NOT DISTINCT FROM was) AS unchanged,
+  (SELECT count(*) FROM st) AS scored, (SELECT count(*) FROM st WHERE was IS NULL OR (value, rank, out_of) IS DISTINCT FROM was) AS moved, (SELECT count(*) FROM scores WHERE NOT bound) AS held, (SELECT count(*) FROM docs_in) AS texts, (SELECT count(*) FROM told) AS described)
+"""
+
+
+def _documents(t) -> DataFrame:
+    """(file, body): the lens as curated documents."""
+    li = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
+
+    def dealt(df: DataFrame, by, order: list, name: str, *cols) -> DataFrame:
+        rows = df.select((by % _FILES).alias("file"), F.struct(*order).alias("o"), F.struct(*cols).alias("r"))
+        return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias(name))
+
+    said = F.when(F.col("kind") == "article", F.when(F.col("seq") % 3 == 0, F.length("text").cast("string")).when(F.col("seq") % 3 == 1, F.element_at(F.array(*map(F.lit, ("text", "image", "audio", "video"))), (F.col("seq") % 4 + 1).cast("int"))).otherwise(F.col("text"))).otherwise(F.col("text"))
+    d = t.docs.withColumns({"said": said, "field": F.when(F.col("kind") == "article", F.when(F.col("seq") % 3 == 0, "context").when(F.col("seq") % 3 == 1, "input_kind").otherwise("note")), "subject": F.when(F.col("subject").startswith("e"), F.concat(F.lit("ent_"), "subject")).otherwise(F.col("subject"))})
+    priced = li.where("l_linenumber > 1").select(F.concat(F.lit("e"), "l_partkey").alias("entity"), F.concat(F.lit("s"), "l_suppkey").alias("provider"), (F.col("l_partkey") % _FILES).alias("p"), F.struct("l_orderkey", "l_linenumber").alias("o"),
+        F.struct(F.when(F.col("l_linestatus") == "O", "mtok_in").otherwise("mtok_out").alias("dimension"), F.round(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros_per_unit"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-02-03").alias("taken_at")).alias("c"))
+    offers = priced.groupBy("entity", "provider", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]).alias("components"))
+    number = F.substring("id", 2, 20).cast("long")
+    parts = [
+        dealt(t.providers, number, ["id"], "providers", "id", "name", "url", "kind"), dealt(t.entities, number, ["id"], "entities", F.concat(F.lit("ent_"), "id").alias("id"), "register", "name", "input_kind", "output_kind", "maker"),
+        dealt(offers, F.col("p"), ["entity", "provider"], "offerings", "entity", "provider", F.lit("api").alias("way"), "components"), dealt(t.suites, F.length("id"), ["id"], "suites", "id", "name", "measurer", "url", "lower_is_better"),
+        dealt(t.benchmarks.withColumn("model_as_printed", F.concat_ws("-", "entity_id", F.col("seq") % 3)), F.col("seq"), ["seq"], "benchmarks", "suite", "model_as_printed", "metric", "value", "rank", "out_of", F.lit("https://c.org").alias("source_url"), F.col("taken_at").cast("string").alias("taken_at")),
+        dealt(d, F.col("seq"), ["seq"], "docs", "subject", F.when(F.col("kind") == "article", "fact").otherwise(F.col("kind")).alias("kind"), "field", F.col("said").alias("text"), "source_url", "taken_at"),
+        dealt(t.benchmarks.select("suite", "entity_id").distinct().withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))), F.length("suite"), ["suite", "entity_id", "n"], "aliases", F.concat(F.lit("bench_"), "suite").alias("source"), F.concat_ws("-", "entity_id", "n").alias("alias"), F.col("entity_id").alias("entity")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.join(p, "file", "full")
+    return rows.select("file", F.to_json(F.struct(*(c for c in rows.columns if c != "file"))).alias("body"))
+
+
+def _imported(t) -> dict[str, DataFrame]:
+    spark, li = t.spark, t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").where(_OLD_PRICE)
+    none = lambda schema: spark.createDataFrame([], schema)
+    offering = "entity_id string, provider_id string, way string, variant string, "
+    prices = li.select(F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.concat(F.lit("s"), "l_suppkey").alias("provider_id"), F.lit("api").alias("way"), F.lit("").alias("variant"), F.when(F.col("l_linestatus") == "O", "mtok_in").otherwise("mtok_out").alias("dimension"),
+        F.round(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-01-01").cast("date").alias("taken_at"), F.col("l_orderkey").alias("seq"))
+    old = t.entities.where("size % 2 = 0").select(F.concat(F.lit("ent_"), "id").alias("id"), "register", "name", F.when(F.col("input_kind") == "a sound", "audio").otherwise(F.col("input_kind")).alias("input_kind"), "output_kind", F.lit("old").alias("maker"), F.lit("{}").alias("attrs"))
+    held = {
+        "providers": none("id string, name string, url string, kind string, notes string"), "entities": old, "aliases": none("source string, alias string, entity_id string"), "queue": none("source string, alias string, payload string"), "prices": prices,
+        "offerings": none(offering + "first_seen date, last_seen date"), "metrics": none(offering + "metric string, value double, source_url string, taken_at date, seq long"), "suites": none("id string, name string, measurer string, url string, metric string, subject string, lower_is_better boolean, updated string"),
+        "benchmarks": none("entity_id string, suite string, metric string, value double, rank long, out_of long, source_url string, taken_at date, seq long"), "docs": none("subject string, kind string, field string, text string, source_url string, taken_at string"),
+    }
+    return entries.import_curated(_documents(t), held)
+
+
+_COUNTED = ("minted", "kept", "offerings", "appended", "unchanged", "scored", "moved", "held", "texts", "described")
+
+
+@query(_CURATED_SQL + " UNION ALL ".join(f"SELECT '{c}' AS what, {c} AS n FROM n" for c in _COUNTED))
+def import_counters(t):
+    """The counters of an import of the whole lens."""
+    one = _imported(t)["counters"]
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in _COUNTED))))
+
+
+@query(_CURATED_SQL + """SELECT 'ent_' || e.id AS id, name, CASE WHEN size % 2 = 0 THEN 'old' ELSE maker END AS maker, coalesce(CASE f.kind WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'video' END, CASE input_kind WHEN 'a sound' THEN 'audio' ELSE input_kind END) AS input_kind,
+  CASE WHEN f.context IS NOT NULL THEN '{"context":' || f.context || '}' ELSE '{}' END AS attrs FROM entities e LEFT JOIN facts f ON f.id = 'ent_' || e.id""")
+def import_entities(t):
+    """Things after the import: rows that were held stay, facts are theirs."""
+    return _imported(t)["entities"].select("id", "name", "maker", "input_kind", "attrs")
+
+
+_PLANS = """SELECT 'Plan+' || p_name || ' ' || p_partkey AS plan, 's' || (p_partkey % 300) AS maker, 'Seller ' || (p_partkey % 300) AS maker_name, 'https://s' || (p_partkey % 300) || '.com' AS maker_url, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DOUBLE) / 4 END AS usd,
+  CASE WHEN p_size % 3 = 0 THEN 'T' || (p_partkey - 1) END AS grants, CASE WHEN p_size % 5 <> 0 THEN p_size || ' a day' END AS limits, 'https://plans.org' AS source_url FROM {part} WHERE p_size < 25"""
+_PLANNED = f""", plans AS ({_own(_PLANS)}), p AS (SELECT *, 'sub_' || trim(regexp_replace(replace(lower(plan), '+', ' plus '), '[^a-z0-9]+', '-', 'g'), '-') AS id, CASE WHEN coalesce(usd, 0) = 0 THEN 'free' ELSE '' END AS variant FROM plans),
+held AS (SELECT 'e' || p_partkey AS id, 'T' || p_partkey AS name FROM part)
+"""
+
+
+def _planned(t) -> dict[str, DataFrame]:
+    part = t.spark.read.parquet(f"{t.sf_dir}/part.parquet")
+    plans = _seen_as(t, _PLANS).withColumn("includes", F.lit(None).cast("array<string>"))
+    things = part.select(F.concat(F.lit("e"), "p_partkey").alias("id"), F.lit("model").alias("register"), F.concat(F.lit("T"), "p_partkey").alias("name"), F.lit("m").alias("maker"), F.lit("text").alias("input_kind"), F.lit("text").alias("output_kind"), F.lit(None).cast("string").alias("derived_from"), F.lit("{}").alias("attrs"))
+    known = plans.where("usd = 1").select(entries.plan_id(F.col("plan")).alias("id"), F.lit("subscription").alias("register"), F.lit("old").alias("name"), F.lit("old").alias("maker"), F.lit("").alias("input_kind"), F.lit("").alias("output_kind"), F.lit(None).cast("string").alias("derived_from"), F.lit("{}").alias("attrs"))
+    hung = part.where("p_size = 9").select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.lit("s1").alias("provider_id"), F.lit("subscription").alias("way"), F.lit("").alias("variant"))
+    stay = part.where("p_size = 10").select(F.concat(F.lit("e"), "p_partkey").alias("entity_id"), F.lit("s1").alias("provider_id"), F.lit("api").alias("way"), F.lit("").alias("variant"))
+    day = F.lit("2024-01-01").cast("date")
+    offerings = hung.union(stay).withColumns({"limits": F.lit("x"), "status": F.lit("live"), "first_seen": day, "last_seen": day})
+    prices = hung.union(stay).withColumns({"dimension": F.lit("month"), "micros": F.lit(5).cast("long"), "source_url": F.lit("u"), "taken_at": day})
+    return entries.apply_plans(plans, {"providers": t.providers.select("id", "name", "url", "kind"), "entities": things.union(known), "offerings": offerings, "prices": prices}, "2024-02-03")
+
+
+@query(_PLANNED + """SELECT id AS entity_id, maker AS provider_id, 'subscription' AS way, variant, CAST(round(coalesce(usd, 0) * 1e6) AS BIGINT) AS micros, coalesce(limits, '') AS limits FROM p
+UNION ALL SELECT 'e' || p_partkey, 's1', 'api', '', 5, 'x' FROM part WHERE p_size = 10""")
+def plan_prices(t):
+    """What is sold by the month after the plans are applied: what hung on other things is gone."""
+    got = _planned(t)
+    return got["prices"].join(got["offerings"], ["entity_id", "provider_id", "way", "variant"]).select("entity_id", "provider_id", "way", "variant", "micros", "limits")
+
+
+@query(_PLANNED + """SELECT p.id, plan AS name, maker, h.id AS derived_from, '{"limits":"' || coalesce(limits, '') || '","includes":[]}' AS attrs FROM p LEFT JOIN held h ON h.name = grants""")
+def plan_entities(t):
+    return _planned(t)["entities"].where("register = 'subscription'").select("id", "name", "maker", "derived_from", "attrs")
+
+
+_FIRMS = """SELECT c_custkey AS k, 'Firm & Co ' || c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN 's' || (c_custkey % 150) END AS held, CASE WHEN c_custkey % 5 = 0 THEN 'Was ' || c_custkey END AS was, CASE WHEN c_custkey % 7 = 0 THEN 'Buyer' END AS acquired_by,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Too short.' ELSE 'It makes   things of the kind ' || c_mktsegment || ' for those who need them.' END AS text FROM {customer}"""
+_COMPANY = f""", firms AS ({_own(_FIRMS)}), f AS (SELECT *, coalesce(held, 'prov_' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')) AS id FROM firms),
+port AS (SELECT id, min((name, held IS NULL, was, acquired_by)) AS f FROM f WHERE k % 2 = 0 GROUP BY 1), portf AS (SELECT id, f[1] AS name, f[2] AS added, f[3] AS was, f[4] AS acq FROM port),
+batch AS (SELECT id, min((held IS NOT NULL, name, 'B' || (k % 3), text)) AS f FROM f WHERE k % 2 = 1 GROUP BY 1), p0 AS (SELECT id, name, url, kind, CASE WHEN nation = 1 THEN 'mark' END AS backing, CAST(NULL AS VARCHAR) AS status, raised FROM providers),
+p1 AS (SELECT p0.id, p0.name, p0.url, p0.kind, coalesce(backing, CASE WHEN q.id IS NOT NULL THEN 'Fund' END) AS backing, CASE WHEN NOT added AND acq IS NOT NULL THEN 'Acquired' ELSE status END AS status, raised FROM p0 LEFT JOIN portf q USING (id)
+  UNION ALL SELECT id, name, '', 'vendor', 'Fund', CASE WHEN acq IS NOT NULL THEN 'Acquired' ELSE 'Active' END, NULL FROM portf WHERE id NOT IN (SELECT id FROM p0) UNION ALL SELECT 'fund', 'Fund', 'https://fund.vc', 'fund', NULL, NULL, NULL),
+p2 AS (SELECT p1.id, p1.name, url, kind, CASE WHEN p1.backing IS NULL AND b.f[1] THEN b.f[3] ELSE p1.backing END AS backing, CASE WHEN p1.backing IS NULL AND b.f[1] THEN 'On' ELSE status END AS status, raised FROM p1 LEFT JOIN batch b ON b.id = p1.id
+  UNION ALL SELECT id, f[2], 'https://' || id, 'vendor', f[3], 'On', NULL FROM batch WHERE NOT f[1] AND id NOT IN (SELECT id FROM p1))
+"""
+
+
+def _told(t) -> dict[str, DataFrame]:
+    rows = _seen_as(t, _FIRMS)
+    providers = t.providers.select("id", "name", "url", "kind", F.when(F.col("nation") == 1, "mark").alias("backing"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("boolean").alias("listed"), "raised", F.lit(None).cast("long").alias("rounds"), F.lit(None).cast("string").alias("raised_source"))
+    docs = t.docs.select("subject", "kind", F.lit("").alias("field"), "text", "source_url", "taken_at")
+    edges = t.investments.select("fund_id", "company_id", F.lit("u").alias("source_url"))
+    batch = rows.where("k % 2 = 1").select("name", "held", F.concat(F.lit("B"), F.col("k") % 3).alias("backing"), F.lit("On").alias("status"), F.concat(F.lit("https://"), entries.company_id(F.col("name"))).alias("url"), "text", F.lit("https://dir.org").alias("page"))
+    facts = {"portfolio": rows.where("k % 2 = 0").select("name", "held", "was", "acquired_by"), "batch": batch}
+    return entries.apply_company_facts(providers, docs, edges, facts, ("fund", "Fund", "https://fund.vc"), "https://fund.vc/list", "2024-02-03")
+
+
+@query(_COMPANY + "SELECT id, name, url, kind, backing, status, raised FROM p2")
+def company_facts(t):
+    """Companies after a fund's portfolio and a directory's batch: what was known stays where the policy says so."""
+    return _told(t)["providers"].select("id", "name", "url", "kind", "backing", "status", "raised")
+
+
+@query(_COMPANY + """SELECT 'fact' AS part, id AS subject, 'formerly' AS what, was AS text FROM portf WHERE was IS NOT NULL UNION ALL SELECT 'fact', id, 'acquired_by', acq FROM portf WHERE acq IS NOT NULL
+UNION ALL SELECT 'description', id, '', regexp_replace(f[4], '\\s+', ' ', 'g') FROM batch WHERE NOT f[1] AND id NOT IN (SELECT id FROM p1) AND length(regexp_replace(f[4], '\\s+', ' ', 'g')) >= 40 UNION ALL SELECT 'edge', 'fund', id, '' FROM portf""")
+def company_evidence(t):
+    """The facts, descriptions and investments that came with them."""
+    got = _told(t)
+    docs = got["docs"].where("source_url in ('https://fund.vc/list', 'https://dir.org')").select(F.col("kind").alias("part"), "subject", F.col("field").alias("what"), "text")
+    return docs.union(got["investments"].where("fund_id = 'fund'").select(F.lit("edge"), "fund_id", "company_id", F.lit("")))
