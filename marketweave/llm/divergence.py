@@ -94,10 +94,9 @@ def _scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = postings.offsets.to_numpy().astype(np.int64)
             of, p, p0 = (postings.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             sizes = np.diff(begin)
-            term = np.repeat(np.arange(len(sizes)), sizes) if begin[0] == 0 else None
-            if term is None:
-                of, p, p0, begin = of[begin[0] : begin[-1]], p[begin[0] : begin[-1]], p0[begin[0] : begin[-1]], begin - begin[0]
-                term = np.repeat(np.arange(len(sizes)), sizes)
+            of, p, p0 = (x[begin[0] : begin[-1]] for x in (of, p, p0))
+            begin = begin - begin[0]
+            term = np.repeat(np.arange(len(sizes)), sizes)
             peers = rows.column(2)[0].as_py()
             by_group = np.argsort(of, kind="stable")
             edges = np.flatnonzero(np.diff(of[by_group], prepend=-1, append=-1))
