@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.functions import ordered
 from marketweave.llm.common import materialise, release_state, sized_broadcast
 from marketweave.llm.components import components
 
@@ -52,6 +53,11 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _digest(shingles: bytes) -> bytes:
+    """What tells a whole set from others."""
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_state()
@@ -70,7 +76,7 @@ def _sketches(words: int):
                 for k in range(ROWS):
                     key = (key ^ sig[k::ROWS]) * _MIX
                     key ^= key >> np.uint64(31)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(_digest(s.tobytes()))
                 keys.append(key.view(np.int64))
                 low.append(sig.astype(np.uint8).tobytes())
             cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
@@ -84,7 +90,7 @@ def _sets(words: int):
         release_state()
         for batch in batches:
             sets = [shingle_set(raw, words).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "shingles"])
 
     return run
 
@@ -171,6 +177,8 @@ def _links(percent: int):
                 if tag == 0:
                     ids.append(own), of.append(component), sets.append(s)
                     continue
+                if not ids:
+                    continue  # strays are dealt by hash, and none came to this block
                 index = index or Strays(ids, of, sets)
                 common = index.overlaps(s)
                 found = (100 * common >= percent * (index.sizes + len(s) - common)) & (index.of != component)
@@ -203,13 +211,21 @@ def _crowds(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stream.mapInArrow(_links(percent), "u long, v long").distinct()
 
 
+def _numbered(named: DataFrame) -> DataFrame | None:
+    """(doc_id, digest, node): a number for each set of each id, rising with the ids; None where no id has several sets, as ids are numbers enough then."""
+    sets = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    if sets.where("low <> high").isEmpty():
+        return None
+    return materialise(ordered.placed(named.select("doc_id", "digest").distinct(), [], [F.col("doc_id"), F.col("digest")], "node"), "numbers")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets
     (A-Z lower-cased, words split at ASCII white space); component_id is the least id reachable and
     kept tells whether it is the row's own. A null or wordless text has an empty set and no links. Rows
-    with one id are one node with all their links. A row without id is linked with nothing, has a null
+    with one id are one document with the links of all of them. A row without id is linked with nothing, has a null
     component and is kept. An empty table gives an empty result; other columns are ignored.
 
     Equal sets are folded to their least id first. Then members are compared with one leader of their buckets,
@@ -219,10 +235,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialise(texts.mapInArrow(_sketches(words), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary"), "sketches")
-    alike = base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = base.where("digest is not null and doc_id is not null")
+    numbers = _numbered(named)
+    if numbers is None:
+        base = base.withColumn("node", F.col("doc_id"))
+    else:
+        base = materialise(base.join(numbers, ["doc_id", "digest"], "left"), "sketches")
+    named = base.where("digest is not null and doc_id is not null")
+    alike = named.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     alike = materialise(alike, "alike")
-    folded = base.where("digest is not null and doc_id is not null").join(sized_broadcast(alike), "digest", "left")
-    nodes = folded.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "keys", "low")
+    folded = named.join(sized_broadcast(alike), "digest", "left")
+    nodes = folded.where("rep is null or rep = node").select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), "keys", "low")
 
     rows = nodes.select("id", "n", F.explode("keys").alias("key"))
     of_bucket = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).where("l.id < last")
@@ -230,8 +253,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     live = materialise(rows.join(sized_broadcast(shared), "key"), "live")
     ids = materialise(live.select("id").distinct(), "candidates")
     low = materialise(nodes.select("id", "low").join(sized_broadcast(ids), "id", "left_semi").dropDuplicates(["id"]), "signatures")
-    sets = texts.join(sized_broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-    sets = materialise(sets.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+    sought = ids.withColumnRenamed("id", "doc_id") if numbers is None else materialise(numbers.join(ids, numbers.node == ids.id, "left_semi").select("doc_id").distinct(), "sought")
+    sets = texts.join(sized_broadcast(sought), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, digest binary, shingles binary")
+    sets = sets.select(F.col("doc_id").alias("id"), "shingles") if numbers is None else sets.join(numbers, ["doc_id", "digest"]).join(ids.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("id"), "shingles").dropDuplicates(["id"])
+    sets = materialise(sets, "sets")
     #: Sets of such different sizes are not alike whatever they hold.
     comparable = F.expr(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
 
@@ -272,8 +297,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not still.isEmpty():
         edges = materialise(edges.union(_crowds(still, sets, percent)), "edges")
 
-    labels = sized_broadcast(materialise(components(edges), "labels"))
-    out = base.select("doc_id", "n_shingles", "digest").join(sized_broadcast(alike), "digest", "left")
-    out = out.withColumn("id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "doc_id")).join(labels, "id", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id"))
+    if numbers is not None:  # the sets of one id are one document's
+        same = numbers.join(sized_broadcast(alike), "digest", "left").select("doc_id", F.coalesce("rep", "node").alias("v"))
+        first = same.groupBy("doc_id").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u < last").select("doc_id", "u")
+        edges = edges.union(same.join(first, "doc_id").where("u < v").select("u", "v"))
+    labels = materialise(components(edges), "labels")
+    out = base.select("doc_id", "node", "n_shingles", "digest").join(sized_broadcast(alike), "digest", "left")
+    out = out.withColumn("id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "node")).join(sized_broadcast(labels), "id", "left")
+    out = out.withColumn("component", F.coalesce("component", "id"))
+    if numbers is not None:  # numbers rise with the ids, so the least number of a component is of its least id
+        out = out.drop("id").join(numbers.select(F.col("node").alias("component"), F.col("doc_id").alias("id")), "component", "left").withColumn("component", F.col("id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
