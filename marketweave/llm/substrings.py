@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import forget, materialise, materialise_by, sized_broadcast
-from marketweave.llm.wordcodes import SIZE, WordCodes, equal_before, equal_from
+from marketweave.llm.wordcodes import FEW, SIZE, Crowd, WordCodes, equal_before, equal_from
 
 #: Words of an anchor. Equal windows have equal anchors: the least hash of so many consecutive words in the window.
 ANCHOR = 6
@@ -190,8 +190,9 @@ class PassageAutomaton:
         """
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
+            coded = [c for c, _ in self.passages]
             for phrase, places in self.places.items():
-                self.automaton.add_word(phrase, places)
+                self.automaton.add_word(phrase, places if len(places) <= FEW else Crowd(places, coded, self.phrase, self.window))
             if self.places:
                 self.automaton.make_automaton()
         if not self.places:
@@ -208,7 +209,7 @@ class PassageAutomaton:
             if begin + window <= first <= end - window:
                 continue  # all that goes beyond the stretch has a phrase nearer to one of its ends
             covered = begin + window <= first < end  # nothing new to the left
-            for passage, at in places:
+            for passage, at in places if isinstance(places, list) else places.met(text, first):
                 coded, owner = self.passages[passage]
                 shift = at - first
                 top = min(n, len(coded) // SIZE - shift)

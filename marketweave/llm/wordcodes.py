@@ -42,3 +42,26 @@ def equal_from(a: str, i: int, b: str, j: int, most: int) -> int:
         else:
             most, step = n + step - 1, step // 2
     return n
+
+
+#: Places of a phrase up to which they are all followed; beyond it only those whose window is met.
+FEW = 16
+
+
+class Crowd:
+    """The places of a phrase that many texts share, by the windows round it: an occurrence leads to the places that have a whole window in common with it, and to no others."""
+
+    def __init__(self, places: list[tuple[int, int]], coded: list[str], phrase: int, window: int):
+        self.window, self.before = window, window - phrase
+        self.by: dict[str, list[tuple[int, int]]] = {}
+        for place in places:
+            of, at = place
+            for first in range(max(0, at - self.before), min(at, len(coded[of]) // SIZE - window) + 1):
+                met = self.by.setdefault(coded[of][SIZE * first : SIZE * (first + window)], [])
+                if not met or met[-1] != place:
+                    met.append(place)
+
+    def met(self, text: str, at: int) -> list[tuple[int, int]]:
+        """Places with a window in common with the text's, for the phrase at word `at`."""
+        found = [self.by.get(text[SIZE * first : SIZE * (first + self.window)], ()) for first in range(max(0, at - self.before), at + 1)]
+        return list(dict.fromkeys(place for places in found for place in places))
