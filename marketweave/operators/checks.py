@@ -7,13 +7,14 @@ plans/lens.py for their columns). All are joins, groupings and filters; none col
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
 from marketweave.functions import names
+from marketweave.functions.scratch import written
 from marketweave.operators import history, joins, quality
 
 # The words that each column of the catalogue may have.
@@ -53,20 +54,45 @@ def _repeated(df: DataFrame, keys: list[Column], what: Column) -> DataFrame:
     return _pair(got, F.concat_ws(" ", *(f"k{i}" for i in range(len(keys)))), F.concat_ws(" + ", "low", "high"))
 
 
-def _sold(t, prices: DataFrame) -> DataFrame:
-    """Prices with the offering, entity and provider they belong to."""
-    o = t.offerings.select(F.col("id").alias("offering_id"), "entity_id", "provider_id", "variant")
-    e = t.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"))
-    p = t.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))
-    return prices.join(o, "offering_id").join(e, "entity_id").join(p, "provider_id")
+class Settled:
+    """A catalogue with what several rules ask of it written once: the newest prices and standings, and what offerings belong to."""
+
+    def __init__(self, tables):
+        self._tables = tables
+
+    def __getattr__(self, name: str):
+        return getattr(self._tables, name)
+
+    @cached_property
+    def latest_prices(self) -> DataFrame:
+        return written(history.latest(self.prices.select("offering_id", "dimension", "seq", "micros", "taken_at"), ["offering_id", "dimension"], ["seq", "micros", "taken_at"]), "latest_prices")
 
+    @cached_property
+    def latest_standings(self) -> DataFrame:
+        return written(history.latest(self.benchmarks, ["entity_id", "suite", "metric"], ["seq"]), "latest_standings")
 
-def _latest_prices(t) -> DataFrame:
-    return history.latest(t.prices.select("offering_id", "dimension", "seq", "micros", "taken_at"), ["offering_id", "dimension"], ["seq", "micros", "taken_at"])
+    @cached_property
+    def named_offerings(self) -> DataFrame:
+        """Offerings of things and companies that exist, with their names."""
+        o = self.offerings.select(F.col("id").alias("offering_id"), "entity_id", "provider_id", "way", "variant", "status", "allowance", "last_seen")
+        e = self.entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity"))
+        p = self.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))
+        return written(o.join(e, "entity_id").join(p, "provider_id"), "named_offerings")
 
+    @cached_property
+    def priced(self) -> DataFrame:
+        """Offerings with a price."""
+        return written(self.prices.select("offering_id").distinct(), "priced")
 
-def _latest_standings(t) -> DataFrame:
-    return history.latest(t.benchmarks, ["entity_id", "suite", "metric"], ["seq"])
+    @cached_property
+    def today(self) -> DataFrame:
+        """One row: the day of the newest price."""
+        return F.broadcast(written(self.latest_prices.agg(F.max("taken_at").alias("today")), "today"))
+
+
+def _sold(t, prices: DataFrame) -> DataFrame:
+    """Prices with the offering, entity and provider they belong to."""
+    return prices.join(t.named_offerings.select("offering_id", "entity", "provider", "variant"), "offering_id")
 
 
 @rule("one model string, two entities", True)
@@ -129,7 +155,7 @@ def repeated_provider(t) -> DataFrame:
 
 @rule("one standing under two labels", True)
 def two_labels(t) -> DataFrame:
-    return _repeated(_latest_standings(t), [F.col("entity_id"), F.col("suite"), F.round("value", 1)], F.col("metric"))
+    return _repeated(t.latest_standings, [F.col("entity_id"), F.col("suite"), F.round("value", 1)], F.col("metric"))
 
 
 @rule("a price of nought", True)
@@ -152,18 +178,16 @@ def id_as_name(t) -> DataFrame:
 
 @rule("a live offering nobody has confirmed in a week", False)
 def unconfirmed(t) -> DataFrame:
-    today = F.broadcast(t.prices.agg(F.max("taken_at").alias("today")))
-    o = t.offerings.where(F.col("way").isin("api", "aggregator", "cloud"))
-    seen = o.groupBy("provider_id", "way").agg(F.max("last_seen").alias("seen"))
-    e, p = t.entities.select(F.col("id").alias("entity_id"), "name"), t.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))
-    got = o.where("status = 'live'").join(seen, ["provider_id", "way"]).join(e, "entity_id").join(p, "provider_id").crossJoin(today)  # one row
+    read = F.col("way").isin("api", "aggregator", "cloud")
+    seen = t.offerings.where(read).groupBy("provider_id", "way").agg(F.max("last_seen").alias("seen"))
+    got = t.named_offerings.where(read & (F.col("status") == "live")).join(seen, ["provider_id", "way"]).crossJoin(t.today)  # one row
     got = got.where((F.col("last_seen") < F.date_sub("today", UNSEEN)) & (F.col("seen") >= F.date_sub("today", RECENT)))
-    return _pair(got, F.concat_ws(" at ", "name", "provider"), "last_seen")
+    return _pair(got, F.concat_ws(" at ", "entity", "provider"), "last_seen")
 
 
 @rule("a rate far outside its dimension's range", False)
 def outlier(t) -> DataFrame:
-    got = _sold(t, history.outliers(_latest_prices(t), ["dimension"], "micros"))
+    got = _sold(t, history.outliers(t.latest_prices, ["dimension"], "micros"))
     return _pair(got, F.concat_ws(" ", "entity", F.lit("at"), "provider", "dimension"), F.concat_ws(" vs ", F.round(F.col("micros") / 1e6, 4), F.round(F.col("mean") / 1e6, 4)))
 
 
@@ -186,9 +210,7 @@ def plan_without_limits(t) -> DataFrame:
 
 @rule("something given away with no allowance beside it", False)
 def free_without_allowance(t) -> DataFrame:
-    p = t.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))
-    got = t.offerings.where("variant = 'free' and coalesce(allowance, '') in ('', '{}')").join(t.entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").join(p, "provider_id")
-    return _pair(got, "name", "provider")
+    return _pair(t.named_offerings.where("variant = 'free' and coalesce(allowance, '') in ('', '{}')"), "entity", "provider")
 
 
 @rule("a free price outside the free lane", True)
@@ -203,7 +225,7 @@ def unlisted(t) -> DataFrame:
 
 
 def _priced(t) -> DataFrame:
-    return t.offerings.select(F.col("id").alias("offering_id"), "entity_id").join(t.prices.select("offering_id").distinct(), "offering_id", "left_semi").select("entity_id").distinct()
+    return t.offerings.select(F.col("id").alias("offering_id"), "entity_id").join(t.priced, "offering_id", "left_semi").select("entity_id").distinct()
 
 
 @rule("a card that says nothing", True)
@@ -216,14 +238,12 @@ def empty_card(t) -> DataFrame:
 
 @rule("an offering with no price", False)
 def no_price(t) -> DataFrame:
-    o = t.offerings.where("way <> 'local'").join(t.prices.select(F.col("offering_id").alias("id")), "id", "left_anti")
-    p = t.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider"))
-    return _pair(o.join(t.entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").join(p, "provider_id"), F.concat_ws(" at ", "name", "provider"), "way")
+    return _pair(t.named_offerings.where("way <> 'local'").join(t.priced, "offering_id", "left_anti"), F.concat_ws(" at ", "entity", "provider"), "way")
 
 
 @rule("a standing with no place in a field", False)
 def no_place(t) -> DataFrame:
-    return _pair(_latest_standings(t).where("rank is null or out_of is null"), F.concat_ws(" on ", "entity_id", "suite"), "metric")
+    return _pair(t.latest_standings.where("rank is null or out_of is null"), F.concat_ws(" on ", "entity_id", "suite"), "metric")
 
 
 @rule("a board that does not say who runs it", True)
@@ -233,8 +253,8 @@ def no_measurer(t) -> DataFrame:
 
 @rule("a figure nobody has re-read in a while", False)
 def old_figure(t) -> DataFrame:
-    latest = _sold(t, _latest_prices(t))
-    got = latest.crossJoin(F.broadcast(t.prices.agg(F.max("taken_at").alias("today")))).where(F.col("taken_at") < F.date_sub("today", OLD))
+    latest = _sold(t, t.latest_prices)
+    got = latest.crossJoin(t.today).where(F.col("taken_at") < F.date_sub("today", OLD))
     return _pair(got.groupBy("offering_id").agg(F.min("entity").alias("entity"), F.min("taken_at").alias("taken_at")), "entity", "taken_at")
 
 
@@ -328,6 +348,7 @@ def run_checks(tables, rules: dict[str, tuple[Rule, bool]] = RULES, sample: int
     Findings of all rules are counted in one pass: they are dealt to PARTS by hash, each part keeps a count and
     its least finding, and a sample is the first few of these. So no rule's findings are ever in one place.
     """
+    tables = Settled(tables)
     found = reduce(DataFrame.union, (f(tables).select(F.lit(name).alias("check"), "a", "b") for name, (f, _) in rules.items()))
     parts = found.groupBy("check", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)).alias("part")).agg(F.count("*").alias("n"), F.min(F.struct("a", "b")).alias("one"))
     counted = parts.groupBy("check").agg(F.sum("n").alias("findings"), F.slice(F.array_sort(F.collect_list("one")), 1, sample).alias("sample"))

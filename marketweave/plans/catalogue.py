@@ -205,7 +205,7 @@ sets AS (SELECT o.id, any_value(entity_id) AS entity_id, any_value(provider_id)
 
 @query(_check_sql())
 def run_checks(t):
-    return checks.run_checks(t).drop("sample")
+    return checks.run_checks(t.keep("offerings", "suites")).drop("sample")
 
 
 # Reports on the market.
@@ -238,7 +238,7 @@ cells AS (SELECT p.*, eligible, cell FROM pool p JOIN med USING (niche), (VALUES
 
 @query(_MARKET + _STANDS + _POOL + "SELECT niche, cell, entity_id, round(cost, 6) AS cost, round(cap, 6) AS cap, eligible FROM cells QUALIFY row_number() OVER (PARTITION BY niche, cell ORDER BY CASE WHEN cell = 'cheapest' THEN cost ELSE -cap END, entity_id) = 1")
 def top_picks(t):
-    return market.top_picks(t, NICHES).select("niche", "cell", "entity_id", F.round("cost", 6).alias("cost"), F.round("cap", 6).alias("cap"), "eligible")
+    return market.top_picks(t.keep("offerings", "suites"), NICHES).select("niche", "cell", "entity_id", F.round("cost", 6).alias("cost"), F.round("cap", 6).alias("cap"), "eligible")
 
 
 @query(
@@ -383,8 +383,9 @@ def fold_groups(t):
 
 
 @query(""", m AS (SELECT m.id AS loser, min(p.id) AS survivor FROM entities m JOIN entities p ON lower(p.name) = regexp_replace(lower(m.name), '-tee$', '') AND NOT ends_with(lower(p.name), '-tee') WHERE ends_with(lower(m.name), '-tee') GROUP BY 1),
-o AS (SELECT o.id, coalesce(survivor, entity_id) AS entity_id, provider_id, way, variant, survivor IS NOT NULL AS moved FROM offerings o LEFT JOIN m ON loser = entity_id)
-SELECT o.id, o.entity_id, CASE WHEN moved AND EXISTS (SELECT 1 FROM offerings x WHERE x.entity_id = o.entity_id AND x.provider_id = o.provider_id AND x.way = o.way AND x.variant = o.variant) THEN trim(variant || ' tee') ELSE variant END AS variant FROM o""")
+o AS (SELECT o.id, coalesce(survivor, entity_id) AS entity_id, provider_id, way, variant, survivor IS NOT NULL AS moved FROM offerings o LEFT JOIN m ON loser = entity_id),
+taken AS (SELECT DISTINCT entity_id, provider_id, way, variant, true AS taken FROM offerings)
+SELECT o.id, o.entity_id, CASE WHEN moved AND taken THEN trim(variant || ' tee') ELSE variant END AS variant FROM o LEFT JOIN taken USING (entity_id, provider_id, way, variant)""")
 def merge_entities(t):
     pairs = joins.suffix_sibling(t.entities).where("sibling is not null").select(F.col("id").alias("loser"), F.col("sibling").alias("survivor"), F.lit("tee").alias("hint"))
     merged = maintenance.merge_entities({n: getattr(t, n) for n in ("entities", "offerings", "aliases", "benchmarks", "docs")}, pairs)
@@ -626,9 +627,9 @@ def keep_description(t):
     return t.docs.where("text is not null").select("seq", prose.keep_description(F.lit("The"), F.col("text"), F.col("source_url")).alias("keep"))
 
 
-@query("SELECT conv_id % 50 AS company, role, array_to_string(list_sort(list(DISTINCT (turn, left(text, 12))))[1:6].list_transform(lambda x: x[2]), '|') AS people FROM sessions WHERE turn % 3 <> 0 AND text IS NOT NULL GROUP BY 1, 2")
+@query("SELECT conv_id % 50 AS company, role, array_to_string(list_sort(list(DISTINCT (turn, text)))[1:6].list_transform(lambda x: x[2]), '|') AS people FROM sessions WHERE turn % 3 <> 0 AND text IS NOT NULL GROUP BY 1, 2")
 def current_people(t):
-    claims = t.sessions.where("text is not null").select((F.col("conv_id") % 50).alias("company"), "role", F.substring("text", 1, 12).alias("person"), (F.col("turn") % 3 == 0).alias("deprecated"), F.lit(None).cast("string").alias("ended"), F.col("turn").alias("ord"))
+    claims = t.sessions.where("text is not null").select((F.col("conv_id") % 50).alias("company"), "role", F.col("text").alias("person"), (F.col("turn") % 3 == 0).alias("deprecated"), F.lit(None).cast("string").alias("ended"), F.col("turn").alias("ord"))
     return prose.current_people(claims).select("company", "role", F.array_join("people", "|").alias("people"))
 
 
