@@ -218,14 +218,23 @@ def free_report(t) -> DataFrame:
 
 
 def waiting_report(t) -> DataFrame:
-    """(part, id, makes, said): companies that sell nothing, with what they make and who tells of them; and cards without price or standing."""
+    """(part, place, id, name, makes, said): what waits, each part in the order in which it is shown, with its place.
+
+    `company`: companies that sell nothing, those with a note first, then by how many things and sources name them, then by name; `unbound`: names of the queue (source, alias,
+    last_seen) that nothing answers to, last seen first; `bare`: things without price or standing, by name. providers has notes.
+    """
     makes = t.entities.where("maker is not null").groupBy(F.col("maker").alias("id")).agg(F.count("*").alias("makes"))
     said = t.docs.groupBy(F.col("subject").alias("id")).agg(F.countDistinct("source_url").alias("said"))
     silent = t.providers.join(t.offerings.select(F.col("provider_id").alias("id")), "id", "left_anti").join(makes, "id", "left").join(said, "id", "left")
-    companies = silent.select(F.lit("company").alias("part"), "id", F.coalesce("makes", F.lit(0)).alias("makes"), F.coalesce("said", F.lit(0)).alias("said"))
+    silent = silent.withColumns({"makes": F.coalesce("makes", F.lit(0)), "said": F.coalesce("said", F.lit(0))})
+    companies = silent.select(F.lit("company").alias("part"), "id", "name", "makes", "said", F.when(F.coalesce("notes", F.lit("")) == "", 1).otherwise(0).alias("_first"), (-F.col("makes") - F.col("said")).alias("_then"), F.col("name").alias("_by"))
+    none = F.lit(0).cast("long")
+    unbound = t.queue.select(F.lit("unbound"), "source", "alias", none, none, F.lit(0), -F.unix_date("last_seen").cast("long"), "alias")
     priced = t.offerings.select(F.col("id").alias("offering_id"), F.col("entity_id").alias("id")).join(t.prices, "offering_id", "left_semi").select("id")
     bare = t.entities.join(priced, "id", "left_anti").join(t.benchmarks.select(F.col("entity_id").alias("id")), "id", "left_anti")
-    return companies.union(bare.select(F.lit("bare"), "id", F.lit(0), F.lit(0)))
+    bare = bare.select(F.lit("bare"), "id", "name", none, none, F.lit(0), none, "name")
+    rows = companies.union(unbound).union(bare)
+    return ordered.placed(rows, ["part"], [F.col(c) for c in ("_first", "_then", "_by", "id")]).select("part", "place", "id", "name", "makes", "said")
 
 
 def coverage_report(t) -> DataFrame:

@@ -299,10 +299,16 @@ def free_report(t):
     return market.free_report(t)
 
 
-@query("""SELECT 'company' AS part, p.id, (SELECT count(*) FROM entities e WHERE e.maker = p.id) AS makes, (SELECT count(DISTINCT source_url) FROM docs d WHERE d.subject = p.id) AS said FROM providers p WHERE p.id NOT IN (SELECT provider_id FROM offerings)
-UNION ALL SELECT 'bare', id, 0, 0 FROM entities WHERE id NOT IN (SELECT entity_id FROM offerings JOIN prices ON offering_id = id) AND id NOT IN (SELECT entity_id FROM benchmarks)""")
+@query("""SELECT part, row_number() OVER (PARTITION BY part ORDER BY f, t, name, id) AS place, id, name, makes, said FROM (
+SELECT 'company' AS part, p.id, p.name, makes, said, CASE WHEN nation % 4 = 1 THEN 0 ELSE 1 END AS f, -(makes + said) AS t FROM (SELECT p.*, (SELECT count(*) FROM entities e WHERE e.maker = p.id) AS makes, (SELECT count(DISTINCT source_url) FROM docs d WHERE d.subject = p.id) AS said FROM providers p) p WHERE p.id NOT IN (SELECT provider_id FROM offerings)
+UNION ALL SELECT 'unbound', source, alias, 0, 0, 0, -(DATE '2024-01-01' - DATE '1970-01-01' + length(alias)) FROM aliases WHERE entity_id NOT IN (SELECT id FROM entities)
+UNION ALL SELECT 'bare', id, name, 0, 0, 0, 0 FROM entities WHERE id NOT IN (SELECT entity_id FROM offerings JOIN prices ON offering_id = id) AND id NOT IN (SELECT entity_id FROM benchmarks))""")
 def waiting_report(t):
-    return market.waiting_report(t)
+    held = SimpleNamespace(**{n: getattr(t, n) for n in ("entities", "docs", "offerings", "prices", "benchmarks")})
+    held.providers = t.providers.withColumn("notes", F.when(F.col("nation") % 4 == 1, "known"))
+    lost = t.aliases.join(t.entities.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    held.queue = lost.select("source", "alias", F.expr("date_add(date'2024-01-01', length(alias))").alias("last_seen"))
+    return market.waiting_report(held)
 
 
 _TOTALS = "UNION ALL ".join(f"SELECT 'total' AS kind, '{n}' AS value, count(*) AS n FROM {n} " for n in ("providers", "entities", "aliases", "offerings", "prices", "benchmarks", "suites", "docs"))

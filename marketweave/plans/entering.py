@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.functions.patch import merge_patch
+from marketweave.functions.scratch import scratch_root, written
 from marketweave.operators import entries, tags, upkeep
 from marketweave.plans.lens import LENS_SQL, Catalogue
+from marketweave.streaming import delivery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,8 +118,6 @@ def normalise_rules(t):
 @query(_RULES + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER (r{i}) AS n FROM d" for i, r in enumerate(upkeep.RULES)))
 def normalise_counts(t):
     """How many rows each rule finds, observed while the repaired table is written."""
-    from marketweave.functions.scratch import written
-
     rows, counts = upkeep.normalise_rules(_wrong(t), t.providers, t.offerings)
     written(rows, "repaired")
     return t.spark.createDataFrame(list(counts.get.items()), "rule string, n long")
@@ -320,3 +322,23 @@ def company_evidence(t):
     got = _told(t)
     docs = got["docs"].where("source_url in ('https://fund.vc/list', 'https://dir.org')").select(F.col("kind").alias("part"), "subject", F.col("field").alias("what"), "text")
     return docs.union(got["investments"].where("fund_id = 'fund'").select(F.lit("edge"), "fund_id", "company_id", F.lit("")))
+
+
+# Deliveries.
+
+@query("SELECT kind, count(*) AS rows, count(DISTINCT event_id % 5) AS batches FROM (SELECT event_type AS kind, event_id FROM events) WHERE event_id % 5 <> 3 GROUP BY 1")
+def atomic_delivery(t):
+    """Five batches of a table a kind of event; the fourth is cut short after its first table, and shows nothing."""
+    events = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select("event_type", "event_id")
+    kinds = ("click", "view", "purchase", "signup", "error")
+    root = f"{scratch_root(t.spark)}/{t.spark.sparkContext.applicationId}/delivery-{uuid.uuid4().hex}"
+    delivery.create(t.spark, root, {k: "event_id long" for k in kinds})
+    for b in range(5):
+        rows = written(events.where(F.col("event_id") % 5 == b), "batch")
+        tables = {k: rows.where(F.col("event_type") == k).select("event_id") for k in kinds}
+        if b == 3:
+            delivery.stage(root, "b3", {"click": tables["click"]})
+        else:
+            delivery.deliver(t.spark, root, f"b{b}", tables)
+    seen = [delivery.read(t.spark, root, k, "event_id long").select(F.lit(k).alias("kind"), "batch") for k in kinds]
+    return reduce(DataFrame.union, seen).groupBy("kind").agg(F.count("*").alias("rows"), F.countDistinct("batch").alias("batches"))

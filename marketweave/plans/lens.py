@@ -32,7 +32,7 @@ UNION ALL SELECT 'n' || n_nationkey, 'Idle ' || n_name, 'vendor', 'https://www.n
 UNION ALL SELECT 'v' || p_partkey, 'model', p_name || ' ' || (p_partkey % 250) || ' Preview', 's1', NULL, 'text', 'text', 'chat', 'mit', true, NULL, NULL, NULL, '', 'license', p_brand, p_size FROM {part} WHERE p_partkey % 47 = 11""",
     "aliases": """SELECT 'feed' || (p_partkey % 3) AS source, CASE WHEN p_partkey % 3 = 0 THEN 'vendor/' || replace(lower(p_name), ' ', '-') ELSE p_name || ' ' || p_partkey END
   || CASE p_partkey % 11 WHEN 0 THEN ':batch' WHEN 1 THEN '-fast' ELSE '' END AS alias, 'e' || CASE WHEN p_partkey % 57 = 2 THEN 10000000 + p_partkey ELSE p_partkey END AS entity_id FROM {part}
-UNION ALL SELECT 'feed9', p_name || ' ' || (p_partkey % 250) || ' Preview', 'e' || p_partkey FROM {part} WHERE p_partkey % 47 = 11""",
+UNION ALL SELECT 'feed9', p_name || ' ' || (p_partkey % 250) || '-Preview', 'e' || p_partkey FROM {part} WHERE p_partkey % 47 = 11""",
     "offerings": """SELECT l_partkey * 100000 + l_suppkey AS id, 'e' || CASE WHEN l_partkey % 333 = 1 THEN 10000000 + l_partkey ELSE l_partkey END AS entity_id, 's' || l_suppkey AS provider_id,
   CASE WHEN l_suppkey % 47 = 5 THEN 'barter' WHEN l_suppkey % 4 = 0 THEN 'api' WHEN l_suppkey % 4 = 1 THEN 'aggregator' WHEN l_suppkey % 4 = 2 THEN 'cloud' ELSE 'local' END AS way,
   CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN 'free' WHEN 1 THEN 'batch' ELSE '' END AS variant, CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'stale' ELSE 'live' END AS status,

@@ -465,7 +465,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT suite, entity, step::BIGINT AS step, event_id FROM metrics WINDOW w AS (PARTITION BY suite, entity ORDER BY ts, event_id) QUALIFY lag(step) OVER w IS DISTINCT FROM step OR row_number() OVER w = 1")
 def change_capture_stream(spark, sf_dir):
-    return changes.drain(changes.change_capture(event_stream(spark, sf_dir), ["suite", "entity"], ["ts", "event_id"], ["step"]), "changes").drop("ts")
+    return changes.capture_changes(event_stream(spark, sf_dir), "changes", ["suite", "entity"], ["ts", "event_id"], ["step"]).drop("ts")
 
 
 @query("SELECT DISTINCT sha256(suite || ' ' || entity || ' ' || step::BIGINT) AS hash FROM metrics")
