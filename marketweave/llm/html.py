@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,40 +48,91 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
+# Words that make a name of several parts an aside's if all its other parts are plain ones, those that do so for a block of text inside an article, and the plain ones.
+ASIDE_PARTS = frozenset(
+    "ad ads advert advertisement advertising sponsored promo promoted comment comments disqus related sidebar cookie cookies consent newsletter share sharing social nav navbar navigation menu header footer breadcrumb breadcrumbs popup modal banner pagination subscribe signup login widget toolbar".split()
+)
+BESIDE_TEXT = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promoted comment comments disqus related newsletter share sharing".split())
+PLAIN_PARTS = frozenset(
+    "site main top bottom left right global primary secondary user users reader readers list section box block area container wrapper wrap bar slot unit posts post articles stories links items item buttons button icons tools form thread inner outer col column panel row strip group".split()
+)
+#: Elements that hold text and no further blocks.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
+_INSIDE = (ASIDE_NAMES - {"header"}, ASIDE_PARTS - {"header"})
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
+
+def _names_aside(name: str, among: frozenset[str], parts: frozenset[str]) -> bool:
+    """Whether a class or id is an aside's: a word of the list, or made of its parts and plain ones."""
+    if name.lower() in among:
+        return True
+    if name.isalpha() and (name.islower() or name.isupper()):
+        return False
+    found = [p.lower() for p in _PARTS.findall(name)]
+    return any(p in parts for p in found) and all(p in parts or p in PLAIN_PARTS or p.isdigit() for p in found)
+
 
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether the element is named as something beside the article: by its tag, its role, or a whole class or id of the list."""
+    """Whether the element is named as something beside the article: by its tag, its role, or a class or id. Inside an article a header is not, and text is only as an advert or a comment."""
     if name in ASIDE:
         return not (name == "header" and in_article)
     if attributes and name not in ("html", "body", "article", "main"):
+        textual = in_article and name in TEXTUAL
+        among, parts = (BESIDE_TEXT, BESIDE_TEXT) if textual else _INSIDE if in_article else (ASIDE_NAMES, ASIDE_PARTS)
         for kind, *values in _NAMES.findall(attributes):
-            words = "".join(values).lower()
-            if words in ASIDE_ROLES if kind.lower() == "role" else not ASIDE_NAMES.isdisjoint(words.split()):
+            words = "".join(values)
+            if not textual and words.lower() in ASIDE_ROLES if kind.lower() == "role" else any(_names_aside(w, among, parts) for w in words.split()):
                 return True
     return False
 
 
 class _Element:
-    """An open element: whether it is named as no article, hides its text, is never closed, or goes round the page."""
+    """An element: its place in the tree, and whether it is named as no article, hides its text, is never closed, or goes round the page."""
+
+    __slots__ = ("name", "parent", "path", "in_article", "aside", "hides", "endless", "wraps", "beside", "beside_in")
+
+    def __init__(self, name: str, parent: _Element | None, aside: bool = False, hides: bool = False, endless: bool = False) -> None:
+        self.name, self.parent, self.aside, self.hides, self.endless, self.wraps = name, parent, aside, hides, endless, False
+        above = parent.path if parent else 0
+        self.path = above if hides else hash((above, zlib.crc32(name.encode())))  # of numbers, so alike in all workers
+        self.in_article = name in ("article", "main") or parent is not None and parent.in_article
+        self.beside = self.beside_in = False
 
-    __slots__ = ("name", "aside", "hides", "endless", "wraps")
+    def settle(self) -> None:
+        """Whether it lies in an aside, and in one inside its article; known once all that it lies in is."""
+        aside, up = self.aside and not self.wraps, self.parent
+        self.beside = aside or up is not None and up.beside
+        self.beside_in = up is not None and (up.beside_in or up.in_article and aside)
 
-    def __init__(self, name: str, aside: bool = False, hides: bool = False, endless: bool = False) -> None:
-        self.name, self.aside, self.hides, self.endless, self.wraps = name, aside, hides, endless, False
 
+class Block(NamedTuple):
+    """A block of text: hash of its path, text, whether aside, in an article, share of it inside links, name of its element, and the number of the element that holds that one."""
 
-def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
-    """Blocks of text in page order: (path, text, aside, in an article, share of it inside links).
+    path: int
+    text: str
+    aside: bool
+    in_article: bool
+    linked: float
+    name: str
+    holder: int
+    holder_name: str
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """Blocks of text in page order, in time that grows with the page however deep its elements nest.
 
     A hidden element ends with its end tag or an ancestor's; one that is never closed ends at the next block,
     and all but TIGHT ones at an article. A form round the page is no aside, and where every
     article lies in an aside, what it holds is not aside on that account.
     """
     page = page or ""
-    found: list[tuple[str, str, list[_Element], float]] = []
+    found: list[tuple[_Element | None, str, float]] = []
+    every: list[_Element] = []
     stack: list[_Element] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a name
+    soft, hard, endless, forms = [], [], [], []  # places of open ones: hidden that an article ends, hidden that it does not, hidden and never closed, forms that go round nothing yet
     text: list[str] = []
-    links = linked = hidden = 0  # hidden: open elements that hide their text
+    links = linked = 0
     last: dict[str, int] = {}
 
     def flush() -> None:
@@ -86,14 +140,29 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                found.append(("/".join(e.name for e in stack if not e.hides), joined, list(stack), min(1.0, linked / len(joined))))
+                top = stack[-1] if stack else None
+                while top is not None and top.hides:
+                    top = top.parent
+                found.append((top, joined, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
+    def push(element: _Element) -> None:
+        at = len(stack)
+        stack.append(element), every.append(element), where[element.name].append(at)
+        if element.hides:
+            (hard if element.name in TIGHT and not element.endless else soft).append(at)
+            if element.endless:
+                endless.append(at)
+        elif element.name == "form":
+            forms.append(at)
+
     def cut(at: int) -> None:
-        nonlocal hidden
-        hidden -= sum(e.hides for e in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            where[stack.pop().name].pop()
+        for places in (soft, hard, endless, forms):
+            while places and places[-1] >= at:
+                places.pop()
 
     def never_closed(name: str, at: int) -> bool:
         if name not in last:
@@ -105,31 +174,24 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
         name = m.group(3)
         if name is None:
             if token[0] != "<" or token == "<":
-                if not hidden:
+                if not (soft or hard):
                     text.append(token)
                     linked += len(token.strip()) if links else 0
             continue
         name, closing = name.lower(), bool(m.group(2))
-        if hidden and (name in BLOCK or name == "body"):
+        if (soft or hard) and (name in BLOCK or name == "body"):
             if name == "body":
-                at = next(i for i, e in enumerate(stack) if e.hides)
+                cut(min(p[0] for p in (soft, hard) if p))
             elif name in ("article", "main") and not closing:
-                at = next((i for i, e in enumerate(stack) if e.hides and (e.endless or e.name not in TIGHT)), len(stack))
-                at = at if not any(e.hides and e.name in TIGHT and not e.endless for e in stack[:at]) else len(stack)
-            else:
-                at = next((i for i, e in enumerate(stack) if e.endless), len(stack))
-            cut(at)
+                if soft and not (hard and hard[0] < soft[0]):
+                    cut(soft[0])
+            elif endless:
+                cut(endless[0])
         if name in HIDDEN:
-            if closing or name in ("option", "select", "button"):  # none of these three holds another of its kind
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at].name == name:
-                        cut(at)
-                        break
-                    if not stack[at].hides and not hidden:
-                        break
+            if (closing or name in ("option", "select", "button")) and where[name]:  # none of these three holds another of its kind
+                cut(where[name][-1])
             if not closing and not m.group(4).endswith("/"):
-                stack.append(_Element(name, hides=True, endless=name != "option" and never_closed(name, m.end())))
-                hidden += 1
+                push(_Element(name, stack[-1] if stack else None, hides=True, endless=name != "option" and never_closed(name, m.end())))
         elif name == "a":
             links = max(0, links - 1) if closing else links + 1
         elif name in SPACE:
@@ -137,30 +199,29 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool, float]]:
         elif name in BLOCK:
             flush()
             if closing:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at].name == name:
-                        cut(at)
-                        links = 0
-                        break
-                    if stack[at].name in TIGHT and not stack[at].endless:
-                        break  # what it holds closes nothing outside
+                if where[name] and not (hard and hard[-1] > where[name][-1]):  # what a TIGHT one holds closes nothing outside
+                    cut(where[name][-1])
+                    links = 0
             elif name not in VOID and not m.group(4).endswith("/"):
                 if stack and stack[-1].name == "p" or stack and name in ("li", "tr", "dt", "dd") and stack[-1].name == name:
-                    stack.pop()  # these end where the next begins
-                if name in ROUND and not hidden:
-                    for e in stack:
-                        e.wraps = e.wraps or e.name == "form"
-                stack.append(_Element(name, _is_aside(name, m.group(4), any(e.name in ("article", "main") for e in stack))))
+                    cut(len(stack) - 1)  # these end where the next begins
+                if name in ROUND and not (soft or hard):
+                    for at in forms:
+                        stack[at].wraps = True
+                    forms.clear()
+                up = stack[-1] if stack else None
+                push(_Element(name, up, _is_aside(name, m.group(4), up is not None and up.in_article)))
     flush()
 
-    out, within = [], []
-    for path, joined, above, share in found:
-        article = next((i for i, e in enumerate(above) if e.name in ("article", "main")), None)
-        asides = [i for i, e in enumerate(above) if e.aside and not e.wraps]
-        out.append((path, joined, bool(asides), article is not None, share))
-        within.append(article is not None and all(i < article for i in asides))
-    if not any(b[3] and not b[2] for b in out):
-        out = [(p, t, a and not w, r, s) for (p, t, a, r, s), w in zip(out, within, strict=True)]
+    for element in every:
+        element.settle()
+    number = {id(e): i for i, e in enumerate(every)}
+    free = not any(e is not None and e.in_article and not e.beside for e, _, _ in found)  # every article lies in an aside
+    out = []
+    for e, joined, share in found:
+        up = e.parent if e is not None else None
+        aside = e is not None and (e.beside_in if free and e.in_article else e.beside)
+        out.append(Block(e.path if e else 0, joined, aside, e is not None and e.in_article, share, e.name if e else "", number[id(up)] if up is not None else -1, up.name if up is not None else ""))
     return out
 
 
@@ -169,7 +230,7 @@ def host_of(url: str | None) -> str:
     return m[1].translate(_LOWER) if m else ""
 
 
-def _print(path: str, text: str) -> int:
+def _print(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\x00{text}") - 2**63
 
 
@@ -179,7 +240,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, bool], list[int]] = {}
         for page, url, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             host, found, first = host_of(url), Counter(), {}
-            for place, (path, text, *_) in enumerate(blocks_of(source)):
+            for place, block in enumerate(blocks_of(source)):
+                path, text = block.path, block.text
                 for token in ((_print(path, text), True), (_print(path, ""), False)):
                     found[token] += 1
                     first.setdefault(token, place)
@@ -199,8 +261,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template): of each host, the tokens of text that its pages share, in the order in which they stand, from pages(page_id, url, html).
 
     Tokens with one occurrence vector over all pages of the host form an equivalence class; a class is
-    valid if it is large and on nearly all pages. Valid classes nest into one another by the places of their tokens: the template is their one order, and
-    what stands between two of its tokens is a slot. A vector is known by sums of its entries' hashes, so classes come from one aggregation over all pages,
+    valid if it is large and on nearly all pages. A token is a text at its path, so that classes nest by the tree; the template is their tokens in the order of their mean places, and
+    what stands between two of them is a slot. A vector is known by sums of its entries' hashes, so classes come from one aggregation over all pages,
     and a page that is there twice counts twice for all its tokens alike. A host with few pages has no template.
     """
     counts = pages.mapInArrow(_occurrences, "host string, token long, is_text boolean, pages long, high long, low long, places long")
@@ -231,40 +293,36 @@ def in_order(ranks: list[int | None]) -> set[int]:
     return run
 
 
-def _without_menus(blocks: list[tuple[str, str, bool, bool, float]]) -> list[tuple[str, str, bool, bool, float]]:
+def _without_menus(blocks: list[Block]) -> list[Block]:
     """The blocks without runs of list items that are links and nothing else, outside an article."""
-    out, run = [], []
-    for b in [*blocks, ("", "", False, True, 0.0)]:
-        if not b[3] and b[0].rpartition("/")[2] == "li":
-            if run and run[-1][0] != b[0]:
-                out += run if any(x[4] < 1 for x in run) else []
-                run = []
-            run.append(b)
-        else:
-            out += run if any(x[4] < 1 for x in run) else []
-            out, run = [*out, b], []
-    return out[:-1]
-
-
-def _article(blocks: list[tuple[str, str, bool, bool, float]], template: dict[int, int]) -> list[str]:
+    out: list[Block] = []
+    for (item, _), run in groupby(blocks, lambda b: (b.name == "li" and not b.in_article, b.path if b.name == "li" else 0)):
+        run = list(run)
+        if not item or any(b.linked < 1 for b in run):
+            out += run
+    return out
+
+
+def _article(blocks: list[Block], template: dict[int, int]) -> list[str]:
     """The texts of the slots: blocks that are neither the template's nor aside, and all of an article element.
 
-    Tokens of the template count only in its order. Without an article or main, those that stand between two
-    slots of one parent are part of the text round them.
+    Tokens of the template count only in its order. Without an article or main, the template's own text stays where it shares its element with text of a slot,
+    as heading and body of near-equal pages do; in body itself, where everything meets, what lies between two slots does.
     """
-    slots = [b for b in blocks if not b[2]]
-    if any(b[3] for b in slots):
-        return [b[1] for b in slots if b[3]]
+    slots = [b for b in blocks if not b.aside]
+    if any(b.in_article for b in slots):
+        return [b.text for b in slots if b.in_article]
     slots = _without_menus(slots)
-    fixed = in_order([template.get(_print(b[0], b[1])) for b in slots])
-    first: dict[str, int] = {}
-    last: dict[str, int] = {}
+    fixed = in_order([template.get(_print(b.path, b.text)) for b in slots])
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(slots):
         if i not in fixed:
-            first.setdefault(b[0].rpartition("/")[0], i)
-            last[b[0].rpartition("/")[0]] = i
-    kept = [b[1] for i, b in enumerate(slots) if i not in fixed or first.get(up := b[0].rpartition("/")[0], i) < i < last.get(up, i)]
-    return kept or [b[1] for b in slots]
+            first.setdefault(b.holder, i)
+            last[b.holder] = i
+    shared = {b.holder for b in slots if b.holder in first and b.holder_name not in ("", "html", "body")}
+    kept = [b.text for i, b in enumerate(slots) if i not in fixed or b.holder in shared or first.get(b.holder, i) < i < last.get(b.holder, i)]
+    return kept or [b.text for b in slots]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +339,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The text is the article's blocks in page order between blank lines: all that article or main hold, or else
     the page, without menus, headers, footers, sidebars, notices, adverts, forms, hidden elements and reader
-    comments, which are known by fixed names. On pages without article or main, text of the host's template, the same and in the same order on
-    nearly all its pages, is left out unless it stands between other text of its parent. A page that would be left
+    comments, which are known by fixed names and their parts. On pages without article or main, text of the host's template, the same and in the same order on
+    nearly all its pages, is left out unless it shares its element with other text. A page that would be left
     without any block keeps the constant ones. Null or empty html gives an empty text; a null url is the
     host "". Unclosed and cut-off markup is read as far as it goes. Repeated rows are extracted each; an
     empty table gives an empty result; other columns are ignored.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from marketweave.llm import html
@@ -55,3 +58,69 @@ def test_varying_pages_of_one_host_and_pages_twice(spark):
     rows = [(i, "http://b.org/", bare.format(i)) for i in range(12)] * 2 + [(99, "http://b.org/", moved)]
     got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"own {i}" for i in range(12)) and got[99] == "end\n\nown m"
+
+
+def test_nested_elements_take_no_longer_each():
+    began = time.time()
+    assert len(html.blocks_of("<p>x</b><div>y" * 8_000)) == 16_000
+    assert len(html.blocks_of("<svg>" * 3_000 + "<p>z</p></a></div>" * 3_000)) <= 3_000
+    assert len(html.blocks_of("<form>" * 4_000 + "<header>h" * 4_000 + "</section>" * 4_000)) == 4_000
+    assert time.time() - began < 1.5
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}/", page) for i, (host, page) in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_near_equal_pages_keep_their_text(spark):
+    page = "<body><div class=top>Site</div><div><h1>Head</h1><p>The same body on all of them.</p><p>copy of day {}</p></div><div>Imprint</div>"
+    got = texts_of(spark, [("a.org", page.format(i)) for i in range(10)])
+    assert all(got[i] == f"Head\n\nThe same body on all of them.\n\ncopy of day {i}" for i in range(10))
+
+
+NAMED = [
+    ("<article><p>t<div class='comment-list'><p>c</div><div class='user-comments'>c</div><section class='related-posts'><p>r</section><div id='adSlot'>a</div></article>", "t"),
+    ("<article><p class=cookie>About cookies</p><h2 class=menu>Menu of the day</h2><p class=ad>buy</p><p class='comment'>c</p><header class=page-header><h1>h</h1></header></article>", "About cookies\n\nMenu of the day\n\nh"),
+    ("<div class='site-header'>h</div><nav>n</nav><div class='main-menu'>m</div><div id='leftSidebar2'>s</div><p>body<div class='site-footer'>f</div>", "body"),
+    ("<div class='content-sidebar-wrap'><p>a</div><div class='menu-prices-explained'><p>b</div><div class='no-sidebar'><p>c</div><div class='adfree headerless'>d</div>", "a\n\nb\n\nc\n\nd"),
+]
+
+
+def test_names_of_several_parts(spark):
+    got = texts_of(spark, [(f"h{i}.org", page) for i, (page, _) in enumerate(NAMED)])
+    assert [got[i] for i in range(len(NAMED))] == [want for _, want in NAMED]
+
+
+def plain_template(pages):
+    """Texts of one host by whole occurrence vectors: the texts, with their mean places, of classes large enough on nearly all pages."""
+    found = [html.blocks_of(p) for p in pages]
+    tokens = {(b.path, t) for blocks in found for b in blocks for t in (b.text, "")}
+    vector = {t: tuple(sum((b.path, b.text) == t or (b.path, "") == t for b in blocks) for blocks in found) for t in tokens}
+    classes: dict = {}
+    for t, v in vector.items():
+        if sum(map(bool, v)) >= 0.9 * len(pages):
+            classes.setdefault(v, []).append(t)
+    kept = [t for ts in classes.values() if len(ts) >= 2 for t in ts if t[1]]
+    place = {t: sum(next((i for i, b in enumerate(blocks) if (b.path, b.text) == t), 0) for blocks in found) / sum(map(bool, vector[t])) for t in kept}
+    return {html._print(*t): place[t] for t in kept}
+
+
+def test_templates_of_bare_pages_by_whole_vectors(spark):
+    """Pages without an article, with lines that come and go, repeat and change their order: the template, and what it leaves of each page."""
+    draw = random.Random(5)
+    pages = []
+    for i in range(24):
+        lines = [f"<div>const {k}</div>" for k in range(4)] + [f"<div><p>own {i} {draw.random()}</p><p>shared</p></div>"]
+        lines += ["<div>often</div>"] * (i != 7) + ["<p>twice</p>"] * 2 + [f"<section><p>odd {i % 3}</p></section>"]
+        if i % 11 == 10:
+            draw.shuffle(lines)
+        pages.append("<body>" + "".join(lines))
+    frame = spark.createDataFrame([(i, "http://x.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    want = plain_template(pages)
+    got = html.templates(frame).first().template
+    assert set(got) == set(want) and [want[t] for t in got] == sorted(want.values()) and len(got) >= 6
+    rank = {t: i for i, t in enumerate(got)}
+    texts = {r.page_id: r.text for r in html.extract_text(frame).collect()}
+    assert texts == {i: "\n\n".join(html._article(html.blocks_of(p), rank)) for i, p in enumerate(pages)}
+    assert all(f"own {i}" in texts[i] and "shared" in texts[i] and f"odd {i % 3}" in texts[i] for i in range(24)) and all("const" not in texts[i] for i in range(10))
