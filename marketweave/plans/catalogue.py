@@ -614,17 +614,38 @@ def page_meta(t):
     return prose.page_meta(t.spark.read.parquet(f"{t.sf_dir}/pages.parquet"))
 
 
-@query("SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS amount FROM orders WHERE round(o_totalprice) >= 100000")
+#: Sentences in which an amount is told, by the remainder of the order's key, and what they say was raised: the amount, so many times the amount, or nothing.
+_TOLD = [
+    ("It plans to raise $900 million in a round. The firm secured ${} in seed funding at a $5 billion valuation. Revenue came to $7 million.", 1),
+    ("In May the company, which is small, raised €2 million (${}) in a Series B round led by others.", 1),
+    ("The company was valued at ${} in a funding round. It will close a seed round of ${}.", 0),
+    ("It announced a financing of US${}, a contract worth $8 million and a fine of $9 million. It is in talks to raise ${} in a round.", 0),
+    ("The round closed at £{}. A contract worth ${} was secured in a round.", 0),
+    ("Acme completed a pre-seed round: £3 million first, then ${} in all; it had obtained funding before. Later it received an investment of ${} again.", 1),
+]
+
+
+@query(f"SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS amount FROM orders WHERE round(o_totalprice) >= 100000 AND o_orderkey % {len(_TOLD)} IN ({', '.join(str(i) for i, (_, n) in enumerate(_TOLD) if n)})")
 def funding_rounds(t):
     o = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
-    said = F.concat(F.lit("It plans to raise $900 million in a round. The firm secured $"), F.format_number(F.round("o_totalprice"), 0), F.lit(" in seed funding at a $5 billion valuation. Revenue came to $7 million."))
+    amount, said = F.format_number(F.round("o_totalprice"), 0), F.lit("")
+    for i, (sentence, _) in enumerate(_TOLD):
+        said = F.when(F.col("o_orderkey") % len(_TOLD) == i, F.replace(F.lit(sentence), F.lit("{}"), amount)).otherwise(said)
     return prose.funding_rounds(o.select(F.col("o_orderkey").alias("id"), said.alias("text"))).select("id", "amount")
 
 
-@query("SELECT id, fund FROM (SELECT o_orderkey AS id, unnest(['Fund' || (o_custkey % 40) || ' Capital', 'Index Ventures']) AS fund FROM orders)")
+@query("""SELECT id, fund FROM (SELECT o_orderkey AS id, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['Fund' || (o_custkey % 40) || ' Capital', 'Index Ventures'] WHEN 1 THEN ['Fund' || (o_custkey % 40) || ' Partners'] WHEN 2 THEN ['Angel' || (o_custkey % 40) || ' Holdings', 'SoftBank', 'Crédit du Fund'] WHEN 3 THEN []
+  ELSE ['B' || (o_custkey % 40) || ' Equity'] END) AS fund FROM orders) WHERE fund <> 'Crédit du Fund'""")
 def investor_names(t):
     o = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
-    said = F.concat(F.lit("The round was led by Fund"), F.col("o_custkey") % 40, F.lit(" Capital and others, with participation from Index Ventures and Somebody."))
+    n = (F.col("o_custkey") % 40).cast("string")
+    said = F.element_at(F.array(
+        F.concat(F.lit("The round was led by Fund"), n, F.lit(" Capital and others, with participation from Index Ventures and Somebody.")),
+        F.concat(F.lit("In 2023, Fund"), n, F.lit(" Partners committed a further sum to its funding. Existing Investors led a round; The Capital took part.")),
+        F.concat(F.lit("It is backed by Angel"), n, F.lit(" Holdings ($2 billion), SoftBank (a stake) & the Fund which is new. It raised $5 million from SoftBank at a price, Accel.")),
+        F.concat(F.lit("Nobody"), n, F.lit(" was led by anyone. A fund is not a name, and Series Capital is none.")),
+        F.concat(F.lit("Investors including A, and investment from B"), n, F.lit(" Equity; co-led by B"), n, F.lit(" EQUITY. funded by (a16z Growth), of late")),
+    ), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return prose.investors(o.select(F.col("o_orderkey").alias("id"), said.alias("text")))
 
 

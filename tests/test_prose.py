@@ -17,10 +17,26 @@ ROUNDS = {
 }
 
 
-def test_rounds_and_investors():
-    assert {s: prose.round_of(s) for s in ROUNDS} == ROUNDS
-    assert prose.investors_of("The round was led by Bessemer Venture Partners and General Catalyst, with participation from Index Ventures.") == ["Bessemer Venture Partners", "General Catalyst", "Index Ventures"]
-    assert prose.investors_of("In 2023, Microsoft announced an additional $10 billion investment in OpenAI.") == ["Microsoft"]
+MORE_ROUNDS = {
+    "Acme secured US$2.5bn in financing, having seen talk of a contract worth $9 billion.": 2.5e9, "Acme will close a seed round of $3 million.": None, "Twill closed a seed round of $3 million.": 3e6, "Revenue of $7 million came before it raised $3 million in a round.": None,
+    "It raised £5 million and then $8 million in a round.": 8e6, "It raised £5 million (about 6) and later on, after a very long while indeed, $8 million in a round.": 8e6, "It completed a Series C round worth $40 million.": None, "The round closed at a valuation of $3 billion, with $500 million raised.": None,
+    "It raised $500 million in a round at a valuation of $3B.": 500e6, "It raised $1,250,000 in seed funding" + " x" * 300: None, "Nothing was raised in the round.": None, "Società raised $4 m in a round.": 4e6,
+}
+
+
+def test_rounds_and_investors(spark):
+    want = {**{s: v or None for s, v in ROUNDS.items()}, **MORE_ROUNDS}
+    rows = spark.createDataFrame([(s,) for s in want], "s string").select("s", prose.round_amount(F.col("s")).alias("amount")).collect()
+    assert {r.s: r.amount for r in rows} == want
+    named = {
+        "The round was led by Bessemer Venture Partners and General Catalyst, with participation from Index Ventures.": ["Bessemer Venture Partners", "General Catalyst", "Index Ventures"],
+        "In 2023, Microsoft announced an additional $10 billion investment in OpenAI.": ["Microsoft"],
+        "Backed by Amazon ($50 billion), SoftBank ($30 billion) and others; led by nobody. Funded by Sequoia": ["Amazon", "SoftBank", "Sequoia"],
+        "It was led by the Founders Fund, joined by Crédit Capital & Seed Partners at a price, Accel.": ["Crédit Capital"],
+        "Existing Investors led a round.": [], "": [],
+    }
+    rows = spark.createDataFrame([(s,) for s in named], "s string").select("s", prose.named_investors(F.col("s")).alias("funds")).collect()
+    assert {r.s: r.funds for r in rows} == named
 
 
 def test_company_rounds(spark):
@@ -33,11 +49,25 @@ def test_company_rounds(spark):
     assert [tuple(r) for r in edges.collect()] == [("Spark Capital", "Acme (company)")]
 
 
-def test_embeddings():
-    a, b = prose.hashed("what is the refund policy"), prose.hashed("What is the refund POLICY?")
-    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and prose.hashed(None) == [0.0] * prose.DIMENSIONS
-    near = lambda x, y: sum(p * q for p, q in zip(prose.hashed(x), prose.hashed(y), strict=True))
-    assert near("Betriebstemperatur", "Temperatur") > 0.3 > near("refund policy", "mountain range")
+def fnv(feature):
+    h = 0xCBF29CE484222325
+    for b in feature.encode():
+        h = (h ^ b) * 0x100000001B3 % 2**64
+    return h % prose.DIMENSIONS
+
+
+def test_embeddings(spark):
+    texts = ["what is the refund policy", "What is the refund POLICY?", "", "Betriebstemperatur", "Temperatur", "mountain range", "über über__x über", "a", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, said string")
+    got = {r.id: r.embedding for r in prose.embed(rows, "said").collect()}
+    assert got[0] == got[1] and got[2] == got[8] == [0.0] * prose.DIMENSIONS
+    near = lambda a, b: sum(p * q for p, q in zip(got[a], got[b], strict=True))
+    assert near(3, 4) > 0.3 > near(0, 5) and all(abs(near(i, i) - 1) < 1e-6 for i in (0, 3, 6, 7))
+    want = [0.0] * prose.DIMENSIONS
+    for feature, weight in [("über", 6), ("x", 2), ("übe", 3), ("ber", 3), ("über über", 2), ("über x", 2), ("x über", 2)]:
+        want[fnv(feature)] += weight
+    size = sum(x * x for x in want) ** 0.5
+    assert all(abs(x / size - y) < 1e-6 for x, y in zip(want, got[6], strict=True))
 
 
 def test_pages(spark):
