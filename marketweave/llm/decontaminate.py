@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -152,6 +152,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
 
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_FOUND = ["doc_id", "n_words", "ranges", "items"]
+_JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
 _SCANNED = "doc_id long, key binary, n_words long, ranges array<array<long>>, items array<string>"
 
 
@@ -172,15 +175,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     blocks = 1 + int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def scanned(k: int) -> DataFrame:
+    def scan(k: int) -> Scan:
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()
-        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in block])
-        return rows.mapInArrow(_scan(shared, uuid.uuid4().hex, window, blocks > 1), _SCANNED)
+        return _scan(spark.sparkContext.broadcast([(r.item, r.text) for r in block]), uuid.uuid4().hex, window, blocks > 1)
 
     if blocks == 1:
-        found = scanned(0)
-    else:
-        hits = [materialise(scanned(k).select("key", "ranges", "items").dropDuplicates(["key"]), "hits") for k in range(blocks)]
-        every = reduce(DataFrame.union, hits).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
-        found = rows.mapInArrow(_scan(None, "", window, False), _SCANNED).drop("ranges", "items").join(sized_broadcast(materialise(every, "hits")), "key", "left")
-    return found.select("doc_id", "n_words", "ranges", "items").mapInArrow(_judged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>")
+        whole = scan(0)  # scanned and judged by one worker, as a second one a task would stay beside it
+        return rows.mapInArrow(lambda batches: _judged(b.select(_FOUND) for b in whole(batches)), _JUDGED)
+    hits = [materialise(rows.mapInArrow(scan(k), _SCANNED).select("key", "ranges", "items").dropDuplicates(["key"]), "hits") for k in range(blocks)]
+    every = reduce(DataFrame.union, hits).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+    counted = materialise(rows.mapInArrow(_scan(None, "", window, False), _SCANNED).drop("ranges", "items"), "counted")
+    return counted.join(sized_broadcast(materialise(every, "hits")), "key", "left").select(_FOUND).mapInArrow(_judged, _JUDGED)
