@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.functions import expressions as X
+
 
 def cheapest(prices: DataFrame, entity: list[str], value: str) -> DataFrame:
     return prices.where(F.col(value) > 0).groupBy(*entity).agg(F.min(value).alias("lowest"))
@@ -63,6 +65,41 @@ def spelling_majority(df: DataFrame, key: list[str], spelling: str) -> DataFrame
     return n.join(top, [*key, "n"]).groupBy(*key, "n").agg(F.count("*").alias("_ties"), F.min(spelling).alias(spelling)).where("_ties = 1").drop("_ties")
 
 
+def one_spelling(entities: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to call the things of a brand that one maker spells in several ways: (id, was, now, why), and the ties that nothing decides (brand, maker, spellings).
+
+    A brand is the letters a written name begins with, whatever their case. The maker's own spelling stands where one of its things has it, else the commonest.
+    """
+    trimmed = F.trim("name")
+    rows = entities.where(~X.is_slug(trimmed)).select("id", "name", trimmed.alias("t"), F.coalesce("maker", F.lit("")).alias("maker"), X.brand_of(trimmed).alias("had")).where("had is not null").withColumn("brand", F.lower("had"))
+    key = ["brand", "maker"]
+    n = rows.groupBy(*key, "had").agg(F.count("*").alias("n"))
+    own = providers.select(F.col("id").alias("maker"), X.brand_of(F.trim("name")).alias("own"))
+    split = n.join(own, "maker", "left").groupBy(*key).agg(F.count("*").alias("ways"), F.max("n").alias("most"), F.max(F.when(F.col("had") == F.col("own"), F.col("had"))).alias("own"), F.array_sort(F.collect_list(F.struct("had", "n"))).alias("spellings")).where("ways > 1")
+    first = F.filter("spellings", lambda x: x["n"] == F.col("most"))
+    want = F.coalesce("own", F.when(F.size(first) == 1, first[0]["had"]))
+    split = split.withColumns({"want": want, "why": F.when(F.col("own").isNotNull(), "the maker's own name").otherwise("the spelling most of its rows use")})
+    mends = rows.join(split.where("want is not null").select(*key, "want", "why"), key).where("had <> want")
+    mends = mends.select("id", F.col("name").alias("was"), F.concat("want", F.substr("name", F.length("had") + 1)).alias("now"), "why")
+    return mends, split.where("want is null").select("brand", "maker", "spellings")
+
+
+def free_daily_total(offers: DataFrame, allowance: str = "allowance") -> DataFrame:
+    """One row of what is given away a day over all offers: requests, tokens, neurons, credits and dollars, a month's by its thirtieth; what is given once; and how many offers say so, say so by the month, or do not say.
+
+    allowance is a map of figures by name. An offer with an empty or null map is unstated, not nothing.
+    """
+    figure = lambda k: F.coalesce(F.try_element_at(F.col(allowance), F.lit(k)), F.lit(0.0))
+    stated = F.coalesce(F.size(allowance) > 0, F.lit(False))
+    total = lambda *parts: F.coalesce(F.sum(F.when(stated, sum(parts[1:], parts[0]))), F.lit(0.0))
+    monthly = stated & ((figure("calls_month") > 0) | (figure("credits_month") > 0) | (figure("usd_month") > 0))
+    count = lambda when: F.count(F.when(when, 1))
+    return offers.agg(
+        total(figure("rpd"), figure("calls_month") / 30).alias("requests"), total(figure("tpd")).alias("tokens"), total(figure("neurons_day")).alias("neurons"), total(figure("credits_month") / 30).alias("credits"), total(figure("usd_month") / 30).alias("dollars"),
+        total(figure("credits_once")).alias("credits_once"), total(figure("usd_once")).alias("dollars_once"), count(stated).alias("stated"), count(monthly).alias("monthly"), count(~stated).alias("unstated"),
+    )
+
+
 def outside(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Distinct values that a vocabulary does not have, with their counts."""
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(*allowed)).groupBy(column).agg(F.count("*").alias("n"))

@@ -113,6 +113,16 @@ def hold_unvetted(entities: DataFrame, offerings: DataFrame, prices: DataFrame,
     return best.join(entities.select(F.col("id").alias("entity_id"), "register", "name"), "entity_id").select(F.col("entity_id").alias("id"), F.col("register").alias("kind"), "name", "sellers", "b.low", "b.dimension", "body")
 
 
+def hold_companies(providers: DataFrame, vetted: DataFrame, offerings: DataFrame, entities: DataFrame, investments: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, kind, name, why): unvetted companies that make nothing, are at no end of an investment, and sell nothing but what is held(id) now."""
+    ids = lambda df, c: df.select(F.col(c).alias("id"))
+    left = offerings.select("provider_id", F.col("entity_id").alias("id")).join(held.select("id"), "id", "left_anti")
+    rows = providers.select("id", "name").join(vetted.select("id"), "id", "left_anti")
+    for kept in (ids(entities.where("maker is not null"), "maker"), ids(investments, "company_id"), ids(investments, "fund_id"), ids(left, "provider_id")):
+        rows = rows.join(kept, "id", "left_anti")
+    return rows.select("id", F.lit("company").alias("kind"), "name", F.lit("a company we have not looked at").alias("why"))
+
+
 def release_arrived(candidates: DataFrame, providers: DataFrame) -> DataFrame:
     """Candidates that are still to be held: companies that the catalogue has by now go."""
     companies = candidates.where("kind = 'company'").join(providers.select("id"), "id", "left_anti").select(*candidates.columns)

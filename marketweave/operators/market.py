@@ -312,13 +312,17 @@ def pen_report(t) -> DataFrame:
 
 
 def seller_queue(t) -> DataFrame:
-    """(entity_id, place, low, high, ways): one line for each lane of a direct seller, and one for all of an aggregator's; the figure is the standard lane's where there is one."""
-    kinds = t.providers.select(F.col("id").alias("provider_id"), (F.col("kind") == "aggregator").alias("folds"))
+    """(entity_id, line, seller, lane, low, high, ways): the lines of a thing's sellers in their order; each lane of a direct seller is a line, all of an aggregator's are one.
+
+    Figures are those of standard lanes where a line has one, else of all its lanes. Direct sellers come first, then by figure, then by name; line is the place.
+    """
+    kinds = t.providers.select(F.col("id").alias("provider_id"), F.col("name").alias("seller"), (F.col("kind") == "aggregator").alias("folds"))
     live = t.offerings.where("status = 'live'").select(F.col("id").alias("offering_id"), "entity_id", "provider_id", "variant").join(kinds, "provider_id")
-    rows = current_prices(t).where("micros > 0 and dimension = 'mtok_in'").join(live, "offering_id")
-    place = F.when(F.col("folds"), F.col("provider_id")).otherwise(F.concat_ws("/", "provider_id", F.nullif("variant", F.lit(""))))
-    standard = F.min(F.when(F.col("variant") == "", F.col("micros")))
-    return rows.groupBy("entity_id", place.alias("place")).agg(F.coalesce(standard, F.min("micros")).alias("low"), F.max("micros").alias("high"), F.count("*").alias("ways"))
+    rows = current_prices(t).where("micros > 0 and dimension = 'mtok_in'").join(live, "offering_id").withColumn("lane", F.when(~F.col("folds"), F.col("variant")))
+    standard = F.when(F.col("variant") == "", F.col("micros"))
+    lines = rows.groupBy("entity_id", "provider_id", "seller", "folds", "lane").agg(F.coalesce(F.min(standard), F.min("micros")).alias("low"), F.coalesce(F.max(standard), F.max("micros")).alias("high"), F.count("*").alias("ways"))
+    line = F.row_number().over(W.partitionBy("entity_id").orderBy("folds", "low", "seller", "provider_id", "lane"))  # as many as a thing has sellers
+    return lines.select("entity_id", line.alias("line"), "seller", "lane", "low", "high", "ways")
 
 
 def modality_pairs(t) -> DataFrame:

@@ -72,6 +72,27 @@ def repeated_titles(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(title.alias("title")).where("title <> ''").groupBy("title").agg(F.count("*").alias("pages")).where("pages > 1")
 
 
+def shared_words(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(rule, words, pages, first, other): titles and descriptions that several pages have, with the first two of them by address."""
+    c = F.coalesce(F.col(html), F.lit(""))
+    title = F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    description = F.regexp_extract(c, r"""(?is)<meta\s[^>]*name="description"[^>]*content="([^"]*)\"""", 1)
+    said = F.inline(F.array(F.struct(F.lit("one title on several pages").alias("rule"), title.alias("words")), F.struct(F.lit("one description on several pages").alias("rule"), description.alias("words"))))
+    rows = pages.select(F.col(url).alias("url"), said).where("words <> ''")
+    shared = rows.groupBy("rule", "words").agg(F.count("*").alias("pages"), F.min("url").alias("first")).where("pages > 1")
+    other = rows.join(shared, ["rule", "words"]).groupBy("rule", "words", "pages", "first").agg(F.min(F.when(F.col("url") > F.col("first"), F.col("url"))).alias("other"))
+    return other.select("rule", "words", "pages", "first", F.coalesce("other", "first").alias("other"))
+
+
+# Fixed value: the page that tells how fresh all is, which has a date.
+STATUS_PAGE, DATED = "/index/coverage", r"\b20\d\d-\d\d-\d\d\b"
+
+
+def undated_status(pages: DataFrame, path: str = STATUS_PAGE, url: str = "url", html: str = "html") -> DataFrame:
+    """(url) of pages at the status page's path that have no date on them."""
+    return pages.where((path_of(F.col(url)) == path) & ~F.coalesce(html, F.lit("")).rlike(DATED)).select(F.col(url).alias("url"))
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, target) of every href that begins with a slash."""
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""href="(/[^"#?]*)"""), F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
 from marketweave.functions import names
-from marketweave.operators import checks, joins, maintenance, market, passages, prose, quality
+from marketweave.operators import checks, facts, joins, maintenance, market, passages, prose, quality
 from marketweave.plans.lens import LENS_SQL, Catalogue
 from marketweave.sources import price_files, rate_cards, scores
 from marketweave.streaming import changes, findings
@@ -360,8 +360,9 @@ def pen_report(t):
     return market.pen_report(t)
 
 
-@query(_MARKET + """SELECT entity_id, CASE WHEN p.kind = 'aggregator' THEN provider_id ELSE provider_id || CASE WHEN variant <> '' THEN '/' || variant ELSE '' END END AS place, coalesce(min(micros) FILTER (variant = ''), min(micros)) AS low, max(micros) AS high, count(*) AS ways
-FROM cur c JOIN offerings o ON o.id = c.offering_id JOIN providers p ON p.id = o.provider_id WHERE o.status = 'live' AND micros > 0 AND dimension = 'mtok_in' GROUP BY 1, 2""")
+@query(_MARKET + """, l AS (SELECT entity_id, provider_id, p.name AS seller, p.kind = 'aggregator' AS folds, CASE WHEN p.kind <> 'aggregator' THEN variant END AS lane, coalesce(min(micros) FILTER (variant = ''), min(micros)) AS low, coalesce(max(micros) FILTER (variant = ''), max(micros)) AS high, count(*) AS ways
+FROM cur c JOIN offerings o ON o.id = c.offering_id JOIN providers p ON p.id = o.provider_id WHERE o.status = 'live' AND micros > 0 AND dimension = 'mtok_in' GROUP BY ALL)
+SELECT entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY folds, low, seller, provider_id, lane) AS INT) AS line, seller, lane, low, high, ways FROM l""")
 def seller_lines(t):
     return market.seller_queue(t)
 
@@ -371,9 +372,64 @@ def modality_pairs(t):
     return market.modality_pairs(t)
 
 
-@query("SELECT CAST(coalesce(sum(rpd) FILTER (allowance <> ''), 0) AS BIGINT) AS a_day, count(*) FILTER (allowance <> '') AS stated, count(*) FILTER (allowance = '') AS unstated FROM offerings WHERE variant = 'free'")
+@query("""SELECT round(coalesce(sum(rpd) FILTER (allowance <> '' AND rpd % 3 = 0), 0) + coalesce(sum(rpd / 30) FILTER (allowance <> '' AND rpd % 3 = 1), 0), 6) AS requests, coalesce(sum(rpd * 10.0) FILTER (allowance <> '' AND rpd % 3 = 0), 0)::DOUBLE AS tokens, round(coalesce(sum(rpd / 30) FILTER (allowance <> '' AND rpd % 3 = 2), 0), 6) AS dollars,
+  coalesce(sum(5.0) FILTER (allowance <> '' AND rpd % 3 = 2), 0)::DOUBLE AS dollars_once, count(*) FILTER (allowance <> '') AS stated, count(*) FILTER (allowance <> '' AND rpd % 3 > 0 AND rpd > 0) AS monthly, count(*) FILTER (allowance = '') AS unstated FROM offerings WHERE variant = 'free'""")
 def free_total(t):
-    return market.free_total(t)
+    n = F.col("rpd").cast("double")
+    given = F.when(F.col("rpd") % 3 == 0, F.create_map(F.lit("rpd"), n, F.lit("tpd"), n * 10)).when(F.col("rpd") % 3 == 1, F.create_map(F.lit("calls_month"), n)).otherwise(F.create_map(F.lit("usd_month"), n, F.lit("usd_once"), F.lit(5.0)))
+    offers = t.offerings.where("variant = 'free'").select(F.when(F.col("allowance") != "", given).otherwise(F.create_map().cast("map<string,double>")).alias("allowance"))
+    got = facts.free_daily_total(offers)
+    return got.select(F.round("requests", 6).alias("requests"), "tokens", F.round("dollars", 6).alias("dollars"), "dollars_once", "stated", "monthly", "unstated")
+
+
+_SPELT = """, w AS (SELECT id, CASE WHEN size % 3 = 0 THEN upper(name) WHEN size % 7 = 1 THEN upper(left(name, 1)) || substr(name, 2) ELSE name END AS name, coalesce(maker, '') AS maker FROM entities), b AS (SELECT *, trim(name) AS t FROM w),
+r AS (SELECT id, name, maker, regexp_extract(t, '^([A-Za-z]+)', 1) AS had FROM b WHERE NOT regexp_matches(t, '^[a-z0-9][a-z0-9._-]*$')), n AS (SELECT lower(had) AS brand, maker, had, count(*) AS n FROM r WHERE had <> '' GROUP BY ALL),
+p AS (SELECT id AS maker, CASE WHEN nation % 2 = 0 THEN 'LARGE' ELSE 'Red' END AS own FROM providers), g AS (SELECT brand, maker, count(*) AS ways, max(n) AS most, max(CASE WHEN had = own THEN had END) AS own, list(had ORDER BY had) AS hads, list(n ORDER BY had) AS ns FROM n LEFT JOIN p USING (maker) GROUP BY 1, 2 HAVING count(*) > 1),
+x AS (SELECT *, coalesce(own, CASE WHEN len(list_filter(ns, lambda v: v = most)) = 1 THEN hads[list_position(ns, most)] END) AS want FROM g)
+"""
+
+
+def _spelt(t):
+    e = t.entities.withColumn("name", F.when(F.col("size") % 3 == 0, F.upper("name")).when(F.col("size") % 7 == 1, F.concat(F.upper(F.substring("name", 1, 1)), F.substr("name", F.lit(2)))).otherwise(F.col("name")))
+    return facts.one_spelling(e, t.providers.select("id", F.when(F.col("nation") % 2 == 0, "LARGE Labs").otherwise("Red Co").alias("name")))
+
+
+@query(_SPELT + "SELECT id, name AS was, want || substr(name, length(had) + 1) AS now, CASE WHEN own IS NOT NULL THEN 'the maker''s own name' ELSE 'the spelling most of its rows use' END AS why FROM r JOIN x ON x.brand = lower(had) AND x.maker = r.maker WHERE had <> want")
+def spelling_mends(t):
+    """Names put into one spelling a brand and maker."""
+    return _spelt(t)[0]
+
+
+@query(_SPELT + "SELECT brand, maker, array_to_string(hads, '|') AS spellings FROM x WHERE want IS NULL")
+def spelling_ties(t):
+    return _spelt(t)[1].select("brand", "maker", F.array_join(F.transform("spellings", lambda s: s["had"]), "|").alias("spellings"))
+
+
+@query("""SELECT 'one title on several pages' AS rule, title AS words, count(*) AS pages, min(url) AS first, coalesce(min(url) FILTER (url > low), min(url)) AS other FROM (SELECT url, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, min(url) OVER (PARTITION BY trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1))) AS low FROM pages) WHERE title <> '' GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'one description on several pages', d, count(*), min(url), coalesce(min(url) FILTER (url > low), min(url)) FROM (SELECT url, d, min(url) OVER (PARTITION BY d) AS low FROM (SELECT url, 'page of day ' || (page_id % 60) AS d FROM pages)) GROUP BY 2 HAVING count(*) > 1""")
+def shared_words(t):
+    """Titles and descriptions of several pages; the shared pages are given a description."""
+    p = t.spark.read.parquet(f"{t.sf_dir}/pages.parquet")
+    meta = F.concat(F.lit('<meta name="description" content="page of day '), F.col("page_id") % 60, F.lit('">'), F.coalesce("html", F.lit("")))
+    return quality.shared_words(p.select("url", meta.alias("html")))
+
+
+@query("""SELECT id, 'company' AS kind, name, 'a company we have not looked at' AS why FROM providers p WHERE nation <> 3 AND id NOT IN (SELECT maker FROM entities WHERE maker IS NOT NULL) AND id NOT IN (SELECT fund_id FROM investments UNION SELECT company_id FROM investments)
+AND id NOT IN (SELECT provider_id FROM offerings WHERE entity_id NOT IN (SELECT entity_id FROM offerings GROUP BY 1 HAVING count(DISTINCT provider_id) < 4))""")
+def hold_companies(t):
+    few = t.offerings.groupBy("entity_id").agg(F.countDistinct("provider_id").alias("n")).where("n < 4").select(F.col("entity_id").alias("id"))
+    return maintenance.hold_companies(t.providers, t.providers.where("nation = 3"), t.offerings, t.entities, t.investments, few)
+
+
+@query("""SELECT n AS name, CAST(round(o_totalprice) AS BIGINT) AS raised, CAST(1 AS BIGINT) AS rounds, 'https://x.org/' || k AS url, n || ' makes things. It raised $' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) || ' in a round.' AS text
+FROM (SELECT 'Firm ' || o_orderkey AS n, o_orderkey AS k, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND round(o_totalprice) >= 100000)""")
+def discover_companies(t):
+    o = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    name = F.concat(F.lit("Firm "), "o_orderkey")
+    said = F.concat(name, F.lit(" makes  things.\nIt raised $"), F.format_number(F.round("o_totalprice"), 0), F.lit(" in a round.\n\nMuch later: nothing."))
+    articles = o.select(name.alias("title"), said.alias("text"), (F.col("o_orderkey") % 3 != 0).alias("is_company"), (F.col("o_orderkey") % 5 == 0).alias("is_public"), F.concat(F.lit("https://x.org/"), "o_orderkey").alias("url"))
+    listed = o.select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(name, F.lit(" (company)"))).otherwise(name).alias("name"))
+    return prose.discover(listed, o.where("o_orderkey % 11 = 0").select(F.upper(name).alias("name")), articles)
 
 
 # Upkeep.
@@ -582,13 +638,18 @@ def meters(t):
     return price_files.classify_meters(li.select(sku.alias("skuName"), F.lit("1M").alias("unitOfMeasure"), (F.col("l_partkey") % 300 + 1 + F.when(F.col("l_partkey") % 300 < 50, F.col("l_tax")).otherwise(0)).alias("retailPrice")))
 
 
-@query("SELECT suite AS key, 'Model ' || entity_id AS name, value, seq AS ord FROM benchmarks JOIN (SELECT suite FROM benchmarks GROUP BY 1 HAVING count(*) >= 8) USING (suite)")
+#: Rows of a printed board that the lens puts on one page, about.
+_ON_A_PAGE = 400
+
+
+@query(f"SELECT suite || '/' || (seq // {_ON_A_PAGE}) AS key, 'Model ' || entity_id AS name, value, seq AS ord FROM benchmarks JOIN (SELECT suite, seq // {_ON_A_PAGE} AS p FROM benchmarks GROUP BY 1, 2 HAVING count(*) >= 8) w USING (suite) WHERE seq // {_ON_A_PAGE} = p")
 def html_tables(t):
+    url = F.concat_ws("/", "suite", F.expr(f"seq div {_ON_A_PAGE}"))
     cell = F.concat(F.lit("<tr><td>Model <b>"), "entity_id", F.lit("</b></td><td>"), F.col("value").cast("string"), F.lit(" &plusmn;5</td></tr>"))
-    rows = t.benchmarks.groupBy("suite").agg(F.array_sort(F.collect_list(F.struct("seq", cell.alias("c")))).alias("r"))
+    rows = t.benchmarks.groupBy(url.alias("url")).agg(F.array_sort(F.collect_list(F.struct("seq", cell.alias("c")))).alias("r"))
     page = F.concat(F.lit("<table><tr><td>x</td></tr></table><table><tr><th>Model</th><th>Score now</th></tr>"), F.array_join(F.transform("r", lambda x: x["c"]), ""), F.lit("</table>"))
-    got = scores.extract_html_table(rows.select(F.col("suite").alias("url"), page.alias("html"), F.transform("r", lambda x: x["seq"]).alias("s")), "Model", "Score")
-    order = t.benchmarks.select(F.col("suite").alias("key"), F.col("seq"), F.row_number().over(W.partitionBy("suite").orderBy("seq")).cast("long").alias("ord"))
+    got = scores.extract_html_table(rows.select("url", page.alias("html")), "Model", "Score")
+    order = t.benchmarks.select(url.alias("key"), "seq", F.row_number().over(W.partitionBy(url).orderBy("seq")).cast("long").alias("ord"))
     return got.join(order, ["key", "ord"]).select("key", "name", "value", F.col("seq").alias("ord"))
 
 
@@ -693,7 +754,7 @@ def route_findings(t):
     says = F.when(F.col("size") % 4 == 0, "$2.50 per 1M tokens").otherwise("3 of 50 on Some Board — Score 81.5 %")
     who = F.concat(F.lit("Supplier "), F.col("size") * 3)
     line = F.to_json(F.struct(kind.alias("what"), "name", says.alias("says"), F.lit("https://x.org").alias("source"), F.lit("2024-05-06T01:00:00").alias("read_at"), who.alias("seller"), who.alias("maker")))
-    files = e.groupBy((F.col("size") % 5).cast("string").alias("file")).agg(F.array_join(F.collect_list(line), "\n").cast("binary").alias("content"))
+    files = e.groupBy(F.expr("cast(substring(id, 2) as bigint) div 50").cast("string").alias("file")).agg(F.array_join(F.collect_list(line), "\n").cast("binary").alias("content"))
     new = findings.unseen_files(files, t.spark.createDataFrame([], "file string, hash string"))
     routed = findings.route_findings(findings.read_findings(new), joins.build_key_index(e), t.providers)
     return findings.deliver(lambda name, rows: None, routed, new, dry=True)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +19,33 @@ PARTS_OF_ONE = ("mean_score", "Score", "Accuracy")
 #: A board with fewer rows is not read.
 LEAST_ROWS = 8
 
-PLACEMENT = "suite string, board string, metric string, name string, value double, ord long"
+# A line of a CSV file, whose quotes may hold ends of lines, and a field of a line with a comma behind it.
+_LINE, _FIELD = r'(?:[^"\n]|"(?:[^"]|"")*")+', r'("(?:[^"]|"")*"|[^,]*),'
 
 
-def _csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, body in zip(batch["path"], batch["body"], strict=True):
-            table = pd.read_csv(io.StringIO(body), dtype=str, keep_default_na=False, on_bad_lines="skip")
-            score = next((c for c in SCORE_COLUMNS if c in table.columns), None)
-            name = next((c for c in NAME_COLUMNS if c in table.columns), None)
-            if score is None or name is None or len(table) < LEAST_ROWS:
-                continue
-            value = pd.to_numeric(table[score], errors="coerce")
-            if score in PARTS_OF_ONE:
-                value = value.where(~value.between(0, 1), value * 100)
-            stem = path.rsplit("/", 1)[-1].removesuffix(".csv").replace("_external", "")
-            out = pd.DataFrame({"suite": stem, "board": stem.replace("_", " ").strip().capitalize(), "metric": score, "name": table[name].str.strip(), "value": value.round(3), "ord": range(len(table))})
-            yield out[out["value"].notna() & (out["name"] != "")]
+def _fields(line: Column) -> Column:
+    """The fields of a line, without their quotes."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_FIELD), F.lit(1))
+    return F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
 def read_score_csvs(files: DataFrame, prefix: str = "") -> DataFrame:
     """Placements of files(path, body): the first score and name columns of a file decide, shares of one are per cent, a name's setting joins the metric.
 
-    A file is one board and small, so one task reads it whole; files without such columns or with few rows give nothing.
+    Lines are cut by a pattern and then lie in as many tasks as Spark deals them to. Lines of more fields than the first one go; files without such columns or with few lines give nothing.
     """
-    rows = files.select("path", "body").mapInPandas(_csv, PLACEMENT)
+    lines = files.select("path", F.posexplode(F.regexp_extract_all(F.replace("body", F.lit("\r"), F.lit("")), F.lit(_LINE), F.lit(0))).alias("ord", "line"))
+    first = lambda among: F.filter(F.array(*map(F.lit, among)), lambda c: F.array_contains("header", c))
+    head = lines.where("ord = 0").select("path", _fields(F.col("line")).alias("header")).withColumns({"scores": first(SCORE_COLUMNS), "names": first(NAME_COLUMNS)}).where("size(scores) > 0 and size(names) > 0")
+    head = head.select("path", F.size("header").alias("width"), F.col("scores")[0].alias("metric"), F.array_position("header", F.col("scores")[0]).cast("int").alias("_score"), F.array_position("header", F.col("names")[0]).cast("int").alias("_name"))
+    rows = lines.where("ord > 0").join(head, "path").withColumn("f", _fields(F.col("line"))).where("size(f) <= width")
+    rows = rows.join(rows.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_ROWS), "path")
+    value = F.try_element_at("f", F.col("_score")).try_cast("double")
+    value = F.when(F.col("metric").isin(*PARTS_OF_ONE) & value.between(0, 1), value * 100).otherwise(value)
+    stem = F.replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.csv$", ""), F.lit("_external"), F.lit(""))
+    words = F.trim(F.replace(stem, F.lit("_"), F.lit(" ")))
+    rows = rows.select(stem.alias("suite"), F.concat(F.upper(F.substring(words, 1, 1)), F.lower(words.substr(F.lit(2), F.length(words)))).alias("board"), "metric", F.trim(F.try_element_at("f", F.col("_name"))).alias("name"), F.round(value, 3).alias("value"), (F.col("ord") - 1).cast("long").alias("ord"))
+    rows = rows.where("value is not null and name <> ''")
     metric = F.concat(F.col("metric"), F.coalesce(F.concat(F.lit(" ("), effort_of(F.col("name")), F.lit(")")), F.lit("")))
     suite = F.when(F.col("suite").startswith(prefix), F.col("suite")).otherwise(F.concat(F.lit(prefix), F.col("suite")))
     return rows.withColumn("metric", metric).withColumn("suite", suite)
