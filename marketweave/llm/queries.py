@@ -78,10 +78,10 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
-def _weight_sql(url: str) -> str:
-    """The weight of the distinct terms between boundaries, every term by a pattern of its own."""
+def _rejected_sql(url: str) -> str:
+    """Whether the distinct terms between boundaries, every one by a pattern of its own, weigh enough and are not lures alone."""
     terms = ", ".join(f"('{t}', {w})" for t, w in urls.weights().items())
-    return f"(SELECT coalesce(sum(w), 0) FROM (VALUES {terms}) AS t(term, w) WHERE contains(lower(url_decode({url})), term) AND regexp_matches(lower(url_decode({url})), '(^|[^\\p{{L}}\\p{{N}}])' || term || '([^\\p{{L}}\\p{{N}}]|$)'))"
+    return f"(SELECT coalesce(sum(w) >= {urls.REJECT} AND max(w) >= {urls.SUBJECT}, false) FROM (VALUES {terms}) AS t(term, w) WHERE contains(lower(url_decode({url})), term) AND regexp_matches(lower(url_decode({url})), '(^|[^\\p{{L}}\\p{{N}}])' || term || '([^\\p{{L}}\\p{{N}}]|$)'))"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op7_html_extraction, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination, op11_source_divergence, op12_quality_classifier, op13_spelling_variants)}
@@ -121,7 +121,7 @@ p AS (SELECT page_id, url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)'
 r(h, s, v) AS (VALUES {", ".join(f"('{h}', '{s}', '{v}')" for h, s, v in urls.RULES)}),
 best AS (SELECT page_id, url, host, path, max_by(h || s, length(h || s)) AS rule, max_by(v, length(h || s)) AS v
   FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_weight_sql('url')} >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_rejected_sql('url')} THEN 'block' ELSE 'allow' END) AS verdict
 FROM best""",
     "op10_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -11,26 +11,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The weight at which terms reject a url. A strict term has it alone; soft terms need several different ones.
-REJECT = 4
+#: The weight at which terms reject a url. A strict term has it alone; soft terms need several different ones, one of them with at least the weight of a subject.
+REJECT, SUBJECT = 4, 2
 
-#: Terms that reject a url by themselves, by subject.
+#: Terms that reject a url by themselves, in English, German, French and Spanish.
 STRICT = (
-    "casino casinos roulette blackjack baccarat jackpot jackpots slots sportsbook bookmaker betting free-bets freebets poker-online online-casino "
-    "porn porno pornhub xxx sexcam sexcams camgirl camgirls hentai milf nude nudes escort escorts striptease webcam-sex adult-chat "
-    "viagra cialis levitra tramadol xanax valium modafinil steroids cheap-pills online-pharmacy no-prescription "
-    "warez keygen keygens crackz torrents nulled serialz cracked-software free-movies-online "
+    "casino casinos roulette blackjack baccarat jackpot jackpots sportsbook bookmaker poker-online spielautomaten wettbonus tragaperras apuestas-online "
+    "porn porno pornos pornhub xxx sexcam sexcams camgirl camgirls hentai milf nudes striptease webcam-sex adult-chat sexkontakte plan-cul "
+    "viagra cialis levitra tramadol xanax cheap-pills no-prescription rezeptfrei-kaufen sans-ordonnance sin-receta "
+    "warez keygen keygens torrents nulled cracked-software free-movies-online telecharger-gratuit "
     "spam-farm link-farm linkfarm seo-links buy-backlinks buy-followers essay-mill payday-loan payday-loans get-rich-quick"
 ).split()
-#: Terms that reject a url only together, and their weights.
+#: Terms that reject a url only together, and their weights: of subjects, and of lures, which say nothing by themselves.
 SOFT = {
-    3: "adult sex sexy gambling lottery pills pharmacy replica counterfeit loan loans forex torrent crack serial".split(),
+    3: "adult sex sexy gambling lottery replica counterfeit escorts torrent crack serial slots betting erotik sexe loteria".split(),
     2: (
-        "bet bets bingo poker bonus bonuses jackpotcity win winner winners prize prizes cash earn money rich crypto bitcoin investment trading "
-        "cheap cheapest discount discounts deal deals coupon coupons promo sale buy order pill drug drugs weight diet slim detox hot girls dating singles chat cam cams "
-        "spam clickbait click clicks traffic backlinks followers likes seo ads adserver popunder affiliate referral download downloads mp3 iptv apk mod hack hacks cheat cheats proxy vpn-free"
+        "bet bets bingo poker bonus prize prizes crypto forex loan loans pills pharmacy pill drugs dating singles cams nude spam clickbait backlinks followers popunder iptv apk hack cheats proxy "
+        "wetten gluecksspiel kredit kredite rencontres paris-sportifs apuestas casadeapuestas prestamo prestamos citas"
+    ).split(),
+    SUBJECT - 1: (
+        "free best now online live vip slim detox offer offers gift gifts instant fast secret tricks watch win winner cash earn money rich cheap cheapest discount coupon deal deals sale buy order hot girls chat download mp3 investment trading "
+        "gratis kostenlos billig kaufen sofort gewinnen gratuit gratuits acheter gagner barato comprar ganar dinero rapido"
     ).split(),
-    1: "free best top now online live 24h vip club offer offers gift gifts instant easy fast secret trick tricks hd stream streaming watch viral shop store".split(),
 }
 
 #: Fixed values: (host, path, verdict).
@@ -51,7 +53,7 @@ def vocabulary(terms: dict[str, int]) -> ahocorasick.Automaton:
 
 
 def judged(url: str, automaton: ahocorasick.Automaton) -> bool:
-    """True to reject: the weights of the different terms between boundaries, where no letter or digit touches them, reach REJECT.
+    """True to reject: the weights of the different terms between boundaries, where no letter or digit touches them, reach REJECT, and not by lures alone.
 
     Percent-encoded bytes are read as what they stand for.
     """
@@ -62,7 +64,7 @@ def judged(url: str, automaton: ahocorasick.Automaton) -> bool:
             if weight >= REJECT:
                 return True
             met[term] = weight
-    return sum(met.values()) >= REJECT
+    return sum(met.values()) >= REJECT and max(met.values()) >= SUBJECT
 
 
 def _verdicts(terms: dict[str, int]):
@@ -85,7 +87,7 @@ def filter_urls(pages: DataFrame, rules=RULES, terms: dict[str, int] | None = No
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule (host
     and path together, then the longer host) wins. Without a rule, one strict term or distinct soft ones whose
-    weights sum to REJECT block, all between boundaries; terms gives each its weight. A null url, or one without "://", has empty host and path; a
+    weights sum to REJECT, one of them a subject, block, all between boundaries; terms gives each its weight. A null url, or one without "://", has empty host and path; a
     null url is allowed. Repeated rows are judged alike; an empty table gives an empty result; other
     columns are ignored. Rules are a small constant list, compiled into the plan.
     """
