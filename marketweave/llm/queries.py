@@ -78,10 +78,11 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
-def _rejected_sql(url: str) -> str:
-    """Whether the distinct terms between boundaries, every one by a pattern of its own, weigh enough and are not lures alone."""
-    terms = ", ".join(f"('{t}', {w})" for t, w in urls.weights().items())
-    return f"(SELECT coalesce(sum(w) >= {urls.REJECT} AND max(w) >= {urls.SUBJECT}, false) FROM (VALUES {terms}) AS t(term, w) WHERE contains(lower(url_decode({url})), term) AND regexp_matches(lower(url_decode({url})), '(^|[^\\p{{L}}\\p{{N}}])' || term || '([^\\p{{L}}\\p{{N}}]|$)'))"
+def _rejected_sql() -> str:
+    """Whether the distinct terms between boundaries weigh enough and are not lures alone; parts has the runs of letters and digits, bounded the whole with one mark for what is neither they nor a dash."""
+    terms = ", ".join(f"('{t}', {w}, {str('-' in t).lower()})" for t, w in urls.weights().items())
+    whole = " OR ".join(f"contains(bounded, '{a}' || term || '{b}')" for a in "|-" for b in "|-")
+    return f"(SELECT coalesce(sum(w) >= {urls.REJECT} AND max(w) >= {urls.SUBJECT}, false) FROM (VALUES {terms}) AS t(term, w, dashed) WHERE list_contains(parts, term) OR (dashed AND ({whole})))"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_best_fit_packing, op4_exact_dedup, op5_url_filter, op6_language_id, op7_html_extraction, op8_token_counts, op9_secret_scan, op10_benchmark_decontamination, op11_source_divergence, op12_quality_classifier, op13_spelling_variants)}
@@ -115,13 +116,13 @@ k AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY
         count(*) OVER (PARTITION BY norm) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
     "op5_url_filter": rf"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-p AS (SELECT page_id, url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, '|' || regexp_replace(lower(url_decode(coalesce(url, ''))), '[^\p{{L}}\p{{N}}-]', '|', 'g') || '|' AS bounded FROM pages),
+p AS (SELECT page_id, bounded, regexp_split_to_array(bounded, '[|-]') AS parts, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(h, s, v) AS (VALUES {", ".join(f"('{h}', '{s}', '{v}')" for h, s, v in urls.RULES)}),
-best AS (SELECT page_id, url, host, path, max_by(h || s, length(h || s)) AS rule, max_by(v, length(h || s)) AS v
+best AS (SELECT page_id, bounded, parts, host, path, max_by(h || s, length(h || s)) AS rule, max_by(v, length(h || s)) AS v
   FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_rejected_sql('url')} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_rejected_sql()} THEN 'block' ELSE 'allow' END) AS verdict
 FROM best""",
     "op10_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -16,7 +16,7 @@ REJECT, SUBJECT = 4, 2
 
 #: Terms that reject a url by themselves, in English, German, French and Spanish.
 STRICT = (
-    "casino casinos roulette blackjack baccarat jackpot jackpots sportsbook bookmaker poker-online spielautomaten wettbonus tragaperras apuestas-online "
+    "casino casinos roulette blackjack baccarat jackpot jackpots sportsbook bookmaker free-bets poker-online spielautomaten wettbonus tragaperras apuestas-online "
     "porn porno pornos pornhub xxx sexcam sexcams camgirl camgirls hentai milf nudes striptease webcam-sex adult-chat sexkontakte plan-cul "
     "viagra cialis levitra tramadol xanax cheap-pills no-prescription rezeptfrei-kaufen sans-ordonnance sin-receta "
     "warez keygen keygens torrents nulled cracked-software free-movies-online telecharger-gratuit "
@@ -26,11 +26,11 @@ STRICT = (
 SOFT = {
     3: "adult sex sexy gambling lottery replica counterfeit escorts torrent crack serial slots betting erotik sexe loteria".split(),
     2: (
-        "bet bets bingo poker bonus prize prizes crypto forex loan loans pills pharmacy pill drugs dating singles cams nude spam clickbait backlinks followers popunder iptv apk hack cheats proxy "
+        "bet bets bingo poker bonus win winner prize prizes crypto forex loan loans pills pharmacy pill drugs dating singles cams nude spam clickbait backlinks followers popunder iptv apk hack cheats proxy "
         "wetten gluecksspiel kredit kredite rencontres paris-sportifs apuestas casadeapuestas prestamo prestamos citas"
     ).split(),
     SUBJECT - 1: (
-        "free best now online live vip slim detox offer offers gift gifts instant fast secret tricks watch win winner cash earn money rich cheap cheapest discount coupon deal deals sale buy order hot girls chat download mp3 investment trading "
+        "free best now online live vip slim detox offer offers gift gifts instant fast secret tricks watch cash earn money rich cheap cheapest discount coupon deal deals sale buy order hot girls chat download mp3 investment trading "
         "gratis kostenlos billig kaufen sofort gewinnen gratuit gratuits acheter gagner barato comprar ganar dinero rapido"
     ).split(),
 }
