@@ -325,6 +325,49 @@ def seller_queue(t) -> DataFrame:
     return lines.select("entity_id", line.alias("line"), "seller", "lane", "low", "high", "ways")
 
 
+# The order in which a thing's units are tried for the figure that its row leads with; others come last.
+LEADS = ("mtok_in", "mtok_out", "image", "second", "minute", "call", "character")
+#: Days for which a seller's own page outranks fresher words.
+OWN_DAYS = 45
+
+
+def find_index(t) -> DataFrame:
+    """The row of each thing in the list of all: id, address, register, maker, sellers, unit, low, out_rate, dearest, fresh, agreed, spoke, rank, out_of, boards.
+
+    Each source's newest figure of an offering on the standard lane is heard; the seller's own counts first while it is within OWN_DAYS of the newest, then the newest, then the last
+    written. low is the least of these in the leading unit, with how many sources said it of that offering (the least id of several) and how many spoke; out_rate is the rate out of a thing that leads with tokens in.
+    rank and out_of are those of its best share of a field among newest standings, of the larger field among equals. Things that nobody sells are listed too.
+    """
+    home = t.providers.select(F.col("id").alias("provider_id"), F.coalesce("url", F.lit("")).alias("home"))
+    live = t.offerings.where("status = 'live' and coalesce(variant, '') = ''").select(F.col("id").alias("offering_id"), "entity_id", "provider_id").join(home, "provider_id")
+    heard = history.latest(t.prices.select("offering_id", "dimension", "source_url", "seq", "micros", "taken_at"), ["offering_id", "dimension", "source_url"], ["seq"]).join(live, "offering_id")
+    key = ["offering_id", "dimension"]
+    heard = written(heard.select(*key, "entity_id", "micros", "taken_at", "seq", (X.authority(F.col("source_url"), F.col("home")) == 2).alias("own")), "heard")
+    newest = heard.groupBy(*key).agg(F.max("taken_at").alias("newest"), F.count("*").alias("spoke"))
+    ranked = heard.join(newest, key).withColumn("own", F.col("own") & (F.datediff("newest", "taken_at") <= OWN_DAYS))
+    said = ranked.groupBy(*key, "entity_id", "spoke").agg(F.max(F.struct("own", "taken_at", "seq", "micros")).alias("b")).select(*key, "entity_id", "spoke", "b.micros", F.col("b.taken_at").alias("taken_at"))
+    agreed = heard.groupBy(*key, "micros").agg(F.count("*").alias("agreed"))
+    said = said.join(agreed, [*key, "micros"])
+    each = said.groupBy("entity_id", "dimension").agg(F.min(F.struct("micros", "offering_id", "agreed", "spoke")).alias("low"), F.max("micros").alias("dearest"), F.max("taken_at").alias("fresh"))
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEADS)), F.col("dimension")), F.lit(0)), F.lit(len(LEADS) + 1))
+    lead = F.min(F.struct(at.alias("at"), F.col("low.micros").alias("micros"), "dimension", "low", "dearest"))
+    rates = each.groupBy(F.col("entity_id").alias("id")).agg(lead.alias("l"), F.min(F.when(F.col("dimension") == "mtok_out", F.col("low.micros"))).alias("out"), F.max("fresh").alias("fresh"))
+    standing = history.latest(t.benchmarks, ["entity_id", "suite", "metric"], ["seq"]).where("rank is not null and out_of > 1")
+    best = standing.groupBy(F.col("entity_id").alias("id")).agg(F.max(F.struct(((F.col("out_of") - F.col("rank")) / (F.col("out_of") - 1)).alias("share"), "out_of", (-F.col("rank")).alias("neg"))).alias("s"))
+    boards_of = t.benchmarks.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("suite").alias("boards"))
+    sellers = t.offerings.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("provider_id").alias("sellers"))
+    makers = t.providers.select(F.col("id").alias("maker"), F.col("name").alias("maker_name"))
+    rows = t.entities.select("id", "name", "register", "maker").join(makers, "maker", "left")
+    for df in (rates, best, boards_of, sellers):
+        rows = rows.join(df, "id", "left")
+    head, tail = X.entity_address(F.col("name"), F.col("id"), F.col("maker_name"))
+    nought = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(
+        "id", F.concat(F.lit("/index/"), head, F.lit("/"), tail).alias("address"), "register", F.coalesce("maker_name", F.lit("")).alias("maker"), nought("sellers"), F.col("l.dimension").alias("unit"), F.col("l.micros").alias("low"), F.when(F.col("l.dimension") == "mtok_in", F.col("out")).alias("out_rate"),
+        "l.dearest", "fresh", "l.low.agreed", "l.low.spoke", (-F.col("s.neg")).alias("rank"), F.col("s.out_of").alias("out_of"), nought("boards"),
+    )
+
+
 def modality_pairs(t) -> DataFrame:
     """(input_kind, output_kind, n, boards): things by what they take and return, and the boards that measure them."""
     placed = t.benchmarks.select(F.col("entity_id").alias("id"), "suite").distinct()

@@ -367,6 +367,19 @@ def seller_lines(t):
     return market.seller_queue(t)
 
 
+@query(r""", h AS (SELECT x.*, o.entity_id, x.source_url LIKE 'https://docs.%' AS own FROM (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY offering_id, dimension, source_url ORDER BY seq DESC, taken_at DESC, micros DESC) = 1) x JOIN offerings o ON o.id = x.offering_id JOIN providers p ON p.id = o.provider_id WHERE o.status = 'live' AND o.variant = ''),
+k AS (SELECT *, max(taken_at) OVER w AS newest, count(*) OVER w AS spoke FROM h WINDOW w AS (PARTITION BY offering_id, dimension)),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY offering_id, dimension ORDER BY (own AND newest - taken_at <= 45) DESC, taken_at DESC, seq DESC) = 1),
+a AS (SELECT s.*, (SELECT count(*) FROM h WHERE h.offering_id = s.offering_id AND h.dimension = s.dimension AND h.micros = s.micros) AS agreed FROM s),
+e AS (SELECT entity_id, dimension, min((micros, offering_id, agreed, spoke)) AS low, max(micros) AS dearest, max(taken_at) AS fresh FROM a GROUP BY 1, 2),
+r AS (SELECT entity_id AS id, min((CASE dimension WHEN 'mtok_in' THEN 1 ELSE 2 END, low[1], dimension, low, dearest)) AS l, min(low[1]) FILTER (dimension = 'mtok_out') AS o, max(fresh) AS fresh FROM e GROUP BY 1),
+b AS (SELECT entity_id AS id, max(((out_of - rank) / (out_of - 1), out_of, -rank)) AS s FROM (SELECT * FROM benchmarks QUALIFY row_number() OVER (PARTITION BY entity_id, suite, metric ORDER BY seq DESC) = 1) WHERE rank IS NOT NULL AND out_of > 1 GROUP BY 1)
+SELECT id, '/index/' || coalesce(trim(regexp_replace(replace(replace(lower(pname), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-'), 'commons') || '/' || coalesce(nullif(trim(regexp_replace(replace(replace(lower(x.name), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-'), ''), trim(regexp_replace(replace(replace(lower(id), '+', ' plus '), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-')) AS address, register, coalesce(pname, '') AS maker, coalesce(n, 0) AS sellers, l[3] AS unit, l[2] AS low, CASE WHEN l[3] = 'mtok_in' THEN o END AS out_rate, l[5] AS dearest, fresh, l[4][3] AS agreed, l[4][4] AS spoke,
+  -b.s[3] AS rank, b.s[2] AS out_of, coalesce(boards, 0) AS boards FROM entities x LEFT JOIN (SELECT id AS pid, name AS pname FROM providers) ON pid = x.maker LEFT JOIN r USING (id) LEFT JOIN b USING (id) LEFT JOIN (SELECT entity_id AS id, count(DISTINCT suite) AS boards FROM benchmarks GROUP BY 1) USING (id) LEFT JOIN (SELECT entity_id AS id, count(DISTINCT provider_id) AS n FROM offerings GROUP BY 1) USING (id)""")
+def list_index(t):
+    return market.find_index(t.keep("offerings"))
+
+
 @query("SELECT input_kind, output_kind, count(DISTINCT e.id) AS n, count(DISTINCT suite) AS boards FROM entities e LEFT JOIN benchmarks ON entity_id = e.id GROUP BY 1, 2")
 def modality_pairs(t):
     return market.modality_pairs(t)
