@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketweave.functions import expressions as X
 from marketweave.functions.patch import merge_patch
 from marketweave.functions.scratch import written
-from marketweave.operators import history, joins, maintenance, upserts
+from marketweave.operators import maintenance, upserts
 
 # Makers that the catalogue knows under an id of its own, by what listings call them.
 KNOWN_MAKERS = {

@@ -163,7 +163,7 @@ def settle_facts(heard: DataFrame, entity: str = "entity_id", floors: DataFrame
 def justify_companies(providers: DataFrame, reasons: DataFrame, offerings: DataFrame, entities: DataFrame, investments: DataFrame) -> DataFrame:
     """(id, why): companies that neither sell, make nor invest, with the reason a curated list gives them; null where it gives none."""
     idle = providers.select("id").join(offerings.select(F.col("provider_id").alias("id")), "id", "left_anti").join(entities.select(F.col("maker").alias("id")), "id", "left_anti").join(investments.select(F.col("fund_id").alias("id")), "id", "left_anti")
-    return idle.join(F.broadcast(reasons.select("id", "why")), "id", "left")
+    return idle.join(reasons.select("id", "why"), "id", "left")
 
 
 def free_lane_replace(offerings: DataFrame, given: DataFrame, provider: str) -> DataFrame:
@@ -208,7 +208,7 @@ def write_observations(observations: DataFrame, index: DataFrame, offerings: Dat
 
 def apply_price_files(offers: DataFrame, sellers: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Offers(seller_key, name, lane, dimension, micros) of chosen sellers bound by name: (entity_id, seller, lane, dimension, micros) with the lowest figure of each, and one row of counts (matched, unmatched names, sellers left out)."""
-    chosen = offers.join(F.broadcast(sellers.select(F.col("key").alias("seller_key"), "seller")), "seller_key", "left")
+    chosen = offers.join(sellers.select(F.col("key").alias("seller_key"), "seller"), "seller_key", "left")
     found = joins.resolve(chosen.where("seller is not null"), index)
     rates = found.where("entity_id is not null").groupBy("entity_id", "seller", "lane", "dimension").agg(F.min("micros").alias("micros"))
     names_in = lambda when: F.countDistinct(F.when(when, F.col("name")))
@@ -221,7 +221,7 @@ def apply_boards(placements: DataFrame, index: DataFrame, lower: DataFrame, effo
 
     lower(suite, lower_is_better) gives the direction. A name's setting decides between equal ranks, cheapest first.
     """
-    flagged = placements.join(F.broadcast(lower.select("suite", "lower_is_better")), "suite", "left").withColumn("_by", F.when(F.col("lower_is_better"), F.col("value")).otherwise(-F.col("value")))
+    flagged = placements.join(lower.select("suite", "lower_is_better"), "suite", "left").withColumn("_by", F.when(F.col("lower_is_better"), F.col("value")).otherwise(-F.col("value")))
     ranked = boards.rank_board(flagged, "suite", "_by", ["ord", "name"], lower=True).drop("_by")
     found = joins.resolve(ranked, index).withColumn("effort", F.coalesce(names.effort_of(F.col("name")), F.lit("")))
     best = boards.best_config(found.where("entity_id is not null"), ["entity_id", "suite"], "rank", "effort", efforts)

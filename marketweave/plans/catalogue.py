@@ -64,9 +64,9 @@ def resolve_names(t):
     return joins.resolve(t.aliases.select("source", "alias"), joins.build_key_index(t.entities), "alias").select("source", "alias", "entity_id")
 
 
-@query()
+@query(_KEYS + f"""SELECT DISTINCT a.alias, a.entity_id AS filed_on, v.entity_id AS names FROM aliases a JOIN named v ON v.form = {_norm_sql('a.alias')} AND v.n_claims = 1 AND v.entity_id <> a.entity_id
+JOIN named e ON e.form = {_norm_sql("regexp_replace(a.alias, '-Preview$', '')")} AND e.n_claims = 1 AND e.entity_id = a.entity_id WHERE a.alias LIKE '%-Preview'""")
 def misfiled_aliases(t):
-    """No SQL: the forms of a name come from a search over rules."""
     return joins.misfiled_aliases(t.entities, t.aliases)
 
 
@@ -594,11 +594,16 @@ def export_passages(t):
     return passages.export_passages(reduce(DataFrame.unionByName, sections))
 
 
-@query()
+@query(""", one AS (SELECT source, alias, min(entity_id) AS entity_id FROM aliases WHERE source = 'feed1' GROUP BY 1, 2), l AS (SELECT DISTINCT alias, 1000 + length(entity_id || alias) * 37 % 1000 AS micros, length(alias) * 100000 + CAST(substr(entity_id, 2) AS BIGINT) AS ord FROM aliases WHERE source IN ('feed1', 'feed2')),
+x AS (SELECT *, CASE WHEN ends_with(alias, ':batch') THEN 'batch' WHEN ends_with(alias, '-fast') THEN 'fast' ELSE '' END AS lane, regexp_replace(alias, '(:batch|-fast)$', '') AS base FROM l),
+b AS (SELECT x.*, CASE WHEN lane <> '' AND e.entity_id IS NOT NULL AND (d.entity_id IS NULL OR d.entity_id = e.entity_id) THEN e.entity_id ELSE d.entity_id END AS entity_id, CASE WHEN lane <> '' AND e.entity_id IS NOT NULL AND (d.entity_id IS NULL OR d.entity_id = e.entity_id) THEN lane ELSE '' END AS variant FROM x LEFT JOIN one d ON d.alias = x.alias LEFT JOIN one e ON e.alias = x.base),
+f AS (SELECT entity_id, variant, arg_min(micros, ord) AS micros FROM b WHERE entity_id IS NOT NULL GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT alias) FROM l) AS read, (SELECT count(DISTINCT alias) FROM b WHERE entity_id IS NOT NULL) AS bound, CAST((SELECT count(*) FROM b JOIN f USING (entity_id, variant) WHERE b.micros <> f.micros) AS BIGINT) AS clashes, (SELECT count(*) FROM f) AS written""")
 def apply_listings(t):
-    """The counters of one source's listings; no SQL, as they come from several results."""
+    """The counters of one source's listings."""
     one = t.aliases.groupBy("source", "alias").agg(F.min("entity_id").alias("entity_id")).where("source = 'feed1'")
-    listings = t.aliases.where("source in ('feed1', 'feed2')").select("alias", F.lit("").alias("variant"), F.lit("mtok_in").alias("dimension"), F.abs(F.xxhash64("alias", "entity_id") % 1000 + 1000).alias("micros"), F.xxhash64("entity_id").alias("ord"))
+    micros, order = F.expr("1000L + length(entity_id || alias) * 37 % 1000"), F.expr("length(alias) * 100000L + cast(substring(entity_id, 2) as bigint)")
+    listings = t.aliases.where("source in ('feed1', 'feed2')").select("alias", F.lit("").alias("variant"), F.lit("mtok_in").alias("dimension"), micros.alias("micros"), order.alias("ord")).distinct()
     empty_prices = t.spark.createDataFrame([], "entity_id string, provider_id string, way string, variant string, dimension string, micros long, taken_at date")
     offerings = t.offerings.select(*maintenance.OFFERING, "first_seen", "last_seen").where("false")
     queue = t.aliases.where("source = 'feed1'").select("source", "alias").where("false")

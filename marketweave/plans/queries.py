@@ -319,9 +319,9 @@ def twin_offerings(spark, sf_dir):
     return joins.twins(rows, "seller", ["entity"], "dimension", "micros")
 
 
-@query("SELECT entity FROM prices GROUP BY 1 HAVING NOT bool_or(l_suppkey % 10 = 0 AND l_quantity > 49)")
+@query("SELECT entity FROM prices GROUP BY 1 HAVING NOT bool_or(l_suppkey % 10 = 0 AND l_quantity > 49 AND l_discount > 0.09)")
 def only_unvetted(spark, sf_dir):
-    return joins.only_unvetted(prices(spark, sf_dir).withColumn("vetted", F.expr("l_suppkey % 10 = 0 and l_quantity > 49")), "entity", "vetted")
+    return joins.only_unvetted(prices(spark, sf_dir).withColumn("vetted", F.expr("l_suppkey % 10 = 0 and l_quantity > 49 and l_discount > 0.09")), "entity", "vetted")
 
 
 @query("SELECT p_name, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1 HAVING n > 1")

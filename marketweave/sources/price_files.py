@@ -24,7 +24,7 @@ SAMPLE, COMMITMENT = "sample_spec", "-commitment/"
 
 def chosen_sellers(rows: DataFrame, sellers: DataFrame, key: str) -> DataFrame:
     """Rows whose seller key is in the curated list, with the seller's columns; sellers(key, seller, ...) is a short list."""
-    return rows.join(F.broadcast(sellers.withColumnRenamed("key", key)), key)
+    return rows.join(sellers.withColumnRenamed("key", key), key)
 
 
 def flatten_price_file(bodies: DataFrame, body: str = "body") -> DataFrame:

@@ -28,7 +28,7 @@ def read_findings(files: DataFrame) -> DataFrame:
     rows = lines.select("file", F.from_json("line", FINDING).alias("d")).where("d is not null and (d.what is not null or d.name is not null or d.source is not null)").select("file", "d.*")
     day = F.substring("read_at", 1, 10).try_cast("date")
     newest = rows.groupBy("file").agg(F.max(day).alias("newest"))
-    return rows.join(F.broadcast(newest), "file").withColumn("taken_at", F.coalesce(day, "newest")).drop("newest", "read_at")
+    return rows.join(newest, "file").withColumn("taken_at", F.coalesce(day, "newest")).drop("newest", "read_at")
 
 
 def route_findings(findings: DataFrame, index: DataFrame, providers: DataFrame, held: DataFrame | None = None) -> DataFrame:
