@@ -64,6 +64,19 @@ def resolve_names(t):
     return joins.resolve(t.aliases.select("source", "alias"), joins.build_key_index(t.entities), "alias").select("source", "alias", "entity_id")
 
 
+#: Names as sellers print them, by the remainder of the part's key: layers that come off before a name is a thing's own.
+_PRINTED = """SELECT p_partkey AS id, p_name || ' ' || (p_partkey % 250) AS plain, CASE p_partkey % 9 WHEN 0 THEN 'us.amazon.' || replace(p_name, ' ', '-') || '-' || (p_partkey % 250) || '-20251202-v1:0' WHEN 1 THEN 'meta-llama/' || replace(p_name, ' ', '-') || '-' || (p_partkey % 250) WHEN 2 THEN replace(p_name, ' ', '-') || '-' || (p_partkey % 250) || '-high'
+  WHEN 3 THEN 'openai-' || replace(p_name, ' ', '-') || '-' || (p_partkey % 250) || '-max-2026-07-30' WHEN 4 THEN replace(p_name, ' ', '_') || '_' || (p_partkey % 250) || '_120K' WHEN 5 THEN 'Anthropic: ' || upper(p_name) || ' ' || (p_partkey % 250) || ' (high)' WHEN 6 THEN 'google/' || p_name || ' ' || (p_partkey % 250) || ' Model'
+  WHEN 7 THEN 'global.' || replace(p_name, ' ', '-') || '-' || (p_partkey % 250) || ':free' ELSE 'nobody/' || p_name || ' of none ' || p_partkey END AS name FROM {part}"""
+
+
+@query(_KEYS + f""", printed AS ({_PRINTED.format(part="part")}) SELECT p.id, p.name, n.entity_id FROM printed p LEFT JOIN (SELECT * FROM named WHERE n_claims = 1) n ON n.form = {_norm_sql('p.plain')} AND p.id % 9 <> 8""")
+def resolve_printed(t):
+    """Printed names bound to things: region, vendor, date, version, setting, context, label and channel come off."""
+    rows = t.spark.sql(_PRINTED, part=t.spark.read.parquet(f"{t.sf_dir}/part.parquet"))
+    return joins.resolve(rows, joins.build_key_index(t.entities)).select("id", "name", "entity_id")
+
+
 @query(_KEYS + f"""SELECT DISTINCT a.alias, a.entity_id AS filed_on, v.entity_id AS names FROM aliases a JOIN named v ON v.form = {_norm_sql('a.alias')} AND v.n_claims = 1 AND v.entity_id <> a.entity_id
 JOIN named e ON e.form = {_norm_sql("regexp_replace(a.alias, '-Preview$', '')")} AND e.n_claims = 1 AND e.entity_id = a.entity_id WHERE a.alias LIKE '%-Preview'""")
 def misfiled_aliases(t):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.functions.expressions import looked_up
-from marketweave.functions.names import effort_of
+from marketweave.functions.names import CAPTION, ROLE, effort_of
 
 # Columns that may hold a score, in order of preference, those that hold a name, and those printed as parts of one.
 SCORE_COLUMNS = (
@@ -59,7 +59,7 @@ def _cells(row: Column) -> Column:
 
 def clean_name(cell: Column) -> Column:
     """A model's name without a caption or role behind it, brackets round; the cell itself if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(cell, r"\s+[^\s·]+(?:\s+[^\s·]+)?\s+·\s+\S+\s*$", ""), r"\s+(Model|Agent|System)\s*$", "")
+    s = F.regexp_replace(F.regexp_replace(cell, CAPTION, ""), ROLE, "")
     s = F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, r"\s*\[([^\]]+)\]\s*", " ($1) ")), r"\s{2,}", " "))
     return F.when(s == "", cell).otherwise(s)
 
