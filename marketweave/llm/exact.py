@@ -143,11 +143,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     routed = materialise(seen.join(sized_broadcast(again.select("fp")), "fp", "left_semi"), "routed")
     best = F.max(F.struct(F.col("doc_id").isNotNull(), "points", (-F.col("doc_id")).alias("neg"))).alias("best")
     groups = routed.groupBy("fp", "sha").agg(best, F.count("*").alias("size"))
-    ids = sized_broadcast(routed.select("doc_id", "fp", "sha").distinct())
-    bytes_of = texts.join(sized_broadcast(routed.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_norms, "doc_id long, norm binary")
-    proof = bytes_of.join(ids, "doc_id").where(F.unhex("sha") == F.unhex(F.sha2("norm", 256))).groupBy("fp", "sha").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    named = texts.join(sized_broadcast(routed.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_semi")
+    bytes_of = named.unionByName(texts.where("doc_id is null")).mapInArrow(_norms, "doc_id long, norm binary")
+    proof = bytes_of.groupBy(F.lower(F.sha2("norm", 256)).alias("sha")).agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     same = F.when(F.coalesce(F.col("low") == F.col("high"), F.lit(True)), True).otherwise(F.raise_error(F.lit("different texts share a SHA-256 value")))
-    held = groups.join(proof.select("fp", "sha", same.alias("same")), ["fp", "sha"], "left").where(F.coalesce("same", F.lit(True)))
+    held = groups.join(proof.select("sha", same.alias("same")), "sha", "left").where(F.coalesce("same", F.lit(True)))
     held = materialise(held.select("fp", "sha", (-F.col("best.neg")).alias("keep_id"), "size"), "groups")
     out = seen.join(sized_broadcast(held), ["fp", "sha"], "left")
     keep = F.coalesce("keep_id", "doc_id")
