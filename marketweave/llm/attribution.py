@@ -30,7 +30,9 @@ def allocate(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str
     if rule == "start":
         simple[:] = True
     inside = simple & (tokens[:, 0] < ends[first]) & ((tokens[:, 0] >= starts[first]) if rule == "start" else (tokens[:, 1] > starts[first]))
-    np.add.at(counts, first[inside], 1)
+    a, b, at = tokens[inside, 0], tokens[inside, 1], first[inside]
+    held = (np.minimum(b, ends[at]) - np.maximum(a, starts[at])) / np.maximum(b - a, 1) if rule == "share" else 1  # part of a token may lie in no section
+    np.add.at(counts, at, held)
     for (a, b), i, j in zip(tokens[~simple], first[~simple], last[~simple], strict=True):
         held = np.minimum(b, ends[i : j + 1]) - np.maximum(a, starts[i : j + 1])
         held = np.maximum(held, 0)
