@@ -105,7 +105,7 @@ def test_boards(spark):
     assert sorted((r.suite, r.board, r.value) for r in scores.riding_boards(body(spark, feed)).collect()) == [("aa_coding_index", "aa_coding_index", 40.0), ("design_arena_ui_design", "UI Design (Models)", 1200.0)]
     csv = "Model,Score\n" + "\n".join(f"m{i}-high,0.{i}" for i in range(1, 9)) + "\nbad,x\n"
     files = spark.createDataFrame([("d/one_two_external.csv", csv), ("few.csv", "Model,Score\na,1\n"), ("none.csv", "a,b\n" * 9)], "path string, body string")
-    got = scores.read_score_csvs(files, "epoch_").collect()
+    got = scores.read_score_csvs(files, "epoch_").orderBy("ord").collect()
     assert len(got) == 8 and (got[0].suite, got[0].metric, got[0].name, got[0].value) == ("epoch_one_two", "Score (high)", "m1-high", 10.0)
 
 
