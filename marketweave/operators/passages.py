@@ -26,7 +26,7 @@ UNITS = {
     "second_in": "a second of audio in", "second_out": "a second of audio out", "minute": "a minute", "call": "a call", "character": "a character", "page": "a page", "result": "a result",
 }
 REGISTERS = {
-    "model": ("models", "Models in the AI market, with prices", "Every model the Pass Index holds: who made it, what it takes and returns, what it costs and at which company, and where it places."),
+    "model": ("models", "Models in the AI market, with prices", "Every model the catalogue holds: who made it, what it takes and returns, what it costs and at which company, and where it places."),
     "tool": ("tools", "AI tools, with prices", "Tools sold in the AI market and what each costs."),
     "agent": ("agents", "AI agents, with prices", "Agents sold in the AI market and what each costs."),
     "subscription": ("subscriptions", "AI subscriptions and what they allow", "Plans bought by the month, their price and their allowance."),
