@@ -37,10 +37,21 @@ VOCABULARY = ("vocabulary", "The vocabulary of the AI market", "What the words m
 
 
 def dollars(micros: Column) -> Column:
-    """A figure in a sentence: none of its places above a hundred dollars, two above one, else up to eight without noughts behind."""
+    """A figure in a sentence: none of its places above a hundred dollars, two above one, else up to eight without noughts behind.
+
+    A half is decided as printf does it, by the double that stands for the dollars, and where that is the half itself, to the even
+    digit; format_string would round the shortest decimal that names the double, and every half upwards.
+    """
     d = micros / 1e6
     small = F.regexp_replace(F.format_string("%.8f", d), r"\.?0+$", "")
-    return F.concat(F.lit("$"), F.when(d >= 100, F.format_string("%.0f", d)).when(d >= 1, F.format_string("%.2f", d)).otherwise(small))
+    # 25 d less an eighth of the odd number of half cents, in exact parts: at a half its sign tells where the double lies
+    high = d.cast("float").cast("double")
+    beyond = (25 * high - F.floor(micros / 5000) / 8) + 25 * (d - high)
+    cents, rest = F.floor(micros / 10_000), micros % 10_000
+    cents = cents + F.when((rest > 5000) | ((rest == 5000) & ((beyond > 0) | ((beyond == 0) & (cents % 2 == 1)))), 1).otherwise(0)
+    whole, rest = F.floor(micros / 1_000_000), micros % 1_000_000
+    whole = whole + F.when((rest > 500_000) | ((rest == 500_000) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.lit("$"), F.when(d >= 100, whole.cast("string")).when(d >= 1, F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)).otherwise(small))
 
 
 def six_figures(v: Column) -> Column:

@@ -69,6 +69,14 @@ def test_passages(spark):
     assert {r.v: r.s for r in got} == figures
 
 
+def test_dollars_at_halves(spark):
+    """Half cents and half dollars as printf rounds them: by the double itself, halves of it to the even digit."""
+    micros = [5_000 * i for i in range(200, 20_000)] + [500_000 * i for i in range(200, 4_000)] + [1_004_999, 1_005_001, 99_994_999, 99_995_000, 100_499_999, 2**52 * 5_000 // 10**7, 1_801_500_000, 250, 0]
+    got = spark.createDataFrame([(m,) for m in micros], "m long").select("m", passages.dollars(F.col("m")).alias("s")).collect()
+    plain = lambda d: f"{d:.0f}" if d >= 100 else f"{d:.2f}" if d >= 1 else f"{d:.8f}".rstrip("0").rstrip(".")
+    assert {r.m: r.s for r in got} == {m: "$" + plain(m / 1e6) for m in micros}
+
+
 def test_places_over_ranges(spark):
     rows = [("a", i % 7, i) for i in range(200)] + [(None, 1, 500), (None, 0, 501), ("b", 3, 600)]
     df = spark.createDataFrame(rows, "k string, v int, id long")
