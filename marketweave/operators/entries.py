@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketweave.functions import expressions as X
+from marketweave.functions import ordered
 from marketweave.functions.patch import merge_patch
 from marketweave.functions.scratch import written
 from marketweave.operators import maintenance, upserts
@@ -136,11 +137,16 @@ def import_curated(bodies: DataFrame, tables: dict[str, DataFrame], body: str =
     `bench_<suite>` and waits in the queue if it has none, facts on a thing's kinds and context are its own too. Offerings without figures go. A row without a
     needed field, an offering without components or a component without a figure fails the import. tables has entities with attrs, prices, metrics and benchmarks with seq.
     """
-    parsed = written(bodies.select(F.row_number().over(W.orderBy("file")).cast("long").alias("file"), F.from_json(body, CURATED).alias("d")), "curated")  # as many rows as documents
+    parsed = written(bodies.select(F.col("file").alias("_name"), F.from_json(body, CURATED).alias("d")), "curated")
+    numbers = written(ordered.placed(parsed.select("_name").distinct(), [], [F.col("_name").asc_nulls_first()], "file").withColumnRenamed("_name", "_file"), "files")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """rows(_name, r: an array) with a row an element; ord is the file's number and, in its last 31 bits, the element's: a text has fewer than 2**31 characters."""
+        rows = rows.join(numbers, rows["_name"].eqNullSafe(numbers["_file"])).select("file", F.posexplode("r").alias("i", "r"))
+        return rows.select((F.col("file") * 2**31 + F.col("i")).alias("ord"), "r.*")
 
     def part(name: str) -> DataFrame:
-        rows = parsed.select("file", F.posexplode(f"d.{name}").alias("i", "r")).select((F.col("file") * 10**9 + F.col("i")).alias("ord"), "r.*")
-        return _checked(rows, name, NEEDED[name])
+        return _checked(numbered(parsed.select("_name", F.col("d")[name].alias("r"))), name, NEEDED[name])
 
     out = dict(tables)
     out["providers"] = upserts.upsert(tables["providers"], _last(part("providers"), ["id"]).drop("ord"), ["id"])
@@ -157,7 +163,11 @@ def import_curated(bodies: DataFrame, tables: dict[str, DataFrame], body: str =
     key = maintenance.OFFERING
     offers = part("offerings").withColumnsRenamed({"entity": "entity_id", "provider": "provider_id"}).withColumn("variant", F.coalesce("variant", F.lit("")))
     offers = written(offers.withColumn("components", F.when(F.size("components") > 0, F.col("components")).otherwise(F.raise_error(F.lit("offering needs components")).cast(offers.schema["components"].dataType))), "offers")
-    each = lambda what: offers.select(*key, "ord", F.posexplode(what).alias("j", "c")).select(*key, (F.col("ord") * 10**6 + F.col("j")).alias("ord"), "c.*")
+
+    def each(what: str) -> DataFrame:
+        inner = lambda o: F.coalesce(F.transform(o[what], lambda c: F.struct(o["entity"].alias("entity_id"), o["provider"].alias("provider_id"), o["way"].alias("way"), F.coalesce(o["variant"], F.lit("")).alias("variant"), c.alias("c"))), F.array())
+        return numbered(parsed.select("_name", F.flatten(F.transform("d.offerings", inner)).alias("r"))).select(*key, "ord", "c.*")
+
     figures = _checked(each("components"), "component", ("dimension", "source_url", "taken_at"))
     micros = F.coalesce("micros_per_unit", F.round(F.col("usd_per_unit") * 1e6).cast("long"), F.raise_error(F.lit("component needs micros_per_unit or usd_per_unit")).cast("long"))
     figures = figures.withColumn("micros", micros).drop("micros_per_unit", "usd_per_unit")

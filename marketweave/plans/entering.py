@@ -179,7 +179,8 @@ def site_addresses(t):
 
 # A curated document: the lens as JSON, dealt to several files, on top of a catalogue that holds part of it already.
 
-_FILES = 16
+#: Remainders by which documents come in order, as in the SQL, and keys of a remainder that one document has: there are more documents as there are more keys, not longer ones.
+_FILES, _KEYS = 16, 256
 _OLD_PRICE = "l_linenumber = 1"
 _CURATED_SQL = """, docs_in AS (SELECT * FROM (SELECT seq % 16 AS file, *, CASE WHEN kind = 'article' THEN 'fact' ELSE kind END AS k2, CASE WHEN kind = 'article' THEN CASE seq % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'input_kind' ELSE 'note' END ELSE '' END AS field FROM docs)),
 li AS (SELECT *, 'e' || l_partkey AS entity_id, 's' || l_suppkey AS provider_id, CASE l_linestatus WHEN 'O' THEN 'mtok_in' ELSE 'mtok_out' END AS dimension, CASE l_returnflag WHEN 'A' THEN 'https://a.org' ELSE 'https://b.org' END AS source_url, CAST(round(l_extendedprice * 100) / 1000 AS BIGINT) AS micros FROM lineitem),
@@ -196,17 +197,17 @@ n AS (SELECT (SELECT count(*) FROM entities WHERE size % 2 = 1) AS minted, (SELE
 
 
 def _documents(t) -> DataFrame:
-    """(file, body): the lens as curated documents."""
+    """(file, body): the lens as curated documents, each of a bounded number of keys."""
     li = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet")
 
     def dealt(df: DataFrame, by, order: list, name: str, *cols) -> DataFrame:
-        rows = df.select((by % _FILES).alias("file"), F.struct(*order).alias("o"), F.struct(*cols).alias("r"))
+        rows = df.select(F.struct((by % _FILES).alias("of"), F.floor(by / (_FILES * _KEYS)).alias("nth")).alias("file"), F.struct(*order).alias("o"), F.struct(*cols).alias("r"))
         return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]).alias(name))
 
     said = F.when(F.col("kind") == "article", F.when(F.col("seq") % 3 == 0, F.length("text").cast("string")).when(F.col("seq") % 3 == 1, F.element_at(F.array(*map(F.lit, ("text", "image", "audio", "video"))), (F.col("seq") % 4 + 1).cast("int"))).otherwise(F.col("text"))).otherwise(F.col("text"))
     d = t.docs.withColumns({"said": said, "field": F.when(F.col("kind") == "article", F.when(F.col("seq") % 3 == 0, "context").when(F.col("seq") % 3 == 1, "input_kind").otherwise("note")), "subject": F.when(F.col("subject").startswith("e"), F.concat(F.lit("ent_"), "subject")).otherwise(F.col("subject"))})
-    priced = li.where("l_linenumber > 1").select(F.concat(F.lit("e"), "l_partkey").alias("entity"), F.concat(F.lit("s"), "l_suppkey").alias("provider"), (F.col("l_partkey") % _FILES).alias("p"), F.struct("l_orderkey", "l_linenumber").alias("o"),
-        F.struct(F.when(F.col("l_linestatus") == "O", "mtok_in").otherwise("mtok_out").alias("dimension"), F.round(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros_per_unit"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-02-03").alias("taken_at")).alias("c"))
+    priced = li.where("l_linenumber > 1").select(F.concat(F.lit("e"), "l_partkey").alias("entity"), F.concat(F.lit("s"), "l_suppkey").alias("provider"), F.col("l_partkey").alias("p"), F.struct("l_orderkey", "l_linenumber").alias("o"),
+        F.struct(F.when(F.col("l_linestatus") == "O", "mtok_in").otherwise("mtok_out").alias("dimension"), F.bround(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros_per_unit"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-02-03").alias("taken_at")).alias("c"))
     offers = priced.groupBy("entity", "provider", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]).alias("components"))
     number = F.substring("id", 2, 20).cast("long")
     parts = [
@@ -214,7 +215,7 @@ def _documents(t) -> DataFrame:
         dealt(offers, F.col("p"), ["entity", "provider"], "offerings", "entity", "provider", F.lit("api").alias("way"), "components"), dealt(t.suites, F.length("id"), ["id"], "suites", "id", "name", "measurer", "url", "lower_is_better"),
         dealt(t.benchmarks.withColumn("model_as_printed", F.concat_ws("-", "entity_id", F.col("seq") % 3)), F.col("seq"), ["seq"], "benchmarks", "suite", "model_as_printed", "metric", "value", "rank", "out_of", F.lit("https://c.org").alias("source_url"), F.col("taken_at").cast("string").alias("taken_at")),
         dealt(d, F.col("seq"), ["seq"], "docs", "subject", F.when(F.col("kind") == "article", "fact").otherwise(F.col("kind")).alias("kind"), "field", F.col("said").alias("text"), "source_url", "taken_at"),
-        dealt(t.benchmarks.select("suite", "entity_id").distinct().withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))), F.length("suite"), ["suite", "entity_id", "n"], "aliases", F.concat(F.lit("bench_"), "suite").alias("source"), F.concat_ws("-", "entity_id", "n").alias("alias"), F.col("entity_id").alias("entity")),
+        dealt(t.benchmarks.select("suite", "entity_id").distinct().withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))), F.substring("entity_id", 2, 20).cast("long"), ["suite", "entity_id", "n"], "aliases", F.concat(F.lit("bench_"), "suite").alias("source"), F.concat_ws("-", "entity_id", "n").alias("alias"), F.col("entity_id").alias("entity")),
     ]
     rows = parts[0]
     for p in parts[1:]:
@@ -227,7 +228,7 @@ def _imported(t) -> dict[str, DataFrame]:
     none = lambda schema: spark.createDataFrame([], schema)
     offering = "entity_id string, provider_id string, way string, variant string, "
     prices = li.select(F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.concat(F.lit("s"), "l_suppkey").alias("provider_id"), F.lit("api").alias("way"), F.lit("").alias("variant"), F.when(F.col("l_linestatus") == "O", "mtok_in").otherwise("mtok_out").alias("dimension"),
-        F.round(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-01-01").cast("date").alias("taken_at"), F.col("l_orderkey").alias("seq"))
+        F.bround(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long").alias("micros"), F.when(F.col("l_returnflag") == "A", "https://a.org").otherwise("https://b.org").alias("source_url"), F.lit("2024-01-01").cast("date").alias("taken_at"), F.col("l_orderkey").alias("seq"))
     old = t.entities.where("size % 2 = 0").select(F.concat(F.lit("ent_"), "id").alias("id"), "register", "name", F.when(F.col("input_kind") == "a sound", "audio").otherwise(F.col("input_kind")).alias("input_kind"), "output_kind", F.lit("old").alias("maker"), F.lit("{}").alias("attrs"))
     held = {
         "providers": none("id string, name string, url string, kind string, notes string"), "entities": old, "aliases": none("source string, alias string, entity_id string"), "queue": none("source string, alias string, payload string"), "prices": prices,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from marketweave.functions import ordered
 from marketweave.functions.patch import merge_patch
 from marketweave.operators import entries, facts, joins, maintenance, passages, prose, quality, tags, upkeep
+from marketweave.plans import entering
+from marketweave.plans.lens import Catalogue
 from marketweave.sources import scores
 
 #: Target, patch and result, as the merge patch's own standard prints them.
@@ -103,6 +105,30 @@ def test_absorbing_twice_mints_nothing(spark):
     assert tuple(entries.absorb_queue(queue, none, none, "s", limit=1)["counters"].first()) == (1, 1, 0, 0)
 
 
+def test_import_of_many_documents(spark):
+    """As many documents as there are keys: none grows with the table, and their order holds beyond ten thousand of them."""
+    part = spark.range(40_000).select(F.col("id").alias("seq"), F.lit("s1").alias("subject"), F.lit("description").alias("kind"), F.lit("t").alias("text"), F.lit("u").alias("source_url"), F.lit("d").alias("taken_at"))
+    lens = Catalogue(spark, "/root/testdata/sf0.001")
+    lens.docs = part
+    rows = entering._documents(lens).select(F.size(F.from_json("body", entries.CURATED).getField("docs")).alias("n"), "file").collect()
+    assert max(r.n for r in rows) <= entering._KEYS and sum(max(r.n, 0) for r in rows) == 40_000
+
+    tables = {
+        "providers": "id string, name string, url string, kind string, notes string", "entities": "id string, register string, name string, input_kind string, output_kind string, maker string, attrs string", "aliases": "source string, alias string, entity_id string", "queue": "source string, alias string, payload string",
+        "offerings": "entity_id string, provider_id string, way string, variant string, first_seen date, last_seen date", "prices": "entity_id string, provider_id string, way string, variant string, dimension string, micros long, source_url string, taken_at date, seq long",
+        "metrics": "entity_id string, provider_id string, way string, variant string, metric string, value double, source_url string, taken_at date, seq long", "suites": "id string, name string, measurer string, url string, metric string, subject string, lower_is_better boolean, updated string",
+        "benchmarks": "entity_id string, suite string, metric string, value double, rank long, out_of long, source_url string, taken_at date, seq long", "docs": "subject string, kind string, field string, text string, source_url string, taken_at string",
+    }
+    held = {n: spark.createDataFrame([], s) for n, s in tables.items()}
+    figure = lambda n: F.struct(F.lit("month").alias("dimension"), n.alias("micros_per_unit"), F.lit("u").alias("source_url"), F.lit("2024-01-02").alias("taken_at"))
+    offer = F.struct(F.lit("e").alias("entity"), F.lit("p").alias("provider"), F.lit("api").alias("way"), F.array(figure(F.col("id")), figure(-F.col("id"))).alias("components"))
+    bodies = spark.range(12_000).where("id > 11990 or id < 3 or id = 9300").select(F.col("id").alias("file"), F.to_json(F.struct(F.array(offer, offer).alias("offerings"))).alias("body"))
+    bodies = bodies.unionByName(spark.range(3, 9_300).select(F.col("id").alias("file"), F.lit("{}").alias("body")))
+    out = entries.import_curated(bodies, held)
+    want = [m for n in (0, 1, 2, 9300, *range(11_991, 12_000)) for m in ((n, -n, n, -n) if n else (0,))]
+    assert [r.micros for r in out["prices"].orderBy("seq").collect()] == want
+
+
 def test_import_fails_without_a_needed_field(spark):
     tables = {
         "providers": "id string, name string, url string, kind string, notes string", "entities": "id string, register string, name string, input_kind string, output_kind string, maker string, attrs string", "aliases": "source string, alias string, entity_id string", "queue": "source string, alias string, payload string",
