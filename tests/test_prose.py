@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
+import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marketweave.operators import joins, prose, quality
@@ -70,6 +73,28 @@ def test_embeddings(spark):
     assert all(abs(x / size - y) < 1e-6 for x, y in zip(want, got[6], strict=True))
 
 
+def test_embedding_memory(monkeypatch):
+    """The memory of a batch goes with a slice of its texts, not with all of them."""
+    monkeypatch.setattr(prose, "SLICE", 20_000, raising=False)
+    draw = random.Random(1)
+    texts = pd.Series([" ".join("".join(draw.choices("abcdefghij", k=9)) for _ in range(200)) for _ in range(300)])
+    tracemalloc.start()
+    whole = prose._embedded(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and len(whole) == 300
+    assert all((whole[i] == prose._embedded(texts[i : i + 1]).iloc[0]).all() for i in (0, 9, 10, 299))
+
+
+def test_rounds_are_read_once(spark):
+    """The pattern of raised money is in the plan once, and so is the split of an article."""
+    rows = spark.createDataFrame([("a", "It raised $2 million in a round. It raised $900,000 in a seed round. It raised £1 million ($1.2 million) in a round.")], "id string, text string")
+    found = prose.funding_rounds(rows)
+    assert {(r.amount, r.sentence[:12]) for r in found.collect()} == {(2_000_000, "It raised $2"), (900_000, "It raised $9"), (1_200_000, "It raised £1")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?!in talks)") == 1 and plan.count("split(") == 1
+
+
 def test_pages(spark):
     rows = [("https://a.com/x", "<title> A\n b </title><meta name='description' content='A long enough description of it.'><a href=\"/y\"><a href=\"/gone\">"), ("https://a.com/y", "<title></title><meta name='description' content='Home page'>"), ("https://a.com/z", '<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">{a</script>'), ("q", None)]
     pages = spark.createDataFrame(rows, "url string, html string")
