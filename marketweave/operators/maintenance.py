@@ -119,7 +119,7 @@ def hold_companies(providers: DataFrame, vetted: DataFrame, offerings: DataFrame
     left = offerings.select("provider_id", F.col("entity_id").alias("id")).join(held.select("id"), "id", "left_anti")
     rows = providers.select("id", "name").join(vetted.select("id"), "id", "left_anti")
     for kept in (ids(entities.where("maker is not null"), "maker"), ids(investments, "company_id"), ids(investments, "fund_id"), ids(left, "provider_id")):
-        rows = rows.join(kept, "id", "left_anti")
+        rows = rows.join(kept.distinct(), "id", "left_anti")  # an id of many rows leaves each task once
     return rows.select("id", F.lit("company").alias("kind"), "name", F.lit("a company we have not looked at").alias("why"))
 
 
@@ -162,7 +162,9 @@ def settle_facts(heard: DataFrame, entity: str = "entity_id", floors: DataFrame
 
 def justify_companies(providers: DataFrame, reasons: DataFrame, offerings: DataFrame, entities: DataFrame, investments: DataFrame) -> DataFrame:
     """(id, why): companies that neither sell, make nor invest, with the reason a curated list gives them; null where it gives none."""
-    idle = providers.select("id").join(offerings.select(F.col("provider_id").alias("id")), "id", "left_anti").join(entities.select(F.col("maker").alias("id")), "id", "left_anti").join(investments.select(F.col("fund_id").alias("id")), "id", "left_anti")
+    idle = providers.select("id")
+    for busy in (offerings.select(F.col("provider_id").alias("id")), entities.select(F.col("maker").alias("id")), investments.select(F.col("fund_id").alias("id"))):
+        idle = idle.join(busy.distinct(), "id", "left_anti")  # an id of many rows leaves each task once
     return idle.join(reasons.select("id", "why"), "id", "left")
 
 
