@@ -23,3 +23,12 @@ def test_rates_are_worked_out_once(spark):
         want = rate_cards.unpivot(rate_cards.flatten_rate_card(bodies, rate_cards.CARDS[card]))
         assert rows.columns == want.columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) != []
     assert "lambdafunction" not in plan_of(catalogue.QUERIES["seller_cards"](spark, SF))
+
+
+def read_from(plan: str, table: str) -> int:
+    return plan.count(f"/{table}.parquet")
+
+
+def test_pool_of_families_is_made_once(spark):
+    """The picks read the pool of cheap placed models from where it was written, not prices again for each use of it."""
+    assert read_from(plan_of(catalogue.QUERIES["family_averages"](spark, SF)), "lineitem") == 0
