@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from types import SimpleNamespace
 
-from marketweave.operators import checks
+from marketweave.operators import checks, market
 from marketweave.plans import catalogue
 from marketweave.sources import rate_cards
 from tests.test_feeds import CARDS
@@ -56,3 +56,11 @@ def test_rules_of_offers(spark):
     assert found("one lane written twice at one price") == [("e1 at s1", "1")]
     assert found("a figure nobody has re-read in a while") == [("E", "2024-01-04"), ("E", "2024-01-06")]
     assert found("a row pointing at nothing") == [("offering with no entity", "gone"), ("offering with no provider", "gone"), ("price with no offering", "9"), ("price with no offering", "9")]
+
+
+def test_list_index_groups_prices_in_place(spark, monkeypatch):
+    """What was heard of an offering is read once: it is not written to be joined with sums of itself."""
+    kept, real = [], market.written
+    monkeypatch.setattr(market, "written", lambda df, name: kept.append(name) or real(df, name))
+    plan = plan_of(catalogue.QUERIES["list_index"](spark, SF))
+    assert kept == [] and read_from(plan, "lineitem") == 1
